@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import order_minhash
+from . import log_lines, mixing, order_minhash, pii, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,29 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link(table(spark, sf_dir, "documents"))
+
+
+def op8_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = log_lines.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.withColumnsRenamed({"__n_lines": "n_lines", "__n_dropped": "n_dropped"})
+
+
 QUERIES: dict[str, Query] = {
     "op1_order_minhash": op1_order_minhash,
+    "op3_pii": op3_pii,
+    "op4_mixing": op4_mixing,
+    "op7_simhash": op7_simhash,
+    "op8_log_lines": op8_log_lines,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.SQL}
