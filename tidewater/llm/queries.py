@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import log_lines, mixing, order_minhash, pii, simhash
+from . import bpe, crf_toxicity, log_lines, mixing, order_minhash, pii, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), *bpe.public_vocabulary())
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link(table(spark, sf_dir, "documents"))
 
@@ -33,12 +37,18 @@ def op8_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.withColumnsRenamed({"__n_lines": "n_lines", "__n_dropped": "n_dropped"})
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_order_minhash": op1_order_minhash,
     "op3_pii": op3_pii,
     "op4_mixing": op4_mixing,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash": op7_simhash,
     "op8_log_lines": op8_log_lines,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {"op4_mixing": mixing.SQL}
