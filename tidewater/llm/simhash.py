@@ -89,7 +89,8 @@ def _within(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[n
     there = np.arange(64) < block_len[:, None]
     valid = np.packbits(there, axis=1, bitorder="little").view(np.uint64)[:, 0]
     bits = np.unpackbits(fps[members].view(np.uint8).reshape(len(members), 64, 8), axis=2, bitorder="little")
-    planes = np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view(np.uint64)[:, :, 0].T.copy()
+    upright = np.ascontiguousarray(bits.transpose(0, 2, 1))
+    planes = np.packbits(upright, axis=2, bitorder="little").view(np.uint64)[:, :, 0].T.copy()
     # every member is a query against the blocks of its group
     pairs_of = sizes * n_blocks
     upto = np.cumsum(pairs_of)
