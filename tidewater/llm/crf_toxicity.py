@@ -2,11 +2,11 @@
 
 Learning. From the labelled rows (never the held-out fifth) a bounded sample is taken: up to ``ROWS`` rows of
 either label, by the hash of doc_id, of at most ``CHARS`` characters. Labels are per document, so tokens are
-labelled first: a word, or a word's start or end of four or five letters, that nearly only toxic texts of the
-sample have is evidence, and the words of toxic texts that show evidence are the labelled toxic tokens. On
+labelled first: a word, or a word's start or end of four or five letters, that is far more common in toxic
+texts of the sample is evidence, and the words of toxic texts that show evidence are the labelled toxic tokens. On
 those tokens a binary CRF is fitted (features of the word and of both neighbours, hashed; transitions), by
-exact gradients from forward-backward. Document scores are a logistic function of the strongest marginal and
-of the expected number of toxic tokens, fitted on the same sample.
+exact gradients from forward-backward. Document scores are a logistic function of the two strongest
+marginals, fitted on the same sample.
 
 Scoring. Each sentence (at most ``PIECE`` words; longer ones go on as a new piece) is run forward and
 backward; the marginals give the offending spans (code points, end exclusive) and the document's score. All
@@ -23,6 +23,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -32,9 +34,10 @@ from pyspark.sql import functions as F
 from .common import whole_text
 
 ROWS, CHARS = 3000, 20_000
-BUCKETS, PIECE, KEPT = 1 << 16, 64, 300_000
+BUCKETS, PIECE, KEPT = 1 << 20, 64, 300_000
 TOKEN = re.compile(r"\w+|[.!?\n]")
-STOPS = frozenset(".!?\n")
+#: The first entries of every vocabulary; they end a sentence.
+STOPS = (".", "!", "?", "\n")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,26 +52,24 @@ def _parts(word: str) -> list[str]:
     return out
 
 
-def _features(word: str) -> np.ndarray:
-    """Hashed features of a word, of the word as the one before and as the one after."""
-    from zlib import crc32
-
-    own = [crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in _parts(word)]
-    return np.array([*own, crc32(b"<" + word.encode("utf-8", "surrogatepass")) % BUCKETS, crc32(b">" + word.encode("utf-8", "surrogatepass")) % BUCKETS])
+def _features(word: str) -> tuple[int, ...]:
+    """Hashed features: of the word (five; BUCKETS for none), of it as the word before and as the one after."""
+    whole, none = word.encode("utf-8", "surrogatepass"), BUCKETS
+    ends = [none] * 4
+    for i, n in enumerate((4, 5)):
+        if len(word) > n:
+            ends[i] = crc32(word[:n].encode("utf-8", "surrogatepass"), n) % BUCKETS
+            ends[i + 2] = crc32(word[-n:].encode("utf-8", "surrogatepass"), n + 8) % BUCKETS
+    return crc32(whole) % BUCKETS, *ends, crc32(whole, 20) % BUCKETS, crc32(whole, 21) % BUCKETS
 
 
-def _pieces(words: list[str]) -> np.ndarray:
+def _pieces(numbers: np.ndarray) -> np.ndarray:
     """Number of the piece (sentence, or PIECE words of one) of each token; -1 for a stop."""
-    stop = np.fromiter((w in STOPS for w in words), bool, len(words))
-    sentence = np.cumsum(stop)
-    start = np.zeros(len(words), np.int64)
-    at = np.flatnonzero(stop)
-    start[at] = at + 1
-    start = np.maximum.accumulate(start) if len(words) else start
-    within = (np.arange(len(words)) - start) // PIECE
-    out = sentence * (len(words) // PIECE + 1) + within
-    out[stop] = -1
-    return out
+    stop = numbers < len(STOPS)
+    start = np.where(stop, np.arange(1, len(numbers) + 1), 0)
+    start = np.maximum.accumulate(start) if len(numbers) else start
+    within = (np.arange(len(numbers)) - start) // PIECE
+    return np.where(stop, -1, start * (len(numbers) // PIECE + 1) + within)
 
 
 def _padded(piece: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -106,48 +107,66 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+class Vocabulary(dict):
+    """Numbers of words, stops first."""
+
+    def __init__(self) -> None:
+        super().__init__({w: i for i, w in enumerate(STOPS)})
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 class Model:
-    """weights: of the hashed features; trans; bias; head: logistic weights of the document score."""
+    """weights: of the hashed features; bias; trans; head: logistic weights of the document score; const: the
+    score of every text where nothing could be learnt."""
 
     def __init__(self, weights: np.ndarray, bias: float, trans: np.ndarray, head: np.ndarray, const: float | None) -> None:
         self.weights, self.bias, self.trans, self.head, self.const = weights, bias, trans, head, const
-        self.known: dict[str, int] = {}
-        self.values: list[tuple[float, float, float]] = []
+        self._forget()
 
     def __reduce__(self):
         return Model, (self.weights, self.bias, self.trans, self.head, self.const)
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        got = [known.get(w, -1) for w in words]
-        for i, g in enumerate(got):
-            if g < 0:
-                w = words[i]
-                if w not in known:
-                    v = self.weights[_features(w)]
-                    known[w] = len(self.values)
-                    self.values.append((float(v[:-2].sum()), float(v[-2]), float(v[-1])))
-                got[i] = known[w]
-        return np.array(got, np.int64)
-
-    def emissions(self, words: list[str], piece: np.ndarray) -> np.ndarray:
-        if len(self.known) > KEPT:
-            self.known, self.values = {}, []
-        numbers = self._numbers(words)
-        v = np.array(self.values, np.float32).reshape(-1, 3)[numbers]
-        e = v[:, 0] + self.bias
-        if len(words) > 1:
-            beside = (piece[1:] == piece[:-1]) & (piece[1:] >= 0)
-            e[1:] += np.where(beside, v[:-1, 1], 0)
-            e[:-1] += np.where(beside, v[1:, 2], 0)
+    def _forget(self) -> None:
+        self.known, self.names, self.values = Vocabulary(), 0, np.zeros((4096, 3), np.float32)
+
+    def _emissions(self, numbers: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        if len(self.known) > self.names:
+            while len(self.known) > len(self.values):
+                self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+            new = np.array([_features(w) for w in islice(self.known, self.names, None)])
+            v = self.weights[new]
+            self.values[self.names : len(self.known)] = np.c_[v[:, :-2].sum(1), v[:, -2:]]
+            self.names = len(self.known)
+        v = self.values[numbers]
+        e = v[:, 0] + np.float32(self.bias)
+        beside = (piece[1:] == piece[:-1]) & (piece[1:] >= 0)
+        e[1:] += np.where(beside, v[:-1, 1], 0)
+        e[:-1] += np.where(beside, v[1:, 2], 0)
         return e.astype(np.float64)
 
-    def marginals(self, words: list[str], piece: np.ndarray) -> np.ndarray:
-        e, p = self.emissions(words, piece), np.zeros(len(words))
+    def marginals(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text, the probability of being toxic of each of its tokens."""
+        if len(self.known) > KEPT:
+            self._forget()
+        words: list[str] = []
+        ends = []
+        for text in texts:
+            words += tokens(text)
+            words.append("\n")
+            ends.append(len(words))
+        numbers = self.known.numbers(words)
+        piece = _pieces(numbers)
+        e, p = self._emissions(numbers, piece), np.zeros(len(words))
         for places, there in _padded(piece):
             f, b = _forward_backward(e[places], there, self.trans)
             p[places[there]] = _sigmoid(f + b)[there]
-        return p
+        return [x[:-1] for x in np.split(p, ends[:-1])]
 
     def score(self, p: np.ndarray) -> float:
         if self.const is not None:
@@ -155,64 +174,97 @@ class Model:
         return float(_sigmoid(_summary(p) @ self.head))
 
 
+def _together(texts: list[str], chars: int = 500_000) -> Iterator[list[str]]:
+    """Runs of texts of about so many characters."""
+    some: list[str] = []
+    size = 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size >= chars:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def _summary(p: np.ndarray) -> np.ndarray:
-    top = np.clip(p.max(initial=0.0), 1e-6, 1 - 1e-6)
-    return np.array([1.0, np.log(top / (1 - top)), np.log1p(p[p > 0.05].sum())])
+    """One, and the log-odds of the two strongest marginals."""
+    top = np.zeros(2)
+    strongest = np.sort(np.partition(p, -2)[-2:] if len(p) > 2 else p)[::-1]
+    top[: len(strongest)] = strongest
+    top = np.clip(top, 1e-3, 1 - 1e-3)
+    return np.concatenate([[1.0], np.log(top / (1 - top))])
 
 
 def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-def _evidence(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Parts of words that at least 5 toxic texts have, and others 20 times less often."""
+def _evidence(sentences: dict[tuple, bool]) -> set[str]:
+    """Parts of words that toxic sentences have at least ten times as often as others, by more than chance:
+    the Chernoff bound on such a share is below e^-14. Sentences count once, however many texts repeat them."""
     seen = (Counter(), Counter())
-    for words, y in zip(docs, toxic, strict=True):
-        seen[int(y)].update({p for w in set(words) for p in _parts(w)})
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    least = min(5, max(2, n1 // 8))
-    return {p for p, n in seen[1].items() if n >= least and n / n1 >= 20 * (seen[0][p] + 0.25) / n0}
+    for words, y in sentences.items():
+        seen[y].update({p for w in set(words) for p in _parts(w)})
+    n1 = sum(sentences.values())
+    n0 = len(sentences) - n1
+    if not n1 or not n0:
+        return set()
+    base, out = n1 / (n1 + n0), set()
+    for part, n in seen[1].items():
+        k = n + seen[0][part]
+        share = n / k
+        if n / n1 >= 10 * seen[0][part] / n0 and share > base:
+            bound = share * np.log(share / base) + ((1 - share) * np.log((1 - share) / (1 - base)) if share < 1 else 0)
+            if k * bound >= 14:
+                out.add(part)
+    return out
+
 
+def _sentences(words: list[str]) -> list[list[str]]:
+    out: list[list[str]] = [[]]
+    for w in words:
+        if w in STOPS or len(out[-1]) == PIECE:
+            out.append([])
+        if w not in STOPS:
+            out[-1].append(w)
+    return [s for s in out if s]
 
-def fit(texts: list[str], labels: list[int], rounds: int = 40, l2: float = 1e-3) -> Model:
+
+def fit(texts: list[str], labels: list[int], rounds: int = 30, l2: float = 1e-3) -> Model:
     """The model of labelled texts."""
     toxic = np.array(labels, bool)
-    none = (np.zeros(BUCKETS, np.float32), 0.0, np.zeros(3), np.zeros(3))
     if not toxic.any() or toxic.all():
-        return Model(*none, float(toxic.any()))
-    docs = [tokens(t) for t in texts]
-    evidence = _evidence(docs, toxic)
-    shows: dict[str, bool] = {}
-    rng = np.random.default_rng(7)
+        return Model(np.zeros(BUCKETS + 1, np.float32), 0.0, np.zeros(3), np.zeros(3), float(toxic.any()))
+    docs = [_sentences(tokens(t)) for t in texts]
+    of: dict[tuple, bool] = {}
+    for sentences, y in zip(docs, toxic, strict=True):
+        for s in sentences:
+            key = tuple(s)
+            of[key] = of.get(key, True) and bool(y)
+    evidence = _evidence(of)
+    vocabulary, shows, rng = Vocabulary(), {}, np.random.default_rng(7)
     words: list[str] = []
-    tag: list[bool] = []
-    for ws, y in zip(docs, toxic, strict=True):
-        piece = _pieces(ws)
-        for w in set(ws):
+    tag: list[float] = []
+    for key, y in of.items():
+        for w in key:
             if w not in shows:
                 shows[w] = any(p in evidence for p in _parts(w))
-        mark = np.array([bool(y) and shows[w] for w in ws], bool)
-        ids = np.unique(piece[piece >= 0])
-        picked = set(np.unique(piece[mark])[:20].tolist()) | set(rng.permutation(ids)[:6].tolist())
-        for i in np.flatnonzero(np.isin(piece, list(picked))):
-            if words and piece[i] != last:
-                words.append("\n")
-                tag.append(False)
-            last = piece[i]
-            words.append(ws[i])
-            tag.append(bool(mark[i]))
-        if words and words[-1] != "\n":
-            words.append("\n")
-            tag.append(False)
-    piece, y = _pieces(words), np.array(tag, float)
-    feats: dict[str, np.ndarray] = {w: _features(w) for w in set(words)}
-    own_at = np.repeat(np.arange(len(words)), [len(feats[w]) - 2 for w in words])
-    own = np.concatenate([feats[w][:-2] for w in words])
+        marks = [float(y and shows[w]) for w in key]
+        if any(marks) or rng.random() < min(1.0, 30_000 / len(of)):
+            words += [*key, "\n"]
+            tag += [*marks, 0.0]
+    numbers, y = vocabulary.numbers(words), np.array(tag)
+    piece = _pieces(numbers)
+    feats = np.array([_features(w) for w in vocabulary])
+    own = feats[numbers, :-2].ravel()
+    own_at = np.repeat(np.arange(len(words)), feats.shape[1] - 2)
     beside = np.flatnonzero((piece[1:] == piece[:-1]) & (piece[1:] >= 0))
-    prev = np.array([feats[words[i]][-2] for i in beside], np.int64)
-    nxt = np.array([feats[words[i + 1]][-1] for i in beside], np.int64)
-    weights, bias, trans = np.zeros(BUCKETS), -3.0, np.zeros(3)
-    g2_w, g2_t, g2_b = np.full(BUCKETS, 1e-2), np.full(3, 1.0), 1.0
+    prev = feats[numbers[beside], -2]
+    nxt = feats[numbers[beside + 1], -1]
+    weights, bias, trans = np.zeros(BUCKETS + 1), -3.0, np.zeros(3)
+    g2_w, g2_t, g2_b = np.full(BUCKETS + 1, 1e-2), np.full(3, 1.0), 1.0
     blocks = list(_padded(piece))
     for _ in range(rounds):
         e = bias + np.bincount(own_at, weights[own], len(words))
@@ -230,7 +282,9 @@ def fit(texts: list[str], labels: list[int], rounds: int = 40, l2: float = 1e-3)
             y0, y1 = y[places][:, :-1][both], y[places][:, 1:][both]
             gt += [(q[1] - (1 - y0) * y1).sum(), (q[2] - y0 * (1 - y1)).sum(), (q[3] - y0 * y1).sum()]
         d = np.where(piece >= 0, p - y, 0)
-        gw = np.bincount(own, d[own_at], BUCKETS) + np.bincount(prev, d[beside + 1], BUCKETS) + np.bincount(nxt, d[beside], BUCKETS) + l2 * weights
+        gw = sum(np.bincount(i, d[at], BUCKETS + 1) for i, at in ((own, own_at), (prev, beside + 1), (nxt, beside)))
+        gw += l2 * weights
+        gw[BUCKETS] = 0.0  # no feature
         g2_w += gw**2
         g2_t += gt**2
         g2_b += d.sum() ** 2
@@ -238,7 +292,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = 40, l2: float = 1e-3)
         trans -= 0.3 * gt / np.sqrt(g2_t)
         bias -= 0.3 * d.sum() / np.sqrt(g2_b)
     model = Model(weights.astype(np.float32), float(bias), trans, np.zeros(3), None)
-    x = np.array([_summary(model.marginals(ws, _pieces(ws))) for ws in docs])
+    x = np.array([_summary(p) for some in _together(texts) for p in model.marginals(some)])
+    model._forget()
     head = np.zeros(3)
     balance = np.where(toxic, 0.5 / toxic.mean(), 0.5 / (~toxic).mean())
     for _ in range(30):  # Newton steps, ridge 1
@@ -271,19 +326,17 @@ def _score_batches(sent):
         model: Model = sent.value
         for texts in batches:
             scores, spans = [], []
-            for text in texts:
-                words = tokens(text)
-                p = model.marginals(words, _pieces(words)) if words else np.zeros(0)
-                scores.append(model.score(p))
-                bad = np.flatnonzero(p >= 0.5)
-                found = ""
-                if len(bad):
-                    # lower() may change lengths, so offsets come from the text itself where it does not
-                    same = text if len(text.lower()) == len(text) else text.lower()
-                    at = [m.span() for m in TOKEN.finditer(same.lower())]
-                    runs = np.split(bad, np.flatnonzero(np.diff(bad) > 1) + 1)
-                    found = ",".join(f"{at[r[0]][0]}:{at[r[-1]][1]}" for r in runs)
-                spans.append(found)
+            for some in _together(list(texts)):
+                for text, p in zip(some, model.marginals(some), strict=True):
+                    scores.append(model.score(p))
+                    bad = np.flatnonzero(p >= 0.5)
+                    found = ""
+                    if len(bad):
+                        # lower() can change lengths; then the offsets are those in the lowered text
+                        at = [m.span() for m in TOKEN.finditer(text.lower())]
+                        runs = np.split(bad, np.flatnonzero(np.diff(bad) > 1) + 1)
+                        found = ",".join(f"{at[r[0]][0]}:{at[r[-1]][1]}" for r in runs)
+                    spans.append(found)
             yield pd.DataFrame({"score": scores, "spans": spans})
 
     return run
