@@ -129,8 +129,8 @@ class Model:
         self.weights, self.bias, self.trans, self.head, self.const = weights, bias, trans, head, const
         self._forget()
 
-    def __reduce__(self):
-        return Model, (self.weights, self.bias, self.trans, self.head, self.const)
+    def numbers(self) -> tuple:
+        return self.weights, self.bias, self.trans, self.head, self.const
 
     def _forget(self) -> None:
         self.known, self.names, self.values = Vocabulary(), 0, np.zeros((4096, 3), np.float32)
@@ -323,7 +323,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chars: int = CHA
 
 def _score_batches(sent):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model: Model = sent.value
+        model = Model(*sent.value)
         for texts in batches:
             scores, spans = [], []
             for some in _together(list(texts)):
@@ -344,7 +344,7 @@ def _score_batches(sent):
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with ``__tox``: struct of score and spans (start:end, comma-joined)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model.numbers())
     udf = F.pandas_udf(_score_batches(sent), "score double, spans string")
     return docs.withColumn("__tox", udf(whole_text()))
 
