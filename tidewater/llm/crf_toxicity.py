@@ -21,7 +21,7 @@ score alike; rows with a null id are never held out; lang, source and doc_id are
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 from zlib import crc32
@@ -201,65 +201,63 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-def _evidence(sentences: dict[tuple, bool]) -> set[str]:
-    """Parts of words that toxic sentences have at least ten times as often as others, by more than chance:
-    the Chernoff bound on such a share is below e^-14. Sentences count once, however many texts repeat them."""
-    seen = (Counter(), Counter())
-    for words, y in sentences.items():
-        seen[y].update({p for w in set(words) for p in _parts(w)})
+def _evidence(sentences: dict[bytes, bool], words: list[str]) -> np.ndarray:
+    """For every word of the vocabulary, whether a part of it is evidence: toxic sentences have it at least ten
+    times as often as others, by more than chance (the Chernoff bound on such a share is below e^-14).
+    Sentences count once, however many texts repeat them."""
+    parts = Vocabulary()
+    of_word = [[parts[p] for p in _parts(w)] for w in words]
+    seen = np.zeros((2, len(parts)), np.int64)
+    held: tuple[array, array] = (array("i"), array("i"))
+    for key, y in sentences.items():
+        held[y].extend({p for n in set(np.frombuffer(key, np.int32).tolist()) for p in of_word[n]})
+        if len(held[y]) > 1_000_000:
+            seen[int(y)] += np.bincount(held[y], minlength=len(parts))
+            del held[y][:]
+    for y in (0, 1):
+        seen[y] += np.bincount(np.array(held[y], np.int64), minlength=len(parts))
     n1 = sum(sentences.values())
     n0 = len(sentences) - n1
     if not n1 or not n0:
-        return set()
-    base, out = n1 / (n1 + n0), set()
-    for part, n in seen[1].items():
-        k = n + seen[0][part]
-        share = n / k
-        if n / n1 >= 10 * seen[0][part] / n0 and share > base:
-            bound = share * np.log(share / base) + ((1 - share) * np.log((1 - share) / (1 - base)) if share < 1 else 0)
-            if k * bound >= 14:
-                out.add(part)
-    return out
-
-
-def _sentences(words: list[str]) -> list[list[str]]:
-    out: list[list[str]] = [[]]
-    for w in words:
-        if w in STOPS or len(out[-1]) == PIECE:
-            out.append([])
-        if w not in STOPS:
-            out[-1].append(w)
-    return [s for s in out if s]
+        return np.zeros(len(words), bool)
+    base, k = n1 / (n1 + n0), seen.sum(0)
+    share = seen[1] / np.maximum(k, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up = np.where(share > 0, share * np.log(share / base), 0)
+        down = np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0)
+    good = (seen[1] / n1 >= 10 * seen[0] / n0) & (share > base) & (k * (up + down) >= 14)
+    return np.array([any(good[p] for p in ps) for ps in of_word], bool)
 
 
 def fit(texts: list[str], labels: list[int], rounds: int = 30, l2: float = 1e-3) -> Model:
-    """The model of labelled texts."""
+    """The model of labelled texts. Sentences are held as the numbers of their words."""
     toxic = np.array(labels, bool)
     if not toxic.any() or toxic.all():
         return Model(np.zeros(BUCKETS + 1, np.float32), 0.0, np.zeros(3), np.zeros(3), float(toxic.any()))
-    docs = [_sentences(tokens(t)) for t in texts]
-    of: dict[tuple, bool] = {}
-    for sentences, y in zip(docs, toxic, strict=True):
-        for s in sentences:
-            key = tuple(s)
+    vocabulary, rng = Vocabulary(), np.random.default_rng(7)
+    of: dict[bytes, bool] = {}
+    for text, y in zip(texts, toxic, strict=True):
+        numbers = vocabulary.numbers(tokens(text)).astype(np.int32)
+        piece = _pieces(numbers)
+        place = np.flatnonzero(piece >= 0)
+        for at in np.split(place, np.flatnonzero(np.diff(piece[place])) + 1) if len(place) else []:
+            key = numbers[at[0] : at[-1] + 1].tobytes()
             of[key] = of.get(key, True) and bool(y)
-    evidence = _evidence(of)
-    vocabulary, shows, rng = Vocabulary(), {}, np.random.default_rng(7)
-    words: list[str] = []
-    tag: list[float] = []
+    shows = _evidence(of, list(vocabulary))
+    runs: list[np.ndarray] = []
+    tags: list[np.ndarray] = []
     for key, y in of.items():
-        for w in key:
-            if w not in shows:
-                shows[w] = any(p in evidence for p in _parts(w))
-        marks = [float(y and shows[w]) for w in key]
-        if any(marks) or rng.random() < min(1.0, 30_000 / len(of)):
-            words += [*key, "\n"]
-            tag += [*marks, 0.0]
-    numbers, y = vocabulary.numbers(words), np.array(tag)
+        own = np.frombuffer(key, np.int32)
+        marks = shows[own] if y else np.zeros(len(own), bool)
+        if marks.any() or rng.random() < min(1.0, 30_000 / len(of)):
+            runs += [own, np.array([3], np.int32)]  # 3: the line end
+            tags += [marks, np.array([False])]
+    del of
+    numbers, y = np.concatenate(runs).astype(np.int64), np.concatenate(tags).astype(float)
     piece = _pieces(numbers)
     feats = np.array([_features(w) for w in vocabulary])
     own = feats[numbers, :-2].ravel()
-    own_at = np.repeat(np.arange(len(words)), feats.shape[1] - 2)
+    own_at = np.repeat(np.arange(len(numbers)), feats.shape[1] - 2)
     beside = np.flatnonzero((piece[1:] == piece[:-1]) & (piece[1:] >= 0))
     prev = feats[numbers[beside], -2]
     nxt = feats[numbers[beside + 1], -1]
@@ -267,10 +265,10 @@ def fit(texts: list[str], labels: list[int], rounds: int = 30, l2: float = 1e-3)
     g2_w, g2_t, g2_b = np.full(BUCKETS + 1, 1e-2), np.full(3, 1.0), 1.0
     blocks = list(_padded(piece))
     for _ in range(rounds):
-        e = bias + np.bincount(own_at, weights[own], len(words))
+        e = bias + np.bincount(own_at, weights[own], len(numbers))
         e[beside + 1] += weights[prev]
         e[beside] += weights[nxt]
-        p, gt = np.zeros(len(words)), np.zeros(3)
+        p, gt = np.zeros(len(numbers)), np.zeros(3)
         for places, there in blocks:
             f, b = _forward_backward(e[places], there, trans)
             p[places[there]] = _sigmoid(f + b)[there]
