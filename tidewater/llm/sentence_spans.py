@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, whole_text, written
+from .common import row_key, small_batches, whole_text, written
 
 SENTENCE = re.compile(r"[^\s.!?](?:[^.!?\n]|[.!?](?!\s))*[.!?]*|[.!?]+(?=\s|$)")
 
@@ -66,7 +66,7 @@ def _run_rows(words: int, lone: int):
                     at.append(i)
                     n.append(length)
                     h.append(digest)
-                if len(at) > 100_000:
+                if len(at) > 30_000:
                     yield _frame(k1, k2, at, n, h)
                     k1, k2, at, n, h = [], [], [], [], []
             yield _frame(k1, k2, at, n, h)
@@ -81,6 +81,7 @@ def _frame(k1: list, k2: list, at: list, n: list, h: list) -> pd.DataFrame:
 
 def repeats(docs: DataFrame, words: int = 20, lone: int = 40) -> DataFrame:
     """k1, k2 (row_key), ``drop``: the sorted sentences covered by a repeated run that is not the first."""
+    small_batches(docs.sparkSession)
     keyed = docs.select(*row_key(F.col("doc_id"), whole_text()), whole_text().alias("text"))
     made = keyed.mapInPandas(_run_rows(words, lone), "k1 bigint, k2 bigint, at int, n int, h1 bigint, h2 bigint")
     made = written(made, "runs")
