@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import small_batches, whole_text
 
 #: Pre-tokens whose ids a task keeps.
 KEPT = 200_000
@@ -116,6 +116,7 @@ class Codec:
 
 def _codecs(docs: DataFrame, vocabulary: str, pattern: str):
     """A function that gives the codec of the Python worker it runs in."""
+    small_batches(docs.sparkSession)
     tokens = read_ranks(vocabulary)
     sent = docs.sparkSession.sparkContext.broadcast((tokens, model_bytes(tokens), pattern))
     made: list[Codec] = []

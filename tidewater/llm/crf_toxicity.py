@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import small_batches, whole_text
 
 ROWS, CHARS = 3000, 20_000
 BUCKETS, PIECE, KEPT = 1 << 20, 64, 300_000
@@ -342,6 +342,7 @@ def _score_batches(sent):
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with ``__tox``: struct of score and spans (start:end, comma-joined)."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model.numbers())
     udf = F.pandas_udf(_score_batches(sent), "score double, spans string")
     return docs.withColumn("__tox", udf(whole_text()))

@@ -80,42 +80,45 @@ def _frame(k1: list, k2: list, at: list, n: list, h: list) -> pd.DataFrame:
 
 
 def repeats(docs: DataFrame, words: int = 20, lone: int = 40) -> DataFrame:
-    """k1, k2 (row_key), ``drop``: the sorted sentences covered by a repeated run that is not the first."""
+    """k1, k2 (row_key), ``runs``: the repeated runs that are not the first, as first sentence * 2^20 + length."""
     small_batches(docs.sparkSession)
     keyed = docs.select(*row_key(F.col("doc_id"), whole_text()), whole_text().alias("text"))
     made = keyed.mapInPandas(_run_rows(words, lone), "k1 bigint, k2 bigint, at int, n int, h1 bigint, h2 bigint")
     made = written(made, "runs")
     place = F.struct("k1", "k2", "at")
     first = made.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = first.filter(F.col("first") != F.col("last")).drop("last")
+    # written, so that both sides of the join are plain exchanges, which Spark can split
+    first = written(first.filter(F.col("first") != F.col("last")).drop("last"), "first")
     later = made.join(first.hint("merge"), ["h1", "h2"]).filter(place != F.col("first"))
-    covered = later.select("k1", "k2", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("s"))
-    return covered.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("s")).alias("drop"))
+    packed = F.col("at").cast("bigint") * 2**20 + F.col("n")
+    return later.groupBy("k1", "k2").agg(F.collect_set(packed).alias("runs"))
 
 
-def _without(pdf_text: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for texts, drops in pdf_text:
+def _without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for texts, found in batches:
         rows = []
-        for text, drop in zip(texts, drops, strict=True):
-            if text is None or drop is None:
-                rows.append((text, len(sentences(text or "")), 0))
+        for text, packed in zip(texts, found, strict=True):
+            spans = sentences(text or "")
+            if packed is None:
+                rows.append((text, len(spans), []))
                 continue
-            spans, out, at = sentences(text), [], 0
+            drop = sorted({s for p in packed for s in range(p >> 20, (p >> 20) + (p & (1 << 20) - 1))})
+            out, at = [], 0
             for i in drop:
                 a, b = spans[i]
                 out.append(text[at:a])
                 at = b
             out.append(text[at:])
-            rows.append(("".join(out), len(spans), len(drop)))
-        yield pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])
+            rows.append(("".join(out), len(spans), drop))
+        yield pd.DataFrame(rows, columns=["text", "n_sentences", "removed"])
 
 
 def clean(docs: DataFrame, words: int = 20, lone: int = 40) -> DataFrame:
     """docs with the repeated sentences cut out of text, and ``__n_sentences``, ``__n_removed``, ``__removed``."""
-    found = repeats(docs, words, lone).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("drop").alias("__removed"))
+    found = repeats(docs, words, lone).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("runs").alias("__runs"))
     k1, k2 = row_key(F.col("doc_id"), whole_text())
     out = docs.withColumns({"__k1": k1, "__k2": k2}).join(found.hint("merge"), ["__k1", "__k2"], "left")
-    udf = F.pandas_udf(_without, "text string, n_sentences bigint, n_removed bigint")
-    out = out.withColumn("__new", udf("text", "__removed"))
+    udf = F.pandas_udf(_without, "text string, n_sentences bigint, removed array<int>")
+    out = out.withColumn("__new", udf("text", "__runs"))
     columns = [F.col("__new.text").alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*columns, F.col("__new.n_sentences").alias("__n_sentences"), F.col("__new.n_removed").alias("__n_removed"), "__removed")
+    return out.select(*columns, F.col("__new.n_sentences").alias("__n_sentences"), F.size("__new.removed").cast("bigint").alias("__n_removed"), F.col("__new.removed").alias("__removed"))

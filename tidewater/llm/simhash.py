@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import small_batches, whole_text, written
 from .components import components
 
 SEED, BITS = 42, 64
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
         for texts in batches:
             yield pd.Series(np.array([simhash(t, shingle) for t in texts], np.uint64).view(np.int64))
 
+    small_batches(docs.sparkSession)
     text = whole_text()
     return docs.select("doc_id", F.xxhash64(text).alias("k2"), F.pandas_udf(each, "bigint")(text).alias("fp"))
 
