@@ -63,10 +63,12 @@ def _numbered(kmers: Column) -> Column:
             def seen(bits: int) -> Column:
                 count = F.lit(0)
                 for bit in reversed(range(bits)):
-                    step = lambda a, b=1 << bit: a + F.when(same(a + b), b).otherwise(0)
-                    count = let(count, step)
+                    count = let(count, further(1 << bit))
                 return count
 
+            def further(b: int):
+                return lambda a: a + F.when(same(a + F.lit(b)), b).otherwise(0)
+
             few = F.when(~same(F.lit(2)), F.lit(1))
             for n in (2, 3, 4, 5):
                 few = few.when(~same(F.lit(n + 1)), F.lit(n))
