@@ -3,7 +3,8 @@
 Lines are parsed to a fixed depth: the first level of the tree is the number of tokens, the next ``depth``
 levels are the leading tokens (a token with a digit counts as a wildcard). In a leaf, a token that at least
 ``min_docs`` documents show at its position is constant and any other is a variable field. A line's template
-is its tokens with the variable ones generalised; it counts if at least ``constant`` of it stays. Templates
+is its tokens with the variable ones generalised; it counts if at least ``constant`` of them stay
+(wildcards are no constants, leading ones neither). Templates
 that occur in ``min_docs`` or more different documents are boilerplate: their lines are dropped, but for the
 first one (lowest doc_id, then line).
 
@@ -73,28 +74,24 @@ def flag(docs: DataFrame, depth: int = 3, min_docs: int = 10, constant: float =
     fields = different.select(
         "leaf", "h1", "h2", "docs", F.posexplode(_tokens(F.col("line"))).alias("place", "token")
     )
-    later = fields.filter(F.col("place") >= depth)
+    fields = fields.withColumn("th", F.xxhash64("token"))
     support = (
-        later.groupBy("leaf", "place", F.xxhash64("token").alias("th")).agg(F.sum("docs").alias("n"))
+        fields.filter((F.col("place") >= depth) & (F.col("token") != WILD))
+        .groupBy("leaf", "place", "th").agg(F.sum("docs").alias("n"))
         .filter(F.col("n") >= min_docs).select("leaf", "place", "th", F.lit(1).alias("often"))
     )
-    marked = later.withColumn("th", F.xxhash64("token")).join(
-        support.hint("merge"), ["leaf", "place", "th"], "left"
-    )
+    marked = fields.join(written(support, "support").hint("merge"), ["leaf", "place", "th"], "left")
     # template: the constants in order; the leading tokens are in the leaf
-    templates = marked.groupBy("leaf", "h1", "h2").agg(
-        F.count("*").alias("later"),
-        F.count("often").alias("kept"),
+    leading = (F.col("place") < depth) & (F.col("token") != WILD)
+    template_of = marked.groupBy("leaf", "h1", "h2").agg(
+        F.count("*").alias("all"),
+        F.count_if(leading | (F.col("often") == 1)).alias("kept"),
         F.xxhash64(
             F.array_sort(F.collect_list(F.when(F.col("often") == 1, F.struct("place", "th"))))
         ).alias("rest"),
     )
-    short = different.select("leaf", "h1", "h2").join(
-        templates.select("leaf", "h1", "h2").hint("merge"), ["leaf", "h1", "h2"], "left_anti"
-    )
-    template_of = templates.filter((F.col("kept") + depth) >= constant * (F.col("later") + depth)).select(
-        "h1", "h2", "leaf", F.xxhash64("leaf", "rest").alias("template")
-    ).unionByName(short.select("h1", "h2", "leaf", F.xxhash64("leaf").alias("template")))
+    template_of = template_of.filter(F.col("kept") >= constant * F.col("all"))
+    template_of = template_of.select("h1", "h2", "leaf", F.xxhash64("leaf", "rest").alias("template"))
     template_of = written(template_of, "templates")
     hits = written(keys.join(template_of.hint("merge"), ["leaf", "h1", "h2"]).select("template", "k1", "k2", "at"), "hits")
     boilerplate = (
