@@ -29,7 +29,7 @@ m AS (SELECT e.pair_id, e.rn AS "end", n.a, n.b, n.date FROM n JOIN n e ON n.pai
 r AS (SELECT pair_id, "end", date,
         rank() OVER (PARTITION BY pair_id, "end" ORDER BY a) + (count(*) OVER (PARTITION BY pair_id, "end", a) - 1) / 2.0 AS ra,
         rank() OVER (PARTITION BY pair_id, "end" ORDER BY b) + (count(*) OVER (PARTITION BY pair_id, "end", b) - 1) / 2.0 AS rb FROM m)
-SELECT pair_id, max(date) AS date, CASE WHEN count(*) >= 12 THEN {R('corr(ra, rb)')} END AS correlation FROM r GROUP BY pair_id, "end" """)
+SELECT pair_id, max(date) AS date, CASE WHEN count(*) >= 12 THEN {R('corr(ra, rb)')} + 0.0 END AS correlation FROM r GROUP BY pair_id, "end" """)
 def rolling_spearman(spark: S, sf: str) -> D:
     return st.rolling_corr(fixture(spark, sf, MONTHLY, PAIRS), 12, "spearman")
 

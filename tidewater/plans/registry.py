@@ -23,10 +23,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """df with doubles rounded, whole numbers as bigint, so that both engines give equal values."""
+    """df with doubles rounded, whole numbers as bigint, so that both engines give equal values
+    (adding 0.0 makes a negative zero a plain one)."""
     out = []
     for f in df.schema:
         kind, c = f.dataType.simpleString(), F.col(f"`{f.name}`")
-        c = F.round(c, digits) if kind == "double" else c.cast("bigint") if kind in ("int", "smallint", "tinyint") else c
+        c = F.round(c, digits) + F.lit(0.0) if kind == "double" else c.cast("bigint") if kind in ("int", "smallint", "tinyint") else c
         out.append(c.alias(f.name))
     return df.select(*out)
