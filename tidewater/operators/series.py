@@ -14,10 +14,10 @@ def _rows(keys: list[str], n: int) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy("date").rowsBetween(-(n - 1), 0)
 
 
-def _corr(a: str, b: str) -> Column:
-    """Pearson correlation; NULL where either side does not vary."""
-    flat = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b))
-    return F.when(~flat, F.corr(a, b))
+def _corr(a: str, b: str, over: WindowSpec | None = None) -> Column:
+    """Pearson correlation; NULL where either side does not vary (the built-in one fails there)."""
+    f = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    return f(F.covar_pop(a, b)) / F.nullif(f(F.stddev_pop(a)) * f(F.stddev_pop(b)), F.lit(0.0))
 
 
 def _mean_rank(x: str, keys: list[str]) -> Column:
@@ -54,8 +54,7 @@ def rolling_corr(pairs: DataFrame, window: int, method: str = "pearson", min_per
     full = pairs.dropna(subset=["a", "b"])
     if method == "pearson":
         w = _rows(keys, window)
-        flat = (F.min("a").over(w) == F.max("a").over(w)) | (F.min("b").over(w) == F.max("b").over(w))
-        c = F.when((F.count("a").over(w) >= least) & ~flat, F.corr("a", "b").over(w))
+        c = F.when(F.count("a").over(w) >= least, _corr("a", "b", w))
         return full.select(*keys, "date", c.alias("correlation"))
     m = _memberships(full, keys, window)
     inside = [*keys, "end"]
@@ -290,7 +289,7 @@ def pca(wide: DataFrame, columns: list[str], n_components: int = 2, sign_by: str
     """
     full = wide.dropna(subset=columns)
     aggs = [F.avg(c).alias(f"m_{c}") for c in columns] + [F.stddev_pop(c).alias(f"s_{c}") for c in columns]
-    aggs += [F.corr(a, b).alias(f"r_{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
+    aggs += [_corr(a, b).alias(f"r_{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
     m = full.agg(*aggs).first()
     k = len(columns)
     r = np.eye(k)
