@@ -10,7 +10,7 @@ marginals, fitted on the same sample.
 
 Scoring. Each sentence (at most ``PIECE`` words; longer ones go on as a new piece) is run forward and
 backward; the marginals give the offending spans (code points, end exclusive) and the document's score. All
-texts are scored whole, streamed by batches; only the sample is collected, and the model (a table of fixed
+texts are scored whole, streamed by batches; the sample is all that one task holds, and the model (a table of fixed
 size) is broadcast.
 
 Defined cases: null and empty texts and texts without words score as no toxic token; without labels of both
@@ -20,6 +20,7 @@ score alike; rows with a null id are never held out; lang, source and doc_id are
 
 from __future__ import annotations
 
+import pickle
 import re
 from array import array
 from collections.abc import Iterator
@@ -302,21 +303,29 @@ def fit(texts: list[str], labels: list[int], rounds: int = 30, l2: float = 1e-3)
     return model
 
 
+def _fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts = list(batches)
+    sample = pd.concat(parts) if parts else pd.DataFrame({"doc_id": [], "text": [], "toxic": []})
+    sample = sample.sort_values(["doc_id", "text"]).drop_duplicates("text")
+    model = fit(sample.text.tolist(), sample.toxic.tolist())
+    yield pd.DataFrame({"model": [pickle.dumps(model.numbers())]})
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chars: int = CHARS) -> Model:
-    """fit() on the bounded sample of labelled rows that are not held out."""
+    """fit() on the bounded sample of labelled rows that are not held out, in one task."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().filter(~held_out(F.col("doc_id")))
     mix = F.xxhash64(F.lit("crf"), "doc_id")
     parts = [known.filter(F.col("toxic") == y).orderBy(mix, "doc_id").limit(rows) for y in (0, 1)]
     chosen = {r["doc_id"]: r["toxic"] for part in parts for r in part.collect()}  # 2 * rows at most
     if not chosen:
         return fit([], [])
-    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id bigint")
+    ids = docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id bigint, toxic int")
     sample = (
         docs.select("doc_id", whole_text().alias("text")).filter(F.length("text") <= chars)
-        .join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(2 * rows).toPandas()
+        .join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(2 * rows)
     )
-    sample = sample.drop_duplicates("text")
-    return fit(sample.text.tolist(), [chosen[i] for i in sample.doc_id])
+    made = sample.repartition(1).mapInPandas(_fit_rows, "model binary").collect()
+    return Model(*pickle.loads(made[0]["model"])) if made else fit([], [])
 
 
 def _score_batches(sent):
