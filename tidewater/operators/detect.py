@@ -219,3 +219,23 @@ def findings(found: DataFrame, known: DataFrame | None = None) -> DataFrame:
 def robust_scale(obs: DataFrame, lookback: int | None = None) -> DataFrame:
     """series_id, center, scale: median and scaled MAD over the last rows."""
     return _scale(tail(obs, lookback, ["series_id"]), ["series_id"], True)
+
+
+def seeds(found: DataFrame, snapshot: DataFrame, created: Column, days: int = 7, known: DataFrame | None = None) -> DataFrame:
+    """id, detector, key, key_stats (map of the series' snapshot), priority_score, created, expires, used of hits.
+
+    One seed for each kind, key and day of creation; seeds whose id is known are left out.
+    """
+    stats = snapshot.select(F.col("series_id").alias("key"), F.map_from_arrays(F.array(F.col("series_id")), F.array(F.struct("value", "date", "z_full", "pct_10y"))).alias("key_stats"))
+    best = found.groupBy("kind", "key").agg(F.max("score").alias("priority_score"))
+    out = best.join(stats, "key", "left").select(
+        slug(F.col("kind"), F.col("key"), F.date_format(created, "yyyy-MM-dd")).alias("id"), F.col("kind").alias("detector"), "key", "key_stats",
+        "priority_score", created.alias("created"), F.date_add(created, days).alias("expires"), F.lit(False).alias("used"),
+    )
+    return out if known is None else out.join(known.select("id"), "id", "left_anti")
+
+
+def mark_used(stored: DataFrame, ids: DataFrame) -> DataFrame:
+    """stored seeds with those of ids used."""
+    hit = ids.select("id").distinct().withColumn("__hit", F.lit(True))
+    return stored.join(hit, "id", "left").withColumn("used", F.col("used") | F.coalesce("__hit", F.lit(False))).drop("__hit")

@@ -82,3 +82,16 @@ def content_hash(obs: DataFrame) -> DataFrame:
     row = F.xxhash64("date", "value").cast("decimal(38,0)")
     s = obs.groupBy("series_id").agg(F.count("*").alias("n"), F.sum(row).alias("sum"))
     return s.select("series_id", "n", F.sha2(F.concat_ws(":", "n", "sum"), 256).alias("content_hash"))
+
+
+def refresh(stored: DataFrame, received: DataFrame, metadata: DataFrame, log: DataFrame, as_of) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
+    """Observations, metadata and update log after a batch: revisions merged, one log row for each series
+    that came in (last date and content hash), metadata stamped. Series that did not come in stay as they are."""
+    merged = merge_revisions(stored, received)
+    came = received.select("series_id").distinct()
+    new = merged.join(came, "series_id", "left_semi")
+    last = new.groupBy("series_id").agg(F.max("date").alias("last_observation_date"))
+    rows = last.join(content_hash(new), "series_id").select("series_id", as_of.alias("last_fetched_at"), "last_observation_date", F.col("content_hash").alias("last_value_hash"))
+    stamped = metadata.join(came.withColumn("__came", F.lit(True)), "series_id", "left")
+    stamped = stamped.withColumn("last_refreshed", F.when(F.col("__came"), as_of).otherwise(F.col("last_refreshed"))).drop("__came")
+    return merged, stamped, log.join(came, "series_id", "left_anti").unionByName(rows)

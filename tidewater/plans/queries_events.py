@@ -566,3 +566,51 @@ def backlog(spark: S, sf: str) -> D:
 def formatted_levels(spark: S, sf: str) -> D:
     v = F.col("value")
     return fixture(spark, sf, MONTHLY).select("series_id", "date", sl.format_level(v).alias("level"), sl.format_percent(v).alias("percent"), sl.format_bp(v).alias("bp"))
+
+
+CAL = """cal AS (SELECT DISTINCT CAST(ascii(o_orderpriority) AS INT) AS release_id, concat('Release ', o_orderpriority) AS release_name, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS release_date FROM orders)"""
+TODAY = "2000-03-25"
+
+
+@query("release_table", f"""WITH {CAL} SELECT DISTINCT release_date, label FROM cal JOIN (VALUES (49, 'Urgent orders'), (50, 'High orders')) AS l(release_id, label) ON l.release_id = cal.release_id WHERE release_date BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + 10""")
+def release_table(spark: S, sf: str) -> D:
+    labels = spark.createDataFrame([(49, "Urgent orders"), (50, "High orders")], "release_id int, label string")
+    return sl.release_table(fixture(spark, sf, CAL), labels, F.lit(TODAY).cast("date"))
+
+
+@query("upcoming", f"WITH {CAL} SELECT DISTINCT release_date, release_name FROM cal WHERE release_date >= DATE '{TODAY}' ORDER BY 1, 2 LIMIT 7")
+def upcoming(spark: S, sf: str) -> D:
+    return mo.upcoming(fixture(spark, sf, CAL), F.lit(TODAY).cast("date"), 7)
+
+
+@query("release_match", f"""WITH {MONTHLY}, {CAL}, k AS (SELECT DISTINCT concat('ORD.', substr(release_name, 9)) AS key FROM cal WHERE release_date BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + 10 AND (contains(lower(release_name), 'urgent') OR contains(lower(release_name), 'low')))
+SELECT DISTINCT series_id AS key, series_id IN (SELECT key FROM k) AS upcoming FROM monthly""")
+def release_match(spark: S, sf: str) -> D:
+    cal = fixture(spark, sf, CAL)
+    members = cal.select("release_id", F.concat(F.lit("ORD."), F.expr("substring(release_name, 9)")).alias("series_id")).distinct()
+    keys = fixture(spark, sf, MONTHLY).select(F.col("series_id").alias("key")).distinct()
+    return sl.release_match(keys, cal, members, F.lit(TODAY).cast("date"), ["Urgent", "LOW"], 10)
+
+
+@query("seeds", f"""WITH {HITS}, b AS (SELECT kind, key, max(score) AS s FROM hits GROUP BY 1, 2)
+SELECT regexp_replace(lower(concat(kind, '-', key, '-2024-05-01')), '[^a-z0-9]+', '-', 'g') AS id, kind AS detector, key, {R('s')} AS priority_score, DATE '2024-05-08' AS expires FROM b""")
+def seeds(spark: S, sf: str) -> D:
+    snap = sl.series_snapshot(fixture(spark, sf, MONTHLY))
+    made = dt.seeds(fixture(spark, sf, HITS), snap, F.lit("2024-05-01").cast("date"))
+    return made.select("id", "detector", "key", "priority_score", "expires")
+
+
+@query("pick_seed", f"""WITH {HITS}, b AS (SELECT kind, key, max(score) AS s FROM hits WHERE key <> 'u1' GROUP BY 1, 2)
+SELECT regexp_replace(lower(concat(kind, '-', key, '-2024-05-01')), '[^a-z0-9]+', '-', 'g') AS id, {R('s')} AS priority_score FROM b ORDER BY s DESC, id LIMIT 1""")
+def pick_seed(spark: S, sf: str) -> D:
+    snap = sl.series_snapshot(fixture(spark, sf, MONTHLY))
+    made = dt.seeds(fixture(spark, sf, HITS), snap, F.lit("2024-05-01").cast("date"))
+    left = dt.mark_used(made, made.filter("key = 'u1'")).withColumn("upcoming", F.lit(False))
+    return sl.pick_seed(left, F.lit("2024-05-02").cast("date")).select("id", "priority_score")
+
+
+@query("factor_pricing_shocks", f"""WITH {MONTHLY}, s AS (SELECT series_id, date, value / nullif(lag(value) OVER w, 0) - 1 AS v FROM monthly WINDOW w AS (PARTITION BY series_id ORDER BY date))
+SELECT series_id, date, CASE WHEN count(v) OVER w = 12 THEN {R('v - avg(v) OVER w')} END AS shock FROM s WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""")
+def factor_pricing_shocks(spark: S, sf: str) -> D:
+    r = st.rolling(al.returns(fixture(spark, sf, MONTHLY)), 12)
+    return r.select("series_id", "date", (F.col("value") - F.col("roll_mean")).alias("shock"))

@@ -92,11 +92,12 @@ def revision_counts(spark: S, sf: str) -> D:
 
 @query("fetch_plan", f"""
 WITH {DAILY}, w AS (SELECT DISTINCT series_id, CASE WHEN series_id < 'ORD.3' THEN 'D' ELSE 'M' END AS frequency FROM daily UNION ALL SELECT 'none', 'M')
-SELECT w.series_id, w.frequency, CAST(max(d.date) - CASE WHEN any_value(w.frequency) = 'D' THEN 90 ELSE 730 END AS DATE) AS start FROM w LEFT JOIN daily d ON d.series_id = w.series_id GROUP BY 1, 2""")
+SELECT w.series_id, w.frequency, CAST(CAST(max(d.date) - CASE WHEN any_value(w.frequency) = 'D' THEN 90 ELSE 730 END AS DATE) AS VARCHAR) AS start FROM w LEFT JOIN daily d ON d.series_id = w.series_id GROUP BY 1, 2""")
 def fetch_plan(spark: S, sf: str) -> D:
     obs = fixture(spark, sf, DAILY)
     wanted = obs.select("series_id").distinct().withColumn("frequency", F.when(F.col("series_id") < "ORD.3", "D").otherwise("M"))
-    return ing.fetch_plan(obs, wanted.unionByName(spark.createDataFrame([("none", "M")], "series_id string, frequency string")))
+    plan = ing.fetch_plan(obs, wanted.unionByName(spark.createDataFrame([("none", "M")], "series_id string, frequency string")))
+    return plan.withColumn("start", F.col("start").cast("string"))
 
 
 @query("append_stats", """
