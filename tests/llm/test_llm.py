@@ -259,7 +259,7 @@ def test_sentence_spans_against_brute_force(spark):
     df = table(spark, texts).repartition(4)
     out = {r["doc_id"]: r for r in rows(sentence_spans.clean(df))}
     hashed = {r["doc_id"]: r["h"] for r in rows(df.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")))}
-    want = brute_runs({(i, hashed[i]): t or "" for i, t in enumerate(texts)}, 20, 40)
+    want = brute_runs({(i, hashed[i]): t or "" for i, t in enumerate(texts)}, 20, 25)
     for i, t in enumerate(texts):
         assert out[i]["__removed"] == sorted(want.get((i, hashed[i]), []))
         if t and not out[i]["__removed"]:

@@ -79,7 +79,7 @@ def _frame(k1: list, k2: list, at: list, n: list, h: list) -> pd.DataFrame:
     return pd.DataFrame({"k1": k1, "k2": k2, "at": at, "n": n, "h1": halves[:, 0], "h2": halves[:, 1]})
 
 
-def repeats(docs: DataFrame, words: int = 20, lone: int = 40) -> DataFrame:
+def repeats(docs: DataFrame, words: int = 20, lone: int = 25) -> DataFrame:
     """k1, k2 (row_key), ``runs``: the repeated runs that are not the first, as first sentence * 2^20 + length."""
     small_batches(docs.sparkSession)
     keyed = docs.select(*row_key(F.col("doc_id"), whole_text()), whole_text().alias("text"))
@@ -113,7 +113,7 @@ def _without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Data
         yield pd.DataFrame(rows, columns=["text", "n_sentences", "removed"])
 
 
-def clean(docs: DataFrame, words: int = 20, lone: int = 40) -> DataFrame:
+def clean(docs: DataFrame, words: int = 20, lone: int = 25) -> DataFrame:
     """docs with the repeated sentences cut out of text, and ``__n_sentences``, ``__n_removed``, ``__removed``."""
     found = repeats(docs, words, lone).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("runs").alias("__runs"))
     k1, k2 = row_key(F.col("doc_id"), whole_text())
