@@ -534,3 +534,48 @@ def test_pipeline_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert 20 < out.count() <= 88
     assert pd.Series([r["n_tokens"] for r in out.collect()]).ge(0).all()
+
+
+def edited(text, every, seed):
+    """text with a changed word at each so many words."""
+    words = text.split()
+    for at in range(seed % every, len(words), every):
+        words[at] = f"changed{seed}x{at}"
+    return " ".join(words)
+
+
+def brute_near(texts, shingle=5, similarity=0.8):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    near = lambda a, b: a == b or len(a & b) >= similarity * len(a | b) - 1e-9
+    return find_all(len(texts), [(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])])
+
+
+def test_pipeline_drops_near_copies_at_jaccard(spark):
+    import corpus_pipeline
+
+    base = [prose(i, 400) for i in range(6)]
+    texts = [*base, *[edited(t, every, 7 * i + every) for i, t in enumerate(base) for every in (25, 40, 46, 50, 60, 100)], *ODD, prose(77, 4), prose(77, 4).upper()]
+    texts += [edited(base[0], 50, 1), edited(edited(base[0], 50, 1), 50, 26), edited(edited(edited(base[0], 50, 1), 50, 26), 50, 12)]
+    df = table(spark, texts).repartition(3)
+    want = sorted(set(brute_near(texts)))
+    got = corpus_pipeline.near_dedup(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(r["doc_id"] for r in rows(got)) == want
+    strict = rows(simhash.representatives(df))
+    assert len(want) < len(strict)
+    assert corpus_pipeline.near_dedup(spark, table(spark, []), "").count() == 0
+    twice = corpus_pipeline.near_dedup(spark, table(spark, ["same text here again"] * 3, [None, 4, 4]), "")
+    assert [r["doc_id"] for r in rows(twice)] == [4]
+
+
+def test_near_copies_tiles(spark, monkeypatch):
+    from tidewater.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "TILE", 900)
+    base = prose(8, 300)
+    texts = [edited(base, 75, i) for i in range(25)] + [edited(base, 3, 2), prose(9, 300)]
+    got = rows(near_copies.representatives(table(spark, texts)))
+    assert sorted(r["doc_id"] for r in got) == sorted(set(brute_near(texts)))
