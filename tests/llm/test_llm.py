@@ -579,3 +579,17 @@ def test_near_copies_tiles(spark, monkeypatch):
     texts = [edited(base, 75, i) for i in range(25)] + [edited(base, 3, 2), prose(9, 300)]
     got = rows(near_copies.representatives(table(spark, texts)))
     assert sorted(r["doc_id"] for r in got) == sorted(set(brute_near(texts)))
+
+
+def test_log_lines_identical_and_numeric(spark):
+    same = ["Tel. 555 123 4567", "(c) 2019 2020 2021", "2024 10 12", "x1 y2"]
+    forms = ["Posted {0} May 2021 at 10:{0}", "Page {0} of 10", "2024-01-{0} 10:22:33 INFO GET 200 {0}ms"]
+    texts = []
+    for i in range(12):
+        texts.append("\n".join([f"own{i} words {i} here", *same, *[f.format(i) for f in forms], f"{i} {i}7 {i}8"]))
+    texts += ["Rare 1 2 3"] * 3
+    out = {x["doc_id"]: x["text"].split("\n") for x in rows(log_lines.clean(table(spark, texts)))}
+    for i in range(12):
+        lines = texts[i].split("\n")
+        assert out[i] == (lines if i == 0 else [lines[-1]])  # "own<i> words <i> here" is a template as well
+    assert out[12] == ["Rare 1 2 3"]

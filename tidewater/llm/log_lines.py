@@ -3,8 +3,9 @@
 Lines are parsed to a fixed depth: the first level of the tree is the number of tokens, the next ``depth``
 levels are the leading tokens (a token with a digit counts as a wildcard). In a leaf, a token that at least
 ``min_docs`` documents show at its position is constant and any other is a variable field. A line's template
-is its tokens with the variable ones generalised; it counts if at least ``constant`` of them stay
-(wildcards are no constants, leading ones neither). Templates
+is its tokens with the variable ones generalised. Wildcards are variable by design, so constancy is judged over
+the other tokens: a template counts if one of these at least, and a share of ``constant`` of them, stay. A line
+without such a template is one by itself if it stands unchanged in ``min_docs`` different documents. Templates
 that occur in ``min_docs`` or more different documents are boilerplate: their lines are dropped, but for the
 first one (lowest doc_id, then line).
 
@@ -83,15 +84,17 @@ def flag(docs: DataFrame, depth: int = 3, min_docs: int = 10, constant: float =
     marked = fields.join(written(support, "support").hint("merge"), ["leaf", "place", "th"], "left")
     # template: the constants in order; the leading tokens are in the leaf
     leading = (F.col("place") < depth) & (F.col("token") != WILD)
-    template_of = marked.groupBy("leaf", "h1", "h2").agg(
-        F.count("*").alias("all"),
+    template_of = marked.groupBy("leaf", "h1", "h2", "docs").agg(
+        F.count_if(F.col("token") != WILD).alias("all"),
         F.count_if(leading | (F.col("often") == 1)).alias("kept"),
         F.xxhash64(
             F.array_sort(F.collect_list(F.when(F.col("often") == 1, F.struct("place", "th"))))
         ).alias("rest"),
     )
-    template_of = template_of.filter(F.col("kept") >= constant * F.col("all"))
-    template_of = template_of.select("h1", "h2", "leaf", F.xxhash64("leaf", "rest").alias("template"))
+    stays = (F.col("kept") > 0) & (F.col("kept") >= constant * F.col("all"))
+    # a line that recurs unchanged is a template by itself
+    template = F.when(stays, F.xxhash64("leaf", "rest")).when(F.col("docs") >= min_docs, F.xxhash64("h1", "h2", "leaf"))
+    template_of = template_of.select("h1", "h2", "leaf", template.alias("template")).filter("template IS NOT NULL")
     template_of = written(template_of, "templates")
     hits = written(keys.join(template_of.hint("merge"), ["leaf", "h1", "h2"]).select("template", "k1", "k2", "at"), "hits")
     boilerplate = (
