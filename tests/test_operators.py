@@ -282,3 +282,12 @@ def test_stream_replays_to_the_batch_result(spark, tmp_path):
     assert got == {("s", day(0)): 1.0, ("s", day(200)): 2.5, ("s", day(201)): 4.5, ("t", day(5)): 3.0, ("t", day(6)): 1.0}
     late = spark.read.parquet(str(tmp_path / "store" / "late" / "v1"))
     assert [r["date"] for r in late.collect()] == [day(3)]
+
+
+def test_structural_breaks_finds_five(spark):
+    level = [0.0, 5.0, -3.0, 8.0, 1.0, 12.0]
+    v = [level[i // 14] + 0.1 * (-1) ** i for i in range(84)]
+    best = [r for r in rows(series.structural_breaks(obs(spark, v)), "k") if r["best"]]
+    assert [r["k"] for r in best] == [5] and best[0]["breaks"] == [14, 28, 42, 56, 70]
+    hit = rows(detect.structural_break(obs(spark, v)), "key")[0]
+    assert hit["date"] == month(70)

@@ -88,7 +88,7 @@ def regime_transition(regimes: DataFrame, within_days: int = 90, least: int = 10
     return hits(f, "regime_transition", "series_id", F.col("held") / 365, F.col("since"), "full", ["before", "regime", "held"])
 
 
-def structural_break(obs: DataFrame, shift: float = 0.5, years: float = 15.0, max_breaks: int = 3, min_segment: int = 6) -> DataFrame:
+def structural_break(obs: DataFrame, shift: float = 0.5, years: float = 15.0, max_breaks: int = 5, min_segment: int | None = None) -> DataFrame:
     """Series with a recent enough last break by BIC and a large enough shift of the mean across it."""
     b = structural_breaks(obs, max_breaks, min_segment).filter("best AND k >= 1")
     w = Window.partitionBy("series_id").orderBy("date")

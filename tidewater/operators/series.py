@@ -226,11 +226,12 @@ def jumps(obs: DataFrame, window: int = 60, threshold: float = 4.0, lookback_day
     return d.select(*keys, "date", "change", "z", recent.alias("is_recent"))
 
 
-def structural_breaks(obs: DataFrame, max_breaks: int = 3, min_segment: int = 6, max_obs: int = 1500, keys: list[str] | None = None) -> DataFrame:
+def structural_breaks(obs: DataFrame, max_breaks: int = 5, min_segment: int | None = None, max_obs: int = 1500, keys: list[str] | None = None) -> DataFrame:
     """Optimal piecewise-constant segmentation for every number of breaks, with its BIC.
 
     keys, k, n, rss, bic, breaks (row numbers that start a segment), best. Costs come from prefix sums; each
-    further break is one join on (key, end) with a partial minimum. Longer series come as monthly means.
+    further break is one join on (key, end) with a partial minimum. Longer series come as monthly means. Segments
+    have min_segment rows at least: by default an even share for two segments more than breaks, but 3.
     """
     keys = keys or ["series_id"]
     full = obs.filter(F.col("value").isNotNull())
@@ -247,7 +248,8 @@ def structural_breaks(obs: DataFrame, max_breaks: int = 3, min_segment: int = 6,
     )
     start = p.select(*keys, F.col("j").alias("i"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
     zero = p.select(*keys).distinct().select(*keys, F.lit(0).alias("i"), F.lit(0.0).alias("t1"), F.lit(0.0).alias("t2"))
-    seg = p.join(start.unionByName(zero), keys).filter(F.col("j") - F.col("i") >= min_segment)
+    least = F.greatest(F.floor(F.col("n") / (max_breaks + 2)), F.lit(3)) if min_segment is None else F.lit(min_segment)
+    seg = p.join(start.unionByName(zero), keys).filter(F.col("j") - F.col("i") >= least)
     s, q = F.col("s1") - F.col("t1"), F.col("s2") - F.col("t2")
     cost = seg.select(*keys, "i", "j", "n", F.greatest(q - s * s / (F.col("j") - F.col("i")), F.lit(0.0)).alias("cost"))
     best = cost.filter("i = 0").select(*keys, "j", "n", F.col("cost").alias("rss"), F.array().cast("array<int>").alias("breaks"))

@@ -381,7 +381,7 @@ b2 AS (SELECT c.series_id, c.j, c.n, min(b.rss + c.cost) AS rss FROM c JOIN b1 b
 a AS (SELECT 0 AS k, * FROM b0 UNION ALL SELECT 1, * FROM b1 UNION ALL SELECT 2, * FROM b2)
 SELECT series_id, CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n, {R('rss')} AS rss, {R('n * ln(greatest(rss, 1e-12) / n) + (k + 1) * ln(n)')} AS bic FROM a WHERE j = n""")
 def structural_breaks(spark: S, sf: str) -> D:
-    return st.structural_breaks(fixture(spark, sf, MONTHLY), 2).drop("breaks", "best")
+    return st.structural_breaks(fixture(spark, sf, MONTHLY), 2, 6).drop("breaks", "best")
 
 
 @query("corr_matrix", f"""
