@@ -291,3 +291,9 @@ def test_structural_breaks_finds_five(spark):
     assert [r["k"] for r in best] == [5] and best[0]["breaks"] == [14, 28, 42, 56, 70]
     hit = rows(detect.structural_break(obs(spark, v)), "key")[0]
     assert hit["date"] == month(70)
+
+
+def test_html_to_text_whole_or_capped(spark):
+    page = spark.createDataFrame([("<p>" + "word " * 4000 + "end</p>",)], "html string")
+    whole, capped = page.select(text.html_to_text(F.col("html")), text.html_to_text(F.col("html"), 100)).first()
+    assert len(whole) == 20003 and whole.endswith(" end") and capped == whole[:100]

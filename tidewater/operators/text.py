@@ -54,12 +54,13 @@ def catalogue_search(papers: DataFrame, keys: list[str], groups: list[str], word
     return s.orderBy(F.desc("score"), "title").limit(top)
 
 
-def html_to_text(html: Column, chars: int = 8000) -> Column:
-    """Visible text by line, without blank lines, up to so many characters."""
+def html_to_text(html: Column, chars: int | None = None) -> Column:
+    """Visible text by line, without blank lines; the whole of it, or up to so many characters."""
     t = F.regexp_replace(html, r"(?is)<(script|style|nav|footer|header)\b[^>]*>.*?</(script|style|nav|footer|header)>", "")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", "\n")
     t = F.regexp_replace(t, r"[ \t\r]*\n\s*", "\n")
-    return F.substring(F.regexp_replace(t, r"^\n|\n$", ""), 1, chars)
+    t = F.regexp_replace(t, r"^\n|\n$", "")
+    return t if chars is None else F.substring(t, 1, chars)
 
 
 def links(pages: DataFrame, pattern: str = "") -> DataFrame:

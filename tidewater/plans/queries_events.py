@@ -519,6 +519,12 @@ def catalogue_search(spark: S, sf: str) -> D:
 
 @query("html_to_text", r"""SELECT page_id, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|nav|footer|header)\b[^>]*>.*?</(script|style|nav|footer|header)>', '', 'g'), '(?s)<[^>]*>', chr(10), 'g'), '[ \t\r]*\n\s*', chr(10), 'g'), '^\n|\n$', '', 'g'), 1, 8000) AS text FROM pages""")
 def html_to_text(spark: S, sf: str) -> D:
+    tables(spark, sf, "pages")
+    return spark.table("pages").select("page_id", tx.html_to_text(F.col("html"), 8000).alias("text"))
+
+
+@query("html_to_text_whole", r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|nav|footer|header)\b[^>]*>.*?</(script|style|nav|footer|header)>', '', 'g'), '(?s)<[^>]*>', chr(10), 'g'), '[ \t\r]*\n\s*', chr(10), 'g'), '^\n|\n$', '', 'g') AS text FROM pages""")
+def html_to_text_whole(spark: S, sf: str) -> D:
     tables(spark, sf, "pages")
     return spark.table("pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
 
