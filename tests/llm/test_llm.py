@@ -593,3 +593,13 @@ def test_log_lines_identical_and_numeric(spark):
         lines = texts[i].split("\n")
         assert out[i] == (lines if i == 0 else [lines[-1]])  # "own<i> words <i> here" is a template as well
     assert out[12] == ["Rare 1 2 3"]
+
+
+def test_warc_references_and_links(spark):
+    page = """<html><head><title>Caf&eacute; &#8217;s &amp; Co</title></head><body><p>&copy; 2020 &middot; &#x27;a&#39; &amp;lt; caf&eacute;</p>
+    <a href="/a?x=1&amp;y=2">1</a><a class=c href='/b'>2</a><A HREF=/c>3</A><a href="/d?a=1&copy=2">4</a><a data-href="/no">5</a></body></html>"""
+    out = rows(warc.derivatives(warc.responses(spark.createDataFrame([(1, "u", page)], "page_id bigint, url string, html string"))))
+    block = {r["record_type"]: r["block"] for r in out}
+    assert block["conversion"].split("\n")[0] == "© 2020 · 'a' &lt; café"
+    assert block["metadata"].startswith("title: Café ’s & Co\r\n")
+    assert [x[9:] for x in block["metadata"].split("\r\n") if x.startswith("outlink: ")] == ["/a?x=1&y=2", "/b", "/c", "/d?a=1&copy=2"]

@@ -5,7 +5,9 @@ record (the page's text). Both carry WARC-Refers-To with the response's record i
 and keep its other source headers; block and payload digests are SHA-256. Record ids are UUIDs made from the
 response's id and the kind, so a rerun gives the same ids.
 
-All of it is row by row with built-in functions: no shuffle, nothing held beyond one page.
+All of it is row by row: no shuffle, nothing held beyond one batch of pages. Character references are resolved
+by HTML's rules in text, title and outlinks; in links, as in any attribute, a name without its semicolon counts
+only where no letter, digit or = follows, so that parameters of a query stay.
 
 Defined cases: a null or empty page gives an empty payload, a metadata record without title or links, and an
 empty conversion record; a null url is left out of the headers; repeated rows give repeated records with the
@@ -14,14 +16,24 @@ same ids; extra columns are ignored.
 
 from __future__ import annotations
 
+import html as markup
+import re
+from html.entities import html5
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from .common import small_batches
 
 DATE = "1970-01-01T00:00:00Z"
 HIDDEN = "script|style|nav|noscript|template"
 BLOCK = "address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|ol|p|pre|section|table|td|th|tr|ul"
-#: Named character references that are resolved; & comes last.
-NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: A character reference in an attribute.
+REFERENCE = re.compile("&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*(?:;|(?![=A-Za-z0-9])))")
+#: A link's value, with its quotes where it has them.
+HREF = r"""(?i)<a\s(?:[^>]*?[\s"'/])?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
 
 
 def record_id(*parts: Column) -> Column:
@@ -34,6 +46,24 @@ def digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block, 256))
 
 
+@F.pandas_udf(StringType())
+def resolved(text: pd.Series) -> pd.Series:
+    """text with its character references resolved; a no-break space becomes a space."""
+    return text.map(lambda t: markup.unescape(t).replace("\xa0", " ") if "&" in t else t, na_action="ignore")
+
+
+def link_target(value: str) -> str:
+    """The target that a raw value of href, quoted or bare, stands for."""
+    known = lambda m: markup.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0]
+    bare = value[1:-1] if value[0] in "\"'" else value
+    return re.sub(r"[\t\r\n]", "", REFERENCE.sub(known, bare))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def link_targets(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: [link_target(x) for x in v], na_action="ignore")
+
+
 def plain_text(html: Column) -> Column:
     """Text of a page: hidden elements and comments go, blocks end lines, blank lines go."""
     t = F.regexp_replace(html, "(?s)<!--.*?-->", "")
@@ -42,8 +72,7 @@ def plain_text(html: Column) -> Column:
     t = F.regexp_replace(t, r"\s+", " ")
     t = F.regexp_replace(t, rf"(?i)</?({BLOCK})\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", "")
-    for name, char in NAMED:
-        t = F.replace(t, F.lit(name), F.lit(char))
+    t = resolved(t)
     t = F.regexp_replace(t, r"[ \t ]*\n[ \t\n ]*", "\n")
     return F.trim(F.regexp_replace(t, r"^\n|\n$", ""))
 
@@ -66,11 +95,12 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 def derivatives(response: DataFrame) -> DataFrame:
     """The metadata and the conversion record of every response: page_id, record_type, record_id, refers_to,
     target_uri, date, content_type, source_type, source_digest, block_digest, content_length, block."""
+    small_batches(response.sparkSession)
     p = F.col("payload")
     first = lambda pattern: F.regexp_extract(p, pattern, 1)
-    links = F.regexp_extract_all(p, F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), 1)
+    links = link_targets(F.regexp_extract_all(p, F.lit(HREF), 1))
     fields = F.concat(
-        F.lit("title: "), F.trim(F.regexp_replace(first(r"(?is)<title[^>]*>(.*?)</title>"), r"\s+", " ")),
+        F.lit("title: "), F.trim(F.regexp_replace(resolved(first(r"(?is)<title[^>]*>(.*?)</title>")), r"\s+", " ")),
         F.lit("\r\nlanguage: "), first(r'(?i)<html[^>]*\blang="([^"]*)"'),
         F.lit("\r\ncharset: "), F.lower(first(r"""(?i)<meta[^>]*\bcharset=["']?([A-Za-z0-9_-]+)""")),
         F.lit("\r\nsource-digest: "), F.col("payload_digest"),
