@@ -178,7 +178,7 @@ def decomposition_shift(parts: DataFrame, move: float = 0.2, days: int = 90) ->
 
 
 def scan(obs: DataFrame, pairs: DataFrame, window: int = 12) -> DataFrame:
-    """All detectors that need no more than series and pairs, as one table of hits."""
+    """Hits of the seven detectors below as one table; the README lists those of the survey that are not called."""
     from .series import quantile_regime
 
     regimes = quantile_regime(obs, [0.33, 0.67], ["low", "mid", "high"])
