@@ -6,8 +6,8 @@ and normalisation is the identity. Sentencepiece merges the adjacent pair with t
 first, which is what merging by lowest rank does. Texts are cut into pre-tokens by the pattern; each is
 encoded for itself; a pre-token that is a token as a whole is that token. Decoding maps ids back to bytes.
 
-Tasks stream batches of texts; a pre-token's ids are kept for later ones in a table of bounded size. The
-model (a few MB, as large as the vocabulary) is broadcast.
+Tasks stream batches of texts; the different pre-tokens of a batch are encoded in one call, and their ids are
+kept for later ones in a table of bounded size. The model (a few MB, as large as the vocabulary) is broadcast.
 
 Defined cases: null and empty texts have no tokens and decode to nothing; white space, control characters
 and very long texts are encoded whole; repeated rows give repeated results; extra columns are ignored.
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, whole_text
 
-#: Pre-tokens whose ids a task keeps.
-KEPT = 200_000
+#: Pre-tokens whose ids a task keeps, and pre-tokens that are looked up together.
+KEPT, TOGETHER = 400_000, 100_000
 
 
 def byte_characters() -> list[str]:
@@ -86,29 +86,39 @@ class Codec:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
         raw = [p.encode("utf-8", "surrogatepass") for p in new]
         mapped = [b.decode("latin-1").translate(self.table) for b in raw]
-        for p, b, ids in zip(new, raw, self.processor.encode(mapped), strict=True):
+        for p, b, ids in zip(new, raw, self.processor.encode(mapped, num_threads=1), strict=True):
             one = self.whole.get(b)
             ids = ids if one is None else [one]
             self.known[p] = b"".join(i.to_bytes(4, "little") for i in ids)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        found, out = self.find(text), []
-        for at in range(0, len(found), KEPT // 4):
-            part = found[at : at + KEPT // 4]
-            try:
-                out.append(b"".join(map(self.known.__getitem__, part)))
-            except KeyError:
-                self._learn(list({p for p in part if p not in self.known}))
-                missing = [p for p in part if p not in self.known]  # the table was emptied on the way
-                if missing:
-                    self._learn(list(set(missing)))
-                out.append(b"".join(map(self.known.__getitem__, part)))
-        return b"".join(out)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """encode() of every text. The new pre-tokens of about ``TOGETHER`` are learnt in one call."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append(self.find(text))
+            size += len(held[-1])
+            if size >= TOGETHER:
+                yield from self._joined(held)
+                held, size = [], 0
+        yield from self._joined(held)
+
+    def _joined(self, found: list[list[str]]) -> Iterator[bytes]:
+        for parts in [found] if sum(map(len, found)) <= KEPT else [[f] for f in found]:
+            need = set().union(*parts)
+            new = need - self.known.keys()
+            if len(self.known) + len(new) > KEPT:
+                self.known.clear()
+                new = need
+            self._learn(list(new))
+            for f in parts:
+                yield b"".join(map(self.known.__getitem__, f))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
@@ -137,8 +147,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         c = codec()
         for texts in batches:
             rows = []
-            for text in texts:
-                ids = c.encode(text)
+            for ids in c.encode_all(texts):
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -153,7 +162,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, into: str = "token_id
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec()
         for texts in batches:
-            yield pd.Series([memoryview(c.encode(t)).cast("i").tolist() for t in texts])
+            yield pd.Series([memoryview(ids).cast("i").tolist() for ids in c.encode_all(texts)])
 
     return docs.withColumn(into, F.pandas_udf(run, "array<int>")(whole_text()))
 
