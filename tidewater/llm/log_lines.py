@@ -12,8 +12,8 @@ first one (lowest doc_id, then line).
 Exact copies of a whole document count as one document here, or every line of a copied text would be
 boilerplate; they are left to document dedup.
 
-Only lines whose leaf recurs are cut into tokens, so what is shuffled besides the texts is a few longs a
-line. Hot leaves and lines are counted with partial sums; what joins them back are sort-merge joins, which
+Lines are parsed once and written with their keys; only those whose leaf recurs are compared token by token, so
+what is shuffled besides the texts is a few longs a line. Hot leaves and lines are counted with partial sums; what joins them back are sort-merge joins, which
 Spark can split.
 
 Defined cases: null or empty text has no lines and stays as it is; blank lines are never dropped; rows equal
@@ -32,29 +32,27 @@ WILD = "<*>"
 
 
 def _tokens(line: Column) -> Column:
-    words = F.filter(F.split(line, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    words = F.array_remove(F.split(F.regexp_replace(line, r"[\x09-\x0D]", " "), " ", -1), "")
     return F.transform(words, lambda w: F.when(w.rlike("[0-9]"), F.lit(WILD)).otherwise(w))
 
 
 def flag(docs: DataFrame, depth: int = 3, min_docs: int = 10, constant: float = 0.6) -> DataFrame:
     """k1, k2 (row_key) and ``drop``: the sorted places of the lines to drop; only documents that lose any."""
-    spaced = F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " "))
-    lead = F.transform(
-        F.slice(F.split("spaced", " ", depth + 1), 1, depth),
-        lambda w: F.when(w.rlike("[0-9]"), F.lit(WILD)).otherwise(w),
-    )
+    tokens = F.array_remove(F.split(F.regexp_replace("line", r"[\x09-\x0D]", " "), " ", -1), "")
+    lead = F.transform(F.slice("tokens", 1, depth), lambda w: F.when(w.rlike("[0-9]"), F.lit(WILD)).otherwise(w))
     seen = (
         docs.select(*row_key(F.col("doc_id"), whole_text()), whole_text().alias("text"))
         .select("k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-        .withColumn("spaced", spaced)
-        .filter(F.length("spaced") > 0)
+        .withColumn("tokens", tokens)
+        .filter(F.size("tokens") > 0)
         .select(
             "k1", "k2", "at", "line",
-            F.xxhash64(F.regexp_count("spaced", F.lit(" ")), lead).alias("leaf"),
+            F.xxhash64(F.size("tokens"), lead).alias("leaf"),
             F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"),
         )
     )
-    keys = written(seen.drop("line"), "lines")
+    seen = written(seen, "lines")
+    keys = seen.drop("line")
     # leaves in enough different texts
     leaves = (
         keys.select("leaf", "k2").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
