@@ -239,40 +239,73 @@ def test_mixing_order_and_resample(spark):
 # --- operator 5
 
 
-def brute_runs(docs, words, lone):
-    seen, drop = {}, {}
-    for key in sorted(docs, key=lambda k: (k[0], k[1])):
-        for i, n, h in sentence_spans.runs(docs[key], words, lone):
-            seen.setdefault(h, []).append((*key, i, n))
-    for places in seen.values():
-        first = min(places)[:3]
-        for p in places:
-            if p[:3] != first:
-                drop.setdefault(p[:2], set()).update(range(p[2], p[2] + p[3]))
+def plain_sentences(text, long):
+    """Character by character: sentences, and clauses of those of more than ``long`` words, as tuples of words."""
+
+    def cut(t, ends, wide, lines):
+        out, now = [], ""
+        for i, c in enumerate(t):
+            last = i + 1 == len(t) or t[i + 1].isspace()
+            more = i + 1 < len(t) and t[i + 1] in ends + wide
+            now += c
+            if (c in ends and last) or (c in wide and not more and now.strip(ends + wide + " ")) or (lines and c == "\n"):
+                out.append(now)
+                now = ""
+        return [x for x in [*out, now] if x.strip()]
+
+    out = []
+    for s in cut(text, ".!?", "。！？", True):
+        parts = cut(s, ",;:", "", False) if len(s.split()) > long else [s]
+        out += [tuple(p.split()) for p in parts]
+    return out
+
+
+def brute_spans(docs, n, long):
+    """Sentences to drop of every document by its key: those that a run covers that stands earlier."""
+    seen, drop = set(), {}
+    for key in sorted(docs):
+        parts = plain_sentences(docs[key], long)
+        for i in range(len(parts) - n + 1):
+            run = tuple(parts[i : i + n])
+            if run in seen:
+                drop.setdefault(key, set()).update(range(i, i + n))
+            seen.add(run)
     return drop
 
 
 def test_sentence_spans_against_brute_force(spark):
     passage = " ".join(prose(100 + i, 13).capitalize() + "." for i in range(5))
     texts = [f"{prose(i, 9)}. {passage} {prose(50 + i, 12)}." if i % 3 == 0 else " ".join(prose(200 + i * 10 + j, 8) + "." for j in range(6)) for i in range(30)]
-    texts += [*ODD, "Half. " + passage[40:], ". . ! ?\n\n..."]
+    clauses = ", ".join(prose(700 + i, 7) for i in range(6)) + "."
+    texts += [*ODD, "Half. " + passage[40:], ". . ! ?\n\n...", clauses, "Yes. " + clauses + " No.", "A. B. C. A. B. C.", "一二三。四五。六七！八九。", "零。一二三。四五。六七！八"]
     df = table(spark, texts).repartition(4)
     out = {r["doc_id"]: r for r in rows(sentence_spans.clean(df))}
-    hashed = {r["doc_id"]: r["h"] for r in rows(df.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")))}
-    want = brute_runs({(i, hashed[i]): t or "" for i, t in enumerate(texts)}, 20, 25)
+    want = brute_spans({i: t or "" for i, t in enumerate(texts)}, 3, 20)
     for i, t in enumerate(texts):
-        assert out[i]["__removed"] == sorted(want.get((i, hashed[i]), []))
-        if t and not out[i]["__removed"]:
+        assert out[i]["__removed"] == sorted(want.get(i, [])), t
+        assert out[i]["__n_sentences"] == len(plain_sentences(t or "", 20))
+        if not out[i]["__removed"]:
             assert out[i]["text"] == t
+        left = [w for j, s in enumerate(plain_sentences(t or "", 20)) if j not in want.get(i, []) for w in s]
+        assert "".join((out[i]["text"] or "").split()) == "".join(left)
     assert passage in out[0]["text"]
     kept = sum(passage.split(". ")[2] in (out[i]["text"] or "") for i in range(0, 30, 3))
     assert kept == 1
     assert out[texts.index(None)]["text"] is None
+    assert out[texts.index("A. B. C. A. B. C.")]["text"].split() == ["A.", "B.", "C."]
     assert sentence_spans.clean(table(spark, [])).count() == 0
 
 
+def test_sentence_spans_columns_and_repeated_rows(spark):
+    t = "One here. Two here. Three here."
+    df = spark.createDataFrame([(1, t, "a", 5), (1, t, "a", 5), (None, t, "b", 6), (2, t, "c", 7)], "doc_id bigint, text string, __k1 string, __runs int")
+    out = rows(sentence_spans.clean(df))
+    assert len(out) == 4 and {r["__k1"] for r in out} == {"a", "b", "c"}
+    assert {(r["doc_id"], r["__n_removed"]) for r in out} == {(None, 0), (1, 3), (2, 3)}
+
+
 def test_sentences_cover_text():
-    for t in ["A b. C d! E", "x.y z? \n q", "", "...", "no end", "One.\nTwo\n\nThree."]:
+    for t in ["A b. C d! E", "x.y z? \n q", "", "...", "no end", "One.\nTwo\n\nThree.", "a, " * 30 + "b; c:d, 1,000."]:
         joined = "".join(t[a:b] for a, b in sentence_spans.sentences(t))
         assert re.sub(r"\s", "", joined) == re.sub(r"\s", "", t)
 
