@@ -196,6 +196,23 @@ def brute_mix(recs, share=1.5, passes=2, weights=(3, 1, 2)):
     return sizes, {s: float(cap[s]) for s in order}
 
 
+def brute_queue(recs, target, sizes, packet, share=1.5, passes=2):
+    """Words taken of every record by walking the whole queue."""
+    queue, run = [], {}
+    for i, s, size in sorted(recs, key=lambda r: hashlib.md5(f"mix:{r[0]}".encode()).hexdigest()):
+        start = run.get(s, 0)
+        run[s] = start + size
+        for p in range(passes):
+            for low in range(0, size, packet or size):
+                end = min(size, low + (packet or size))
+                queue.append(((start + p * sizes[s] + end) / target[s], s is not None, s or "", p, start, low, end - low, i))
+    left, took = math.floor(share * sum(sizes.values())), {}
+    for x in sorted(queue):
+        took[x[7], x[3]] = took.get((x[7], x[3]), 0) + min(left, x[6])
+        left -= min(left, x[6])
+    return took
+
+
 def test_mixing_targets_and_takings(spark):
     r = random.Random(1)
     sources = ["a", "b", None, "é", "c", "z"]
@@ -204,35 +221,53 @@ def test_mixing_targets_and_takings(spark):
     df = spark.createDataFrame([(i, t, s, "clash") for i, s, t in recs], "doc_id bigint, text string, source string, place string")
     out = rows(mixing.taken_words(df.repartition(4)))
     size = {i: len((t or "").split()) for i, _, t in recs}
-    sizes, target = brute_mix([(i, s, size[i]) for i, s, _ in recs])
+    sized = [(i, s, size[i]) for i, s, _ in recs]
+    sizes, target = brute_mix(sized)
     of = {i: s for i, s, _ in recs}
+    want = brute_queue(sized, target, sizes, mixing.PACKET)
     took = {}
     for x in out:
-        s = of[x["doc_id"]]
-        assert x["size"] == size[x["doc_id"]] and x["source_size"] == sizes[s]
-        assert math.isclose(x["target"], target[s]) and 0 <= x["taken"] <= 2 * x["size"]
+        i, s = x["doc_id"], of[x["doc_id"]]
+        assert x["size"] == size[i] and x["source_size"] == sizes[s]
+        assert math.isclose(x["target"], target[s])
+        assert x["taken"] == want.get((i, 0), 0) + want.get((i, 1), 0) <= 2 * x["size"]
         took[s] = took.get(s, 0) + x["taken"]
     assert len(out) == len(texts)
-    assert all(abs(took[s] - target[s]) <= 1 for s in target)
+    assert sum(took.values()) == math.floor(1.5 * sum(sizes.values()))
+    assert all(abs(took[s] - target[s]) <= 1000 for s in target)
     again = rows(mixing.taken_words(df.repartition(7)))
     key = lambda x: (x["doc_id"], x["taken"])
     assert sorted(map(key, out)) == sorted(map(key, again))
 
 
-def test_mixing_order_and_resample(spark):
-    df = table(spark, [prose(i, 50) for i in range(60)] + ["dup text", "dup text", None], [*range(60), 99, 99, None], ["a", "b"])
-    m = rows(mixing.mix(df))
-    finish = [x["finish"] for x in m if x["served"] > 0]
-    assert finish == sorted(finish)
-    taken = [x for x in m if x["taken"] > 0]
-    at = 0
-    for x in taken:
-        assert x["position"] == at
-        at += x["taken"]
+def test_mixing_is_cut_at_the_budget(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS", 16)  # many ranges
+    df = table(spark, [prose(i, 20 + i) for i in range(60)] + ["dup text", "dup text", None, None], [*range(60), 99, 99, None, None], ["a", "b"])
+    m = sorted((x for x in rows(mixing.mix(df)) if x["words"]), key=lambda x: x["position"])
+    budget, at = math.floor(1.5 * sum(x["words"] for x in m if x["pass"] == 0)), 0
+    assert [x["finish"] for x in m] == sorted(x["finish"] for x in m)
+    for x in m:
+        assert x["position"] == at and x["taken"] == max(0, min(x["words"], budget - at))
+        at += x["words"]
+    assert at > budget and sum(x["taken"] == 0 for x in m) > 10  # the cut leaves rows out
+    assert any(0 < x["taken"] < x["words"] for x in m) or budget in {x["position"] for x in m}
+
+
+def test_mixing_resample(spark):
+    texts = [prose(i, 20 + i) for i in range(60)] + ["dup text", "dup text", None]
+    ids, names = [*range(60), 99, 99, None], ["a", "b"]
+    df = table(spark, texts, ids, names)
     got = mixing.resample(df)
     assert got.columns == df.columns
-    counts = [r["count"] for r in got.groupBy("doc_id", "text", "source").count().collect()]
-    assert max(counts) <= 2
+    sized = [(i, names[n % 2], len(t.split())) for n, (i, t) in enumerate(zip(ids, texts, strict=True)) if i is not None and i < 99]
+    counts = {}
+    for x in rows(got):
+        counts[x["doc_id"]] = counts.get(x["doc_id"], 0) + 1
+    assert max(v for k, v in counts.items() if k != 99) <= 2 and counts[None] == 1
+    words = sum(counts.get(i, 0) * size for i, _, size in sized)
+    assert 0 <= 1.5 * sum(size for *_, size in sized) - words <= 200
+    clash = df.select("doc_id", "text", "source", F.lit(1).alias("__times"), F.lit(2).alias("__n"))
+    assert {(r["__times"], r["__n"]) for r in rows(mixing.resample(clash))} == {(1, 2)}
     assert mixing.taken_words(table(spark, [])).count() == 0 and mixing.resample(table(spark, [])).count() == 0
 
 

@@ -2,16 +2,18 @@
 
 Each source is a flow whose documents stand in shuffled order (by the MD5 of seed and doc_id), the whole
 source up to ``passes`` times over. A document's virtual finish time is the words of its source up to and
-with it, divided by the source's target; all flows are served at once, so at virtual time 1 every source has
-been served its target and the budget is spent. Documents are range-sorted by finish time and taken while
-the running total stays within the budget; the document in service at the end is taken in part.
-
-Running totals are taken in two levels: a source's words by 4,096 ranges of the shuffle key, then within one
-range. So no task holds a source, however large.
-
-Defined cases: null text has size 0; null is a source of its own, last in order; null ids shuffle as the
-empty string; repeated rows each count; documents of size 0 take 0 words; no rows give no rows. Only the
-table of sources (one row each) is ordered in one task.
+with it, divided by the source's target. All passes of all documents are sorted by finish time over all sources
+and taken while the running total stays within the budget; what stands across the cut is taken in part. As in
+any packet network, a long document is queued as packets of at most ``packet`` words, each with its own finish
+time, so that no source is a long document short at the cut; ``packet=None`` queues whole documents.
+
+Running totals are taken in two levels: a source's words by ranges of the shuffle key and within one range, the
+words of the queue by ranges of virtual time and within one range. The number of ranges follows the number of
+rows (``ROWS`` a range), so no task holds a source or the queue, however large.
+
+Defined cases: null text has size 0; null is a source of its own, last in order; a null id shuffles by its text;
+repeated rows each count; documents of size 0 take 0 words; no rows give no rows; extra columns are ignored. Only
+the tables of sources and of ranges (one row each) are ordered in one task.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, row_key, whole_text, written
+from .common import NULL_ID, free, row_key, whole_text, written
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a range; words of a packet.
+ROWS, PACKET = 50_000, 1000
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
 
@@ -56,10 +60,11 @@ def targets(sized: DataFrame, share: float, passes: int, weights: tuple[int, ...
     return s.select("skey", "source_size", target.alias("target"))
 
 
-def schedule(docs: DataFrame, share: float = 1.5, passes: int = 2, seed: str = "mix") -> DataFrame:
-    """One row for each row of docs and pass: row (skey, part, place), doc_id, size, source_size, target,
-    pass, start and finish (virtual times), served (words until virtual time 1)."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+def schedule(docs: DataFrame, share: float = 1.5, passes: int = 2, seed: str = "mix", packet: int | None = PACKET) -> DataFrame:
+    """The queue, unsorted, a row for each packet of each pass of each row of docs: row (skey, part, place), doc_id,
+    tie (hash of the text), size, source_size, target, pass, packet, words (of the packet), finish, step (its range
+    of virtual time; negative where there are no words)."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), whole_text())))
     sized = written(
         docs.select(
             "doc_id",
@@ -67,54 +72,51 @@ def schedule(docs: DataFrame, share: float = 1.5, passes: int = 2, seed: str = "
             F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source")).alias("skey"),
             words(whole_text()).alias("size"),
             key.alias("key"),
-            F.substring(key, 1, 3).alias("part"),
             F.xxhash64(whole_text()).alias("tie"),
         ),
         "sized",
     )
+    ranges = max(1, -(-sized.count() // ROWS))
+    sized = sized.withColumn("part", F.substring("key", 1, math.ceil(math.log(ranges, 16)) + 1))
     goal = targets(sized, share, passes)
     parts = sized.groupBy("skey", "part").agg(F.sum("size").alias("part_size"))
     before = Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("part_size").over(before), F.lit(0)))
     parts = parts.join(goal.hint("merge"), "skey").drop("part_size")
     inside = Window.partitionBy("skey", "part").orderBy("key", "size", "tie")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    rows = sized.join(parts.hint("merge"), ["skey", "part"]).withColumns(
-        {"place": F.row_number().over(inside), "upto": F.col("before") + F.sum("size").over(upto)}
-    )
+    upto = F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    rows = sized.join(parts.hint("merge"), ["skey", "part"]).withColumns({"place": F.row_number().over(inside), "start": upto - F.col("size")})
     each = rows.withColumn("pass", F.explode(F.array(*[F.lit(p) for p in range(passes)])))
-    end = F.col("upto") + F.col("pass") * F.col("source_size")
-    capped = lambda c: F.floor(F.least(c.cast("double"), F.col("target")))
-    time = lambda c: F.when(F.col("target") > 0, c / F.col("target"))
+    if packet is None:
+        each = each.withColumns({"packet": F.lit(0), "low": F.lit(0), "high": F.col("size")})
+    else:
+        last = F.greatest(F.lit(0), F.ceil(F.col("size") / packet) - 1).cast("int")
+        each = each.withColumn("packet", F.explode(F.sequence(F.lit(0), last)))
+        low = F.col("packet").cast("bigint") * packet
+        each = each.withColumns({"low": low, "high": F.least(F.col("size"), low + packet)})
+    end = F.col("start") + F.col("pass") * F.col("source_size") + F.col("high")
+    each = each.withColumns({"words": F.col("high") - F.col("low"), "finish": F.when(F.col("target") > 0, end / F.col("target"))})
+    idle = -1 - F.pmod(F.xxhash64("key"), F.lit(ranges))
+    step = F.when(F.col("words") > 0, F.floor(F.col("finish") * ranges)).otherwise(idle)
     return each.select(
-        "skey", "part", "place", "doc_id", "key", "size", "source_size", "target", "pass",
-        "tie", time(end - F.col("size")).alias("start"),
-        time(end).alias("finish"),
-        (capped(end) - capped(end - F.col("size"))).cast("bigint").alias("served"),
+        "skey", "part", "place", "doc_id", "tie", "size", "source_size", "target", "pass", "packet", "words", "finish", step.alias("step")
     )
 
 
-def mix(docs: DataFrame, share: float = 1.5, passes: int = 2, seed: str = "mix", ranges: int = 1024) -> DataFrame:
-    """schedule() in the order of the mix: range-sorted by finish time, with ``position`` (words of the mix
-    before it) and ``taken`` (words until the budget is spent). Rows that the mix does not reach take 0."""
-    s = schedule(docs, share, passes, seed)
-    late = F.coalesce(F.col("finish"), F.lit(float(passes) * 1e9))
-    step = F.least(F.floor(late * ranges), F.lit(ranges)).cast("int")  # the last: in service at the end, or after
-    s = s.withColumns({"step": step, "sub": F.when(step == ranges, F.col("part")).otherwise(F.lit(""))})
-    s = written(s, "schedule")
-    sums = s.groupBy("step", "sub").agg(F.sum("served").alias("sum"))
-    every = Window.orderBy("step", "sub").rowsBetween(Window.unboundedPreceding, -1)  # <= 5,120 rows
-    sums = sums.withColumn("ahead", F.coalesce(F.sum("sum").over(every), F.lit(0))).drop("sum")
-    order = Window.partitionBy("step", "sub").orderBy("finish", "skey", "pass", "part", "place")
-    run = F.sum("served").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = s.agg(F.sum(F.when(F.col("pass") == 0, F.col("size")))).first()[0] or 0
+def mix(docs: DataFrame, share: float = 1.5, passes: int = 2, seed: str = "mix", packet: int | None = PACKET) -> DataFrame:
+    """schedule() with ``position`` (words of the queue before it, by finish time) and ``taken`` (words within the
+    budget)."""
+    queue = written(schedule(docs, share, passes, seed, packet), "queue")
+    sums = queue.groupBy("step").agg(F.sum("words").alias("sum"))
+    every = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ahead = sums.withColumn("ahead", F.coalesce(F.sum("sum").over(every), F.lit(0))).drop("sum")
+    order = Window.partitionBy("step").orderBy("finish", "skey", "pass", "part", "place", "packet")
+    run = F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    total = queue.agg(F.sum(F.when(F.col("pass") == 0, F.col("words")))).first()[0] or 0
     budget = F.lit(math.floor(total * share))
-    out = (
-        s.join(F.broadcast(sums), ["step", "sub"])
-        .withColumn("position", F.col("ahead") + run - F.col("served"))
-        .withColumn("taken", F.greatest(F.lit(0), F.least(F.col("served"), budget - F.col("position"))))
-    )
-    return out.drop("step", "sub", "ahead").orderBy("finish", "skey", "pass", "part", "place")
+    out = queue.join(ahead.hint("merge"), "step").withColumn("position", F.col("ahead") + run - F.col("words"))
+    taken = F.greatest(F.lit(0), F.least(F.col("words"), budget - F.col("position")))
+    return out.withColumn("taken", taken).drop("ahead", "step")
 
 
 def taken_words(docs: DataFrame, share: float = 1.5, passes: int = 2, seed: str = "mix") -> DataFrame:
@@ -128,38 +130,36 @@ def taken_words(docs: DataFrame, share: float = 1.5, passes: int = 2, seed: str
 
 
 def resample(docs: DataFrame, share: float = 1.5, passes: int = 2, seed: str = "mix") -> DataFrame:
-    """The rows of docs, each as often as the mix takes at least half of it; columns as in docs.
+    """The rows of docs, each as often as a pass of it is taken whole; documents are queued whole.
 
-    Documents without words cost nothing and stay once. Rows equal in source, id and text are
-    interchangeable; the n-th of them goes with the n-th place that they have in their source.
+    Documents without words cost nothing and stay once. Rows equal in source, id and text are interchangeable; the
+    n-th of them goes with the n-th place that they have in their source.
     """
-    source = lambda c: F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c))
-    same = ["__skey", "__k1", "__k2"]
-    whole = F.when(F.col("size") == 0, (F.col("pass") == 0).cast("int")).otherwise(
-        (F.col("taken") * 2 >= F.col("size")).cast("int")
-    )
+    skey, k1, k2, n, times, copy = free(docs, "skey", "k1", "k2", "n", "times", "copy")
+    source = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))
+    whole = F.when(F.col("size") == 0, F.col("pass") == 0).otherwise(F.col("taken") == F.col("size"))
     took = (
-        mix(docs.select("doc_id", "source", "text"), share, passes, seed)
-        .groupBy(F.col("skey").alias("__skey"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("__k1"), F.col("tie").alias("__k2"), "place")
-        .agg(F.sum(whole).alias("__times"))
+        mix(docs.select("doc_id", "source", "text"), share, passes, seed, None)
+        .groupBy(F.col("skey").alias(skey), F.coalesce("doc_id", F.lit(NULL_ID)).alias(k1), F.col("tie").alias(k2), "place")
+        .agg(F.count_if(whole).cast("int").alias(times))
     )
-    place = Window.partitionBy(*same).orderBy("place")
-    took = took.withColumn("__n", F.row_number().over(place)).drop("place")
-    k1, k2 = row_key(F.col("doc_id"), whole_text())
-    rows = docs.withColumns({"__skey": source(F.col("source")), "__k1": k1, "__k2": k2})
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*same).orderBy("__k2")))
-    out = rows.join(took.hint("merge"), [*same, "__n"])
-    out = out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times").cast("int"))))
-    return out.select(*docs.columns)
+    place = Window.partitionBy(skey, k1, k2).orderBy("place")
+    took = took.withColumn(n, F.row_number().over(place)).drop("place")
+    keys = row_key(F.col("doc_id"), whole_text())
+    rows = docs.withColumns({skey: source, k1: keys[0], k2: keys[1]})
+    rows = rows.withColumn(n, F.row_number().over(Window.partitionBy(skey, k1, k2).orderBy(k2)))
+    out = rows.join(took.hint("merge"), [skey, k1, k2, n])
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 SQL = """
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+  SELECT row_number() OVER () AS rid, doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS skey,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), text, '')) AS key
   FROM documents),
 sources AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+  SELECT source, skey, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source, skey),
 weighed AS (
   SELECT *, 2 * source_size AS cap,
          CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3] AS DOUBLE) AS weight
@@ -172,13 +172,24 @@ levels AS (
 water AS (
   SELECT arg_min(level, cap / weight) AS water FROM levels WHERE level * weight < cap),
 goals AS (
-  SELECT source, source_size, least(cap::DOUBLE, coalesce(water * weight, cap::DOUBLE)) AS target FROM levels, water),
+  SELECT skey, source_size, least(cap::DOUBLE, coalesce(water * weight, cap::DOUBLE)) AS target FROM levels, water),
 run AS (
-  SELECT s.doc_id, s.size, g.source_size, g.target,
-         CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
-  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(floor(least(upto::DOUBLE, target)) - floor(least((upto - size)::DOUBLE, target))
-          + floor(least((source_size + upto)::DOUBLE, target)) - floor(least((source_size + upto - size)::DOUBLE, target)) AS BIGINT) AS taken
-FROM run
+  SELECT s.*, g.source_size, g.target,
+         CAST(sum(s.size) OVER (PARTITION BY s.skey ORDER BY s.key, s.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - s.size AS start
+  FROM sized s JOIN goals g ON s.skey = g.skey),
+packets AS (
+  SELECT *, unnest(range(0, greatest(1, CAST(ceil(size / 1000.0) AS BIGINT)))) AS packet
+  FROM run, (VALUES (0), (1)) AS passes(pass)),
+queue AS (
+  SELECT *, least(size - 1000 * packet, 1000) AS words,
+         (start + pass * source_size + least(size, 1000 * packet + 1000)) / nullif(target, 0) AS finish
+  FROM packets),
+placed AS (
+  SELECT *, sum(words) OVER (ORDER BY finish, skey, pass, key, size, packet ROWS UNBOUNDED PRECEDING) - words AS position
+  FROM queue WHERE words > 0),
+cut AS (
+  SELECT rid, sum(greatest(0, least(words, (SELECT floor(1.5 * sum(size)) FROM sized) - position))) AS taken
+  FROM placed GROUP BY rid)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM run LEFT JOIN cut USING (rid)
 """
