@@ -27,7 +27,7 @@ from .common import NULL_ID, free, row_key, whole_text, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a range; words of a packet.
-ROWS, PACKET = 50_000, 1000
+ROWS, PACKET = 10_000, 1000
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
 
