@@ -71,32 +71,92 @@ def test_order_minhash_successor_and_edit(spark):
     assert np.mean([r["near_edited"] for r in long]) > 0.1
 
 
-def test_order_minhash_sees_order_and_counts(spark):
-    a = prose(5, 300)
-    w = a.split()
-    moved = " ".join(w[150:] + w[:150])
-    repeated = " ".join(["be"] * 400), " ".join(["be"] * 20)
-    df = spark.createDataFrame([(a, a), (a, moved), repeated], "a string, b string")
+def likenesses(spark, pairs):
+    df = spark.createDataFrame(pairs, "a string, b string")
     sig = lambda c: order_minhash.signature(F.col(c))
-    same, shifted, counts = [r[0] for r in df.select(order_minhash.likeness(sig("a"), sig("b"))).collect()]
-    assert same == 1.0 and 0.1 < shifted < 0.9 and counts < 0.5
+    return [r[0] for r in df.select(order_minhash.likeness(sig("a"), sig("b"))).collect()]
+
+
+def test_order_minhash_sees_order_and_counts(spark):
+    pairs = [("be " * 400, "be " * 20), ("", ""), ("", "a")]
+    for n in (20, 60, 300, 2000):
+        for seed in range(8):
+            w = prose(5 + 100 * seed, n).split()
+            pairs.append((" ".join(w), " ".join(w[n // 2 :] + w[: n // 2])))
+    got = likenesses(spark, pairs)
+    assert got[0] < 0.5 and got[1] == 1.0 and got[2] == 0.0
+    moved = [np.mean(got[3 + 8 * i : 11 + 8 * i]) for i in range(4)]
+    # halves change places: a pair of places is in order in half of the cases, at every length
+    assert all(0.3 < m < 0.7 for m in moved[1:]), moved
+
+
+def test_order_minhash_realigns_without_spaces(spark):
+    r = random.Random(8)
+    pairs = []
+    for low, high in ((0x4E00, 0x9FA5), (97, 123), (33, 127)):
+        t = "".join(chr(r.randrange(low, high)) for _ in range(3000))
+        pairs += [("x" + t, t), (t[:1500] + "y" + t[1500:], t), (t[1500:] + t[:1500], t)]
+    got = likenesses(spark, pairs)
+    for i in range(0, 9, 3):
+        assert got[i] >= 0.9 and got[i + 1] >= 0.9 and got[i + 2] < 0.8, got
+
+
+def plain_units(t):
+    """Words of at most 15 characters with the white space before them; longer words by character."""
+    out, gap = [], ""
+    for part in re.findall(r"\s+|\S+", t, re.ASCII):
+        if part.isspace():
+            gap = part
+        elif len(part) <= 15:
+            out.append(gap + part)
+            gap = ""
+        else:
+            out += [gap + part[0], *part[1:]]
+            gap = ""
+    return [*out, gap] if gap else out
 
 
 def test_order_minhash_matches_brute_force(spark):
-    """Numbered k-mers by a Python dictionary, with Spark's hash taken from Spark."""
-    texts = [prose(3, 60) + " " + prose(3, 60), "be " * 50, "x", "one two three four"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    kmers = [r[0] for r in df.select(order_minhash._kmers(F.col("t"), 3)).collect()]
-    got = [r[0] for r in df.select(order_minhash._numbered(order_minhash._kmers(F.col("t"), 3))).collect()]
-    for ks, numbered in zip(kmers, got, strict=True):
-        seen, pairs = {}, []
-        for at, h in enumerate(ks):
-            h &= order_minhash.HASH
-            pairs.append((h, seen.get(h, 0), at))
-            seen[h] = seen.get(h, 0) + 1
-        need = spark.createDataFrame([(h, o) for h, o, _ in pairs], "h bigint, o int").select(F.xxhash64("h", "o")).collect()
-        want = sorted(((h if o == 0 else x[0] & order_minhash.HASH) << 24) | at for (h, o, at), x in zip(pairs, need, strict=True))
-        assert numbered == want
+    """Whole signatures by Python dictionaries and sorts over all k-mers."""
+    texts = [prose(3, 60) + " " + prose(3, 60), "be " * 50, "x", "one two three four", "a b", " ", "no.punctuation" * 9, prose(1, 700), "日本語 のテキスト" * 40]
+
+    def h64(*values):
+        """Spark's xxhash64: every value's hash is the seed of the next one; strings, or (number, bytes)."""
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v[0] % (1 << 8 * v[1])).to_bytes(v[1], "little"), seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(order_minhash.signature(F.col("t"))).collect()]
+    for t, sig in zip(texts, got, strict=True):
+        units = [h64(u) for u in plain_units(t)]
+        n = len(units)
+        kmers = [h64(*[(u, 8) for u in units[i : i + 3]]) for i in range(n - 2)] or [h64(*[(u, 8) for u in units])]
+        count, own = {}, []
+        for h in kmers:
+            own.append(h64((h >> 31, 8), (count.get(h >> 31, 0), 4)))
+            count[h >> 31] = count.get(h >> 31, 0) + 1
+        for f in range(32):
+            order = []
+            for p, v in enumerate(own):
+                byte = (v if f < 8 else h64((v, 8), (f // 8, 4))) >> 8 * (f % 8) & 255
+                order.append(((f << 8 | byte) << 18 | h64((v, 8), (-1 - f, 4)) & (1 << 18) - 1, p))
+            least = sorted(sorted(order)[:2], key=lambda x: x[1])
+            assert sig[f] == h64(*[(h64((kmers[p], 8), (o, 8)), 8) for o, p in least]) & 0xFFFFFFFF, t
+
+
+def test_order_minhash_ranges(spark, monkeypatch):
+    """Successors over many ranges, with ids that repeat and are null."""
+    monkeypatch.setattr(order_minhash, "ROWS", 8)
+    r = random.Random(2)
+    ids = [r.choice([None, 7, *range(-50, 400)]) if i % 3 else r.choice([None, 7]) for i in range(500)]
+    texts = [f"t{i} " + prose(i, 5) for i in range(500)]
+    docs = table(spark, texts, ids)
+    hashed = {x["text"]: x["h"] for x in rows(docs.select("text", F.xxhash64("text").alias("h")))}
+    order = sorted(zip(ids, texts, strict=True), key=lambda x: (x[0] is None, -(x[0] or 0), hashed[x[1]]))
+    want = {t: order[(i + 1) % 500][1] for i, (_, t) in enumerate(order)}
+    got = rows(order_minhash.with_successor(docs.repartition(5), F.array(F.lit(1))).select("text", "next_text"))
+    assert {x["text"]: x["next_text"] for x in got} == want and len(got) == 500
 
 
 def test_order_minhash_empty_and_single(spark):

@@ -1,16 +1,22 @@
 """Operator 1: Order MinHash document fingerprints, with built-in functions only.
 
-A text is cut into pieces (a run of white space and up to eight characters after it, so pieces realign at
-every word). Every k consecutive pieces form a k-mer; the o-th occurrence of a k-mer in its text is the
-numbered k-mer (k-mer, o), which makes repeats distinct. Numbered k-mers are hashed once and dealt by their
-leading bits to ``slots`` bins; each bin selects its ``l`` minimal ones, puts them back into text order and
-hashes the tuple. Two texts agree in a slot if the same numbered k-mers are minimal and stand in the same
-order, so moves and edits lower the likeness where a plain MinHash would not see them.
-
-Defined cases: a null text counts as empty; an empty text has no selected k-mers (all slots empty), and two
-such texts have likeness 1; fewer pieces than k form one k-mer; positions use 24 bits (longer texts share
-the last position). The successor of a document is the next lower doc_id; ties stand by text, null ids last,
-and the last one is followed by the first. Extra input columns are ignored.
+A text is cut into units: a word of at most ``UNIT`` characters with the white space before it, and single
+characters where words are longer or the script writes none, so that units realign right after an edit anywhere.
+Every k consecutive units form a k-mer; the o-th occurrence of a k-mer in its text is the numbered k-mer
+(k-mer, o), which makes repeats distinct. Each of ``8 * HASHES`` hash functions selects the l minimal numbered k-mers
+of the whole text; they are put back into text order and the tuple is hashed. Two texts agree in a slot if the
+same numbered k-mers are minimal and stand in the same order, so moves and edits lower the likeness where a plain
+MinHash would not see them.
+
+Function 8 * i + j orders by byte j of the i-th hash, then by further bits of another one, then by place. Only k-mers
+with a small byte can be minimal. How small follows the length of the text, so that ten or more are left for each
+function on average; with a word as a vector of eight bytes, one subtraction tells whether any of them is small.
+Where a function is left with fewer than l, all k-mers stand for it.
+
+Defined cases: a null text counts as empty; an empty text has no k-mers (all slots empty), and two such texts have
+likeness 1; fewer units than k form one k-mer; fewer k-mers than l form a shorter tuple. The successor of a document
+is the next lower doc_id; rows of one id stand by text hash, null ids last, and the last one is followed by the
+first; a table of one row is its own successor. Extra input columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,26 +24,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, whole_text
+from .common import let, row_key, whole_text, written
 
-PIECE = r"\s++(?:\S{1,8})?|\S{1,8}"
-POSITION_BITS, HASH_BITS = 24, 39
-POSITION, HASH = (1 << POSITION_BITS) - 1, (1 << HASH_BITS) - 1
+UNIT = 15
+PIECE = rf"\s*+(?:(?<!\S)\S{{1,{UNIT}}}(?!\S)|\S)|\s++"
+PLACE_BITS = 31
+PLACE = (1 << PLACE_BITS) - 1
+#: Bits of an order value in a packed entry; the function's number stands above them, the place below.
+ORDER_BITS = 26
+#: Hashes of eight functions each, k-mers that a function is left with at least on average, rows of a range.
+HASHES, LEFT, ROWS = 4, 10, 50_000
 
 
-def _packed(h: Column, position: Column) -> Column:
-    return F.shiftleft(h.bitwiseAND(F.lit(HASH)), POSITION_BITS).bitwiseOR(
-        F.least(position.cast("long"), F.lit(POSITION))
-    )
+def _bytes(value: int) -> int:
+    """value in each byte, as a signed long."""
+    x = int.from_bytes(bytes([value]) * 8, "little")
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _kmers(text: Column, k: int) -> Column:
     """The hash of every k-mer, in text order."""
 
     def of(pieces: Column) -> Column:
-        whole = F.when(F.size(pieces) > 0, F.array(F.xxhash64(pieces))).otherwise(
-            F.array().cast("array<bigint>")
-        )
+        whole = F.when(F.size(pieces) > 0, F.array(F.xxhash64(pieces))).otherwise(F.array().cast("array<bigint>"))
         return F.when(
             F.size(pieces) >= k,
             F.transform(
@@ -51,180 +60,182 @@ def _kmers(text: Column, k: int) -> Column:
 
 
 def _numbered(kmers: Column) -> Column:
-    """(hash of k-mer and occurrence number, position) for every k-mer, packed and ascending."""
-    hash_of = lambda x: F.shiftright(x, POSITION_BITS)
+    """The hashes h0, h1, ... of (k-mer, occurrence number), and ``at``, the place, of every k-mer."""
+    hash_of = lambda x: F.shiftright(x, PLACE_BITS)
 
     def number(s: Column) -> Column:
         def of(x: Column, i: Column) -> Column:
-            same = lambda back: F.coalesce(
-                hash_of(F.get(s, i - back)) == hash_of(x), F.lit(False)
-            )
+            same = lambda back: F.coalesce(hash_of(F.get(s, i - back)) == hash_of(x), F.lit(False))
+
             # s is sorted: an equal k-mer `back` places before means at least `back` earlier occurrences
             def seen(bits: int) -> Column:
-                count = F.lit(0)
-                for bit in reversed(range(bits)):
-                    count = let(count, further(1 << bit))
-                return count
-
-            def further(b: int):
-                return lambda a: a + F.when(same(a + F.lit(b)), b).otherwise(0)
-
-            few = F.when(~same(F.lit(2)), F.lit(1))
-            for n in (2, 3, 4, 5):
-                few = few.when(~same(F.lit(n + 1)), F.lit(n))
-            for bits in (5, 8, 14):
+                powers = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
+                return F.aggregate(powers, F.lit(0), lambda n, b: n + F.when(same(n + b), b).otherwise(0))
+
+            few = F.when(~same(F.lit(1)), F.lit(0))
+            for bits in (3, 8, 14):
                 few = few.when(~same(F.lit(1 << bits)), seen(bits))
-            renumbered = F.shiftleft(
-                F.xxhash64(hash_of(x), few.otherwise(seen(POSITION_BITS))).bitwiseAND(F.lit(HASH)), POSITION_BITS
-            ).bitwiseOR(x.bitwiseAND(F.lit(POSITION)))
-            return F.when(same(F.lit(1)), renumbered).otherwise(x)  # a first occurrence keeps its hash
+            v = F.xxhash64(hash_of(x), few.otherwise(seen(PLACE_BITS - 1)))
+            return F.struct(v.alias("h0"), x.bitwiseAND(F.lit(PLACE)).alias("at"))
+
+        hashes = lambda x: [x["h0"].alias("h0"), *[F.xxhash64(x["h0"], F.lit(i)).alias(f"h{i}") for i in range(1, HASHES)]]
+        return F.transform(F.transform(s, of), lambda x: F.struct(*hashes(x), x["at"].alias("at")))
+
+    packed = F.transform(kmers, lambda h, i: F.shiftleft(F.shiftright(h, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("bigint")))
+    return let(F.sort_array(packed), number)
+
+
+def _entries(numbered: Column, bits: Column) -> Column:
+    """Packed (function, order value, place) of every numbered k-mer whose byte for the function has ``bits``
+    leading zeros, ascending."""
+    low, tops = F.lit(_bytes(127) >> 8), F.lit((_bytes(128) >> 8) & ((1 << 56) - 1))
+    masks = F.array(*[F.lit(_bytes((0xFF << (8 - b)) & 0xFF)).cast("bigint") for b in range(9)])
 
-        return F.transform(s, of)
+    def of(mask: Column) -> Column:
+        small = mask.bitwiseAND(F.lit(255))
 
-    return F.sort_array(let(F.sort_array(F.transform(kmers, _packed)), number))
+        def one(i: int) -> Column:
+            def any_small(x: Column) -> Column:
+                m = x[f"h{i}"].bitwiseAND(mask)  # the seven lower bytes at once, without a carry between them; the upper one
+                return ((m.bitwiseAND(low) + low).bitwiseOR(m).bitwiseAND(tops) != tops) | m.between(0, (1 << 56) - 1)
 
+            def spread(x: Column) -> Column:
+                def rows(h: Column) -> Column:
+                    def entry(j: int) -> Column:
+                        byte = F.shiftrightunsigned(h, 8 * j).bitwiseAND(F.lit(255)) if j else h.bitwiseAND(F.lit(255))
+                        rest = F.xxhash64(x["h0"], F.lit(-1 - 8 * i - j)).bitwiseAND(F.lit((1 << (ORDER_BITS - 8)) - 1))
+                        order = F.shiftleft(F.lit((8 * i + j) << 8) + byte, ORDER_BITS - 8).bitwiseOR(rest)
+                        return F.when(byte.bitwiseAND(small) == 0, F.shiftleft(order, PLACE_BITS).bitwiseOR(x["at"]))
 
-def signature(text: Column, k: int = 3, l: int = 2, slots: int = 64) -> Column:  # noqa: E741
-    """ARRAY<BIGINT> of ``slots`` 32-bit tuple hashes; -1 where a slot has no k-mer. slots: a power of two."""
-    to_slot = POSITION_BITS + HASH_BITS - (slots.bit_length() - 1)
+                    return F.array_compact(F.array(*[entry(j) for j in range(8)]))
+
+                return rows(x[f"h{i}"])
+
+            return F.flatten(F.transform(F.filter(numbered, any_small), spread))
+
+        return F.sort_array(F.concat(*[one(i) for i in range(HASHES)]))
+
+    return let(F.get(masks, bits), of)
+
+
+def signature(text: Column, k: int = 3, l: int = 2) -> Column:  # noqa: E741
+    """ARRAY<BIGINT> of 8 * HASHES 32-bit tuple hashes; an empty array for an empty text."""
+    slots = 8 * HASHES
+    number = lambda e: F.shiftright(e, PLACE_BITS + ORDER_BITS)
 
     def minimal(s: Column) -> Column:
-        return F.filter(
-            s,
-            lambda x, i: (i < l)
-            | (F.shiftright(x, to_slot) != F.shiftright(F.get(s, i - l), to_slot)),
-        )
-
-    def tuples(chosen: Column) -> Column:
-        slot = lambda x: F.shiftright(x, to_slot)
-        place = lambda x: x.bitwiseAND(F.lit(POSITION))
-        numbered = lambda x: F.shiftright(x, POSITION_BITS)
-
-        def in_order(x: Column, i: Column) -> Column:
-            if l == 2:
-                y = F.get(chosen, i + 1)
-                paired = F.coalesce(slot(y) == slot(x), F.lit(False))
-                hashed = (
-                    F.when(paired & (place(x) <= place(y)), F.xxhash64(numbered(x), numbered(y)))
-                    .when(paired, F.xxhash64(numbered(y), numbered(x)))
-                    .otherwise(F.xxhash64(numbered(x)))
-                )
-            else:
-                own = F.filter(F.slice(chosen, i + 1, l), lambda y: slot(y) == slot(x))
-                by_place = F.sort_array(
-                    F.transform(own, lambda y: F.shiftleft(place(y), HASH_BITS).bitwiseOR(numbered(y)))
-                )
-                hashed = F.xxhash64(F.transform(by_place, lambda y: y.bitwiseAND(F.lit(HASH))))
-            return F.struct(
-                slot(x).alias("slot"),
-                hashed.bitwiseAND(F.lit(0xFFFFFFFF)).alias("tuple"),
-                F.coalesce(slot(F.get(chosen, i - 1)) == slot(x), F.lit(False)).alias("later"),
-            )
-
-        firsts = F.filter(F.transform(chosen, in_order), lambda t: ~t["later"])
-        spread = lambda f: F.transform(
-            F.sequence(F.lit(0), F.lit(slots - 1)),
-            lambda j: F.coalesce(
-                F.get(F.filter(f, lambda t: t["slot"] == j), F.lit(0))["tuple"], F.lit(-1).cast("long")
-            ),
-        )
-        return let(
-            firsts,
-            lambda f: F.when(F.size(f) == slots, F.transform(f, lambda t: t["tuple"])).otherwise(
-                spread(f)
-            ),
-        )
+        return F.filter(s, lambda x, i: (i < l) | (number(x) != number(F.get(s, i - l))))
+
+    def of(kmers: Column) -> Column:
+        def chosen(numbered: Column) -> Column:
+            n = F.size(numbered)
+            bits = F.greatest(F.lit(0), F.least(F.lit(8), F.floor(F.log2(n / LEFT)))).cast("int")
+            few = let(_entries(numbered, bits), minimal)
+            return let(few, lambda c: F.when((F.size(c) == slots * l) | (bits == 0), c).otherwise(let(_entries(numbered, F.lit(0)), minimal)))
+
+        def tuples(c: Column) -> Column:
+            own = F.least(F.lit(l), F.size(kmers))
+            # each function has as many entries, so its tuple is a slice
+            def one(j: Column) -> Column:
+                by_place = F.array_sort(F.slice(c, j * own + 1, own), lambda a, b: (a.bitwiseAND(F.lit(PLACE)) - b.bitwiseAND(F.lit(PLACE))).cast("int"))
+                named = F.transform(by_place, lambda e: F.xxhash64(F.get(kmers, e.bitwiseAND(F.lit(PLACE)).cast("int")), F.shiftright(e, PLACE_BITS)))
+                return F.xxhash64(named).bitwiseAND(F.lit(0xFFFFFFFF))
+
+            return F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), one)
 
-    return let(let(_numbered(_kmers(text, k)), minimal), tuples)
+        picked = let(let(_numbered(kmers), chosen), tuples)
+        return F.when(F.size(kmers) > 0, picked).otherwise(F.array().cast("array<bigint>"))
+
+    return let(_kmers(text, k), of)
 
 
 def as_string(sig: Column) -> Column:
-    """Eight hex digits a slot, dots for an empty one."""
-    return F.array_join(
-        F.transform(
-            sig,
-            lambda v: F.when(v < 0, F.lit("........")).otherwise(
-                F.lpad(F.lower(F.hex(v)), 8, "0")
-            ),
-        ),
-        "",
-    )
+    """Eight hex digits a slot; dots for the slots of an empty text."""
+    digits = F.array_join(F.transform(sig, lambda v: F.lpad(F.lower(F.hex(v)), 8, "0")), "")
+    return F.when(F.size(sig) > 0, digits).otherwise(F.lit("." * 64 * HASHES))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the slots filled in either that agree; 1 if none is filled."""
-    filled = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x >= 0) | (y >= 0)), lambda z: z))
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x >= 0) & (x == y)), lambda z: z))
-    return F.when(filled == 0, F.lit(1.0)).otherwise(same / filled)
+    """Share of the slots that agree; 1 if both texts are empty, 0 if one is."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: z))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(same / F.lit(8 * HASHES))
 
 
-def fingerprints(docs: DataFrame, k: int = 3, l: int = 2, slots: int = 64) -> DataFrame:  # noqa: E741
+def fingerprints(docs: DataFrame, k: int = 3, l: int = 2) -> DataFrame:  # noqa: E741
     """doc_id and fingerprint (string) of every row of docs."""
-    sig = signature(whole_text(), k, l, slots)
+    sig = signature(whole_text(), k, l)
     return docs.select("doc_id", as_string(sig).alias("fingerprint"))
 
 
-def _ranges(docs: DataFrame, rows_a_range: int = 64) -> Column:
-    """Column: the range of doc_id, one of at most 4,096 cut at quantiles; -1 for a null id."""
-    rows = docs.agg(F.count("doc_id")).first()[0]
-    n = max(1, min(64, int((rows / rows_a_range) ** 0.5)))
+def _ranges(docs: DataFrame) -> Column:
+    """Column: the place of a row's range (bigint) when doc_id descends, from columns doc_id and k2.
+
+    Ids are cut at up to 4,095 quantiles and evenly inside these; ids that fill a quantile by themselves, and null
+    ids, are cut by k2. There are as many ranges as ``ROWS`` rows each need, but 65,536 at most.
+    """
+    rows = docs.count()
+    n = max(1, min(64, int((rows / 64) ** 0.5)))
+    m = max(1, min(16, -(-rows // (n * n * ROWS))))
     at = [i / (n * n) for i in range(1, n * n)]
-    cuts = (docs.agg(F.percentile_approx("doc_id", at)).first()[0] if at and rows else None) or []
-    cuts = sorted(set(cuts))
+    found = docs.agg(F.percentile_approx("doc_id", [0.0, *at, 1.0], n * n * 100)).first()[0] or [0, 0]
+    cuts, low, high = sorted(set(found[1:-1])), found[0], found[-1]
+    hot = sorted({x for x, y in zip(found, found[1:], strict=False) if x == y}) if rows > 64 else []
     coarse, fine = cuts[n - 1 :: n], [cuts[i : i + n - 1] for i in range(0, len(cuts), n)]
     longs = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<bigint>")
     below = lambda xs: F.size(F.filter(xs, lambda c: c < F.col("doc_id")))
     each = F.array(*[longs(f) for f in [*fine, []]])
-    found = let(below(longs(coarse)), lambda b: b * n + below(F.get(each, b)))
-    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(found)
+    own = F.col("doc_id").isNull() | F.col("doc_id").isin(hot)
+    sub = F.when(own, F.shiftright("k2", 52) + 2048)
+
+    def place(b: Column) -> Column:
+        edges = longs([low - 1, *cuts, high])
+        lower, upper = F.get(edges, b), F.get(edges, b + 1)
+        part = F.floor((F.col("doc_id") - lower - 1) / F.greatest(upper - lower, F.lit(1)) * m)
+        return (len(cuts) - b) * 8192 + F.when(own, sub).otherwise(4096 + m - 1 - F.least(F.greatest(part, F.lit(0)), F.lit(m - 1)))
 
+    found_at = let(let(below(longs(coarse)), lambda b: b * n + below(F.get(each, b))), place)
+    return F.when(F.col("doc_id").isNull(), (len(cuts) + 1) * 8192 + sub).otherwise(found_at).cast("bigint")
 
-def with_successor(docs: DataFrame, sig) -> DataFrame:
+
+def with_successor(docs: DataFrame, sig: Column) -> DataFrame:
     """doc_id, text, sig, next_text, next_sig: next is the next document in descending doc_id, round the corner.
 
     Documents are dealt by ranges of ids; the first document of each range is also sent, as a guest, to the
-    end of the range above it, so that no range needs another one's rows and texts are shuffled once.
+    end of the range before it, so that no range needs another one's rows and texts are shuffled once.
     """
-    docs = docs.select("doc_id", whole_text().alias("text"))
-    ids = docs.select("doc_id")
+    docs = docs.select("doc_id", whole_text().alias("text"), row_key(F.col("doc_id"), whole_text())[1])
+    ids = written(docs.select("doc_id", "k2"), "ids")
     part = _ranges(ids)
     spread = docs.withColumn("part", part)
-    heads = (
-        ids.groupBy(part.alias("part"))
-        .agg(F.max("doc_id").alias("head"))
-        .collect()
-    )  # a row for each range, so 4,097 at most
-    heads.sort(key=lambda r: -r["part"])
-    links = docs.sparkSession.createDataFrame(
-        [(r["part"], r["head"], heads[i - 1]["part"]) for i, r in enumerate(heads)],
-        "of int, head bigint, upper int",
-    )
-    guests = spread.join(
-        F.broadcast(links),
-        (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head")),
-    ).select("doc_id", "text", F.col("upper").alias("part"), F.lit(1).alias("guest"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("k2")]
+    first = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    heads = ids.withColumn("part", part).withColumn("n", first).filter("n = 1").drop("n")
+    every = Window.orderBy("part")  # a row for each range
+    last = F.max("part").over(Window.partitionBy())
+    heads = written(heads.withColumn("before", F.coalesce(F.lag("part").over(every), last)), "heads")  # 65,536 rows at most
+    hosts = heads.select(F.col("part").alias("of"), F.col("doc_id").alias("head"), F.col("k2").alias("head_k2"), "before")
+    here = (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("k2") == F.col("head_k2"))
+    guests = spread.join(F.broadcast(hosts), here).select("doc_id", "text", "k2", F.col("before").alias("part"), F.lit(1).alias("guest"))
     both = spread.withColumn("guest", F.lit(0)).unionByName(guests).withColumn("sig", sig)
-    order = Window.partitionBy("part").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
+    by_range = Window.partitionBy("part").orderBy("guest", *order)
     return (
-        both.withColumn("next_text", F.lead("text").over(order))
-        .withColumn("next_sig", F.lead("sig").over(order))
+        both.withColumn("next_text", F.lead("text").over(by_range))
+        .withColumn("next_sig", F.lead("sig").over(by_range))
         .filter("guest = 0")
-        .drop("guest", "part")
+        .drop("guest", "part", "k2")
     )
 
 
-def edited_pairs(docs: DataFrame, k: int = 3, l: int = 2, slots: int = 64) -> DataFrame:  # noqa: E741
+def edited_pairs(docs: DataFrame, k: int = 3, l: int = 2) -> DataFrame:  # noqa: E741
     """Per document: its fingerprint, that of its edited text, and both likenesses.
 
     Edited text: the last floor(n/3) code points give way to the first as many (or all) of the successor.
     """
-    base = with_successor(docs, signature(F.col("text"), k, l, slots))
+    base = with_successor(docs, signature(F.col("text"), k, l))
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
-    out = base.withColumn("edited", edited).withColumn(
-        "edited_sig", signature(F.col("edited"), k, l, slots)
-    )
+    out = base.withColumn("edited", edited).withColumn("edited_sig", signature(F.col("edited"), k, l))
     return out.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
