@@ -1,34 +1,38 @@
 """Operator 2: WARC derivatives. Responses become linked metadata and plain-text conversion records.
 
-Every response gives a ``metadata`` record (title, language, character set, outlinks) and a ``conversion``
-record (the page's text). Both carry WARC-Refers-To with the response's record id, its target URI and date,
-and keep its other source headers; block and payload digests are SHA-256. Record ids are UUIDs made from the
+Every response gives a ``metadata`` record (status, title, language, character set, HTTP header lines, outlinks) and a
+``conversion`` record (the page's text). Both carry WARC-Refers-To with the response's record id, its target URI and
+date, and all its other WARC header fields, digests included, under their own names or, where the new record has a
+field of that name itself, as WARC-Source-<name>. Block digests are SHA-256. Record ids are UUIDs made from the
 response's id and the kind, so a rerun gives the same ids.
 
-All of it is row by row: no shuffle, nothing held beyond one batch of pages. Character references are resolved
-by HTML's rules in text, title and outlinks; in links, as in any attribute, a name without its semicolon counts
-only where no letter, digit or = follows, so that parameters of a query stay.
+``read`` takes responses from WARC files; ``responses`` makes them from a table of pages, whose rows are told apart by
+their place in it. All of it is row by row: no shuffle, nothing held beyond one batch of pages (``read``: one file in
+a task). Character references are resolved by HTML's rules in text, title and outlinks; in links, as in any attribute,
+a name without its semicolon counts only where no letter, digit or = follows, so that parameters of a query stay.
 
 Defined cases: a null or empty page gives an empty payload, a metadata record without title or links, and an
-empty conversion record; a null url is left out of the headers; repeated rows give repeated records with the
-same ids; extra columns are ignored.
+empty conversion record; a null url is left out of the headers; repeated rows give records of their own; very long
+pages are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import gzip
 import html as markup
 import re
+from collections.abc import Iterator
 from html.entities import html5
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from .common import small_batches
 
 DATE = "1970-01-01T00:00:00Z"
-HIDDEN = "script|style|nav|noscript|template"
+HIDDEN = "script|style|nav|noscript|template|title"
 BLOCK = "address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|ol|p|pre|section|table|td|th|tr|ul"
 #: A character reference in an attribute.
 REFERENCE = re.compile("&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*(?:;|(?![=A-Za-z0-9])))")
@@ -67,7 +71,7 @@ def link_targets(values: pd.Series) -> pd.Series:
 def plain_text(html: Column) -> Column:
     """Text of a page: hidden elements and comments go, blocks end lines, blank lines go."""
     t = F.regexp_replace(html, "(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, rf"(?is)<({HIDDEN})\b[^>]*>.*?</({HIDDEN})\s*>", "")
+    t = F.regexp_replace(t, rf"(?is)<({HIDDEN})\b[^>]*>.*?</\1\s*>", "")
     t = F.regexp_replace(t, r"(?is)<head\b[^>]*>.*?</head\s*>", "")
     t = F.regexp_replace(t, r"\s+", " ")
     t = F.regexp_replace(t, rf"(?i)</?({BLOCK})\b[^>]*>", "\n")
@@ -77,33 +81,42 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"^\n|\n$", ""))
 
 
+#: Fields of a response that its derivatives have of their own.
+OWN = ("warc-type", "warc-record-id", "warc-refers-to", "warc-block-digest", "content-type", "content-length")
+
+
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """One response record for each row of pages (page_id, url, html)."""
-    html = F.coalesce("html", F.lit(""))
-    base = pages.select("page_id", F.col("url").alias("target_uri"), html.alias("payload"))
-    return base.select(
-        "page_id",
-        record_id(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("target_uri", F.lit(""))).alias("record_id"),
-        "target_uri",
-        F.lit(date).alias("date"),
-        F.lit("text/html").alias("content_type"),
-        digest(F.col("payload")).alias("payload_digest"),
-        "payload",
-    )
+    """One response record for each row of pages (page_id, url, html): page_id, record_id, target_uri, date, headers
+    (other WARC fields, in order), http (status line and header lines), payload."""
+    base = pages.select("page_id", F.col("url").alias("target_uri"), F.coalesce("html", F.lit("")).alias("payload"), F.monotonically_increasing_id().alias("place"))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("page_id", "target_uri", "place")]
+    size = F.octet_length("payload").cast("string")
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "), size, F.lit("\r\n"))
+    payload_digest = digest(F.col("payload"))
+    fields = {
+        "WARC-Payload-Digest": payload_digest,
+        "WARC-Block-Digest": digest(F.concat(http, F.lit("\r\n"), "payload")),
+        "Content-Type": F.lit("application/http; msgtype=response"),
+        "Content-Length": (F.octet_length(http) + 2 + F.octet_length("payload")).cast("string"),
+    }
+    headers = F.array(*[F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in fields.items()])
+    return base.select("page_id", record_id(F.lit("response"), *parts).alias("record_id"), "target_uri", F.lit(date).alias("date"), headers.alias("headers"), http.alias("http"), "payload")
 
 
 def derivatives(response: DataFrame) -> DataFrame:
     """The metadata and the conversion record of every response: page_id, record_type, record_id, refers_to,
-    target_uri, date, content_type, source_type, source_digest, block_digest, content_length, block."""
+    target_uri, date, content_type, source_headers, block_digest, content_length, block."""
     small_batches(response.sparkSession)
     p = F.col("payload")
     first = lambda pattern: F.regexp_extract(p, pattern, 1)
     links = link_targets(F.regexp_extract_all(p, F.lit(HREF), 1))
+    http = F.coalesce("http", F.lit(""))
     fields = F.concat(
-        F.lit("title: "), F.trim(F.regexp_replace(resolved(first(r"(?is)<title[^>]*>(.*?)</title>")), r"\s+", " ")),
+        F.lit("http-status: "), F.regexp_extract(http, r"^HTTP/\S+ ([0-9]+)", 1),
+        F.lit("\r\ntitle: "), F.trim(F.regexp_replace(resolved(first(r"(?is)<title[^>]*>(.*?)</title>")), r"\s+", " ")),
         F.lit("\r\nlanguage: "), first(r'(?i)<html[^>]*\blang="([^"]*)"'),
         F.lit("\r\ncharset: "), F.lower(first(r"""(?i)<meta[^>]*\bcharset=["']?([A-Za-z0-9_-]+)""")),
-        F.lit("\r\nsource-digest: "), F.col("payload_digest"),
+        F.array_join(F.transform(F.regexp_extract_all(http, F.lit(r"(?m)^([^:\s]+:[^\r\n]*)\r?$"), 1), lambda h: F.concat(F.lit("\r\nhttp-header: "), h)), ""),
         F.array_join(F.transform(links, lambda u: F.concat(F.lit("\r\noutlink: "), u)), ""),
         F.lit("\r\n"),
     )
@@ -111,16 +124,16 @@ def derivatives(response: DataFrame) -> DataFrame:
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
         F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=UTF-8").alias("content_type"), plain_text(p).alias("block")),
     )
-    made = response.select(
-        "page_id", F.col("record_id").alias("refers_to"), "target_uri", "date",
-        F.col("content_type").alias("source_type"), F.col("payload_digest").alias("source_digest"),
-        F.explode(kinds).alias("r"),
-    )
+    source = F.transform(
+        "headers",
+        lambda h: F.struct(F.when(F.lower(h["name"]).isin(*OWN), F.concat(F.lit("WARC-Source-"), F.regexp_replace(h["name"], "(?i)^warc-", ""))).otherwise(h["name"]).alias("name"), h["value"].alias("value")),
+    )
+    made = response.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", source.alias("source_headers"), F.explode(kinds).alias("r"))
     return made.select(
         "page_id",
         "r.record_type",
         record_id(F.col("r.record_type"), F.col("refers_to")).alias("record_id"),
-        "refers_to", "target_uri", "date", "r.content_type", "source_type", "source_digest",
+        "refers_to", "target_uri", "date", "r.content_type", "source_headers",
         digest(F.col("r.block")).alias("block_digest"),
         F.octet_length("r.block").cast("bigint").alias("content_length"),
         "r.block",
@@ -128,17 +141,18 @@ def derivatives(response: DataFrame) -> DataFrame:
 
 
 def serialised(records: DataFrame) -> DataFrame:
-    """records with ``record``: the WARC/1.0 record as text, headers, block and final blank lines."""
+    """records with ``record``: the WARC/1.1 record as text, headers, block and final blank lines."""
     line = lambda name, value: F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")))
     c = F.col
+    source = F.array_join(F.transform("source_headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"], F.lit("\r\n"))), "")
     return records.withColumn(
         "record",
         F.concat(
-            F.lit("WARC/1.0\r\n"),
+            F.lit("WARC/1.1\r\n"),
             line("WARC-Type", c("record_type")), line("WARC-Record-ID", c("record_id")),
-            line("WARC-Refers-To", c("refers_to")), line("WARC-Target-URI", c("target_uri")),
-            line("WARC-Date", c("date")), line("WARC-Source-Content-Type", c("source_type")),
-            line("WARC-Source-Payload-Digest", c("source_digest")), line("WARC-Block-Digest", c("block_digest")),
+            line("WARC-Refers-To", c("refers_to")), line("WARC-Refers-To-Target-URI", c("target_uri")),
+            line("WARC-Refers-To-Date", c("date")), line("WARC-Target-URI", c("target_uri")), line("WARC-Date", c("date")),
+            source, line("WARC-Block-Digest", c("block_digest")),
             line("Content-Type", c("content_type")), line("Content-Length", c("content_length").cast("string")),
             F.lit("\r\n"), c("block"), F.lit("\r\n\r\n"),
         ),
@@ -146,5 +160,47 @@ def serialised(records: DataFrame) -> DataFrame:
 
 
 def write(records: DataFrame, path: str) -> None:
-    """WARC files, one for each partition."""
-    serialised(records).select("record").write.option("lineSep", "").text(path)
+    """WARC files, one for each partition. The last line end of a record is the text writer's."""
+    bare = F.regexp_replace("record", "\n\\z", "")
+    serialised(records).select(bare.alias("record")).write.option("lineSep", "\n").text(path)
+
+
+def split_records(content: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """Header fields and block of every record of an uncompressed or gzipped WARC file."""
+    if content[:2] == b"\x1f\x8b":
+        content = gzip.decompress(content)
+    at = content.find(b"WARC/")
+    while 0 <= at < len(content):
+        end = content.index(b"\r\n\r\n", at)
+        lines = content[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)]
+        size = next(int(v) for k, v in fields if k.lower() == "content-length")
+        yield fields, content[end + 4 : end + 4 + size]
+        at = content.find(b"WARC/", end + 4 + size)
+
+
+def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for content in pdf.content:
+            for fields, block in split_records(content):
+                yield pd.DataFrame({"headers": [[{"name": k, "value": v} for k, v in fields]], "block": [block]})
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """headers (array of name, value) and block (binary) of every record of the WARC files in path."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInPandas(_records, "headers array<struct<name:string,value:string>>, block binary")
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """The response records of WARC files as ``responses`` gives them; page_id is null."""
+    named = lambda name: F.get(F.filter("headers", lambda h: F.lower(h["name"]) == name), F.lit(0))["value"]
+    text = F.decode("block", "UTF-8")
+    cut = F.instr(text, "\r\n\r\n")
+    taken = ("warc-type", "warc-record-id", "warc-target-uri", "warc-date")
+    return read(spark, path).filter(F.lower(named("warc-type")) == "response").select(
+        F.lit(None).cast("bigint").alias("page_id"), named("warc-record-id").alias("record_id"), named("warc-target-uri").alias("target_uri"), named("warc-date").alias("date"),
+        F.filter("headers", lambda h: ~F.lower(h["name"]).isin(*taken)).alias("headers"),
+        F.when(cut > 0, F.substring(text, F.lit(1), cut + 1)).otherwise("").alias("http"),
+        F.when(cut > 0, F.substring(text, cut + 4, F.length(text))).otherwise(text).alias("payload"),
+    )
