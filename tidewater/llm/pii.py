@@ -7,7 +7,7 @@ or lower its score. Offsets count code points, ends are exclusive.
 The patterns match what the plain ones given in ``PLAIN`` match, but are written with possessive
 quantifiers and look-behinds, so that long runs of letters or digits take linear time and no deep stack.
 
-Defined cases: a null or empty text has no spans; repeated rows give repeated results; null ids are kept;
+Defined cases: a null or empty text has no spans; a text may hold any number of spans; repeated rows give repeated results; null ids are kept;
 extra columns are ignored.
 """
 
@@ -76,6 +76,28 @@ def _score(kind: str, before: Column, after: Column) -> Column:
     return F.round(F.lit(BASE_SCORE[kind]) + bonus + malus, 2)
 
 
+def running(lengths: Column) -> Column:
+    """The running total of an array of n numbers, by blocks of about n ** 0.5, so that no long array is copied for
+    each of its elements."""
+
+    def totals(xs: Column) -> Column:
+        zero = F.array().cast("array<bigint>")
+        return F.aggregate(xs, zero, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + x)))
+
+    def by_blocks(xs: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        starts = F.sequence(F.lit(1), F.size(xs), size)
+
+        def joined(blocks: Column) -> Column:
+            upto = totals(F.transform(blocks, lambda b: F.get(b, F.size(b) - 1)))
+            return let(upto, lambda u: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: x + F.coalesce(F.get(u, i - 1), F.lit(0))))))
+
+        return let(F.transform(starts, lambda at: totals(F.slice(xs, at, size))), joined)
+
+    longs = lengths.cast("array<bigint>")
+    return F.when(F.size(longs) <= 64, totals(longs)).otherwise(let(longs, by_blocks))
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """ARRAY<STRUCT<kind, start, end, value, score>> of the confirmed spans of one kind, by start.
 
@@ -87,32 +109,15 @@ def spans_of(text: Column, kind: str) -> Column:
 
     def located(between: Column) -> Column:
         def with_found(found: Column) -> Column:
-            def step(acc: Column, i: Column) -> Column:
-                start = acc["at"] + F.char_length(F.get(between, i))
-                end = start + F.char_length(F.get(found, i))
-                return F.struct(
-                    end.cast("bigint").alias("at"),
-                    F.concat(
-                        acc["out"],
-                        F.array(F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))),
-                    ).alias("out"),
-                )
-
-            zero = F.struct(
-                F.lit(0).cast("bigint").alias("at"),
-                F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"),
-            )
-            places = F.aggregate(
-                F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda acc: acc["out"]
-            )
-            made = lambda p, i: F.struct(
+            lengths = F.transform(found, lambda f, i: F.char_length(F.get(between, i)) + F.char_length(f))
+            made = lambda end, i: F.struct(
                 F.lit(kind).alias("kind"),
-                p["start"].alias("start"),
-                p["end"].alias("end"),
+                (end - F.char_length(F.get(found, i))).cast("bigint").alias("start"),
+                end.cast("bigint").alias("end"),
                 F.get(found, i).alias("value"),
                 _score(kind, F.get(between, i), F.get(between, i + 1)).alias("score"),
             )
-            return F.filter(F.transform(places, made), lambda s: confirmed(kind, s["value"]))
+            return F.filter(F.transform(running(lengths), made), lambda s: confirmed(kind, s["value"]))
 
         extracted = F.regexp_extract_all(text, F.lit(pattern), 0)
         return F.when(F.size(between) > 1, let(extracted, with_found)).otherwise(none)
@@ -156,7 +161,7 @@ def mask(text: Column, spans: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts and digests of find(): n_<kind>, base_sha256 over the base kinds, spans of all kinds."""
+    """Counts and digests of find(): n_<kind>, base_sha256 over the base kinds, spans of all kinds and their scores."""
     listed = lambda spans: F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
     )
@@ -166,5 +171,6 @@ def digest(docs: DataFrame) -> DataFrame:
         *[count(k).alias(f"n_{k}") for k in PATTERNS],
         F.sha2(listed(F.filter("spans", lambda s: s["kind"].isin(*PLAIN))), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
         F.aggregate("spans", F.lit(0.0), lambda a, s: F.greatest(a, s["score"])).alias("top_score"),
     )
