@@ -8,7 +8,7 @@ those tokens a binary CRF is fitted (features of the word and of both neighbours
 exact gradients from forward-backward. Document scores are a logistic function of the two strongest
 marginals, fitted on the same sample.
 
-Scoring. Each sentence (at most ``PIECE`` words; longer ones go on as a new piece) is run forward and
+Scoring. Each sentence, whatever its length, is run forward and
 backward; the marginals give the offending spans (code points, end exclusive) and the document's score. All
 texts are scored whole, streamed by batches; the sample is all that one task holds, and the model (a table of fixed
 size) is broadcast.
@@ -32,10 +32,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole_text
+from .common import free, small_batches, whole_text
 
 ROWS, CHARS = 3000, 20_000
-BUCKETS, PIECE, KEPT = 1 << 20, 64, 300_000
+BUCKETS, KEPT = 1 << 20, 300_000
+#: Tokens of sentences that are run together, with their padding.
+AREA = 1 << 19
 TOKEN = re.compile(r"\w+|[.!?\n]")
 #: The first entries of every vocabulary; they end a sentence.
 STOPS = (".", "!", "?", "\n")
@@ -65,16 +67,13 @@ def _features(word: str) -> tuple[int, ...]:
 
 
 def _pieces(numbers: np.ndarray) -> np.ndarray:
-    """Number of the piece (sentence, or PIECE words of one) of each token; -1 for a stop."""
+    """Number of the sentence of each token; -1 for a stop."""
     stop = numbers < len(STOPS)
-    start = np.where(stop, np.arange(1, len(numbers) + 1), 0)
-    start = np.maximum.accumulate(start) if len(numbers) else start
-    within = (np.arange(len(numbers)) - start) // PIECE
-    return np.where(stop, -1, start * (len(numbers) // PIECE + 1) + within)
+    return np.where(stop, -1, np.cumsum(stop))
 
 
 def _padded(piece: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Token places of pieces of like length as a matrix, and where it holds a token."""
+    """Token places of sentences of like length as a matrix, and where it holds a token."""
     place = np.flatnonzero(piece >= 0)
     if not len(place):
         return
@@ -82,8 +81,11 @@ def _padded(piece: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
     length = np.diff(np.r_[first, len(p)])
     order = np.argsort(length, kind="stable")
-    for at in range(0, len(order), 8192):
-        some = order[at : at + 8192]
+    at = 0
+    while at < len(order):
+        ahead = length[order[at:]]
+        some = order[at : at + max(1, int(np.searchsorted(ahead * np.arange(1, len(ahead) + 1), AREA, side="right")))]
+        at += len(some)
         n = length[some]
         t = np.arange(n[-1])
         there = t < n[:, None]
@@ -198,8 +200,14 @@ def _summary(p: np.ndarray) -> np.ndarray:
     return np.concatenate([[1.0], np.log(top / (1 - top))])
 
 
+def lowered(text: str) -> str:
+    """text in lower case, character by character where that would change its length: offsets stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
 def tokens(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+    return TOKEN.findall(lowered(text))
 
 
 def _evidence(sentences: dict[bytes, bool], words: list[str]) -> np.ndarray:
@@ -339,8 +347,7 @@ def _score_batches(sent):
                     bad = np.flatnonzero(p >= 0.5)
                     found = ""
                     if len(bad):
-                        # lower() can change lengths; then the offsets are those in the lowered text
-                        at = [m.span() for m in TOKEN.finditer(text.lower())]
+                        at = [m.span() for m in TOKEN.finditer(lowered(text))]
                         runs = np.split(bad, np.flatnonzero(np.diff(bad) > 1) + 1)
                         found = ",".join(f"{at[r[0]][0]}:{at[r[-1]][1]}" for r in runs)
                     spans.append(found)
@@ -349,26 +356,27 @@ def _score_batches(sent):
     return run
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with ``__tox``: struct of score and spans (start:end, comma-joined)."""
+def scored(docs: DataFrame, model: Model, into: str) -> DataFrame:
+    """docs with column ``into``: struct of score and spans (start:end, comma-joined)."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model.numbers())
     udf = F.pandas_udf(_score_batches(sent), "score double, spans string")
-    return docs.withColumn("__tox", udf(whole_text()))
+    return docs.withColumn(into, udf(whole_text()))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, spans for every row of docs."""
-    out = scored(docs.select("doc_id", "text"), learn(docs, labels))
+    out = scored(docs.select("doc_id", "text"), learn(docs, labels), "tox")
     return out.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
-        F.col("__tox.score").alias("score"),
-        (F.col("__tox.score") >= 0.5).cast("int").alias("predicted"),
-        F.col("__tox.spans").alias("spans"),
+        F.col("tox.score").alias("score"),
+        (F.col("tox.score") >= 0.5).cast("int").alias("predicted"),
+        F.col("tox.spans").alias("spans"),
     )
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted toxic; columns as in docs."""
-    return scored(docs, learn(docs, labels)).filter(F.col("__tox.score") < 0.5).select(*docs.columns)
+    (tox,) = free(docs, "tox")
+    return scored(docs, learn(docs, labels), tox).filter(F.col(f"{tox}.score") < 0.5).select(*docs.columns)
