@@ -19,6 +19,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,19 +140,22 @@ def _codecs(docs: DataFrame, vocabulary: str, pattern: str):
     return codec
 
 
-def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs."""
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs; with ``ids`` also token_ids (ARRAY<INT>)."""
     codec = _codecs(docs, vocabulary, pattern)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec()
         for texts in batches:
-            rows = []
-            for ids in c.encode_all(texts):
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    udf = F.pandas_udf(run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+            rows, kept = [], []
+            for found in c.encode_all(texts):
+                rows.append((len(found) // 4, hashlib.sha256(found).hexdigest(), hashlib.sha256(c.decode(found)).hexdigest()))
+                if ids:
+                    kept.append(np.frombuffer(found, "<i4"))
+            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            yield out.assign(token_ids=pd.Series(kept, dtype=object)) if ids else out
+
+    udf = F.pandas_udf(run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids)
     return docs.select("doc_id", udf(whole_text()).alias("r")).select("doc_id", "r.*")
 
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, row_key, whole_text, written
+from .common import free, let, row_key, whole_text, written
 
 WILD = "<*>"
 
@@ -105,23 +105,19 @@ def flag(docs: DataFrame, depth: int = 3, min_docs: int = 10, constant: float =
     return doomed.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("at")).alias("drop"))
 
 
-def clean(docs: DataFrame, depth: int = 3, min_docs: int = 10, constant: float = 0.6) -> DataFrame:
-    """docs with their boilerplate lines dropped from text, and ``__n_lines`` and ``__n_dropped``."""
-    flags = flag(docs, depth, min_docs, constant).select(
-        F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("drop").alias("__drop")
-    )
-    k1, k2 = row_key(F.col("doc_id"), whole_text())
+def clean(docs: DataFrame, depth: int = 3, min_docs: int = 10, constant: float = 0.6, counts: bool = True) -> DataFrame:
+    """docs with their boilerplate lines dropped from text, and with ``counts`` also ``__n_lines`` and ``__n_dropped``."""
+    k1, k2, drop, new = free(docs, "k1", "k2", "drop", "new")
+    flags = flag(docs, depth, min_docs, constant).withColumnsRenamed({"k1": k1, "k2": k2, "drop": drop})
+    keys = row_key(F.col("doc_id"), whole_text())
     lines = F.split("text", "\n", -1)
     places = F.sequence(F.lit(0), F.size(lines) - 1)
-    left = lambda x: F.transform(F.array_except(places, F.col("__drop")), lambda i: F.get(x, i))
+    left = lambda x: F.transform(F.array_except(places, F.col(drop)), lambda i: F.get(x, i))
     kept = F.array_join(let(lines, left), "\n")
-    out = docs.withColumns({"__k1": k1, "__k2": k2}).join(flags.hint("merge"), ["__k1", "__k2"], "left")
-    out = out.withColumns(
-        {
-            "__n_lines": F.when(F.length(whole_text()) > 0, F.size(lines)).otherwise(0).cast("bigint"),
-            "__n_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("bigint"),
-            "__text": F.when(F.col("__drop").isNull(), F.col("text")).otherwise(kept),
-        }
-    )
-    columns = [F.col("__text").alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*columns, "__n_lines", "__n_dropped")
+    out = docs.withColumns({k1: keys[0], k2: keys[1]}).join(flags.hint("merge"), [k1, k2], "left")
+    out = out.withColumn(new, F.when(F.col(drop).isNull(), F.col("text")).otherwise(kept))
+    columns = [F.col(new).alias(c) if c == "text" else F.col(c) for c in docs.columns]
+    if not counts:
+        return out.select(*columns)
+    n_lines = F.when(F.length(whole_text()) > 0, F.size(lines)).otherwise(0).cast("bigint")
+    return out.select(*columns, n_lines.alias("__n_lines"), F.coalesce(F.size(drop), F.lit(0)).cast("bigint").alias("__n_dropped"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole_text, written
+from .common import free, small_batches, whole_text, written
 from .components import components
 
 SEED, BITS = 42, 64
@@ -235,10 +235,11 @@ def link(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
 
 def representatives(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
     """The first document of each component, once; columns as in docs."""
+    own, k2, n = free(docs, "id", "k2", "n")
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "k2")
     first = grouped(docs, radius, shingle).filter(F.col("least") == place)
-    first = first.select(F.col("least.id").alias("__id"), F.col("k2").alias("__k2")).distinct()
-    rows = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(LAST)), "__k2": F.xxhash64(whole_text())})
-    rows = rows.join(written(first, "first").hint("merge"), ["__id", "__k2"], "left_semi")
-    one = Window.partitionBy("__id", "__k2").orderBy("__k2")
-    return rows.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*docs.columns)
+    first = first.select(F.col("least.id").alias(own), F.col("k2").alias(k2)).distinct()
+    rows = docs.withColumns({own: F.coalesce("doc_id", F.lit(LAST)), k2: F.xxhash64(whole_text())})
+    rows = rows.join(written(first, "first").hint("merge"), [own, k2], "left_semi")
+    one = Window.partitionBy(own, k2).orderBy(k2)
+    return rows.withColumn(n, F.row_number().over(one)).filter(F.col(n) == 1).select(*docs.columns)
