@@ -135,11 +135,11 @@ def test_order_minhash_matches_brute_force(spark):
         for h in kmers:
             own.append(h64((h >> 31, 8), (count.get(h >> 31, 0), 4)))
             count[h >> 31] = count.get(h >> 31, 0) + 1
-        for f in range(32):
+        for f in range(21):
             order = []
             for p, v in enumerate(own):
-                byte = (v if f < 8 else h64((v, 8), (f // 8, 4))) >> 8 * (f % 8) & 255
-                order.append(((f << 8 | byte) << 18 | h64((v, 8), (-1 - f, 4)) & (1 << 18) - 1, p))
+                lane = h64((v, 8), (f // 7, 4)) >> 8 * (f % 7) + 1 & 127
+                order.append((lane << 25 | h64((v, 8), (-1 - f, 4)) & (1 << 25) - 1, p))
             least = sorted(sorted(order)[:2], key=lambda x: x[1])
             assert sig[f] == h64(*[(h64((kmers[p], 8), (o, 8)), 8) for o, p in least]) & 0xFFFFFFFF, t
 

@@ -3,15 +3,15 @@
 A text is cut into units: a word of at most ``UNIT`` characters with the white space before it, and single
 characters where words are longer or the script writes none, so that units realign right after an edit anywhere.
 Every k consecutive units form a k-mer; the o-th occurrence of a k-mer in its text is the numbered k-mer
-(k-mer, o), which makes repeats distinct. Each of ``8 * HASHES`` hash functions selects the l minimal numbered k-mers
+(k-mer, o), which makes repeats distinct. Each of ``LANES * HASHES`` hash functions selects the l minimal numbered k-mers
 of the whole text; they are put back into text order and the tuple is hashed. Two texts agree in a slot if the
 same numbered k-mers are minimal and stand in the same order, so moves and edits lower the likeness where a plain
 MinHash would not see them.
 
-Function 8 * i + j orders by byte j of the i-th hash, then by further bits of another one, then by place. Only k-mers
-with a small byte can be minimal. How small follows the length of the text, so that ten or more are left for each
-function on average; with a word as a vector of eight bytes, one subtraction tells whether any of them is small.
-Where a function is left with fewer than l, all k-mers stand for it.
+Function LANES * i + j orders by lane j (seven bits) of the i-th hash, then by further bits of another one, then by
+place. Only k-mers with a small lane can be minimal. How small follows the length of the text, so that ten or more
+are left for each function on average; with a hash as a vector of lanes, one addition tells which of them are small.
+A function that is left with fewer than l looks at all k-mers.
 
 Defined cases: a null text counts as empty; an empty text has no k-mers (all slots empty), and two such texts have
 likeness 1; fewer units than k form one k-mer; fewer k-mers than l form a shorter tuple. The successor of a document
@@ -30,16 +30,15 @@ UNIT = 15
 PIECE = rf"\s*+(?:(?<!\S)\S{{1,{UNIT}}}(?!\S)|\S)|\s++"
 PLACE_BITS = 31
 PLACE = (1 << PLACE_BITS) - 1
-#: Bits of an order value in a packed entry; the function's number stands above them, the place below.
-ORDER_BITS = 26
-#: Hashes of eight functions each, k-mers that a function is left with at least on average, rows of a range.
-HASHES, LEFT, ROWS = 4, 10, 50_000
+#: Bits of an order value in a packed entry; the place stands below them.
+ORDER_BITS = 32
+#: Hashes, functions of a hash, k-mers that a function is left with at least on average, rows of a range.
+HASHES, LANES, LEFT, ROWS = 3, 7, 10, 50_000
 
 
-def _bytes(value: int) -> int:
-    """value in each byte, as a signed long."""
-    x = int.from_bytes(bytes([value]) * 8, "little")
-    return x - (1 << 64) if x >> 63 else x
+def _lanes(value: int) -> int:
+    """value in each lane of a long; the eighth byte stays empty, so that sums do not overflow."""
+    return int.from_bytes(bytes([value]) * LANES, "little")
 
 
 def _kmers(text: Column, k: int) -> Column:
@@ -60,7 +59,7 @@ def _kmers(text: Column, k: int) -> Column:
 
 
 def _numbered(kmers: Column) -> Column:
-    """The hashes h0, h1, ... of (k-mer, occurrence number), and ``at``, the place, of every k-mer."""
+    """v, the hash of (k-mer, occurrence number), and ``at``, the place, of every k-mer."""
     hash_of = lambda x: F.shiftright(x, PLACE_BITS)
 
     def number(s: Column) -> Column:
@@ -76,75 +75,66 @@ def _numbered(kmers: Column) -> Column:
             for bits in (3, 8, 14):
                 few = few.when(~same(F.lit(1 << bits)), seen(bits))
             v = F.xxhash64(hash_of(x), few.otherwise(seen(PLACE_BITS - 1)))
-            return F.struct(v.alias("h0"), x.bitwiseAND(F.lit(PLACE)).alias("at"))
+            return F.struct(v.alias("v"), x.bitwiseAND(F.lit(PLACE)).alias("at"))
 
-        hashes = lambda x: [x["h0"].alias("h0"), *[F.xxhash64(x["h0"], F.lit(i)).alias(f"h{i}") for i in range(1, HASHES)]]
-        return F.transform(F.transform(s, of), lambda x: F.struct(*hashes(x), x["at"].alias("at")))
+        return F.transform(s, of)
 
     packed = F.transform(kmers, lambda h, i: F.shiftleft(F.shiftright(h, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("bigint")))
     return let(F.sort_array(packed), number)
 
 
-def _entries(numbered: Column, bits: Column) -> Column:
-    """Packed (function, order value, place) of every numbered k-mer whose byte for the function has ``bits``
-    leading zeros, ascending."""
-    low, tops = F.lit(_bytes(127) >> 8), F.lit((_bytes(128) >> 8) & ((1 << 56) - 1))
-    masks = F.array(*[F.lit(_bytes((0xFF << (8 - b)) & 0xFF)).cast("bigint") for b in range(9)])
+def _tuple(few: Column, numbered: Column, kmers: Column, i: int, j: int, l: int) -> Column:  # noqa: E741
+    """The 32-bit hash of the l minimal k-mers under function (i, j); few: h, v, at of those that can be minimal."""
+    rest_bits = ORDER_BITS - 7
 
-    def of(mask: Column) -> Column:
-        small = mask.bitwiseAND(F.lit(255))
+    def packed(h: Column, x: Column) -> Column:
+        lane = F.shiftrightunsigned(h, 8 * j).bitwiseAND(F.lit(127))
+        rest = F.xxhash64(x["v"], F.lit(-1 - LANES * i - j)).bitwiseAND(F.lit((1 << rest_bits) - 1))
+        return F.shiftleft(F.shiftleft(lane, rest_bits).bitwiseOR(rest), PLACE_BITS).bitwiseOR(x["at"])
 
-        def one(i: int) -> Column:
-            def any_small(x: Column) -> Column:
-                m = x[f"h{i}"].bitwiseAND(mask)  # the seven lower bytes at once, without a carry between them; the upper one
-                return ((m.bitwiseAND(low) + low).bitwiseOR(m).bitwiseAND(tops) != tops) | m.between(0, (1 << 56) - 1)
+    least = lambda xs: F.slice(F.sort_array(xs), 1, l)
+    every = F.transform(numbered, lambda x: packed(_hashed(x, i), x))
+    enough = lambda c: F.when(F.size(c) >= F.least(F.lit(l), F.size(numbered)), c).otherwise(least(every))
 
-            def spread(x: Column) -> Column:
-                def rows(h: Column) -> Column:
-                    def entry(j: int) -> Column:
-                        byte = F.shiftrightunsigned(h, 8 * j).bitwiseAND(F.lit(255)) if j else h.bitwiseAND(F.lit(255))
-                        rest = F.xxhash64(x["h0"], F.lit(-1 - 8 * i - j)).bitwiseAND(F.lit((1 << (ORDER_BITS - 8)) - 1))
-                        order = F.shiftleft(F.lit((8 * i + j) << 8) + byte, ORDER_BITS - 8).bitwiseOR(rest)
-                        return F.when(byte.bitwiseAND(small) == 0, F.shiftleft(order, PLACE_BITS).bitwiseOR(x["at"]))
+    def hashed(chosen: Column) -> Column:
+        place = lambda e: e.bitwiseAND(F.lit(PLACE))
+        name = lambda e: F.xxhash64(F.get(kmers, place(e).cast("int")), F.shiftright(e, PLACE_BITS))
+        by_place = F.array_sort(chosen, lambda a, b: (place(a) - place(b)).cast("int"))
+        return F.xxhash64(F.transform(by_place, name)).bitwiseAND(F.lit(0xFFFFFFFF))
 
-                    return F.array_compact(F.array(*[entry(j) for j in range(8)]))
+    return let(let(least(F.transform(few, lambda x: packed(x["h"], x))), enough), hashed)
 
-                return rows(x[f"h{i}"])
 
-            return F.flatten(F.transform(F.filter(numbered, any_small), spread))
+def _hashed(x: Column, i: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(x["v"], F.lit(i)), 1)
 
-        return F.sort_array(F.concat(*[one(i) for i in range(HASHES)]))
 
-    return let(F.get(masks, bits), of)
+def signature(text: Column, k: int = 3, l: int = 2) -> Column:  # noqa: E741
+    """ARRAY<BIGINT> of LANES * HASHES 32-bit tuple hashes; an empty array for an empty text."""
+    low, tops = F.lit(_lanes(127)), F.lit(_lanes(128))
+    masks = F.array(*[F.lit(_lanes((127 << (7 - b)) & 127)) for b in range(8)])
 
+    def of(kmers: Column) -> Column:
+        def slots(numbered: Column) -> Column:
+            bits = F.greatest(F.lit(0), F.least(F.lit(7), F.floor(F.log2(F.size(numbered) / LEFT)))).cast("int")
 
-def signature(text: Column, k: int = 3, l: int = 2) -> Column:  # noqa: E741
-    """ARRAY<BIGINT> of 8 * HASHES 32-bit tuple hashes; an empty array for an empty text."""
-    slots = 8 * HASHES
-    number = lambda e: F.shiftright(e, PLACE_BITS + ORDER_BITS)
+            def by_hash(mask: Column) -> Column:
+                def one(i: int) -> Column:
+                    # the top bit of each byte tells whether the lane holds any of the mask's bits
+                    some = lambda x: (_hashed(x, i).bitwiseAND(mask) + low).bitwiseAND(tops)
+                    small = F.transform(F.filter(numbered, lambda x: some(x) != tops), lambda x: F.struct(_hashed(x, i).alias("h"), x["v"].alias("v"), x["at"].alias("at")))
 
-    def minimal(s: Column) -> Column:
-        return F.filter(s, lambda x, i: (i < l) | (number(x) != number(F.get(s, i - l))))
+                    def lanes(few: Column) -> Column:
+                        own = lambda j: F.filter(few, lambda x: x["h"].bitwiseAND(mask).bitwiseAND(F.lit(127 << 8 * j)) == 0)
+                        return F.array(*[_tuple(own(j), numbered, kmers, i, j, l) for j in range(LANES)])
 
-    def of(kmers: Column) -> Column:
-        def chosen(numbered: Column) -> Column:
-            n = F.size(numbered)
-            bits = F.greatest(F.lit(0), F.least(F.lit(8), F.floor(F.log2(n / LEFT)))).cast("int")
-            few = let(_entries(numbered, bits), minimal)
-            return let(few, lambda c: F.when((F.size(c) == slots * l) | (bits == 0), c).otherwise(let(_entries(numbered, F.lit(0)), minimal)))
+                    return let(small, lanes)
 
-        def tuples(c: Column) -> Column:
-            own = F.least(F.lit(l), F.size(kmers))
-            # each function has as many entries, so its tuple is a slice
-            def one(j: Column) -> Column:
-                by_place = F.array_sort(F.slice(c, j * own + 1, own), lambda a, b: (a.bitwiseAND(F.lit(PLACE)) - b.bitwiseAND(F.lit(PLACE))).cast("int"))
-                named = F.transform(by_place, lambda e: F.xxhash64(F.get(kmers, e.bitwiseAND(F.lit(PLACE)).cast("int")), F.shiftright(e, PLACE_BITS)))
-                return F.xxhash64(named).bitwiseAND(F.lit(0xFFFFFFFF))
+                return F.concat(*[one(i) for i in range(HASHES)])
 
-            return F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), one)
+            return let(F.get(masks, bits), by_hash)
 
-        picked = let(let(_numbered(kmers), chosen), tuples)
-        return F.when(F.size(kmers) > 0, picked).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(kmers) > 0, let(_numbered(kmers), slots)).otherwise(F.array().cast("array<bigint>"))
 
     return let(_kmers(text, k), of)
 
@@ -152,13 +142,13 @@ def signature(text: Column, k: int = 3, l: int = 2) -> Column:  # noqa: E741
 def as_string(sig: Column) -> Column:
     """Eight hex digits a slot; dots for the slots of an empty text."""
     digits = F.array_join(F.transform(sig, lambda v: F.lpad(F.lower(F.hex(v)), 8, "0")), "")
-    return F.when(F.size(sig) > 0, digits).otherwise(F.lit("." * 64 * HASHES))
+    return F.when(F.size(sig) > 0, digits).otherwise(F.lit("." * 8 * LANES * HASHES))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of the slots that agree; 1 if both texts are empty, 0 if one is."""
     same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: z))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(same / F.lit(8 * HASHES))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(same / F.lit(LANES * HASHES))
 
 
 def fingerprints(docs: DataFrame, k: int = 3, l: int = 2) -> DataFrame:  # noqa: E741
