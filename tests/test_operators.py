@@ -230,10 +230,20 @@ def test_detectors_fire_on_planted_cases(spark):
 
 def test_selection(spark):
     as_of = F.lit(day(20)).cast("date")
-    f = spark.createDataFrame([("a", "move", "k1", day(19)), ("b", "move", "k2", day(1)), ("c", "break", "k1", day(1))], "slug string, kind string, key string, discovered date")
-    h = spark.createDataFrame([(day(18), "a", "move", "k1")], "date date, slug string, kind string, key string")
-    got = {r["slug"]: r["tier"] for r in rows(select.eligible(f, h, as_of, fresh_kinds=["move"]), "slug")}
-    assert got == {"a": 2, "c": 1}
+    f = spark.createDataFrame(
+        [("a", "move", "k1", day(19), "new"), ("b", "move", "k2", day(1), "new"), ("c", "break", "k1", day(1), "new"), ("d", "break", "k3", day(2), "used"), ("e", "break", "k4", day(2), "new")],
+        "slug string, kind string, key string, discovered date, status string",
+    )
+    h = spark.createDataFrame([(day(18), "a", "move", "k1"), (day(19), "x", "move", "k9")], "date date, slug string, kind string, key string")
+    chosen = lambda found, **o: {r["slug"]: r["tier"] for r in rows(select.eligible(found, h, as_of, data_points=["move"], **o), "slug")}
+    assert chosen(f) == {"e": 0}
+    assert chosen(f, more=spark.createDataFrame([("k1",)], "key string")) == {"c": 0, "e": 0}
+    assert chosen(f.filter("slug <> 'e'")) == {"d": 1}
+    assert chosen(f.filter("slug IN ('a', 'b', 'c')")) == {"b": 2, "c": 2}
+    assert chosen(f.filter("slug = 'a'")) == {"a": 3}
+    got = rows(select.rank_findings(f, h, as_of, ["move", "break"]), "place")
+    assert [(r["slug"], r["place"], r["tired"]) for r in got] == [("d", 1, 0), ("e", 2, 0), ("c", 3, 0), ("a", 4, 1), ("b", 5, 1)]
+    assert [r["slug"] for r in rows(select.rank_findings(f, h.limit(0), as_of, ["move"]), "place")] == ["a", "b", "d", "e", "c"]
     seeds = spark.createDataFrame([("x", False, day(30), False, 9.0), ("y", False, day(30), True, 1.0), ("z", True, day(30), True, 99.0)], "id string, used boolean, expires date, upcoming boolean, priority_score double")
     assert select.pick_seed(seeds, as_of).first()["id"] == "y"
 
@@ -297,3 +307,34 @@ def test_html_to_text_whole_or_capped(spark):
     page = spark.createDataFrame([("<p>" + "word " * 4000 + "end</p>",)], "html string")
     whole, capped = page.select(text.html_to_text(F.col("html")), text.html_to_text(F.col("html"), 100)).first()
     assert len(whole) == 20003 and whole.endswith(" end") and capped == whole[:100]
+
+
+def test_scan_chooses_windows_by_frequency(spark, monkeypatch):
+    def stub(kind):
+        def hit(pairs, window, *more):
+            p = pairs.groupBy("pair_id").agg(F.max("date").alias("date"))
+            return detect.hits(p, kind, "pair_id", F.lit(1.0), F.col("date"), str((window, *more)), ["date"])
+
+        return hit
+
+    monkeypatch.setattr(detect, "correlation_shift", stub("correlation_shift"))
+    monkeypatch.setattr(detect, "lead_lag_change", stub("lead_lag_change"))
+    data = [("d|e", day(i), float(i % 7), float(i % 5)) for i in range(80)] + [("m|n", month(i), float(i % 7), float(i % 5)) for i in range(80)]
+    pairs = spark.createDataFrame(data, "pair_id string, date date, a double, b double")
+    o = pairs.select(F.col("pair_id").alias("series_id"), "date", F.col("a").alias("value"))
+    found = rows(detect.scan(o, pairs, factors=o, parts=o.withColumn("total", 2 * F.col("value")), levels=(o, [(0.0, "low")], "high", ["high"])), "kind")
+    assert {(r["kind"], r["key"], r["window"]) for r in found if r["kind"] in ("correlation_shift", "lead_lag_change")} == {
+        ("correlation_shift", "d|e", "(252,)"), ("correlation_shift", "m|n", "(36,)"), ("lead_lag_change", "d|e", "(60, 252)"), ("lead_lag_change", "m|n", "(6, 24)"),
+    }
+    assert {r["key"] for r in found if r["kind"] == "level_regime_cross"} == {"d|e", "m|n"}
+
+
+def test_written_tables_are_cleared(spark, tmp_path):
+    from tidewater.functions.stored import swept, written
+
+    with swept(spark):
+        path = written(spark.range(3), "numbers").inputFiles()[0].removeprefix("file:").replace("///", "/")
+        assert spark.read.parquet(path).count() >= 0
+    import os
+
+    assert not os.path.exists(path)

@@ -10,14 +10,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stored import written
 from .align import infer_frequency, returns
 from .regression import engle_granger
 from .series import _scale, corr_stability, latest_stats, lead_lag, peak_lag, rolling_corr, structural_breaks, tail
 
-#: Order of kinds in rankings, first is most urgent.
-KINDS = ["regime_transition", "structural_break", "correlation_shift", "lead_lag_change", "spread_extreme_level", "spread_extreme_change", "decomposition_shift", "episode_anomaly", "robust_z_signal", "notable_move_level", "notable_move_change"]
-
-
 def hits(df: DataFrame, kind: str | Column, key: str, score: Column, date: Column, window: str, evidence: list[str]) -> DataFrame:
     return df.select(
         (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), F.col(key).alias("key"), F.lit(window).alias("window"),
@@ -177,15 +174,33 @@ def decomposition_shift(parts: DataFrame, move: float = 0.2, days: int = 90) ->
     return hits(p.filter(size >= move), "decomposition_shift", "series_id", size / move * 3, F.col("date"), "recent", ["recent", "history"])
 
 
-def scan(obs: DataFrame, pairs: DataFrame, window: int = 12) -> DataFrame:
-    """Hits of the seven detectors below as one table; the README lists those of the survey that are not called."""
+def scan(
+    obs: DataFrame, pairs: DataFrame, factors: DataFrame | None = None, parts: DataFrame | None = None, episodes: DataFrame | None = None,
+    levels: tuple[DataFrame, list[tuple[float, str]], str, list[str]] | None = None,
+    windows: tuple[int, int] = (36, 252), lags: tuple[tuple[int, int], tuple[int, int]] = ((6, 24), (60, 252)), least: int = 60,
+) -> DataFrame:
+    """Hits of the detectors as one table; those of curve factors, parts of a total, episodes and regimes of levels (see
+    factor_extreme, decomposition_shift, episode_anomaly, level_regime_cross) where their input is given.
+
+    windows, and lags with recent rows, are those of pairs that are monthly or rarer, and of daily and weekly ones.
+    obs and pairs are written once and read by all.
+    """
     from .series import quantile_regime
 
-    regimes = quantile_regime(obs, [0.33, 0.67], ["low", "mid", "high"])
-    found = [
-        notable_move(obs, least=30, tails=0.05), correlation_shift(pairs, window), lead_lag_change(pairs, 3, 15), regime_transition(regimes, least=30),
-        structural_break(obs), robust_z_signal(obs, least=30), spread_extreme(pairs, least=30),
-    ]
+    obs, pairs = written(obs, "obs"), written(pairs, "pairs")
+    often = infer_frequency(pairs.dropna(subset=["a", "b"]), ["pair_id"]).filter("is_daily").select("pair_id")
+    found = [notable_move(obs, least=least), regime_transition(quantile_regime(obs, [0.33, 0.67], ["low", "mid", "high"])), structural_break(obs), robust_z_signal(obs, least=least), spread_extreme(pairs, least=least), cointegration_break(pairs)]
+    for how, window, (most, recent) in zip(("left_anti", "left_semi"), windows, lags, strict=True):
+        own = pairs.join(often.hint("merge"), "pair_id", how)
+        found += [correlation_shift(own, window), lead_lag_change(own, most, recent)]
+    if factors is not None:
+        found.append(factor_extreme(factors))
+    if parts is not None:
+        found.append(decomposition_shift(parts))
+    if episodes is not None:
+        found.append(episode_anomaly(episodes))
+    if levels is not None:
+        found.append(level_regime_cross(*levels))
     return reduce(DataFrame.unionByName, found)
 
 

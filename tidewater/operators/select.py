@@ -6,24 +6,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rank_findings(findings: DataFrame, history: DataFrame, kinds: list[str], as_of: Column, days: int = 7, often: int = 2) -> DataFrame:
-    """findings with place: kinds shown often of late last, then by kind, newest first, then slug."""
-    recent = history.filter((F.col("date") > F.date_sub(as_of, days)) & (F.col("date") <= as_of)).groupBy("kind").agg(F.count("*").alias("shown"))
-    priority = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind"))
-    d = findings.join(F.broadcast(recent), "kind", "left")  # a row for each kind
-    d = d.withColumns({"tired": F.coalesce((F.col("shown") >= often).cast("int"), F.lit(0)), "priority": F.when(priority > 0, priority).otherwise(len(kinds) + 1)})
-    return d.drop("shown")
-
-
-def eligible(findings: DataFrame, history: DataFrame, as_of: Column, days: int = 14, fresh_kinds: list[str] | None = None) -> DataFrame:
-    """findings with tier: 0 new slug and key, 1 new slug, 2 others; stale data points are dropped."""
-    recent = history.filter((F.col("date") > F.date_sub(as_of, days)) & (F.col("date") <= as_of))
-    slugs, keys = recent.select("slug").distinct().withColumn("s", F.lit(1)), recent.select("key").distinct().withColumn("k", F.lit(1))
-    d = findings.join(slugs, "slug", "left").join(keys, "key", "left")
-    if fresh_kinds:
-        d = d.filter(~F.col("kind").isin(fresh_kinds) | (F.col("discovered") > F.date_sub(as_of, days)))
-    tier = F.when(F.col("s").isNotNull(), 2).when(F.col("k").isNotNull(), 1).otherwise(0)
-    return d.withColumn("tier", tier).drop("s", "k")
+#: Order of kinds in rankings, first is most urgent; kinds that are data points and go stale.
+KINDS = [
+    "harvested_source", "correlation_shift", "cointegration_break", "regime_transition", "lead_lag_change", "structural_break",
+    "fomc_event_study", "fomc_sep", "notable_move_change", "spread_extreme", "notable_move_level",
+]
+DATA_POINTS = ["notable_move_level", "notable_move_change", "spread_extreme"]
+
+
+def rank_findings(findings: DataFrame, history: DataFrame, as_of: Column, kinds: list[str] | None = None, days: int = 7, often: int = 2) -> DataFrame:
+    """findings with place: kinds shown often of late last, then by kind (others last), newest first, then slug.
+
+    Places count on from day to day, so that no task orders all findings.
+    """
+    kinds = kinds or KINDS
+    recent = history.filter((F.col("date") >= F.date_sub(as_of, days)) & (F.col("date") <= as_of)).groupBy("kind").agg(F.count("*").alias("shown"))
+    priority = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind")) - 1
+    d = findings.join(recent.hint("merge"), "kind", "left")
+    d = d.withColumns({
+        "tired": F.coalesce((F.col("shown") >= often).cast("int"), F.lit(0)), "priority": F.when(priority >= 0, priority).otherwise(99),
+        "__day": F.coalesce("discovered", F.lit("0001-01-01").cast("date")),
+    }).drop("shown")
+    by = ["tired", "priority", "__day"]
+    order = Window.orderBy("tired", "priority", F.desc("__day")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each kind and day
+    days_before = d.groupBy(*by).count().withColumn("__before", F.coalesce(F.sum("count").over(order), F.lit(0))).drop("count")
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(*by).orderBy("slug"))
+    return d.join(days_before.hint("merge"), by).withColumn("place", place).drop("__day", "__before")
+
+
+def eligible(
+    findings: DataFrame, history: DataFrame, as_of: Column, days: int = 14, data_points: list[str] | None = None, more: DataFrame | None = None
+) -> DataFrame:
+    """The findings to choose from, with tier, the first of these that any finding is in: 0 new status, slug and key not
+    shown within the last days, no stale data point; 1 the same in any status; 2 slug not shown; 3 all.
+
+    more: keys (column key) that were asked for again and count as not shown.
+    """
+    recent = history.filter((F.col("date") >= F.date_sub(as_of, days)) & (F.col("date") <= as_of))
+    slugs, keys = recent.select("slug").distinct().withColumn("__s", F.lit(1)), recent.select("key").distinct().withColumn("__k", F.lit(1))
+    if more is not None:
+        keys = keys.join(more.select("key"), "key", "left_anti")
+    d = findings.join(slugs.hint("merge"), "slug", "left").join(keys.hint("merge"), "key", "left")
+    stale = F.col("kind").isin(data_points or DATA_POINTS) & (F.datediff(as_of, "discovered") > days)
+    fits = F.col("__s").isNull() & F.col("__k").isNull() & ~F.coalesce(stale, F.lit(False))
+    tier = F.when(fits & (F.col("status") == "new"), 0).when(fits, 1).when(F.col("__s").isNull(), 2).otherwise(3)
+    d = d.withColumn("tier", tier).drop("__s", "__k")
+    return d.join(F.broadcast(d.agg(F.min("tier").alias("tier"))), "tier")  # one row
 
 
 def release_match(findings: DataFrame, releases: DataFrame, members: DataFrame, as_of: Column, keywords: list[str], days: int = 2) -> DataFrame:

@@ -16,11 +16,16 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: F.length(w) > 1)
 
 
-def bm25(chunks: DataFrame, query: list[str], top: int = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """id, score of the best chunks (id, text) for the words of a query.
+def bm25(
+    chunks: DataFrame, query: list[str], top: int = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25,
+    boosts: dict[str, float] | None = None, ids: list[str] | None = None, bonus: float = 5.0, chars: int | None = None,
+) -> DataFrame:
+    """id, score of the best chunks (id, text, and source with boosts) for the words of a query; with chars also text,
+    cut to so many characters.
 
     Only the query's terms are counted for each chunk; negative weights of very common terms become a share
-    epsilon of the mean weight of the query's terms.
+    epsilon of the mean weight of the query's terms. A chunk's score is multiplied by the boost of its source; a chunk
+    that names one of ids gets a bonus.
     """
     d = chunks.select("id", terms(F.col("text")).alias("t")).withColumn("len", F.size("t"))
     stats = d.agg(F.count("*").alias("N"), F.avg("len").alias("avg_len"))
@@ -32,7 +37,22 @@ def bm25(chunks: DataFrame, query: list[str], top: int = 10, k1: float = 1.5, b:
     idf = idf.withColumn("idf", F.when(F.col("idf") < 0, epsilon * mean).otherwise(F.col("idf"))).drop("__one")
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
     s = tf.join(F.broadcast(idf), "term").groupBy("id").agg(F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("score"))
-    return s.orderBy(F.desc("score"), "id").limit(top)
+    if boosts or ids:
+        times = F.lit(1.0)
+        for source, by in (boosts or {}).items():
+            times = F.when(F.col("source") == source, by).otherwise(times)
+        named = has_any(F.upper("text"), [i.upper() for i in ids or []])
+        more = chunks.select("id", times.alias("times"), F.when(named, bonus).otherwise(0.0).alias("bonus")).filter("times <> 1 OR bonus > 0")
+        s = s.join(more.hint("merge"), "id", "full").select("id", (F.coalesce("score", F.lit(0.0)) * F.coalesce("times", F.lit(1.0)) + F.coalesce("bonus", F.lit(0.0))).alias("score")).filter("score <> 0")
+    best = s.orderBy(F.desc("score"), "id").limit(top)
+    if chars is None:
+        return best
+    cut = F.when(F.char_length("text") <= chars, F.col("text")).otherwise(F.concat(F.rtrim(F.substring("text", 1, chars)), F.lit("\n… [truncated]")))
+    return best.join(chunks.select("id", cut.alias("text")).hint("merge"), "id")
+
+
+def has_any(text: Column, parts: list[str]) -> Column:
+    return F.exists(F.array(*[F.lit(p) for p in parts]).cast("array<string>"), lambda p: F.contains(text, p))
 
 
 def has_keyword(text: Column, keywords: list[str]) -> Column:

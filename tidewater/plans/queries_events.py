@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import align as al
@@ -333,14 +334,20 @@ def onset_logit(spark: S, sf: str) -> D:
 # detectors: thresholds loosened to the short history of the fixtures
 
 
+def opened(hits: D, **evidence: str) -> D:
+    """hits with the given fields of their evidence as columns."""
+    fields = [F.get_json_object("evidence", f"$.{k}").cast(t).alias(k) for k, t in evidence.items()]
+    return hits.select("kind", "key", "window", "score", "date", *fields)
+
+
 @query("notable_move", f"""WITH {DAILY}, l AS (SELECT series_id, max(date) AS date, arg_max(value, date) AS v, count(*) AS n FROM daily GROUP BY 1),
-p AS (SELECT d.series_id, any_value(l.date) AS date, avg(CASE WHEN d.value <= l.v THEN 1.0 ELSE 0.0 END) AS p FROM daily d JOIN l ON d.series_id = l.series_id GROUP BY 1),
+p AS (SELECT d.series_id, any_value(l.date) AS date, any_value(l.v) AS v, count(*) AS n, avg(CASE WHEN d.value <= l.v THEN 1.0 ELSE 0.0 END) AS p FROM daily d JOIN l ON d.series_id = l.series_id GROUP BY 1),
 c AS (SELECT * FROM (SELECT series_id, date, value - lag(value) OVER (PARTITION BY series_id ORDER BY date) AS c FROM daily) WHERE c IS NOT NULL), m AS (SELECT series_id, quantile_cont(c, 0.5) AS med FROM c GROUP BY 1),
-z AS (SELECT c.series_id, max(c.date) AS date, (arg_max(c.c, c.date) - any_value(m.med)) / (1.4826 * quantile_cont(abs(c.c - m.med), 0.5)) AS z FROM c JOIN m ON c.series_id = m.series_id GROUP BY 1)
-SELECT 'notable_move_level' AS kind, series_id AS key, {R('2 * abs(p - 0.5)')} AS score, date FROM p WHERE p <= 0.3 OR p >= 0.7
-UNION ALL SELECT 'notable_move_change', series_id, {R('abs(z)')}, date FROM z WHERE abs(z) >= 0.5""")
+z AS (SELECT c.series_id, max(c.date) AS date, arg_max(c.c, c.date) AS v, count(*) AS n, (arg_max(c.c, c.date) - any_value(m.med)) / (1.4826 * quantile_cont(abs(c.c - m.med), 0.5)) AS z FROM c JOIN m ON c.series_id = m.series_id GROUP BY 1)
+SELECT 'notable_move_level' AS kind, series_id AS key, 'full' AS "window", {R('2 * abs(p - 0.5)')} AS score, date, {R('v')} AS value, {R('p')} AS percentile, NULL AS z, CAST(n AS BIGINT) AS n FROM p WHERE p <= 0.3 OR p >= 0.7
+UNION ALL SELECT 'notable_move_change', series_id, 'full', {R('abs(z)')}, date, {R('v')}, NULL, {R('z')}, CAST(n AS BIGINT) FROM z WHERE abs(z) >= 0.5""")
 def notable_move(spark: S, sf: str) -> D:
-    return dt.notable_move(fixture(spark, sf, DAILY), tails=0.3, z=0.5).select("kind", "key", "score", "date")
+    return opened(dt.notable_move(fixture(spark, sf, DAILY), tails=0.3, z=0.5), value="double", percentile="double", z="double", n="bigint")
 
 
 @query("correlation_shift")
@@ -353,9 +360,15 @@ def lead_lag_change(spark: S, sf: str) -> D:
     return dt.lead_lag_change(fixture(spark, sf, MONTHLY, PAIRS), 3, 15)
 
 
-@query("regime_transition")
+@query("regime_transition", f"""WITH {MONTHLY}, q AS (SELECT series_id, quantile_cont(value, 0.33) AS a, quantile_cont(value, 0.67) AS b FROM monthly GROUP BY 1),
+g AS (SELECT m.series_id, date, CASE WHEN value <= a THEN 'low' WHEN value <= b THEN 'mid' ELSE 'high' END AS regime FROM monthly m JOIN q ON m.series_id = q.series_id WHERE a <> b),
+t AS (SELECT *, CASE WHEN regime <> lag(regime) OVER (PARTITION BY series_id ORDER BY date) THEN 1 ELSE 0 END AS turn FROM g), r AS (SELECT *, sum(turn) OVER (PARTITION BY series_id ORDER BY date) AS run FROM t),
+u AS (SELECT series_id, run, min(date) AS since, max(date) AS until, any_value(regime) AS regime, count(*) AS n FROM r GROUP BY 1, 2),
+v AS (SELECT *, lag(regime) OVER w AS before, lag(until) OVER w - lag(since) OVER w AS held, sum(n) OVER (PARTITION BY series_id) AS total, max(run) OVER (PARTITION BY series_id) AS last, max(until) OVER (PARTITION BY series_id) AS now FROM u WINDOW w AS (PARTITION BY series_id ORDER BY run))
+SELECT 'regime_transition' AS kind, series_id AS key, 'full' AS "window", {R('held / 365.0')} AS score, since AS date, before, regime, CAST(held AS BIGINT) AS held FROM v WHERE run = last AND run > 0 AND total >= 30 AND now - since <= 400""")
 def regime_transition(spark: S, sf: str) -> D:
-    return dt.regime_transition(st.quantile_regime(fixture(spark, sf, MONTHLY), [0.33, 0.67], ["low", "mid", "high"]), 400, 30)
+    hits = dt.regime_transition(st.quantile_regime(fixture(spark, sf, MONTHLY), [0.33, 0.67], ["low", "mid", "high"]), 400, 30)
+    return opened(hits, before="string", regime="string", held="bigint")
 
 
 @query("structural_break_hits")
@@ -365,31 +378,47 @@ def structural_break_hits(spark: S, sf: str) -> D:
 
 @query("cointegration_break")
 def cointegration_break(spark: S, sf: str) -> D:
-    return dt.cointegration_break(fixture(spark, sf, MONTHLY, PAIRS), 30)
-
-
-@query("episode_anomaly")
+    """Each a with itself and half of b's deviations, which add up from 1999 on, so that the pairs come apart."""
+    p = fixture(spark, sf, MONTHLY, PAIRS)
+    late = F.col("date") >= F.lit("1999-01-01").cast("date")
+    off = F.col("b") - F.avg("b").over(Window.partitionBy("pair_id"))
+    apart = F.sum(F.when(late, off).otherwise(0.0)).over(Window.partitionBy("pair_id").orderBy("date"))
+    return dt.cointegration_break(p.withColumn("b", F.col("a") + 0.5 * off + 0.4 * apart), 30)
+
+
+@query("episode_anomaly", f"""WITH {MONTHLY}, {EPI}, l AS (SELECT *, start_date = max(start_date) OVER (PARTITION BY series_id) AS last FROM ep),
+p AS (SELECT series_id, count(*) AS n, quantile_cont(duration, 0.75) AS d75, quantile_cont(peak, 0.75) AS p75 FROM l WHERE NOT last GROUP BY 1 HAVING count(*) >= 4)
+SELECT 'episode_anomaly' AS kind, l.series_id AS key, 'episodes' AS "window", {R('(SELECT count(*) FROM l x WHERE NOT x.last AND x.series_id = l.series_id AND x.duration < l.duration) / p.n::DOUBLE')} AS score, start_date AS date,
+ CAST(duration AS BIGINT) AS duration, {R('peak')} AS peak, {R('d75')} AS d75, {R('p75')} AS p75, CAST(n AS BIGINT) AS n FROM l JOIN p ON l.series_id = p.series_id WHERE last AND (duration >= d75 OR peak >= p75)""")
 def episode_anomaly(spark: S, sf: str) -> D:
-    return dt.episode_anomaly(_episodes(spark, sf))
+    return opened(dt.episode_anomaly(_episodes(spark, sf)), duration="bigint", peak="double", d75="double", p75="double", n="bigint")
 
 
 @query("robust_z_signal", f"""WITH {MONTHLY}, m AS (SELECT series_id, quantile_cont(value, 0.5) AS med FROM monthly GROUP BY 1),
-z AS (SELECT c.series_id, max(c.date) AS date, (arg_max(c.value, c.date) - any_value(m.med)) / (1.4826 * quantile_cont(abs(c.value - m.med), 0.5)) AS z FROM monthly c JOIN m ON c.series_id = m.series_id GROUP BY 1)
-SELECT 'robust_z_signal' AS kind, series_id AS key, {R('abs(z)')} AS score, date FROM z WHERE abs(z) >= 0.5""")
+z AS (SELECT c.series_id, max(c.date) AS date, arg_max(c.value, c.date) AS v, count(*) AS n, (arg_max(c.value, c.date) - any_value(m.med)) / (1.4826 * quantile_cont(abs(c.value - m.med), 0.5)) AS z FROM monthly c JOIN m ON c.series_id = m.series_id GROUP BY 1)
+SELECT 'robust_z_signal' AS kind, series_id AS key, 'full' AS "window", {R('abs(z)')} AS score, date, {R('v')} AS value, {R('z')} AS z, CAST(n AS BIGINT) AS n FROM z WHERE abs(z) >= 0.5""")
 def robust_z_signal(spark: S, sf: str) -> D:
-    return dt.robust_z_signal(fixture(spark, sf, MONTHLY), 0.5).select("kind", "key", "score", "date")
+    return opened(dt.robust_z_signal(fixture(spark, sf, MONTHLY), 0.5), value="double", z="double", n="bigint")
+
+
+def _factors(spark: S, sf: str) -> D:
+    ns = cv.nelson_siegel(fixture(spark, sf, CURVE))
+    return ns.select("date", F.explode(F.create_map(*[x for c in ("level", "slope", "curvature") for x in (F.lit(c), F.col(c))])).alias("series_id", "value"))
 
 
 @query("factor_extreme")
 def factor_extreme(spark: S, sf: str) -> D:
-    ns = cv.nelson_siegel(fixture(spark, sf, CURVE))
-    long = ns.select("date", F.explode(F.create_map(*[x for c in ("level", "slope", "curvature") for x in (F.lit(c), F.col(c))])).alias("series_id", "value"))
-    return dt.factor_extreme(long, tails=0.4)
+    return dt.factor_extreme(_factors(spark, sf), tails=0.4)
 
 
-@query("level_regime_cross")
+@query("level_regime_cross", f"""WITH {MONTHLY}, scaled AS (SELECT series_id, date, value / med AS value FROM monthly JOIN {LEVEL} q ON q.sid = series_id),
+r AS (SELECT *, CASE WHEN value < 0.95 THEN 'calm' WHEN value < 1.05 THEN 'elevated' ELSE 'stressed' END AS regime FROM scaled), b AS (SELECT *, lag(regime, 3) OVER (PARTITION BY series_id ORDER BY date) AS before FROM r),
+l AS (SELECT series_id, max(date) AS date, arg_max(value, date) AS value, arg_max(regime, date) AS regime, arg_max(before, date) AS before, (arg_max(value, date) - avg(value)) / stddev_samp(value) AS z FROM b GROUP BY 1)
+SELECT 'level_regime_cross' AS kind, series_id AS key, 'full' AS "window", {R('least(abs(z) / 3, 1.0) + CASE WHEN coalesce(regime <> before, false) THEN 0.15 ELSE 0.0 END')} AS score, date, {R('value')} AS value, regime, before, {R('z')} AS z
+FROM l WHERE regime = 'stressed' OR coalesce(regime <> before, false)""")
 def level_regime_cross(spark: S, sf: str) -> D:
-    return dt.level_regime_cross(fixture(spark, sf, MONTHLY, SCALED), [(0.95, "calm"), (1.05, "elevated")], "stressed", ["stressed"])
+    hits = dt.level_regime_cross(fixture(spark, sf, MONTHLY, SCALED), [(0.95, "calm"), (1.05, "elevated")], "stressed", ["stressed"])
+    return opened(hits, value="double", regime="string", before="string", z="double")
 
 
 @query("spread_extreme")
@@ -397,15 +426,26 @@ def spread_extreme(spark: S, sf: str) -> D:
     return dt.spread_extreme(fixture(spark, sf, MONTHLY, PAIRS), 30, 0.2)
 
 
-@query("decomposition_shift")
+@query("decomposition_shift", f"""WITH {PARTS}, w AS (SELECT *, sum(value) OVER (PARTITION BY date) AS total FROM parts),
+d AS (SELECT series_id, date, value - lag(value) OVER s AS v, total - lag(total) OVER s AS t FROM w WINDOW s AS (PARTITION BY series_id ORDER BY date)), e AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS back FROM d WHERE v IS NOT NULL AND t IS NOT NULL),
+f AS (SELECT *, CASE WHEN back <= 90 THEN 'recent' ELSE 'history' END AS slice FROM e), c AS (SELECT series_id AS sid, slice AS sl, quantile_cont(abs(t), 0.33) AS cut FROM f GROUP BY 1, 2),
+g AS (SELECT series_id, slice, avg(least(greatest(v / nullif(t, 0), -2.0), 2.0)) AS share, max(date) AS date FROM f JOIN c ON sid = series_id AND sl = slice WHERE abs(t) > cut GROUP BY 1, 2 HAVING count(*) >= 5),
+p AS (SELECT series_id, max(CASE WHEN slice = 'recent' THEN share END) AS recent, max(CASE WHEN slice = 'history' THEN share END) AS history, max(date) AS date FROM g GROUP BY 1)
+SELECT 'decomposition_shift' AS kind, series_id AS key, 'recent' AS "window", {R('abs(recent - history) / 0.02 * 3')} AS score, date, {R('recent')} AS recent, {R('history')} AS history FROM p WHERE abs(recent - history) >= 0.02""")
 def decomposition_shift(spark: S, sf: str) -> D:
+    return opened(dt.decomposition_shift(_parts(spark, sf), 0.02), recent="double", history="double")
+
+
+def _parts(spark: S, sf: str) -> D:
     p = fixture(spark, sf, PARTS)
-    return dt.decomposition_shift(p.join(p.groupBy("date").agg(F.sum("value").alias("total")), "date"), 0.02)
+    return p.join(p.groupBy("date").agg(F.sum("value").alias("total")), "date")
 
 
 @query("scan")
 def scan(spark: S, sf: str) -> D:
-    return dt.scan(fixture(spark, sf, MONTHLY), fixture(spark, sf, MONTHLY, PAIRS))
+    """All detectors, with the windows of monthly pairs; thresholds as they are."""
+    levels = (fixture(spark, sf, MONTHLY, SCALED), [(0.95, "calm"), (1.05, "elevated")], "stressed", ["stressed"])
+    return dt.scan(fixture(spark, sf, MONTHLY), fixture(spark, sf, MONTHLY, PAIRS), _factors(spark, sf), _parts(spark, sf), _episodes(spark, sf), levels)
 
 
 @query("scan_skipped", f"WITH {DAILY} SELECT series_id AS key, concat('only ', CAST(count(*) AS VARCHAR), ' rows') AS reason FROM daily GROUP BY 1 HAVING count(*) < 2500")
@@ -416,10 +456,12 @@ def scan_skipped(spark: S, sf: str) -> D:
 HITS = "hits AS (SELECT event_type AS kind, concat('u', CAST(user_id AS VARCHAR(10))) AS key, CAST(ts AS DATE) AS date, value AS score FROM events)"
 
 
-@query("findings", f"""WITH {HITS} SELECT slug, kind, key, discovered, {R('max(score)')} AS score FROM (
-  SELECT regexp_replace(lower(concat(kind, '-', key, '-', CAST(date AS VARCHAR))), '[^a-z0-9]+', '-', 'g') AS slug, kind, key, date AS discovered, score FROM hits) GROUP BY 1, 2, 3, 4""")
+@query("findings", f"""WITH {HITS}, b AS (SELECT regexp_replace(lower(concat(kind, '-', key, '-', CAST(date AS VARCHAR))), '[^a-z0-9]+', '-', 'g') AS slug, kind, key, date AS discovered, max(score) AS score FROM hits GROUP BY 1, 2, 3, 4)
+SELECT slug, concat(upper(kind[1]), kind[2:], ': ', key) AS title, kind, key, discovered, concat(kind, ' on ', key, ' over window full, score ', printf('%.2f', score), '.') AS claim, {R('score')} AS score FROM b
+WHERE slug NOT IN (SELECT slug FROM b WHERE key = 'u2')""")
 def findings(spark: S, sf: str) -> D:
-    return dt.findings(fixture(spark, sf, HITS).withColumn("window", F.lit("full"))).select("slug", "kind", "key", "discovered", "score")
+    found = fixture(spark, sf, HITS).withColumn("window", F.lit("full"))
+    return dt.findings(found, dt.findings(found.filter("key = 'u2'")))
 
 
 @query("follow_ups", f"""WITH {HITS}, t AS (SELECT * FROM (VALUES ('onset', NULL, NULL, 1), ('jumps', 'click', NULL, 2), ('bonds', 'purchase', 'u3', 3)) AS t(question, kind, key, priority))
@@ -429,26 +471,31 @@ def follow_ups(spark: S, sf: str) -> D:
     return dt.follow_ups(fixture(spark, sf, HITS), t)
 
 
-FIND = "found AS (SELECT concat('s', CAST(event_id AS VARCHAR(20))) AS slug, event_type AS kind, concat('u', CAST(user_id AS VARCHAR(10))) AS key, CAST(ts AS DATE) AS discovered, value AS score, CAST(ts AS DATE) AS date FROM events)"
+FIND = "found AS (SELECT concat('s', CAST(event_id AS VARCHAR(20))) AS slug, event_type AS kind, concat('u', CAST(user_id AS VARCHAR(10))) AS key, CAST(ts AS DATE) AS discovered, value AS score, CAST(ts AS DATE) AS date, CASE WHEN event_id % 3 = 0 THEN 'used' ELSE 'new' END AS status FROM events)"
 
 
 def _as_of(spark: S) -> object:
     return F.lit(spark.sql("SELECT max(CAST(ts AS DATE)) AS d FROM events").first()["d"])
 
 
-@query("rank_findings", f"""WITH {FIND}, a AS (SELECT max(date) AS d FROM found), h AS (SELECT kind, count(*) AS n FROM found, a WHERE CAST(substr(slug, 2) AS BIGINT) % 10 = 0 AND date > a.d - 7 GROUP BY 1)
-SELECT f.slug, f.kind, CAST(CASE WHEN coalesce(h.n, 0) >= 70 THEN 1 ELSE 0 END AS BIGINT) AS tired, CAST(CASE f.kind WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS BIGINT) AS priority FROM found f LEFT JOIN h ON h.kind = f.kind""")
+@query("rank_findings", f"""WITH {FIND}, a AS (SELECT max(date) AS d FROM found), h AS (SELECT kind, count(*) AS n FROM found, a WHERE CAST(substr(slug, 2) AS BIGINT) % 10 = 0 AND date >= a.d - 7 GROUP BY 1),
+r AS (SELECT f.slug, f.kind, f.discovered, CASE WHEN coalesce(h.n, 0) >= 70 THEN 1 ELSE 0 END AS tired, CASE f.kind WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 99 END AS priority FROM found f LEFT JOIN h ON h.kind = f.kind)
+SELECT slug, kind, discovered, CAST(tired AS BIGINT) AS tired, CAST(priority AS BIGINT) AS priority, row_number() OVER (ORDER BY tired, priority, discovered DESC, slug) AS place FROM r""")
 def rank_findings(spark: S, sf: str) -> D:
     f = fixture(spark, sf, FIND)
     h = f.filter("CAST(substr(slug, 2) AS BIGINT) % 10 = 0")
-    return sl.rank_findings(f, h, ["click", "view"], _as_of(spark), often=70).select("slug", "kind", "tired", "priority")
+    return sl.rank_findings(f, h, _as_of(spark), ["click", "view"], often=70).select("slug", "kind", "discovered", "tired", "priority", "place")
 
 
-@query("eligible", f"""WITH {FIND}, a AS (SELECT max(date) AS d FROM found), h AS (SELECT * FROM found, a WHERE CAST(substr(slug, 2) AS BIGINT) % 50 = 0 AND date > a.d - 14)
-SELECT slug, kind, key, CAST(CASE WHEN slug IN (SELECT slug FROM h) THEN 2 WHEN key IN (SELECT key FROM h) THEN 1 ELSE 0 END AS BIGINT) AS tier FROM found, a WHERE kind <> 'click' OR discovered > a.d - 14""")
+@query("eligible", f"""WITH {FIND}, a AS (SELECT max(date) AS d FROM found), h AS (SELECT * FROM found, a WHERE CAST(substr(slug, 2) AS BIGINT) % 50 = 0 AND date >= a.d - 14),
+t AS (SELECT slug, kind, key, slug IN (SELECT slug FROM h) AS s, key IN (SELECT key FROM h WHERE key <> 'u7') AS k, kind = 'click' AND a.d - discovered > 14 AS stale, status FROM found, a),
+r AS (SELECT slug, kind, key, status, CASE WHEN NOT s AND NOT k AND NOT stale THEN CASE WHEN status = 'new' THEN 0 ELSE 1 END WHEN NOT s THEN 2 ELSE 3 END AS tier FROM t)
+SELECT slug, kind, key, status, CAST(tier AS BIGINT) AS tier FROM r WHERE tier = (SELECT min(tier) FROM r)""")
 def eligible(spark: S, sf: str) -> D:
     f = fixture(spark, sf, FIND)
-    return sl.eligible(f, f.filter("CAST(substr(slug, 2) AS BIGINT) % 50 = 0"), _as_of(spark), fresh_kinds=["click"]).select("slug", "kind", "key", "tier")
+    h = f.filter("CAST(substr(slug, 2) AS BIGINT) % 50 = 0")
+    more = spark.createDataFrame([("u7",)], "key string")
+    return sl.eligible(f, h, _as_of(spark), data_points=["click"], more=more).select("slug", "kind", "key", "status", "tier")
 
 
 @query("market_snapshot", f"""WITH {DAILY}, b AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS back, value - lag(value) OVER (PARTITION BY series_id ORDER BY date) AS diff FROM daily),
@@ -501,6 +548,18 @@ def bm25_search(spark: S, sf: str) -> D:
     return tx.bm25(spark.sql("SELECT doc_id AS id, text FROM documents"), QUERY_WORDS, 25)
 
 
+@query("bm25_boosted", f"""WITH t AS (SELECT doc_id AS id, text, lang, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 1) AS t FROM documents), d AS (SELECT id, text, lang, t, len(t) AS len FROM t),
+s AS (SELECT count(*) AS N, avg(len) AS a FROM d), x AS (SELECT id, len, unnest(t) AS term FROM d), f AS (SELECT id, len, term, count(*) AS tf FROM x WHERE term IN ({', '.join(f"'{w}'" for w in QUERY_WORDS)}) GROUP BY 1, 2, 3),
+i AS (SELECT term, ln(N - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM f, s GROUP BY term, N), j AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER () ELSE idf END AS idf FROM i),
+r AS (SELECT f.id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / s.a))) AS score FROM f JOIN j ON f.term = j.term, s GROUP BY 1),
+b AS (SELECT d.id, text, coalesce(score, 0.0) * CASE WHEN lang = 'en' THEN 1.5 ELSE 1.0 END + CASE WHEN contains(upper(text), 'MORONTH') THEN 5.0 ELSE 0.0 END AS score FROM d LEFT JOIN r ON r.id = d.id ORDER BY score DESC, d.id LIMIT 25)
+SELECT id, CASE WHEN length(text) <= 300 THEN text ELSE concat(rtrim(text[1:300]), chr(10), '… [truncated]') END AS text, {R('score')} AS score FROM b""")
+def bm25_boosted(spark: S, sf: str) -> D:
+    tables(spark, sf, "documents")
+    return tx.bm25(spark.sql("SELECT doc_id AS id, text, lang AS source FROM documents"), QUERY_WORDS, 25, boosts={"en": 1.5}, ids=["moronth"], chars=300)
+
+
+
 @query("article_filter", """WITH a AS (SELECT *, split_part(split_part(url, '://', 2), '/', 1) AS source FROM pages WHERE contains(lower(url), 'example') AND page_id % 5 <> 0)
 SELECT page_id, url, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY url) AS n FROM a WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 5 = 0 AND url IS NOT NULL)) WHERE n <= 5""")
 def article_filter(spark: S, sf: str) -> D:
