@@ -9,7 +9,7 @@ same numbered k-mers are minimal and stand in the same order, so moves and edits
 MinHash would not see them.
 
 Function LANES * i + j orders by lane j (seven bits) of the i-th hash, then by further bits of another one, then by
-place. Only k-mers with a small lane can be minimal. How small follows the length of the text, so that ten or more
+place. Only k-mers with a small lane can be minimal. How small follows the length of the text, so that five or more
 are left for each function on average; with a hash as a vector of lanes, one addition tells which of them are small.
 A function that is left with fewer than l looks at all k-mers.
 
@@ -33,7 +33,7 @@ PLACE = (1 << PLACE_BITS) - 1
 #: Bits of an order value in a packed entry; the place stands below them.
 ORDER_BITS = 32
 #: Hashes, functions of a hash, k-mers that a function is left with at least on average, rows of a range.
-HASHES, LANES, LEFT, ROWS = 3, 7, 10, 50_000
+HASHES, LANES, LEFT, ROWS = 3, 7, 5, 50_000
 
 
 def _lanes(value: int) -> int:
