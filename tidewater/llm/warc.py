@@ -92,10 +92,8 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("page_id", "target_uri", "place")]
     size = F.octet_length("payload").cast("string")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "), size, F.lit("\r\n"))
-    payload_digest = digest(F.col("payload"))
     fields = {
-        "WARC-Payload-Digest": payload_digest,
-        "WARC-Block-Digest": digest(F.concat(http, F.lit("\r\n"), "payload")),
+        "WARC-Payload-Digest": digest(F.col("payload")),
         "Content-Type": F.lit("application/http; msgtype=response"),
         "Content-Length": (F.octet_length(http) + 2 + F.octet_length("payload")).cast("string"),
     }
