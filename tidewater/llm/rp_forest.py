@@ -12,6 +12,9 @@ each chunk gives its k nearest by exact distance in double precision; the best k
 The forest and the leaf sizes are bounded by the sample and are broadcast. Queries of a leaf are cut into
 chunks too, so no task holds more than ``CHUNK`` vectors and ``CHUNK`` queries of a leaf.
 
+On vectors without structure (64 independent dimensions, as in the test tables) the candidates that a recall of 0.9
+takes grow almost as the table does; ``share`` is chosen for them. Clustered vectors need far fewer.
+
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with null
 ids, take no part; so do vectors whose length is not the most common one of the sample. Equal distances go to
 the smaller vec_id; rows equal in id and vector count once; with fewer than k candidates all are returned.
@@ -180,7 +183,9 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10, trees: int = 8,
         [(t, leaf, -(-n // CHUNK), -(-wanted[t, leaf] // CHUNK)) for (t, leaf), n in sizes.items() if (t, leaf) in wanted],
         "tree int, leaf bigint, chunks int, asked int",
     )
-    bins = max(16, trees * total // 20_000)
+    # rows that meet in the bins, copies for chunks included
+    copies = sum(n * -(-wanted[u] // CHUNK) + wanted[u] * -(-n // CHUNK) for u, n in sizes.items() if u in wanted)
+    bins = max(16, copies // 20_000)
     cut = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     unit = F.pmod(F.xxhash64("tree", "leaf", "part", "turn"), F.lit(bins)).cast("int")
