@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stored import shared_folder, swept, written
+
+__all__ = ["NULL_ID", "free", "let", "row_key", "shared_folder", "small_batches", "swept", "table", "whole_text", "written"]
+
 #: Stands for a null document id in keys; real ids are taken to be larger.
 NULL_ID = -(2**63)
 
@@ -44,51 +45,6 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset and all runs in one process."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here and its size is known to the planner.
-
-    Results are lazy, so the tables stay until the caller no longer needs them: the folder is the job's own, and
-    ``swept`` clears what a block of code wrote.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for paths in _OPEN:
-        paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_OPEN: list[list[str]] = []
-
-
-@contextmanager
-def swept(spark: SparkSession) -> Iterator[None]:
-    """Removes, at its end, the tables that were written inside it; results must be stored before."""
-    paths: list[str] = []
-    _OPEN.append(paths)
-    try:
-        yield
-    finally:
-        _OPEN.remove(paths)
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in paths:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-
-
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Python workers of this session get texts by so many bytes at a time at most, however many rows that is."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
