@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def job_health(runs: DataFrame, as_of: Column, stale_hours: int = 30) -> DataFrame:
-    """script, last_run, last_success, runs, trailing_failures, status of every job."""
+def job_health(runs: DataFrame, as_of: Column, stale_hours: int = 30, limits: dict[str, int] | None = None) -> DataFrame:
+    """script, last_run, last_success, runs, trailing_failures, status of every job; limits: hours of jobs that have
+    other ones than the rest."""
     success = F.when(F.col("success"), F.col("finished_at"))
     g = runs.groupBy("script").agg(F.max("finished_at").alias("last_run"), F.max(success).alias("last_success"), F.count("*").alias("runs"))
     late = runs.join(g.select("script", "last_success"), "script").filter(~F.col("success") & (F.col("last_success").isNull() | (F.col("finished_at") > F.col("last_success"))))
     fails = late.groupBy("script").agg(F.count("*").alias("f"))
     d = g.join(fails, "script", "left").withColumn("trailing_failures", F.coalesce("f", F.lit(0).cast("bigint"))).drop("f")
     hours = (F.unix_timestamp(as_of) - F.unix_timestamp("last_run")) / 3600
-    status = F.when(F.col("trailing_failures") >= 3, "error").when((F.col("trailing_failures") >= 1) | (hours > stale_hours), "warn").otherwise("ok")
+    most = F.lit(stale_hours)
+    for script, limit in (limits or {}).items():
+        most = F.when(F.col("script") == script, limit).otherwise(most)
+    status = F.when(F.col("trailing_failures") >= 3, "error").when((F.col("trailing_failures") >= 1) | (hours > most), "warn").otherwise("ok")
     return d.withColumn("status", status)
 
 

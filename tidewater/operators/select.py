@@ -120,14 +120,46 @@ def keyword_to_series(texts: DataFrame, keywords: DataFrame, first: int = 3) ->
     return hit.withColumn("place", place).filter(F.col("place") <= first).select("id", F.col("place").cast("bigint").alias("place"), "series_id")
 
 
+def _or_dash(x: Column, text: Column) -> Column:
+    return F.when(x.isNull() | F.isnan(x.cast("double")), F.lit("—")).otherwise(text)
+
+
 def format_percent(x: Column, digits: int = 2) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f%%", x), F.lit("—"))
+    """Of a value that is in percent."""
+    return _or_dash(x, F.format_string(f"%.{digits}f%%", x))
 
 
-def format_bp(x: Column) -> Column:
-    return F.coalesce(F.format_string("%+.0f bp", x * 100), F.lit("—"))
+def format_bp(x: Column, digits: int = 0) -> Column:
+    return _or_dash(x, F.format_string(f"%+.{digits}f bp", x * 100))
 
 
 def format_level(x: Column) -> Column:
+    """Three decimals below 1, two below 10, one below 100, none above; thousands with commas."""
     a = F.abs(x)
-    return F.when(x.isNull(), "—").when(a >= 1000, F.format_number(x, 0)).when(a >= 10, F.format_string("%.1f", x)).otherwise(F.format_string("%.2f", x))
+    by_size = F.when(a >= 100, F.format_string("%,.0f", x)).when(a >= 10, F.format_string("%.1f", x)).when(a >= 1, F.format_string("%.2f", x))
+    return _or_dash(x, by_size.otherwise(F.format_string("%.3f", x)))
+
+
+def format_z(z: Column, digits: int = 1) -> Column:
+    return _or_dash(z, F.format_string(f"%+.{digits}fσ", z))
+
+
+def format_corr(r: Column, digits: int = 0, signed: bool = True) -> Column:
+    return _or_dash(r, F.format_string(f"%{'+' if signed else ''}.{digits}f%%", r * 100))
+
+
+def format_pp(x: Column, digits: int = 2) -> Column:
+    return _or_dash(x, F.format_string(f"%+.{digits}f pp", x))
+
+
+def format_percentile(p: Column, digits: int = 0) -> Column:
+    return _or_dash(p, F.format_string(f"%.{digits}fth pct", p * 100))
+
+
+def format_date(d: Column, style: str = "iso") -> Column:
+    pattern = {"iso": "yyyy-MM-dd", "long": "MMM dd, yyyy", "ym": "MMM yyyy"}[style]
+    return F.coalesce(F.date_format(d, pattern), F.lit("—"))
+
+
+def format_range(low: Column, high: Column) -> Column:
+    return F.concat(format_level(low), F.lit(" – "), format_level(high))

@@ -236,10 +236,11 @@ def in_interval(spark: S, sf: str) -> D:
     return ev.in_interval(fixture(spark, sf, MONTHLY), episodes(spark))
 
 
-@query("grouped_ols", f"""WITH {MONTHLY}, {PAIRS}, m AS (SELECT pair_id, regr_slope(b, a) AS s, regr_intercept(b, a) AS i, count(*) AS n, regr_r2(b, a) AS r2 FROM pairs GROUP BY 1)
-SELECT pair_id, 'a' AS term, {R('s')} AS beta, CAST(n AS BIGINT) AS n, {R('r2')} AS r2 FROM m UNION ALL SELECT pair_id, 'const', {R('i')}, CAST(n AS BIGINT), {R('r2')} FROM m""")
+@query("grouped_ols", f"""WITH {MONTHLY}, {PAIRS}, m AS (SELECT pair_id, regr_slope(b, a) AS s, regr_intercept(b, a) AS i, count(*) AS n, regr_r2(b, a) AS r2, regr_sxx(b, a) AS sxx, avg(a) AS ma, regr_syy(b, a) * (1 - regr_r2(b, a)) AS rss FROM pairs GROUP BY 1)
+SELECT pair_id, 'a' AS term, {R('s')} AS beta, {R('sqrt(rss / (n - 2) / sxx)')} AS se, CAST(n AS BIGINT) AS n, {R('r2')} AS r2, {R('rss')} AS rss FROM m
+UNION ALL SELECT pair_id, 'const', {R('i')}, {R('sqrt(rss / (n - 2) * (1.0 / n + ma * ma / sxx))')}, CAST(n AS BIGINT), {R('r2')}, {R('rss')} FROM m""")
 def grouped_ols(spark: S, sf: str) -> D:
-    return rg.grouped_ols(fixture(spark, sf, MONTHLY, PAIRS), "b", ["a"], ["pair_id"]).drop("se", "rss")
+    return rg.grouped_ols(fixture(spark, sf, MONTHLY, PAIRS), "b", ["a"], ["pair_id"])
 
 
 @query("hac_ols")
@@ -602,11 +603,15 @@ def table_cells(spark: S, sf: str) -> D:
 
 
 @query("job_health", f"""WITH {RUNS}, g AS (SELECT script, max(finished_at) AS last_run, max(CASE WHEN success THEN finished_at END) AS last_success, count(*) AS runs FROM runs GROUP BY 1),
-f AS (SELECT r.script, count(*) AS f FROM runs r JOIN g ON r.script = g.script WHERE NOT success AND (last_success IS NULL OR finished_at > last_success) GROUP BY 1)
-SELECT g.script, CAST(g.runs AS BIGINT) AS runs, CAST(coalesce(f, 0) AS BIGINT) AS trailing_failures, CASE WHEN coalesce(f, 0) >= 3 THEN 'error' WHEN coalesce(f, 0) >= 1 THEN 'warn' ELSE 'ok' END AS status FROM g LEFT JOIN f ON f.script = g.script""")
+f AS (SELECT r.script, count(*) AS f FROM runs r JOIN g ON r.script = g.script WHERE NOT success AND (last_success IS NULL OR finished_at > last_success) GROUP BY 1),
+s AS (SELECT g.*, coalesce(f, 0) AS f, (CAST(epoch((SELECT max(finished_at) + INTERVAL 40 HOUR FROM runs)) AS BIGINT) - CAST(floor(epoch(last_run)) AS BIGINT)) / 3600.0 AS hours FROM g LEFT JOIN f ON f.script = g.script)
+SELECT script, CAST(floor(epoch(last_run)) AS BIGINT) AS last_run, CAST(floor(epoch(last_success)) AS BIGINT) AS last_success, CAST(runs AS BIGINT) AS runs, CAST(f AS BIGINT) AS trailing_failures,
+ CASE WHEN f >= 3 THEN 'error' WHEN f >= 1 OR hours > CASE WHEN script = 'click' THEN 50 ELSE 30 END THEN 'warn' ELSE 'ok' END AS status FROM s""")
 def job_health(spark: S, sf: str) -> D:
     r = fixture(spark, sf, RUNS)
-    return mo.job_health(r, F.lit(r.agg(F.max("finished_at")).first()[0])).select("script", "runs", "trailing_failures", "status")
+    as_of = r.agg(F.max("finished_at") + F.expr("INTERVAL 40 HOURS")).first()[0]
+    h = mo.job_health(r, F.lit(as_of), limits={"click": 50})
+    return h.withColumns({c: F.unix_timestamp(c) for c in ("last_run", "last_success")})
 
 
 @query("latest_runs", f"WITH {RUNS} SELECT script, success, event_id, CAST(n AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY script ORDER BY finished_at DESC, event_id DESC) AS n FROM runs) WHERE n <= 3")
@@ -627,10 +632,15 @@ def backlog(spark: S, sf: str) -> D:
     return mo.backlog(fixture(spark, sf, FIND), _as_of(spark))
 
 
-@query("formatted_levels")
+@query("formatted_levels", f"""WITH {MONTHLY} SELECT series_id, date, CASE WHEN value >= 100 THEN printf('%.0f', value) WHEN value >= 10 THEN printf('%.1f', value) WHEN value >= 1 THEN printf('%.2f', value) ELSE printf('%.3f', value) END AS level,
+ printf('%.2f%%', value) AS percent, printf('%+.0f bp', value * 100) AS bp, printf('%+.1fσ', value) AS z, printf('%+.0f%%', value * 100) AS corr, printf('%+.2f pp', value) AS pp, printf('%.0fth pct', value * 100) AS pct,
+ strftime(date, '%b %d, %Y') AS long, strftime(date, '%b %Y') AS ym FROM monthly WHERE value < 1000""")
 def formatted_levels(spark: S, sf: str) -> D:
-    v = F.col("value")
-    return fixture(spark, sf, MONTHLY).select("series_id", "date", sl.format_level(v).alias("level"), sl.format_percent(v).alias("percent"), sl.format_bp(v).alias("bp"))
+    v, d = F.col("value"), F.col("date")
+    return fixture(spark, sf, MONTHLY).filter("value < 1000").select(
+        "series_id", "date", sl.format_level(v).alias("level"), sl.format_percent(v).alias("percent"), sl.format_bp(v).alias("bp"), sl.format_z(v).alias("z"), sl.format_corr(v).alias("corr"),
+        sl.format_pp(v).alias("pp"), sl.format_percentile(v).alias("pct"), sl.format_date(d, "long").alias("long"), sl.format_date(d, "ym").alias("ym"),
+    )
 
 
 CAL = """cal AS (SELECT DISTINCT CAST(ascii(o_orderpriority) AS INT) AS release_id, concat('Release ', o_orderpriority) AS release_name, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS release_date FROM orders)"""
@@ -657,12 +667,19 @@ def release_match(spark: S, sf: str) -> D:
     return sl.release_match(keys, cal, members, F.lit(TODAY).cast("date"), ["Urgent", "LOW"], 10)
 
 
-@query("seeds", f"""WITH {HITS}, b AS (SELECT kind, key, max(score) AS s FROM hits GROUP BY 1, 2)
-SELECT regexp_replace(lower(concat(kind, '-', key, '-2024-05-01')), '[^a-z0-9]+', '-', 'g') AS id, kind AS detector, key, {R('s')} AS priority_score, DATE '2024-05-08' AS expires FROM b""")
+#: Hits that name the monthly series.
+NAMED = "named AS (SELECT kind, series_id AS key, h.date AS date, score FROM hits h JOIN (SELECT DISTINCT series_id FROM monthly) m ON ascii(substr(series_id, 5)) - 49 = CAST(substr(key, 2) AS INT) % 7)"
+
+
+@query("seeds", f"""WITH {MONTHLY}, {HITS}, {NAMED}, b AS (SELECT kind, key, max(score) AS s FROM named GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS back, first_value(value) OVER (PARTITION BY series_id ORDER BY date DESC) AS latest FROM monthly),
+k AS (SELECT series_id, any_value(latest) AS value, max(date) AS date, (any_value(latest) - avg(value)) / stddev_samp(value) AS z_full, avg(CASE WHEN back <= 120 THEN CASE WHEN value <= latest THEN 1.0 ELSE 0.0 END END) AS pct_10y FROM o GROUP BY 1)
+SELECT regexp_replace(lower(concat(kind, '-', key, '-2024-05-01')), '[^a-z0-9]+', '-', 'g') AS id, kind AS detector, key, {R('value')} AS stat_value, k.date AS stat_date, {R('z_full')} AS stat_z, {R('pct_10y')} AS stat_pct, {R('s')} AS priority_score, DATE '2024-05-01' AS created, DATE '2024-05-08' AS expires, false AS used FROM b JOIN k ON series_id = key""")
 def seeds(spark: S, sf: str) -> D:
     snap = sl.series_snapshot(fixture(spark, sf, MONTHLY))
-    made = dt.seeds(fixture(spark, sf, HITS), snap, F.lit("2024-05-01").cast("date"))
-    return made.select("id", "detector", "key", "priority_score", "expires")
+    made = dt.seeds(fixture(spark, sf, MONTHLY, HITS, NAMED), snap, F.lit("2024-05-01").cast("date"))
+    stat = F.col("key_stats")[F.col("key")]
+    fields = [stat["value"].alias("stat_value"), stat["date"].alias("stat_date"), stat["z_full"].alias("stat_z"), stat["pct_10y"].alias("stat_pct")]
+    return made.select("id", "detector", "key", *fields, "priority_score", "created", "expires", "used")
 
 
 @query("pick_seed", f"""WITH {HITS}, b AS (SELECT kind, key, max(score) AS s FROM hits WHERE key <> 'u1' GROUP BY 1, 2)

@@ -370,18 +370,23 @@ def detect_jumps(spark: S, sf: str) -> D:
     return st.jumps(fixture(spark, sf, DAILY), threshold=2.5)
 
 
+def _levels(most: int) -> str:
+    """The best segmentations with up to so many breaks, each from the ones with a break less."""
+    step = "SELECT c.series_id, c.j, c.n, min(b.rss + c.cost) AS rss, arg_min(list_append(b.brk, c.i), b.rss + c.cost) AS brk FROM c JOIN b{} b ON b.series_id = c.series_id AND b.j = c.i GROUP BY 1, 2, 3"
+    return ", ".join(["b0 AS (SELECT series_id, j, n, cost AS rss, CAST([] AS BIGINT[]) AS brk FROM c WHERE i = 0)", *[f"b{k} AS ({step.format(k - 1)})" for k in range(1, most + 1)]])
+
+
 @query("structural_breaks", f"""
 WITH {MONTHLY}, p AS (SELECT series_id, row_number() OVER w AS j, count(*) OVER (PARTITION BY series_id) AS n, sum(x) OVER w AS s1, sum(x * x) OVER w AS s2
   FROM (SELECT series_id, date, value - avg(value) OVER (PARTITION BY series_id) AS x FROM monthly) WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS UNBOUNDED PRECEDING)),
 z AS (SELECT series_id, j AS i, s1 AS t1, s2 AS t2 FROM p UNION ALL SELECT DISTINCT series_id, 0, 0.0, 0.0 FROM p),
-c AS (SELECT p.series_id, z.i, p.j, p.n, greatest(s2 - t2 - (s1 - t1) * (s1 - t1) / (p.j - z.i), 0) AS cost FROM p JOIN z ON p.series_id = z.series_id AND p.j - z.i >= 6),
-b0 AS (SELECT series_id, j, n, cost AS rss FROM c WHERE i = 0),
-b1 AS (SELECT c.series_id, c.j, c.n, min(b.rss + c.cost) AS rss FROM c JOIN b0 b ON b.series_id = c.series_id AND b.j = c.i GROUP BY 1, 2, 3),
-b2 AS (SELECT c.series_id, c.j, c.n, min(b.rss + c.cost) AS rss FROM c JOIN b1 b ON b.series_id = c.series_id AND b.j = c.i GROUP BY 1, 2, 3),
-a AS (SELECT 0 AS k, * FROM b0 UNION ALL SELECT 1, * FROM b1 UNION ALL SELECT 2, * FROM b2)
-SELECT series_id, CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n, {R('rss')} AS rss, {R('n * ln(greatest(rss, 1e-12) / n) + (k + 1) * ln(n)')} AS bic FROM a WHERE j = n""")
+c AS (SELECT p.series_id, z.i, p.j, p.n, greatest(s2 - t2 - (s1 - t1) * (s1 - t1) / (p.j - z.i), 0) AS cost FROM p JOIN z ON p.series_id = z.series_id AND p.j - z.i >= greatest(p.n // 7, 3)),
+{_levels(5)}, a AS ({' UNION ALL '.join(f'SELECT {k} AS k, * FROM b{k}' for k in range(6))}),
+r AS (SELECT *, n * ln(greatest(rss, 1e-12) / n) + (k + 1) * ln(n) AS bic FROM a WHERE j = n)
+SELECT series_id, CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n, {R('rss')} AS rss, {R('bic')} AS bic, coalesce(array_to_string(brk, ','), '') AS breaks, row_number() OVER (PARTITION BY series_id ORDER BY bic, k) = 1 AS best FROM r""")
 def structural_breaks(spark: S, sf: str) -> D:
-    return st.structural_breaks(fixture(spark, sf, MONTHLY), 2, 6).drop("breaks", "best")
+    b = st.structural_breaks(fixture(spark, sf, MONTHLY))
+    return b.withColumn("breaks", F.array_join(F.col("breaks").cast("array<string>"), ","))
 
 
 @query("corr_matrix", f"""
