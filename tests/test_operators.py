@@ -338,3 +338,30 @@ def test_written_tables_are_cleared(spark, tmp_path):
     import os
 
     assert not os.path.exists(path)
+
+
+def test_align_finest_builds_the_grid(spark):
+    o = spark.createDataFrame(
+        [("p", "q", "Q", month(0), 1.0), ("p", "q", "Q", month(6), 3.0), ("p", "m", "M", month(2), 9.0), ("p", "m", "M", month(8), 8.0), ("z", "only", "Q", month(0), 5.0)],
+        "panel_id string, series_id string, freq string, date date, value double",
+    )
+    got = {(r["series_id"], r["date"]): r["value"] for r in rows(align.align(o, "finest"), "date")}
+    assert [got["q", month(i)] for i in (0, 1, 2, 3, 5, 6, 8)] == [1, 1, 1, 1, 1, 3, 3] and ("q", month(7)) not in got
+    assert got["m", month(2)] == got["m", month(6)] == 9.0 and ("m", month(1)) not in got and got["only", month(0)] == 5.0
+    bare = {(r["series_id"], r["date"]): r["value"] for r in rows(align.align(o, "finest", ffill=False), "date")}
+    assert bare["q", month(1)] is None and bare["m", month(8)] == 8.0 and ("m", month(3)) not in bare
+    both = rows(align.align(o, "finest", dropna="any"), "date")
+    assert min(r["date"] for r in both if r["panel_id"] == "p") == month(2)
+    some = rows(align.align(o, "finest", ffill=False, dropna="all"), "date")
+    assert {r["date"] for r in some if r["panel_id"] == "p"} == {month(0), month(2), month(6), month(8)}
+
+
+def test_metadata_and_seed_cooldown(spark):
+    meta = spark.createDataFrame([("a", "x"), ("b", "y")], "series_id string, partition string")
+    assert observations.series_metadata(meta, "a")["partition"] == "x"
+    with pytest.raises(KeyError):
+        observations.series_metadata(meta, "none")
+    assert observations.available_series(meta).count() == 2 and observations.available_series(meta, "y").count() == 1
+    seeds = spark.createDataFrame([("x", "k1", False, day(30), True, 9.0), ("y", "k2", False, day(30), False, 1.0)], "id string, key string, used boolean, expires date, upcoming boolean, priority_score double")
+    shown = spark.createDataFrame([("k1",)], "key string")
+    assert select.pick_seed(seeds, F.lit(day(1)).cast("date"), shown).first()["id"] == "y"

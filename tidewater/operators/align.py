@@ -57,29 +57,53 @@ def upsample_daily(obs: DataFrame, keys: list[str] | None = None, business: bool
     return both.withColumn("value", last).filter("on = 1").drop("on")
 
 
-def align(obs: DataFrame, how: str = "coarsest", agg: str = "last", ffill: bool = True) -> DataFrame:
+#: Time between the labels of a frequency's periods.
+STEPS = {"A": "1 year", "SA": "6 months", "Q": "3 months", "M": "1 month", "BW": "14 days", "W": "7 days", "D": "1 day"}
+
+
+def align(obs: DataFrame, how: str = "coarsest", agg: str = "last", ffill: bool = True, dropna: str = "none") -> DataFrame:
     """All series of a panel_id at its coarsest or finest frequency; obs has panel_id and freq as well.
 
-    Rows are long. With "finest", and ffill, each series also has a row for every date of its panel after
-    its first, with the last value before.
+    Rows are long. With "finest", a series that is coarser has a row for every period of the panel's frequency between
+    its first and its last; with ffill, each series also has one for every other date of its panel after its first; both
+    hold the last value before (without ffill: none). dropna "any" keeps the dates for which all series of the panel have
+    a value, "all" those for which any has, "none" all.
     """
     rank = F.array_position(F.array(*[F.lit(f) for f in FREQUENCIES]), F.col("freq"))
+    ranked = obs.withColumn("rank", rank)
     best = (F.min if how == "coarsest" else F.max)("rank")
-    panel = obs.withColumn("rank", rank).groupBy("panel_id").agg(best.alias("best"))
-    joined = obs.join(F.broadcast(panel), "panel_id")  # a row for each panel of the registry
+    panel = ranked.groupBy("panel_id").agg(best.alias("best"))
+    joined = ranked.join(panel.hint("merge"), "panel_id")
     label = F.lit(None).cast("date")
     for i, f in enumerate(FREQUENCIES, 1):
         label = F.when(F.col("best") == i, bucket(F.col("date"), f)).otherwise(label)
     value = F.max_by("value", "date") if agg == "last" else F.avg("value")
-    rows = joined.filter(F.col("value").isNotNull()).groupBy("panel_id", "series_id", label.alias("date")).agg(value.alias("value"))
-    if how == "coarsest" or not ffill:
-        return rows
-    dates = rows.select("panel_id", "date").distinct()
-    series = rows.groupBy("panel_id", "series_id").agg(F.min("date").alias("since"))
-    grid = dates.join(series, "panel_id").filter("date >= since").drop("since")
-    order = Window.partitionBy("panel_id", "series_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    full = grid.join(rows, ["panel_id", "series_id", "date"], "left")
-    return full.withColumn("value", F.last("value", ignorenulls=True).over(order))
+    labelled = joined.filter(F.col("value").isNotNull()).withColumn("label", label)
+    full = labelled.groupBy("panel_id", "series_id", F.col("label").alias("date"), "rank", "best").agg(value.alias("value"))
+    if how == "finest":
+        every = Window.partitionBy("panel_id", "series_id").orderBy("date")
+        upto = F.when(F.col("rank") < F.col("best"), F.date_sub(F.lead("date").over(every), 1))  # of coarser series: until the next
+        periods = F.lit(None).cast("array<date>")
+        for i, f in enumerate(FREQUENCIES, 1):
+            periods = F.when(F.col("best") == i, F.sequence("date", "upto", F.expr(f"INTERVAL {STEPS[f]}"))).otherwise(periods)
+        full = full.withColumn("upto", F.coalesce(upto, F.col("date"))).withColumn("at", F.explode(periods))
+        held = F.when(F.lit(ffill) | (F.col("at") == F.col("date")), F.col("value"))
+        full = full.select("panel_id", "series_id", F.col("at").alias("date"), held.alias("value"))
+        if ffill:
+            since = full.groupBy("panel_id", "series_id").agg(F.min("date").alias("since"))
+            dates = full.select("panel_id", "date").distinct()
+            grid = dates.join(since.hint("merge"), "panel_id").filter("date >= since").drop("since")
+            full = grid.join(full.hint("merge"), ["panel_id", "series_id", "date"], "left")
+            full = full.withColumn("value", F.last("value", ignorenulls=True).over(every.rowsBetween(Window.unboundedPreceding, 0)))
+    full = full.select("panel_id", "series_id", "date", "value")
+    if dropna == "none":
+        return full
+    if dropna == "all":
+        some = full.filter("value IS NOT NULL").select("panel_id", "date").distinct()
+        return full.join(some.hint("merge"), ["panel_id", "date"], "left_semi")
+    members = obs.groupBy("panel_id").agg(F.count_distinct("series_id").alias("members"))
+    whole = full.groupBy("panel_id", "date").agg(F.count("value").alias("there")).join(members.hint("merge"), "panel_id").filter("there = members")
+    return full.join(whole.select("panel_id", "date").hint("merge"), ["panel_id", "date"], "left_semi")
 
 
 def returns(obs: DataFrame, kind: str = "pct", periods: int = 1, keys: list[str] | None = None) -> DataFrame:

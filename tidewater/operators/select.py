@@ -62,9 +62,14 @@ def release_match(findings: DataFrame, releases: DataFrame, members: DataFrame,
     return findings.join(keys, "key", "left").withColumn("upcoming", F.coalesce("__u", F.lit(False))).drop("__u")
 
 
-def pick_seed(seeds: DataFrame, as_of: Column) -> DataFrame:
-    """The one unused seed that has not expired: with an upcoming release first, then by priority and id."""
+def pick_seed(seeds: DataFrame, as_of: Column, shown: DataFrame | None = None) -> DataFrame:
+    """The one unused seed that has not expired: with an upcoming release first, then by priority and id.
+
+    shown: keys (column key) of the last days, which are left out.
+    """
     live = seeds.filter((~F.col("used")) & (F.col("expires") >= as_of))
+    if shown is not None:
+        live = live.join(shown.select("key").distinct().hint("merge"), "key", "left_anti")
     return live.orderBy(F.desc("upcoming"), F.desc("priority_score"), "id").limit(1)
 
 

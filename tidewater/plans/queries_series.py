@@ -197,6 +197,32 @@ def align_finest(spark: S, sf: str) -> D:
     return al.align(fixture(spark, sf, MONTHLY, QUARTERLY, PANEL), "finest")
 
 
+@query("align_complete", f"""
+WITH {MONTHLY}, {QUARTERLY}, {PANEL}, d AS (SELECT DISTINCT panel_id, date FROM panel), s AS (SELECT DISTINCT panel_id, series_id FROM panel),
+f AS (SELECT d.panel_id, s.series_id, d.date, p.value FROM d JOIN s ON d.panel_id = s.panel_id ASOF JOIN panel p ON p.panel_id = d.panel_id AND p.series_id = s.series_id AND d.date >= p.date)
+SELECT panel_id, series_id, date, {R('value')} AS value FROM f WHERE (panel_id, date) IN (SELECT (g.panel_id, g.date) FROM f g GROUP BY g.panel_id, g.date HAVING count(*) = (SELECT count(*) FROM s WHERE s.panel_id = g.panel_id))""")
+def align_complete(spark: S, sf: str) -> D:
+    return al.align(fixture(spark, sf, MONTHLY, QUARTERLY, PANEL), "finest", dropna="any")
+
+
+@query("available_series", f"WITH {DAILY} SELECT DISTINCT series_id FROM daily WHERE series_id < 'ORD.4'")
+def available_series(spark: S, sf: str) -> D:
+    meta = fixture(spark, sf, DAILY).groupBy("series_id").agg(F.max("date").alias("last")).withColumn("partition", F.when(F.col("series_id") < "ORD.4", "high").otherwise("low"))
+    return src.available_series(meta, "high")
+
+
+@query("refresh_log", f"""
+WITH {DAILY}, {OLD}, {NEW}, m AS (SELECT coalesce(o.series_id, n.series_id) AS series_id, coalesce(o.date, n.date) AS date FROM old o FULL JOIN new n ON o.series_id = n.series_id AND o.date = n.date)
+SELECT series_id, max(date) AS last_observation_date, DATE '2024-05-01' AS last_fetched_at, true AS stamped FROM m WHERE series_id IN (SELECT series_id FROM new) GROUP BY 1""")
+def refresh_log(spark: S, sf: str) -> D:
+    old, new = fixture(spark, sf, OLD), fixture(spark, sf, DAILY, NEW)
+    meta = old.select("series_id").distinct().withColumn("last_refreshed", F.lit(None).cast("date"))
+    log = spark.createDataFrame([], "series_id string, last_fetched_at date, last_observation_date date, last_value_hash string")
+    _, stamped, log = ing.refresh(old, new, meta, log, F.lit("2024-05-01").cast("date"))
+    done = stamped.filter("last_refreshed = DATE '2024-05-01'").select("series_id", F.lit(True).alias("stamped"))
+    return log.filter("length(last_value_hash) = 64").join(done.hint("merge"), "series_id").drop("last_value_hash")
+
+
 @query("returns", f"""
 WITH {MONTHLY} SELECT series_id, date, {R('value / nullif(lag(value) OVER w, 0) - 1')} AS pct, {R('value / nullif(lag(value, 12) OVER w, 0) - 1')} AS yoy,
  {R('ln(value) - ln(lag(value) OVER w)')} AS log, {R('value - lag(value) OVER w')} AS diff FROM monthly WINDOW w AS (PARTITION BY series_id ORDER BY date)""")

@@ -21,6 +21,20 @@ def read_observations(spark: SparkSession, path: str, series_ids: list[str] | No
     return df.filter(F.col("series_id").isin(series_ids)) if series_ids is not None else df
 
 
+def series_metadata(metadata: DataFrame, series_id: str) -> dict:
+    """The stored row of one series; KeyError if there is none."""
+    row = metadata.filter(F.col("series_id") == series_id).first()
+    if row is None:
+        raise KeyError(f"no metadata of series {series_id!r}; refresh first")
+    return row.asDict()
+
+
+def available_series(metadata: DataFrame, partition: str | None = None) -> DataFrame:
+    """series_id of the stored series, or of those of one partition."""
+    rows = metadata if partition is None else metadata.filter(F.col("partition") == partition)
+    return rows.select("series_id")
+
+
 def keep_last(obs: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """One row for each key: the last by order."""
     w = Window.partitionBy(*keys).orderBy(order.desc())
