@@ -11,6 +11,7 @@ from . import (
     bpe,
     crf_toxicity,
     log_lines,
+    merkle,
     mixing,
     order_minhash,
     pii,
@@ -66,6 +67,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_warc": op2_warc,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op8_log_lines": op8_log_lines,
     "op9_rp_forest": op9_rp_forest,
     "op10_toxicity": op10_toxicity,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {"op4_mixing": mixing.SQL}
