@@ -13,6 +13,7 @@ from . import (
     log_lines,
     merkle,
     mixing,
+    norm_buckets,
     order_minhash,
     pii,
     rp_forest,
@@ -67,6 +68,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_buckets.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -82,7 +87,8 @@ QUERIES: dict[str, Query] = {
     "op8_log_lines": op8_log_lines,
     "op9_rp_forest": op9_rp_forest,
     "op10_toxicity": op10_toxicity,
+    "op11_norm_buckets": op11_norm_buckets,
     "op13_merkle": op13_merkle,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.SQL, "op11_norm_buckets": norm_buckets.SQL}
