@@ -217,7 +217,7 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64
             yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(rows)], axis=1)
 
     asked = rows.filter(is_query)
-    packed = asked.repartitionByRange(max(1, -(-total // (10 * QUERIES))), "dims", F.desc("length"), "vec_id").sortWithinPartitions(*order)
+    packed = asked.coalesce(max(1, -(-asked.count() // QUERIES))).sortWithinPartitions(*order)
     packed = packed.mapInPandas(_packs(QUERIES), f"ordinal int, {PACKED}").withColumn("block", F.concat_ws("-", F.spark_partition_id().cast("string"), F.col("ordinal").cast("string"))).drop("ordinal")
     blocks = written(packed.mapInPandas(block, f"{PACKED}, block string, floors binary, reach double"), "blocks")
     ends = written(index.groupBy("dims", "range").agg(F.max("longest").alias("end")), "ends")
