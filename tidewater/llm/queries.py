@@ -19,6 +19,7 @@ from . import (
     rp_forest,
     sentence_spans,
     simhash,
+    spelling,
     warc,
 )
 from .common import table
@@ -72,6 +73,10 @@ def op11_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_buckets.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -88,7 +93,8 @@ QUERIES: dict[str, Query] = {
     "op9_rp_forest": op9_rp_forest,
     "op10_toxicity": op10_toxicity,
     "op11_norm_buckets": op11_norm_buckets,
+    "op12_spelling": op12_spelling,
     "op13_merkle": op13_merkle,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": mixing.SQL, "op11_norm_buckets": norm_buckets.SQL}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.SQL, "op11_norm_buckets": norm_buckets.SQL, "op12_spelling": spelling.SQL}
