@@ -3,10 +3,12 @@
 import hashlib
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.llm import merkle
+from tidewater.llm.queries import ORACLES, QUERIES
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, tree string, pos string, node string"
 
@@ -103,3 +105,12 @@ def test_versions_share_all_but_ancestors(spark):
 
 def test_empty(spark):
     assert merkle.manifest(given(spark, [])).collect() == []
+
+
+def test_query_equals_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    cols = "doc_id, leaf, subroot, root, proof_sha256, folded_root, verified"
+    want = sorted(c.execute(f"SELECT {cols} FROM ({ORACLES['op13_merkle']})").fetchall(), key=str)
+    assert got(QUERIES["op13_merkle"](spark, sf)) == want and len(want) == 200

@@ -233,3 +233,60 @@ def manifest(docs: DataFrame) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), folded.alias("folded_root"),
         (folded == F.col("root")).alias("verified"),
     )
+
+
+def _field(x: str) -> str:
+    return f"coalesce(concat(strlen(CAST({x} AS VARCHAR)), ':') || CAST({x} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256(concat({', '.join(_field(x) for x in (*FIELDS[:-1], text))}))"
+
+
+def _climb(nodes: str, up: str, ways: str) -> str:
+    """All levels of the trees of ``nodes`` (tree, pos, h), and what stands left and right of each node."""
+    return f"""
+{up} AS (
+  SELECT tree, 0 AS level, pos, h, count(*) OVER (PARTITION BY tree) AS many FROM {nodes}
+  UNION ALL
+  SELECT tree, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (many + 2) // 3 FROM {up} WHERE many > 1 GROUP BY tree, level, pos // 3, many),
+{ways} AS (
+  SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM {up} a JOIN {up} b ON a.tree = b.tree AND a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.many > 1 GROUP BY ALL)"""
+
+
+#: The contract's tree level by level; CRC-32 by its table over the digits.
+SQL = f"""
+WITH RECURSIVE tbl AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, i::BIGINT) AS c
+    FROM range(256) r(i))),
+crc AS (
+  SELECT doc_id AS id, xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), tbl),
+leaves AS (
+  SELECT d.doc_id, CASE WHEN source IS NULL THEN '' ELSE concat('+', source) END AS tree, {_leaf("text")} AS leaf,
+         CASE WHEN c.h % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS other
+  FROM documents d LEFT JOIN crc c ON d.doc_id = c.id),
+placed AS (SELECT *, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+{_climb("placed", "up", "ways")},
+subroots AS (SELECT 'all' AS tree, tree AS source, h, row_number() OVER (ORDER BY tree) - 1 AS pos FROM up WHERE many = 1),
+{_climb("subroots", "up2", "ways2")},
+walk AS (
+  SELECT tree, pos AS leaf_pos, 0 AS level, pos, other AS h, '' AS proof FROM placed
+  UNION ALL
+  SELECT w.tree, leaf_pos, w.level + 1, w.pos // 3, sha256(concat(l, h, r)), concat(proof, l, r)
+  FROM walk w JOIN ways s ON w.tree = s.tree AND w.level = s.level AND w.pos = s.pos),
+tops AS (
+  SELECT w.*, s.pos AS place FROM walk w JOIN up u ON w.tree = u.tree AND w.level = u.level AND u.many = 1 JOIN subroots s ON w.tree = s.source),
+walk2 AS (
+  SELECT tree, leaf_pos, 0 AS level, place AS pos, h, proof FROM tops
+  UNION ALL
+  SELECT w.tree, leaf_pos, w.level + 1, w.pos // 3, sha256(concat(l, h, r)), concat(proof, l, r)
+  FROM walk2 w JOIN ways2 s ON w.level = s.level AND w.pos = s.pos),
+ends AS (SELECT w.*, u.h AS root FROM walk2 w JOIN up2 u ON w.level = u.level AND u.many = 1)
+SELECT p.doc_id, p.leaf, s.h AS subroot, e.root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = e.root AS verified
+FROM placed p JOIN ends e ON p.tree = e.tree AND p.pos = e.leaf_pos JOIN subroots s ON p.tree = s.source
+"""

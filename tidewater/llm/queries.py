@@ -97,4 +97,4 @@ QUERIES: dict[str, Query] = {
     "op13_merkle": op13_merkle,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": mixing.SQL, "op11_norm_buckets": norm_buckets.SQL, "op12_spelling": spelling.SQL}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.SQL, "op11_norm_buckets": norm_buckets.SQL, "op12_spelling": spelling.SQL, "op13_merkle": merkle.SQL}
