@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import align, curve, detect, events, ingest, monitor, regression, select, series, text
+from tidewater.operators import align, breaks, curve, detect, events, ingest, monitor, regression, select, series, text
 from tidewater.sources import observations
 from tidewater.streaming import refresh
 
@@ -95,7 +95,7 @@ def test_lead_lag_finds_the_lead(spark):
 def test_breaks_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     v = np.r_[rng.normal(0, 1, 12), rng.normal(6, 1, 10), rng.normal(-3, 1, 9)]
-    got = {r["k"]: r for r in rows(series.structural_breaks(obs(spark, v.tolist()), 2, 4), "k")}
+    got = {r["k"]: r for r in rows(breaks.structural_breaks(obs(spark, v.tolist()), 2, 4), "k")}
     n, x = len(v), v - v.mean()
     sse = lambda i, j: ((x[i:j] - x[i:j].mean()) ** 2).sum()
     best1 = min((sse(0, i) + sse(i, n), i) for i in range(4, n - 3))
@@ -297,7 +297,7 @@ def test_stream_replays_to_the_batch_result(spark, tmp_path):
 def test_structural_breaks_finds_five(spark):
     level = [0.0, 5.0, -3.0, 8.0, 1.0, 12.0]
     v = [level[i // 14] + 0.1 * (-1) ** i for i in range(84)]
-    best = [r for r in rows(series.structural_breaks(obs(spark, v)), "k") if r["best"]]
+    best = [r for r in rows(breaks.structural_breaks(obs(spark, v)), "k") if r["best"]]
     assert [r["k"] for r in best] == [5] and best[0]["breaks"] == [14, 28, 42, 56, 70]
     hit = rows(detect.structural_break(obs(spark, v)), "key")[0]
     assert hit["date"] == month(70)

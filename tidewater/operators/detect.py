@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.stored import written
 from .align import infer_frequency, returns
+from .breaks import regime_stats, regimes, structural_breaks
 from .regression import engle_granger
-from .series import _scale, corr_stability, latest_stats, lead_lag, peak_lag, rolling_corr, structural_breaks, tail
+from .series import _scale, corr_stability, latest_stats, lead_lag, peak_lag, rolling_corr, tail
 
 def hits(df: DataFrame, kind: str | Column, key: str, score: Column, date: Column, window: str, evidence: list[str]) -> DataFrame:
     return df.select(
@@ -85,20 +86,25 @@ def regime_transition(regimes: DataFrame, within_days: int = 90, least: int = 10
     return hits(f, "regime_transition", "series_id", F.col("held") / 365, F.col("since"), "full", ["before", "regime", "held"])
 
 
-def structural_break(obs: DataFrame, shift: float = 0.5, years: float = 15.0, max_breaks: int = 5, min_segment: int | None = None) -> DataFrame:
-    """Series with a recent enough last break by BIC and a large enough shift of the mean across it."""
-    b = structural_breaks(obs, max_breaks, min_segment).filter("best AND k >= 1")
-    w = Window.partitionBy("series_id").orderBy("date")
-    d = obs.filter("value IS NOT NULL").withColumn("rn", F.row_number().over(w)).join(b.select("series_id", "k", "bic", "breaks"), "series_id")
-    segment = F.size(F.filter("breaks", lambda i: i < F.col("rn")))
-    seg = d.groupBy("series_id", segment.alias("segment"), "k", "bic").agg(F.avg("value").alias("mean"), F.min("date").alias("since"), F.max("date").alias("until"))
-    std = obs.groupBy("series_id").agg(F.stddev_samp("value").alias("std"))
-    by = Window.partitionBy("series_id").orderBy("segment")
-    seg = seg.withColumn("move", F.col("mean") - F.lag("mean").over(by)).filter(F.col("segment") == F.col("k")).join(std, "series_id")
-    age = F.datediff("until", "since") / 365.25
-    size = F.abs("move") / F.nullif("std", F.lit(0.0))
-    f = seg.withColumns({"age_years": age, "size": size}).filter((F.col("age_years") <= years) & (F.col("size") >= shift))
-    return hits(f, "structural_break", "series_id", F.col("size") * F.greatest(F.lit(0.2), 1 - F.col("age_years") / 15), F.col("since"), "full", ["k", "move", "age_years"])
+def structural_break(
+    obs: DataFrame, shift: float = 0.5, years: float = 15.0, max_breaks: int = 5, min_segment: int | None = None, least_move: float = 0.0,
+    prefix: str = "structural_break", resample: str | None = None,
+) -> DataFrame:
+    """Series whose last break by BIC is recent enough and moves the mean by ``shift`` deviations of the series and by
+    least_move in its own units, at least. The date is that of the break."""
+    b = written(structural_breaks(obs, max_breaks, min_segment, resample=resample).filter("best AND k >= 1"), "breaks")
+    stats = regime_stats(regimes(obs, b))
+    by = Window.partitionBy("series_id").orderBy("regime")
+    stats = stats.withColumns({"before": F.lag("mean").over(by), "move": F.col("mean") - F.lag("mean").over(by)})
+    last = stats.join(b.select("series_id", "k", "break_dates").hint("merge"), "series_id").filter(F.col("regime") == F.col("k"))
+    std = obs.groupBy("series_id").agg(F.stddev_samp("value").alias("__std"))
+    f = last.join(std.hint("merge"), "series_id").withColumns({
+        "age_years": F.datediff("until", F.element_at("break_dates", -1)) / 365.25, "size": F.abs("move") / F.coalesce(F.nullif("__std", F.lit(0.0)), F.lit(1.0)),
+        "break_dates": F.array_join(F.col("break_dates").cast("array<string>"), ","),
+    })
+    f = f.filter((F.col("age_years") <= years) & (F.col("size") >= shift) & (F.abs("move") >= least_move))
+    score = F.col("size") * F.greatest(F.lit(0.2), 1 - F.col("age_years") / years)
+    return hits(f, prefix, "series_id", score, F.col("since"), "full", ["k", "break_dates", "before", "mean", "move", "age_years"])
 
 
 def cointegration_break(pairs: DataFrame, recent: int = 50) -> DataFrame:
@@ -147,10 +153,10 @@ def level_regime_cross(obs: DataFrame, cuts: list[tuple[float, str]], otherwise:
     return hits(f, "level_regime_cross", "series_id", F.least(F.abs("z") / 3, F.lit(1.0)) + F.when(crossed, 0.15).otherwise(0.0), F.col("date"), "full", ["value", "regime", "before", "z"])
 
 
-def spread_extreme(pairs: DataFrame, least: int = 60, tails: float = 0.03) -> DataFrame:
+def spread_extreme(pairs: DataFrame, least: int = 60, tails: float = 0.03, z: float = 2.5) -> DataFrame:
     """Extreme levels, changes and breaks of a - b."""
     s = pairs.select(F.col("pair_id").alias("series_id"), "date", (F.col("a") - F.col("b")).alias("value")).dropna()
-    return notable_move(s, least, tails, prefix="spread_extreme", bonus=1.0).unionByName(structural_break(s, 0.3).withColumn("kind", F.lit("spread_break")))
+    return notable_move(s, least, tails, z, prefix="spread_extreme", bonus=1.0).unionByName(structural_break(s, 0.3, prefix="spread_break"))
 
 
 def decomposition_shift(parts: DataFrame, move: float = 0.2, days: int = 90) -> DataFrame:

@@ -226,48 +226,6 @@ def jumps(obs: DataFrame, window: int = 60, threshold: float = 4.0, lookback_day
     return d.select(*keys, "date", "change", "z", recent.alias("is_recent"))
 
 
-def structural_breaks(obs: DataFrame, max_breaks: int = 5, min_segment: int | None = None, max_obs: int = 1500, keys: list[str] | None = None) -> DataFrame:
-    """Optimal piecewise-constant segmentation for every number of breaks, with its BIC.
-
-    keys, k, n, rss, bic, breaks (row numbers that start a segment), best. Costs come from prefix sums; each
-    further break is one join on (key, end) with a partial minimum. Longer series come as monthly means. Segments
-    have min_segment rows at least: by default an even share for two segments more than breaks, but 3.
-    """
-    keys = keys or ["series_id"]
-    full = obs.filter(F.col("value").isNotNull())
-    long = full.groupBy(*keys).agg(F.count("*").alias("__n")).withColumn("__long", F.col("__n") > max_obs)
-    full = full.join(long.select(*keys, "__long"), keys)
-    date = F.when(F.col("__long"), F.trunc("date", "MM")).otherwise(F.col("date"))
-    full = full.groupBy(*keys, date.alias("date")).agg(F.avg("value").alias("value"))
-    every = Window.partitionBy(*keys)
-    x = F.col("value") - F.avg("value").over(every)
-    run = every.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    p = full.withColumn("x", x).select(
-        *keys, F.row_number().over(every.orderBy("date")).alias("j"), F.count("*").over(every).alias("n"),
-        F.sum("x").over(run).alias("s1"), F.sum(F.col("x") * F.col("x")).over(run).alias("s2"),
-    )
-    start = p.select(*keys, F.col("j").alias("i"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    zero = p.select(*keys).distinct().select(*keys, F.lit(0).alias("i"), F.lit(0.0).alias("t1"), F.lit(0.0).alias("t2"))
-    least = F.greatest(F.floor(F.col("n") / (max_breaks + 2)), F.lit(3)) if min_segment is None else F.lit(min_segment)
-    seg = p.join(start.unionByName(zero), keys).filter(F.col("j") - F.col("i") >= least)
-    s, q = F.col("s1") - F.col("t1"), F.col("s2") - F.col("t2")
-    cost = seg.select(*keys, "i", "j", "n", F.greatest(q - s * s / (F.col("j") - F.col("i")), F.lit(0.0)).alias("cost"))
-    best = cost.filter("i = 0").select(*keys, "j", "n", F.col("cost").alias("rss"), F.array().cast("array<int>").alias("breaks"))
-    levels = [best.filter("j = n").withColumn("k", F.lit(0))]
-    for k in range(1, max_breaks + 1):
-        left = best.select(*keys, F.col("j").alias("i"), F.col("rss").alias("before"), "breaks")
-        step = cost.filter("i > 0").join(left, [*keys, "i"])
-        found = F.min_by(F.struct((F.col("before") + F.col("cost")).alias("rss"), F.concat("breaks", F.array(F.col("i"))).alias("breaks")), F.struct(F.col("before") + F.col("cost"), "i"))
-        best = step.groupBy(*keys, "j", "n").agg(found.alias("f")).select(*keys, "j", "n", "f.rss", "f.breaks")
-        levels.append(best.filter("j = n").withColumn("k", F.lit(k)))
-    out = reduce(DataFrame.unionByName, levels)
-    n = F.col("n")
-    bic = n * F.ln(F.greatest(F.col("rss"), F.lit(1e-12)) / n) + (F.col("k") + 1) * F.ln(n)
-    out = out.withColumn("bic", bic)
-    top = F.row_number().over(every.orderBy("bic", "k")) == 1
-    return out.withColumn("best", top).select(*keys, "k", "n", "rss", "bic", "breaks", "best")
-
-
 def corr_matrix(obs: DataFrame, by: str = "date", of: str = "series_id") -> DataFrame:
     """a, b, n, correlation of all pairs of series of a panel on common dates, a before b."""
     l, r = obs.select(by, F.col(of).alias("a"), F.col("value").alias("x")), obs.select(by, F.col(of).alias("b"), F.col("value").alias("y"))  # noqa: E741

@@ -16,6 +16,7 @@ from ..operators import select as sl
 from ..operators import series as st
 from ..operators import text as tx
 from .fixtures import CALENDAR, CURVE, DAILY, DOTS, FLAGS, MONTHLY, PAIRS, PARTS, RUNS, WINDOWS, episodes, fixture, tables
+from .queries_series import STEPPED, break_ctes, stats_ctes
 from .registry import query
 
 S, D = SparkSession, DataFrame
@@ -372,9 +373,28 @@ def regime_transition(spark: S, sf: str) -> D:
     return opened(hits, before="string", regime="string", held="bigint")
 
 
-@query("structural_break_hits")
+def _break_hits(kind: str, source: str, shift: float) -> str:
+    """Rows of the hits of breaks, after break_ctes() and stats_ctes(); evidence as columns."""
+    return f"""
+SELECT '{kind}' AS kind, series_id AS key, 'full' AS "window", {R('abs(move) / std * greatest(0.2, 1 - age / 15)')} AS score, since AS date, CAST(k AS BIGINT) AS k, array_to_string(dates, ',') AS break_dates,
+       {R('before')} AS before, {R('mean')} AS mean, {R('move')} AS move, {R('age')} AS age_years
+FROM (SELECT r.series_id, r.since, r.mean, p.mean AS before, r.mean - p.mean AS move, date_diff('day', r.since, r.until) / 365.25 AS age, t.k, t.dates, d.std FROM rs r JOIN best t ON r.series_id = t.series_id AND t.best AND t.k >= 1 AND r.regime = t.k
+  JOIN rs p ON p.series_id = r.series_id AND p.regime = r.regime - 1 JOIN (SELECT series_id, stddev_samp(value) AS std FROM {source} GROUP BY 1) d ON d.series_id = r.series_id)
+WHERE age <= 15 AND abs(move) / std >= {shift}"""
+
+
+BREAK_EVIDENCE = {"k": "bigint", "break_dates": "string", "before": "double", "mean": "double", "move": "double", "age_years": "double"}
+
+
+@query("structural_break_hits", f"WITH {MONTHLY}, {break_ctes('monthly')}, {stats_ctes('monthly')} {_break_hits('structural_break', 'monthly', 0.2)}")
 def structural_break_hits(spark: S, sf: str) -> D:
-    return dt.structural_break(fixture(spark, sf, MONTHLY), 0.2)
+    return opened(dt.structural_break(fixture(spark, sf, MONTHLY), 0.2), **BREAK_EVIDENCE)
+
+
+@query("structural_break_hits_daily", f"WITH {DAILY}, {STEPPED}, {break_ctes('stepped')}, {stats_ctes('stepped')} {_break_hits('structural_break', 'stepped', 0.5)}")
+def structural_break_hits_daily(spark: S, sf: str) -> D:
+    """Series of some 1,700 days, with a step."""
+    return opened(dt.structural_break(fixture(spark, sf, DAILY, STEPPED)), **BREAK_EVIDENCE)
 
 
 @query("cointegration_break")
@@ -422,9 +442,20 @@ def level_regime_cross(spark: S, sf: str) -> D:
     return opened(hits, value="double", regime="string", before="string", z="double")
 
 
-@query("spread_extreme")
+SPREADS = "spreads AS (SELECT pair_id AS series_id, date, a - b AS value FROM pairs)"
+
+
+@query("spread_extreme", f"""WITH {MONTHLY}, {PAIRS}, {SPREADS}, l AS (SELECT series_id, max(date) AS date, arg_max(value, date) AS v, count(*) AS n FROM spreads GROUP BY 1 HAVING count(*) >= 30),
+p AS (SELECT d.series_id, any_value(l.date) AS date, any_value(l.v) AS v, count(*) AS n, avg(CASE WHEN d.value <= l.v THEN 1.0 ELSE 0.0 END) AS p FROM spreads d JOIN l ON d.series_id = l.series_id GROUP BY 1),
+e AS (SELECT * FROM (SELECT series_id, date, value - lag(value) OVER (PARTITION BY series_id ORDER BY date) AS c FROM spreads) WHERE c IS NOT NULL), m AS (SELECT series_id, quantile_cont(c, 0.5) AS med FROM e GROUP BY 1),
+z AS (SELECT e.series_id, max(e.date) AS date, arg_max(e.c, e.date) AS v, count(*) AS n, (arg_max(e.c, e.date) - any_value(m.med)) / (1.4826 * quantile_cont(abs(e.c - m.med), 0.5)) AS z FROM e JOIN m ON e.series_id = m.series_id GROUP BY 1),
+{break_ctes("spreads")}, {stats_ctes("spreads")}, h AS ({_break_hits("spread_break", "spreads", 0.3)})
+SELECT 'spread_extreme_level' AS kind, series_id AS key, 'full' AS "window", {R('2 * abs(p - 0.5) + 1')} AS score, date, {R('v')} AS value, {R('p')} AS percentile, NULL AS z, CAST(n AS BIGINT) AS n, NULL AS k, NULL AS break_dates, NULL AS before, NULL AS mean, NULL AS move, NULL AS age_years FROM p WHERE p <= 0.2 OR p >= 0.8
+UNION ALL SELECT 'spread_extreme_change', series_id, 'full', {R('abs(z) + 1')}, date, {R('v')}, NULL, {R('z')}, CAST(n AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL FROM z WHERE abs(z) >= 1.0 AND n >= 29
+UNION ALL SELECT kind, key, "window", score, date, NULL, NULL, NULL, NULL, k, break_dates, before, mean, move, age_years FROM h""")
 def spread_extreme(spark: S, sf: str) -> D:
-    return dt.spread_extreme(fixture(spark, sf, MONTHLY, PAIRS), 30, 0.2)
+    h = dt.spread_extreme(fixture(spark, sf, MONTHLY, PAIRS), 30, 0.2, 1.0)
+    return opened(h, value="double", percentile="double", z="double", n="bigint", **BREAK_EVIDENCE)
 
 
 @query("decomposition_shift", f"""WITH {PARTS}, w AS (SELECT *, sum(value) OVER (PARTITION BY date) AS total FROM parts),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import align as al
+from ..operators import breaks as br
 from ..operators import ingest as ing
 from ..operators import series as st
 from ..sources import observations as src
@@ -402,17 +403,56 @@ def _levels(most: int) -> str:
     return ", ".join(["b0 AS (SELECT series_id, j, n, cost AS rss, CAST([] AS BIGINT[]) AS brk FROM c WHERE i = 0)", *[f"b{k} AS ({step.format(k - 1)})" for k in range(1, most + 1)]])
 
 
+def break_ctes(source: str, most: int = 5) -> str:
+    """The table ``source`` (series_id, date, value) to best (series_id, k, n, rss, bic, brk, dates, best)."""
+    return f"""
+bp AS (SELECT series_id, row_number() OVER w AS j, count(*) OVER (PARTITION BY series_id) AS n, sum(x) OVER w AS s1, sum(x * x) OVER w AS s2
+  FROM (SELECT series_id, date, value - avg(value) OVER (PARTITION BY series_id) AS x FROM {source}) WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS UNBOUNDED PRECEDING)),
+bz AS (SELECT series_id, j AS i, s1 AS t1, s2 AS t2 FROM bp UNION ALL SELECT DISTINCT series_id, 0, 0.0, 0.0 FROM bp),
+c AS (SELECT p.series_id, z.i, p.j, p.n, greatest(s2 - t2 - (s1 - t1) * (s1 - t1) / (p.j - z.i), 0) AS cost FROM bp p JOIN bz z ON p.series_id = z.series_id AND p.j - z.i >= greatest(p.n // {most + 2}, 3) WHERE p.n >= 10),
+{_levels(most)}, ba AS ({' UNION ALL '.join(f'SELECT {k} AS k, * FROM b{k} WHERE j = n' for k in range(most + 1))}),
+br AS (SELECT *, n * ln(greatest(rss, 1e-12) / n) + (k + 1) * ln(n) AS bic FROM ba),
+bd AS (SELECT series_id, list(date ORDER BY date) AS d FROM {source} GROUP BY 1),
+best AS (SELECT br.*, list_transform(brk, lambda i: CAST(d[i + 1] AS VARCHAR)) AS dates, row_number() OVER (PARTITION BY br.series_id ORDER BY bic, k) = 1 AS best FROM br JOIN bd ON br.series_id = bd.series_id)"""
+
+
+def stats_ctes(source: str) -> str:
+    """After break_ctes(): rs (series_id, regime, since, until, n, mean, std) of the best segmentation."""
+    return f"""
+rr AS (SELECT series_id, date, value, row_number() OVER (PARTITION BY series_id ORDER BY date) AS rn FROM {source}),
+rl AS (SELECT rr.*, len(list_filter(brk, lambda b: b < rn)) AS regime FROM rr JOIN best ON rr.series_id = best.series_id AND best.best),
+rs AS (SELECT series_id, regime, min(date) AS since, max(date) AS until, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std FROM rl GROUP BY 1, 2)"""
+
+
+#: Daily series with a step in all but one.
+STEPPED = """stepped AS (
+  SELECT series_id, date, value + CASE WHEN date >= DATE '1998-06-01' AND series_id <> 'ORD.1-URGENT' THEN 0.3 ELSE 0.0 END AS value FROM daily)"""
+
+
 @query("structural_breaks", f"""
-WITH {MONTHLY}, p AS (SELECT series_id, row_number() OVER w AS j, count(*) OVER (PARTITION BY series_id) AS n, sum(x) OVER w AS s1, sum(x * x) OVER w AS s2
-  FROM (SELECT series_id, date, value - avg(value) OVER (PARTITION BY series_id) AS x FROM monthly) WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS UNBOUNDED PRECEDING)),
-z AS (SELECT series_id, j AS i, s1 AS t1, s2 AS t2 FROM p UNION ALL SELECT DISTINCT series_id, 0, 0.0, 0.0 FROM p),
-c AS (SELECT p.series_id, z.i, p.j, p.n, greatest(s2 - t2 - (s1 - t1) * (s1 - t1) / (p.j - z.i), 0) AS cost FROM p JOIN z ON p.series_id = z.series_id AND p.j - z.i >= greatest(p.n // 7, 3)),
-{_levels(5)}, a AS ({' UNION ALL '.join(f'SELECT {k} AS k, * FROM b{k}' for k in range(6))}),
-r AS (SELECT *, n * ln(greatest(rss, 1e-12) / n) + (k + 1) * ln(n) AS bic FROM a WHERE j = n)
-SELECT series_id, CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n, {R('rss')} AS rss, {R('bic')} AS bic, coalesce(array_to_string(brk, ','), '') AS breaks, row_number() OVER (PARTITION BY series_id ORDER BY bic, k) = 1 AS best FROM r""")
+WITH {MONTHLY}, {break_ctes("monthly")}
+SELECT series_id, CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n, {R('rss')} AS rss, {R('bic')} AS bic, coalesce(array_to_string(brk, ','), '') AS breaks, coalesce(array_to_string(dates, ','), '') AS break_dates, best FROM best""")
 def structural_breaks(spark: S, sf: str) -> D:
-    b = st.structural_breaks(fixture(spark, sf, MONTHLY))
-    return b.withColumn("breaks", F.array_join(F.col("breaks").cast("array<string>"), ","))
+    return _shown_breaks(br.structural_breaks(fixture(spark, sf, MONTHLY)))
+
+
+def _shown_breaks(b: D) -> D:
+    return b.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("breaks", "break_dates")})
+
+
+@query("structural_breaks_daily", f"""
+WITH {DAILY}, {STEPPED}, {break_ctes("stepped", 3)}
+SELECT series_id, CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n, {R('rss')} AS rss, {R('bic')} AS bic, coalesce(array_to_string(brk, ','), '') AS breaks, coalesce(array_to_string(dates, ','), '') AS break_dates, best FROM best""")
+def structural_breaks_daily(spark: S, sf: str) -> D:
+    return _shown_breaks(br.structural_breaks(fixture(spark, sf, DAILY, STEPPED), 3))
+
+
+@query("break_regimes", f"""
+WITH {DAILY}, {STEPPED}, {break_ctes("stepped", 3)}, {stats_ctes("stepped")}
+SELECT series_id, CAST(regime AS BIGINT) AS regime, since, until, CAST(n AS BIGINT) AS n, {R('mean')} AS mean, {R('std')} AS std FROM rs""")
+def break_regimes(spark: S, sf: str) -> D:
+    obs = fixture(spark, sf, DAILY, STEPPED)
+    return br.regime_stats(br.regimes(obs, br.structural_breaks(obs, 3)))
 
 
 @query("corr_matrix", f"""
