@@ -36,7 +36,7 @@ def found(spark, rows, k, every):
 
 @pytest.fixture
 def small(monkeypatch):
-    for name, n in (("BUCKET", 16), ("RANGE", 60), ("QUERIES", 7), ("HEAD", 30)):
+    for name, n in (("BUCKET", 16), ("RANGE", 60), ("QUERIES", 7), ("HEADS", 1)):
         monkeypatch.setattr(norm_buckets, name, n)
 
 

@@ -3,8 +3,8 @@
 Index. Vectors are sorted by falling length, over the whole table by ranges of about ``RANGE`` vectors, and within a range
 packed into buckets of at most ``BUCKET`` vectors; a bucket is one row, with its greatest length.
 
-Thresholds. Each query is first scored against the ``HEAD`` longest vectors; its k-th best score there is a lower
-bound of its k-th best of all. A range whose longest vector times the query's length stays below it cannot hold a
+Thresholds. Each query is first scored against the bucket of the longest vectors (of the ``HEADS`` commonest numbers of
+components); its k-th best score there is a lower bound of its k-th best of all. A range whose longest vector times the query's length stays below it cannot hold a
 result, so a block of at most ``QUERIES`` queries meets only the ranges that one of its queries may need. Blocks and
 ranges meet by a shuffle on (block, range). Inside, buckets come by falling length and the k-th best score rises as
 they are read. For a query and a bucket, score / (length of the query * longest vector) is the cosine that a
@@ -19,7 +19,7 @@ What is left is verified by its whole product. Products are exact: in double pre
 stay below 2 ** 53, else in Python's whole numbers.
 
 The k best of each block and range are merged by a window. The number of ranges is at most ``MOST_RANGES``, so the
-table of their lengths, which is broadcast, has a bound; so has the head.
+table of their lengths, which is broadcast, has a bound; so have the first buckets.
 
 Defined cases: null vectors, vectors with null or non-finite components and rows with null ids take no part; vectors of
 length zero do, and so do empty ones. A query meets vectors of its own number of components. Components beyond 64 bits
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BUCKET, RANGE, QUERIES, HEAD, MOST_RANGES = 2048, 8192, 1024, 2048, 10_000
+BUCKET, RANGE, QUERIES, HEADS, MOST_RANGES = 2048, 8192, 1024, 4, 10_000
 PACKED = "dims int, n int, longest double, ids binary, width int, data binary"
 LONG = np.iinfo(np.int64)
 
@@ -196,10 +196,9 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64
     index = written(
         spread.mapInPandas(_packs(BUCKET), f"ordinal int, {PACKED}").withColumn("range", F.spark_partition_id()), "buckets"
     )
-    head = rows.orderBy(F.desc("length"), "vec_id", "v").limit(HEAD).toPandas()
-    heads = {
-        int(d): (g.vec_id.to_numpy(np.int64), np.array(g.v.tolist(), np.int64).reshape(len(g), int(d))) for d, g in head.groupby("dims")
-    }
+    longest = F.max_by(F.struct("n", "dims", "ids", "width", "data"), F.struct("longest", -F.col("ordinal"), -F.col("range")))
+    tops = index.groupBy("dims").agg(F.sum("n").alias("many"), longest.alias("top")).orderBy(F.desc("many"), "dims").limit(HEADS)
+    heads = {r.dims: unpack(r.top) for r in tops.collect()}
     sent = spark.sparkContext.broadcast(heads)
 
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
