@@ -6,7 +6,7 @@ at least ``least`` code points and occurrences are the words, with their number
 Near words. One edit changes the letter counts by an L1 distance of two (a replaced letter: one count up, one
 down) or one (an inserted letter: one count up), so the near words of a word of length L are found among the words of
 length L and L + 1 by a range search of radius one up and one down, or one up. A k-d tree for each length, fitted on
-a bounded sample (``SAMPLE`` words, by hash), cuts the words into cells; a word goes to its own cell as a target and to
+a bounded sample (the words whose hash is in a range that makes them about ``SAMPLE``), cuts the words into cells; a word goes to its own cell as a target and to
 each cell that its range touches as a query (box pruning). Within a cell, a k-d tree of its targets is searched in
 the same way, and the order of the letters of what is in range is verified. Words of lengths that the sample
 does not have share ``SPARE`` cells by length.
@@ -202,8 +202,9 @@ class Cells:
 def near_words(words: DataFrame) -> DataFrame:
     """word, n, near, near_n for each pair of words (a stored table: word, n) that are one edit apart, both ways."""
     spark = words.sparkSession
-    sample = [r.word for r in words.select("word").orderBy(F.xxhash64("word"), "word").limit(SAMPLE).collect()]
     total = words.count()
+    share = min(2**40, 2**40 * SAMPLE // max(1, total))
+    sample = [r.word for r in words.select("word").filter(F.pmod(F.xxhash64("word"), F.lit(2**40)) < share).collect()]
     cells = Cells(sample, max(16, CELL * len(sample) // max(1, total)))
     sent = spark.sparkContext.broadcast(cells)
 
