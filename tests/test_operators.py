@@ -286,12 +286,12 @@ def test_stream_replays_to_the_batch_result(spark, tmp_path):
     for n, rows_ in enumerate(slices):
         lines = [f'{{"series_id": "{s}", "date": "{d}", "value": {v}, "arrived": "2024-12-0{a + 1} 00:00:00"}}' for s, d, v, a in rows_]
         (landing / f"{n}.json").write_text("\n".join(lines))
-        q = refresh.start(spark, str(landing), str(tmp_path / "store"), str(tmp_path / "checkpoint"))
-        q.awaitTermination(120)
-    got = {(r["series_id"], r["date"]): r["value"] for r in rows(spark.read.parquet(str(tmp_path / "store" / "v2")), "date")}
+        q = refresh.start(spark, str(landing), str(tmp_path / "store"), str(tmp_path / "checkpoint"), late="aside")
+        q.awaitTermination(240)
+    got = {(r["series_id"], r["date"]): r["value"] for r in rows(refresh.stored(spark, str(tmp_path / "store"), "observations"), "date")}
     assert got == {("s", day(0)): 1.0, ("s", day(200)): 2.5, ("s", day(201)): 4.5, ("t", day(5)): 3.0, ("t", day(6)): 1.0}
-    late = spark.read.parquet(str(tmp_path / "store" / "late" / "v1"))
-    assert [r["date"] for r in late.collect()] == [day(3)]
+    late = refresh.stored(spark, str(tmp_path / "store"), "late")
+    assert [(r["date"], r["batch"]) for r in late.collect()] == [(day(3), 1)]
 
 
 def test_structural_breaks_finds_five(spark):

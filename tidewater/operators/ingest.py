@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Days that a refresh looks back, by frequency.
@@ -74,13 +74,16 @@ def merge_calendar(calendar: DataFrame, static: DataFrame) -> DataFrame:
     return both.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
+def row_hash() -> Column:
+    return F.xxhash64("date", "value").cast("decimal(38,0)")
+
+
 def content_hash(obs: DataFrame) -> DataFrame:
     """series_id, n, content_hash of its rows, the same in whatever order they come.
 
     Sums of row hashes, so that a series need not stand in one place.
     """
-    row = F.xxhash64("date", "value").cast("decimal(38,0)")
-    s = obs.groupBy("series_id").agg(F.count("*").alias("n"), F.sum(row).alias("sum"))
+    s = obs.groupBy("series_id").agg(F.count("*").alias("n"), F.sum(row_hash()).cast("decimal(38,0)").alias("sum"))
     return s.select("series_id", "n", F.sha2(F.concat_ws(":", "n", "sum"), 256).alias("content_hash"))
 
 
