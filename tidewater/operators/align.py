@@ -163,12 +163,53 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str = "date", v
     return out.withColumns({"asof_value": F.col("__v.v"), "asof_date": F.col("__v.d")}).drop("__v", "__side")
 
 
+#: Bits of a day's number that each level of bins drops, and the parts that a bin of many days is dealt into.
+LEVELS, PARTS = (0, 3, 6, 9, 12, 15), 16
+
+
+def _bins(first: Column, last: Column) -> Column:
+    """Array of (level, bin): the aligned ranges of 1, 8, 64, ... days that make up the days first to last.
+
+    Of each size those whole ranges are taken that do not make up a whole one of the next size: at most 14, but for the
+    last size.
+    """
+    first, last = first.cast("bigint"), last.cast("bigint")
+    none = F.array().cast("array<struct<level:int,bin:bigint>>")
+
+    def run(low: Column, high: Column, level: int) -> Column:
+        made = F.transform(F.sequence(low, high), lambda k: F.struct(F.lit(level).alias("level"), k.alias("bin")))
+        return F.when(low <= high, made).otherwise(none)
+
+    def whole(level: int) -> tuple[Column, Column]:
+        return F.ceil(first / (1 << level)).cast("bigint"), F.floor((last + 1) / (1 << level)).cast("bigint") - 1
+
+    parts = []
+    for level, above in zip(LEVELS, [*LEVELS[1:], None], strict=True):
+        low, high = whole(level)
+        if above is None:
+            parts.append(run(low, high, level))
+        else:
+            step = 1 << (above - level)
+            up, down = whole(above)
+            more = up <= down
+            parts.append(run(low, F.when(more, up * step - 1).otherwise(high), level))
+            parts.append(F.when(more, run((down + 1) * step, high, level)).otherwise(none))
+    return F.concat(*parts)
+
+
 def within(obs: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Rows of obs inside each interval (name, start_date, end_date), joined by the years they touch.
+    """Rows of obs inside each interval (name, start_date, end_date, ...), by bins of several sizes.
 
-    An equi-join on the year keeps this a hash join, however many intervals there are.
+    An interval stands in the few bins that make it up, a date looks up one bin of each size, so each pair meets in
+    exactly one bin: intervals of a day and of decades go through the same hash join, and nothing is filtered after it. Bins of
+    64 days and more are dealt into parts by the date's own number, so that no key holds all rows of a long interval.
     """
-    years = F.explode(F.sequence(F.year("start_date"), F.year("end_date")))
-    cut = intervals.withColumn("__year", years)
-    dated = obs.withColumn("__year", F.year("date"))
-    return dated.join(cut, "__year").filter("date BETWEEN start_date AND end_date").drop("__year")
+    parts = F.when(F.col("__b.level") >= 6, F.lit(PARTS)).otherwise(F.lit(1))
+    cut = intervals.filter("start_date <= end_date").withColumn("__b", F.explode(_bins(F.unix_date("start_date"), F.unix_date("end_date"))))
+    cut = cut.withColumn("__p", F.explode(F.sequence(F.lit(0), parts - 1))).withColumns({"__level": F.col("__b.level"), "__bin": F.col("__b.bin")}).drop("__b")
+    day = F.unix_date("date").cast("bigint")
+    looked = F.array(*[F.struct(F.lit(level).alias("level"), F.shiftright(day, level).alias("bin")) for level in LEVELS])
+    dated = obs.filter(F.col("date").isNotNull()).withColumn("__b", F.explode(looked))
+    part = F.when(F.col("__b.level") >= 6, F.pmod(day, F.lit(PARTS)).cast("int")).otherwise(F.lit(0))
+    dated = dated.withColumns({"__level": F.col("__b.level"), "__bin": F.col("__b.bin"), "__p": part}).drop("__b")
+    return dated.join(cut.hint("merge"), ["__level", "__bin", "__p"]).drop("__level", "__bin", "__p")

@@ -189,23 +189,6 @@ def rolling_zscore(obs: DataFrame, window: int, keys: list[str] | None = None) -
     return obs.withColumn("z", z)
 
 
-def expanding(obs: DataFrame, min_rows: int = 24, floor: float = 1e-9, keys: list[str] | None = None) -> DataFrame:
-    """Robust z-score and strict percentile of every row in its own history (for monthly series)."""
-    keys = keys or ["series_id"]
-    d = obs.filter(F.col("value").isNotNull()).withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("date")))
-    past = d.select(*keys, F.col("rn").alias("at"), F.col("value").alias("v"))
-    j = d.filter(F.col("rn") >= min_rows).join(past, keys).filter("at <= rn")
-    by = [*keys, "rn"]
-    m = j.groupBy(*by).agg(
-        F.first("date").alias("date"), F.first("value").alias("value"), F.percentile("v", F.lit(0.5)).alias("med"),
-        F.avg((F.col("v") < F.col("value")).cast("double")).alias("percentile"),
-    )
-    dev = j.join(m.select(*by, "med"), by).groupBy(*by).agg(F.percentile(F.abs(F.col("v") - F.col("med")), F.lit(0.5)).alias("mad"))
-    out = m.join(dev, by)
-    z = (F.col("value") - F.col("med")) / F.greatest(1.4826 * F.col("mad"), F.lit(floor))
-    return out.select(*keys, "date", z.alias("robust_z"), "percentile")
-
-
 def jumps(obs: DataFrame, window: int = 60, threshold: float = 4.0, lookback_days: int = 365, keys: list[str] | None = None) -> DataFrame:
     """Changes of at least threshold sigmas; sigma from bipower variation, or from the MAD where that is nil."""
     keys, least = keys or ["series_id"], window // 2
@@ -226,12 +209,6 @@ def jumps(obs: DataFrame, window: int = 60, threshold: float = 4.0, lookback_day
     return d.select(*keys, "date", "change", "z", recent.alias("is_recent"))
 
 
-def corr_matrix(obs: DataFrame, by: str = "date", of: str = "series_id") -> DataFrame:
-    """a, b, n, correlation of all pairs of series of a panel on common dates, a before b."""
-    l, r = obs.select(by, F.col(of).alias("a"), F.col("value").alias("x")), obs.select(by, F.col(of).alias("b"), F.col("value").alias("y"))  # noqa: E741
-    return l.join(r, by).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), _corr("x", "y").alias("correlation"))
-
-
 def histogram(obs: DataFrame, bins: int = 50, keys: list[str] | None = None) -> DataFrame:
     """keys, bin (from 1), n over equal-width bins between the least and the largest value."""
     keys = keys or ["series_id"]

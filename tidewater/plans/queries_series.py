@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..functions.stored import shared_folder
 from ..operators import align as al
 from ..operators import breaks as br
+from ..operators import expanding as ex
 from ..operators import ingest as ing
+from ..operators import panel as pn
 from ..operators import series as st
 from ..sources import observations as src
+from ..streaming import refresh
 from .fixtures import CURVE, DAILY, FLAGS, MONTHLY, PAIRS, PARTS, QUARTERLY, fixture, tables
 from .registry import query
 
@@ -224,6 +230,31 @@ def refresh_log(spark: S, sf: str) -> D:
     return log.filter("length(last_value_hash) = 64").join(done.hint("merge"), "series_id").drop("last_value_hash")
 
 
+@query("refresh_stream", f"""
+WITH {DAILY}, {OLD}, {NEW}, m AS (SELECT coalesce(o.series_id, n.series_id) AS series_id, coalesce(o.date, n.date) AS date, CASE WHEN n.date IS NOT NULL THEN n.value ELSE o.value END AS value, n.date IS NOT NULL AS came
+  FROM old o FULL JOIN new n ON o.series_id = n.series_id AND o.date = n.date)
+SELECT series_id, CAST(count(*) AS BIGINT) AS n, {R('sum(value)')} AS total, max(date) AS last_observation_date, CASE WHEN bool_or(came) THEN DATE '2024-05-02' ELSE DATE '2024-05-01' END AS last_fetched_at, true AS whole,
+  CAST((SELECT count(*) FROM new n LEFT JOIN old o ON o.series_id = n.series_id AND o.date = n.date WHERE o.date IS NULL) AS BIGINT) AS rows_added,
+  CAST((SELECT count(*) FROM new n JOIN old o ON o.series_id = n.series_id AND o.date = n.date WHERE o.value IS DISTINCT FROM n.value) AS BIGINT) AS rows_changed
+FROM m GROUP BY 1""")
+def refresh_stream(spark: S, sf: str) -> D:
+    """Two landed files, of two days, taken by the stream one after the other; whole: the log's hash is that of the stored rows."""
+    store = f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}"
+    for at, landed in ((1, fixture(spark, sf, OLD)), (2, fixture(spark, sf, DAILY, NEW))):
+        arrived = F.lit(f"2024-05-0{at} 06:00:00").cast("timestamp")
+        landed.withColumn("arrived", arrived).write.mode("append").json(f"{store}/landing")
+        refresh.start(spark, f"{store}/landing", f"{store}/store", f"{store}/checkpoint", buckets=4).awaitTermination()
+    kept = refresh.stored(spark, f"{store}/store", "observations")
+    totals = kept.groupBy("series_id").agg(F.sum("value").alias("total"))
+    hashes = ing.content_hash(kept).select("series_id", "content_hash")
+    log = refresh.update_log(spark, f"{store}/store").join(totals.hint("merge"), "series_id").join(hashes.hint("merge"), "series_id")
+    last = refresh.stored(spark, f"{store}/store", "commits").filter("batch = 1").select("rows_added", "rows_changed").first()
+    return log.select(
+        "series_id", "n", "total", "last_observation_date", F.col("last_fetched_at").cast("date").alias("last_fetched_at"), (F.col("content_hash") == F.col("last_value_hash")).alias("whole"),
+        F.lit(last.rows_added).alias("rows_added"), F.lit(last.rows_changed).alias("rows_changed"),
+    )
+
+
 @query("returns", f"""
 WITH {MONTHLY} SELECT series_id, date, {R('value / nullif(lag(value) OVER w, 0) - 1')} AS pct, {R('value / nullif(lag(value, 12) OVER w, 0) - 1')} AS yoy,
  {R('ln(value) - ln(lag(value) OVER w)')} AS log, {R('value - lag(value) OVER w')} AS diff FROM monthly WINDOW w AS (PARTITION BY series_id ORDER BY date)""")
@@ -385,7 +416,17 @@ m AS (SELECT series_id, rn, quantile_cont(v, 0.5) AS med FROM j GROUP BY 1, 2)
 SELECT j.series_id, j.date, {R('(any_value(j.value) - any_value(m.med)) / greatest(1.4826 * quantile_cont(abs(j.v - m.med), 0.5), 1e-9)')} AS robust_z,
  {R('avg(CASE WHEN j.v < j.value THEN 1.0 ELSE 0.0 END)')} AS percentile FROM j JOIN m ON j.series_id = m.series_id AND j.rn = m.rn GROUP BY 1, 2""")
 def expanding_robust(spark: S, sf: str) -> D:
-    return st.expanding(fixture(spark, sf, MONTHLY))
+    return ex.expanding(fixture(spark, sf, MONTHLY))
+
+
+@query("expanding_robust_daily", f"""
+WITH {DAILY}, n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date) AS rn FROM daily),
+j AS (SELECT e.series_id, e.date, e.rn, e.value, n.value AS v FROM n e JOIN n ON n.series_id = e.series_id AND n.rn <= e.rn WHERE e.rn >= 24),
+m AS (SELECT series_id, rn, quantile_cont(v, 0.5) AS med FROM j GROUP BY 1, 2)
+SELECT j.series_id, j.date, {R('(any_value(j.value) - any_value(m.med)) / greatest(1.4826 * quantile_cont(abs(j.v - m.med), 0.5), 1e-9)')} AS robust_z,
+ {R('avg(CASE WHEN j.v < j.value THEN 1.0 ELSE 0.0 END)')} AS percentile FROM j JOIN m ON j.series_id = m.series_id AND j.rn = m.rn GROUP BY 1, 2""")
+def expanding_robust_daily(spark: S, sf: str) -> D:
+    return ex.expanding(fixture(spark, sf, DAILY))
 
 
 @query("detect_jumps", f"""
@@ -458,7 +499,22 @@ def break_regimes(spark: S, sf: str) -> D:
 @query("corr_matrix", f"""
 WITH {MONTHLY} SELECT x.series_id AS a, y.series_id AS b, CAST(count(*) AS BIGINT) AS n, {R('corr(x.value, y.value)')} AS correlation FROM monthly x JOIN monthly y ON x.date = y.date AND x.series_id < y.series_id GROUP BY 1, 2""")
 def corr_matrix(spark: S, sf: str) -> D:
-    return st.corr_matrix(fixture(spark, sf, MONTHLY))
+    return pn.corr_matrix(fixture(spark, sf, MONTHLY))
+
+
+#: A series for each supplier and line number: some thousands, most with gaps.
+SUPPLIED = """supplied AS (
+  SELECT concat('S', l_suppkey, '.', l_linenumber) AS series_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
+         CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS value
+  FROM lineitem GROUP BY 1, 2)"""
+
+
+@query("corr_matrix_wide", f"""
+WITH {SUPPLIED}, m AS (SELECT x.series_id AS a, y.series_id AS b, count(*) AS n, covar_pop(x.value, y.value) AS c, stddev_pop(x.value) AS sx, stddev_pop(y.value) AS sy
+  FROM supplied x JOIN supplied y ON x.date = y.date AND x.series_id < y.series_id GROUP BY 1, 2)
+SELECT a, b, CAST(n AS BIGINT) AS n, CASE WHEN sx > 1e-9 AND sy > 1e-9 THEN {R('c / (sx * sy)')} END AS correlation FROM m""")
+def corr_matrix_wide(spark: S, sf: str) -> D:
+    return pn.corr_matrix(fixture(spark, sf, SUPPLIED))
 
 
 @query("histogram", f"""
