@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distributions import f_tail, normal_quantile
+
 #: Response surfaces of the unit-root critical values, constant only: level, 1/n and 1/n^2 terms.
 CRITICAL = {
     1: {"1%": (-3.43035, -6.5393, -16.786), "5%": (-2.86154, -2.8903, -4.234), "10%": (-2.56677, -1.5384, -2.809)},
@@ -134,16 +136,52 @@ def _leverage(r: DataFrame, bread: DataFrame, cols: list[str], keys: list[str])
     return r.join(inv, keys).withColumn("__h", h).drop("inv")
 
 
-def local_projection(df: DataFrame, y: str, shock: str, horizons: int = 12, lags: int = 4, controls: list[str] | None = None, keys: list[str] | None = None, hac: int | None = None) -> DataFrame:
-    """keys, h, beta, se_robust, n of the response of y at t + h to the shock at t, given own lags and controls."""
+def local_projection(
+    df: DataFrame, y: str, shock: str, horizons: int = 12, lags: int = 4, controls: list[str] | None = None, keys: list[str] | None = None,
+    hac: int | None = None, level: float = 0.95,
+) -> DataFrame:
+    """keys, h, beta, se_robust, lower, upper, n of the response of y at t + h to the shock at t, given own lags and controls.
+
+    hac: lags of the standard errors, by default as many as horizons (the residuals of t + h overlap so far), one at
+    least. lower and upper bound the band of the given level. Horizons with fewer rows than regressors and five have
+    n alone.
+    """
     keys = keys or ["series_id"]
+    hac = max(horizons, 1) if hac is None else hac
     w = Window.partitionBy(*keys).orderBy("date")
     own = [f"{y}_l{i}" for i in range(1, lags + 1)]
-    d = df.withColumns({c: F.lag(y, i).over(w) for i, c in enumerate(own, 1)})
+    design = [shock, *own, *(controls or [])]
+    d = df.dropna(subset=[y, shock, *(controls or [])])
+    d = d.withColumns({c: F.lag(y, i).over(w) for i, c in enumerate(own, 1)}).dropna(subset=own) if own else d
     leads = F.array(*[F.struct(F.lit(h).alias("h"), F.lead(y, h).over(w).alias("ahead")) for h in range(horizons + 1)])
     d = d.withColumn("__l", leads).select("*", F.explode("__l").alias("__e")).select("*", "__e.h", "__e.ahead").drop("__l", "__e")
-    out = robust_se(d, "ahead", [shock, *own, *(controls or [])], [*keys, "h"], "date", lags if hac is None else hac)
-    return out.filter(F.col("term") == shock).select(*keys, "h", "beta", "se_robust", "n")
+    n = d.groupBy(*keys, "h").agg(F.count("ahead").alias("n"))
+    fit = robust_se(d, "ahead", design, [*keys, "h"], "date", hac).filter(F.col("term") == shock).drop("n")
+    enough = F.col("n") >= len(design) + 5
+    z = normal_quantile(F.lit(0.5 + level / 2))
+    out = n.join(fit.hint("merge"), [*keys, "h"], "left").withColumns({c: F.when(enough, F.col(c)) for c in ("beta", "se_robust")})
+    return out.select(*keys, "h", "beta", "se_robust", (F.col("beta") - z * F.col("se_robust")).alias("lower"), (F.col("beta") + z * F.col("se_robust")).alias("upper"), "n")
+
+
+def cp_regression(panel: DataFrame, rx: str = "rx", cp: str = "cp", keys: list[str] | None = None, lags: int = 12, least: int = 30) -> DataFrame:
+    """keys, r2, n, coefficient, t, f_pvalue of excess returns on the curve factor, with standard errors over ``lags`` rows.
+
+    Keys with fewer than ``least`` rows are left out; the F statistic of one regressor is the square of its t.
+    """
+    keys = keys or ["tenor"]
+    fit = robust_se(panel, rx, [cp], keys, "date", lags).filter((F.col("term") == cp) & (F.col("n") >= least))
+    t = F.col("beta") / F.nullif("se_robust", F.lit(0.0))
+    fit = fit.withColumn("t", t)
+    return fit.select(*keys, "r2", "n", F.col("beta").alias("coefficient"), "t", f_tail(F.col("t") * F.col("t"), F.lit(1), F.col("n") - 2).alias("f_pvalue"))
+
+
+def cp_snapshot(factor: DataFrame, fits: DataFrame, tenors: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """date, value, z, percentile, n of the latest factor (series_id, date, value), with r2_<tenor> of its regressions."""
+    from .series import latest_stats
+
+    r2 = fits.agg(*[F.max(F.when(F.col("tenor") == t, F.col("r2"))).alias(f"r2_{t}") for t in tenors])
+    now = latest_stats(factor).select(F.lit(1).alias("__one"), "date", "value", "z", "percentile", "n")
+    return now.join(F.broadcast(r2.withColumn("__one", F.lit(1))), "__one").drop("__one")  # one row
 
 
 def scatter_fit(pairs: DataFrame, split: str, keys: list[str] | None = None, least: int = 5) -> DataFrame:
@@ -213,7 +251,7 @@ def engle_granger(pairs: DataFrame, max_lag: int = 4, keys: list[str] | None = N
 
 
 def granger(pairs: DataFrame, max_lag: int = 4, keys: list[str] | None = None) -> DataFrame:
-    """keys, lag, f, df1, df2: whether lags of b help to predict a, for every number of lags."""
+    """keys, lag, f, df1, df2, p_value: whether lags of b help to predict a, for every number of lags."""
     keys = keys or ["pair_id"]
     w = Window.partitionBy(*keys).orderBy("date")
     d = pairs.dropna(subset=["a", "b"])
@@ -223,28 +261,88 @@ def granger(pairs: DataFrame, max_lag: int = 4, keys: list[str] | None = None) -
         own, other = [f"a_l{i}" for i in range(1, p + 1)], [f"b_l{i}" for i in range(1, p + 1)]
         rows = d.dropna(subset=[*own, *other])
         one = lambda xs, name, rows=rows: grouped_ols(rows, "a", xs, keys).filter("term = 'const'").select(*keys, F.col("rss").alias(name), "n")
-        j = one(own, "restricted").drop("n").join(one([*own, *other], "full"), keys)
+        j = one(own, "restricted").drop("n").join(one([*own, *other], "full").hint("merge"), keys)
         df2 = F.col("n") - (2 * p + 1)
-        out.append(j.select(*keys, F.lit(p).alias("lag"), ((F.col("restricted") - F.col("full")) / p / (F.col("full") / df2)).alias("f"), F.lit(p).alias("df1"), df2.alias("df2")))
-    return reduce(DataFrame.unionByName, out)
+        f = (F.col("restricted") - F.col("full")) / p / F.nullif(F.col("full") / df2, F.lit(0.0))
+        out.append(j.select(*keys, F.lit(p).alias("lag"), f.alias("f"), F.lit(p).alias("df1"), df2.alias("df2")))
+    return reduce(DataFrame.unionByName, out).withColumn("p_value", f_tail(F.col("f"), F.col("df1"), F.col("df2")))
+
+
+def granger_minima(tests: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, min_p, lag: the least p-value of granger() over its lags, ties to fewer lags."""
+    keys = keys or ["pair_id"]
+    best = F.min_by(F.struct("p_value", "lag"), F.struct("p_value", "lag"))
+    g = tests.dropna(subset=["p_value"]).groupBy(*keys).agg(best.alias("b"))
+    return g.select(*keys, F.col("b.p_value").alias("min_p"), "b.lag")
+
+
+def _joint(columns: list[str], names: list[str], keys: list[str]):
+    """All equations of a vector autoregression from the joint moments of a row."""
+    k, q = len(columns), len(names)
+    cols = [*columns, *names]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for r in pdf.to_dict("records"):
+            n, mean = r["n"], np.array([r[f"m{i}"] for i in range(k + q)], float)
+            c = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(k + q)] for i in range(k + q)], float) * n
+            xx, xy, yy = c[k:, k:], c[k:, :k], c[:k, :k]
+            if n <= q + 1 or np.linalg.matrix_rank(xx) < q:
+                continue
+            inv = np.linalg.inv(xx)
+            beta = inv @ xy
+            resid = yy - xy.T @ beta
+            sign, logdet = np.linalg.slogdet(resid / n)
+            aic = logdet + 2 / n * (k * k * (q // k) + k) if sign > 0 else np.nan
+            const = mean[:k] - beta.T @ mean[k:]
+            now = np.array([r[f"now_{name}"] for name in names], float)
+            corr = resid / np.sqrt(np.outer(np.diag(resid), np.diag(resid)))
+            for e, name in enumerate(columns):
+                s2 = resid[e, e] / (n - q - 1)
+                se = np.sqrt(np.maximum(s2 * np.r_[1 / n + mean[k:] @ inv @ mean[k:], np.diag(inv)], 0))
+                ahead = const[e] + beta[:, e] @ now
+                own = {**{c: r[c] for c in keys}, "equation": name, "forecast": ahead, "aic": aic, "n": n, "resid_corr": corr[e].tolist()}
+                rows += [{**own, "term": t, "beta": b, "se": s} for t, b, s in zip(["const", *names], np.r_[const[e], beta[:, e]], se, strict=True)]
+        return pd.DataFrame(rows, columns=[*keys, "equation", "term", "beta", "se", "forecast", "aic", "n", "resid_corr"])
+
+    return run, cols
 
 
 def var_model(wide: DataFrame, columns: list[str], lags: int = 2, keys: list[str] | None = None) -> DataFrame:
-    """keys, equation, term, beta, se, forecast: a vector autoregression and its one-step forecast."""
+    """keys, equation, term, beta, se, forecast, aic, n, resid_corr: a vector autoregression and its one-step forecast.
+
+    One aggregate gives the joint moments of the columns and their lags; all equations and the covariance of their
+    residuals follow from it. aic: the logarithm of the determinant of that covariance (over n) plus
+    2 / n for each coefficient. resid_corr: correlations of the equation's residuals with those of each column's.
+    """
     keys = keys or ["panel_id"]
     w = Window.partitionBy(*keys).orderBy("date")
     names = [f"{c}_l{i}" for i in range(1, lags + 1) for c in columns]
-    d = wide.withColumns({f"{c}_l{i}": F.lag(c, i).over(w) for i in range(1, lags + 1) for c in columns})
-    last = wide.withColumn("__back", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("date"))))
-    last = last.filter(F.col("__back") <= lags)
-    now = last.groupBy(*keys).agg(F.lit(1.0).alias("const"), *[F.max(F.when(F.col("__back") == i, F.col(c))).alias(f"{c}_l{i}") for i in range(1, lags + 1) for c in columns])
-    level = F.element_at(F.create_map(*[x for t in ["const", *names] for x in (F.lit(t), F.col(t))]), F.col("term"))
-    out = []
-    for c in columns:
-        f = grouped_ols(d, c, names, keys).join(now, keys)
-        forecast = F.sum(F.col("beta") * level).over(Window.partitionBy(*keys))
-        out.append(f.select(*keys, F.lit(c).alias("equation"), "term", "beta", "se", forecast.alias("forecast")))
-    return reduce(DataFrame.unionByName, out)
+    full = wide.dropna(subset=columns)
+    d = full.withColumns({f"{c}_l{i}": F.lag(c, i).over(w) for i in range(1, lags + 1) for c in columns}).dropna(subset=names)
+    run, cols = _joint(columns, names, keys)
+    d = d.select(*keys, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    k = range(len(cols))
+    aggs = [F.count("*").alias("n"), *[F.avg(f"v{i}").alias(f"m{i}") for i in k]]
+    aggs += [F.covar_pop(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i in k for j in k if i <= j]
+    last = full.withColumn("__back", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("date")))).filter(F.col("__back") <= lags)
+    now = last.groupBy(*keys).agg(*[F.max(F.when(F.col("__back") == i, F.col(c))).alias(f"now_{c}_l{i}") for i in range(1, lags + 1) for c in columns])
+    one = d.groupBy(*keys).agg(*aggs).join(now.hint("merge"), keys)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wide.select(*keys).schema)
+    return one.mapInPandas(
+        lambda it: (run(p) for p in it), f"{fields}, equation string, term string, beta double, se double, forecast double, aic double, n bigint, resid_corr array<double>"
+    )
+
+
+def contemporaneous(wide: DataFrame, factors: list[str], others: list[str], keys: list[str] | None = None) -> DataFrame:
+    """keys, factor, other, n, correlation of each factor with each of the others, over rows that have all."""
+    from .series import _corr
+
+    keys = keys or ["panel_id"]
+    full = wide.dropna(subset=[*factors, *others])
+    each = F.array(*[F.struct(F.lit(a).alias("factor"), F.lit(b).alias("other"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a in factors for b in others])
+    long = full.select(*keys, F.explode(each).alias("e")).select(*keys, "e.*")
+    return long.groupBy(*keys, "factor", "other").agg(F.count("*").alias("n"), _corr("x", "y").alias("correlation"))
 
 
 def onset_labels(flags: DataFrame, horizon: int = 4, offset: int | None = None, keys: list[str] | None = None) -> DataFrame:
@@ -271,20 +369,75 @@ def auroc(scored: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, "n", area.alias("auroc"))
 
 
-def onset_logit(panel: DataFrame, predictors: list[str], c: float = 1.0) -> DataFrame:
-    """panel (label and predictors) with ``score``: an L2 logit on standardised predictors lagged by a row."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    w = Window.partitionBy("series_id").orderBy("date")
-    d = panel.withColumns({f"{p}_l1": F.lag(p).over(w) for p in predictors}).dropna(subset=["label", *[f"{p}_l1" for p in predictors]])
-    d = VectorAssembler(inputCols=[f"{p}_l1" for p in predictors], outputCol="__raw").transform(d)
-    d = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True, withStd=True).fit(d).transform(d)
-    n = max(1, d.count())
-    model = LogisticRegression(featuresCol="__x", labelCol="label", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, probabilityCol="__p").fit(d.withColumn("label", F.col("label").cast("double")))
-    out = model.transform(d.withColumn("label", F.col("label").cast("double")))
-    return out.withColumn("score", vector_to_array("__p")[1]).select("series_id", "date", F.col("label").cast("int").alias("label"), "score")
+def _logit(x: np.ndarray, y: np.ndarray, c: float) -> np.ndarray:
+    """Constant and weights of the logit with penalty |weights|^2 / 2 against c times the log-loss, by Newton's method."""
+    z = np.c_[np.ones(len(x)), x]
+    ridge = np.r_[0.0, np.full(x.shape[1], 1 / c)]
+    w = np.zeros(z.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        u = z @ w
+        return float(np.sum(np.logaddexp(0, u) - y * u) + (ridge * w * w).sum() / 2)
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-z @ w))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-12), z.T @ (p - y) + ridge * w)
+        size, now = 1.0, loss(w)
+        while loss(w - size * step) > now and size > 1e-8:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-10:
+            break
+    return w
+
+
+def onset_logit(panel: DataFrame, predictors: list[str], c: float = 1.0, least: int = 60, lag: int = 1, keys: list[str] | None = None) -> DataFrame:
+    """keys, date, label, score, coefficients: a penalised logit for each key, on predictors standardised and lagged.
+
+    panel: keys, date, label (NULL where it is not known yet) and predictors. The fit takes rows with a label; every row
+    whose predictors are there gets a score, so the last ones too. Predictors with fewer than ``least`` values are
+    left out of a key's fit (coefficient NULL), and keys with fewer such rows, or one label alone, altogether. A key has a
+    row a month, so that a task holds one key's history.
+    """
+    keys = keys or ["series_id"]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in panel.select(*keys).schema)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        x = pdf[predictors].astype(float).shift(lag)
+        use = [p for p in predictors if x[p].notna().sum() >= least - lag]
+        none = pd.DataFrame({f: pd.Series([], dtype=object) for f in [*keys, "date", "label", "score", "coefficients"]})
+        if not use:
+            return none
+        ready = x[use].notna().all(axis=1).to_numpy()
+        known = ready & pdf.label.notna().to_numpy()
+        y = pdf.label[known].to_numpy(float)
+        if known.sum() < least or y.min() == y.max():
+            return none
+        m, s = x[use][known].mean().to_numpy(), x[use][known].std(ddof=0).to_numpy()
+        z = (x[use].to_numpy() - m) / np.where(s > 0, s, 1.0)
+        w = _logit(z[known], y, c)
+        out = pdf[ready][[*keys, "date", "label"]].copy()
+        out["score"] = 1 / (1 + np.exp(-(w[0] + z[ready] @ w[1:])))
+        weights = dict(zip(use, w[1:], strict=True))
+        out["coefficients"] = [[weights.get(p) for p in predictors]] * len(out)
+        return out
+
+    typed = panel.select(*keys, "date", F.col("label").cast("double").alias("label"), *[F.col(p).cast("double").alias(p) for p in predictors])
+    out = typed.groupBy(*keys).applyInPandas(fit, f"{fields}, date date, label double, score double, coefficients array<double>")
+    return out.withColumn("label", F.col("label").cast("int"))
+
+
+def onset_summary(scored: DataFrame, back: int = 6, keys: list[str] | None = None) -> DataFrame:
+    """keys, n, n_onsets, auroc, date, latest, earlier of onset_logit(): labelled rows, and the scores of the last row and
+    of the one so many rows before."""
+    keys = keys or ["series_id"]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("date")))
+    at = lambda n, c: F.max(F.when(F.col("__back") == n, F.col(c)))
+    ends = scored.withColumn("__back", place).filter(F.col("__back") <= back + 1).groupBy(*keys).agg(at(1, "date").alias("date"), at(1, "score").alias("latest"), at(back + 1, "score").alias("earlier"))
+    known = scored.filter("label IS NOT NULL")
+    onsets = known.groupBy(*keys).agg(F.sum("label").alias("n_onsets"))
+    return auroc(known, keys).join(onsets.hint("merge"), keys).join(ends.hint("merge"), keys).select(*keys, "n", "n_onsets", "auroc", "date", "latest", "earlier")
 
 
 def sentiment_bond(panel: DataFrame, predictors: list[str], duration: float = 8.5, lags: int = 3, least: int = 36, keys: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import distributions as ds
 from ..operators import align as al
 from ..operators import curve as cv
 from ..operators import detect as dt
@@ -65,11 +66,60 @@ def cp_factor(spark: S, sf: str) -> D:
     return cv.cp_factor(cv.forward_rates(fixture(spark, sf, CURVE)), list(range(1, 8)))
 
 
+def f_tail_sql(f: str, d1: str, d2: str) -> str:
+    """P(F > f) by Simpson's rule over the angle whose squared sine is the argument of the incomplete beta function."""
+    a, b, n = f"(({d2}) / 2.0)", f"(({d1}) / 2.0)", 4000
+    top = f"asin(sqrt(({d2}) / (({d2}) + ({d1}) * ({f}))))"
+    weight = f"CASE WHEN k = 0 OR k = {n} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    terms = f"list_transform(range(0, {n + 1}), lambda k: {weight} * pow(sin({top} * k / {n}), 2 * {a} - 1) * pow(cos({top} * k / {n}), 2 * {b} - 1))"
+    return f"(2 * list_sum({terms}) * {top} / {3 * n} / exp(lgamma({a}) + lgamma({b}) - lgamma({a} + {b})))"
+
+
+def hac_ctes(source: str, key: str, y: str, x: str, lags: int) -> str:
+    """fit (key, term, beta, se, n, r2, rss, se_robust) of y on x for each key with a kernel of so many lags."""
+    w = "".join(f", lag(u0, {k}) OVER w AS u0_{k}, lag(u1, {k}) OVER w AS u1_{k}" for k in range(1, lags + 1))
+    cross = lambda i, j: " + ".join([f"sum(u{i} * u{j})", *[f"{1 - k / (lags + 1)} * coalesce(sum(u{i} * u{j}_{k} + u{j} * u{i}_{k}), 0)" for k in range(1, lags + 1)]])
+    return f"""
+hd AS (SELECT {key} AS hk, date, {y} AS y, {x} AS x FROM {source} WHERE {y} IS NOT NULL AND {x} IS NOT NULL),
+hf AS (SELECT hk, count(*) AS n, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0, sum(x) AS sx, sum(x * x) AS sxx, regr_sxx(y, x) AS cxx, regr_r2(y, x) AS r2, avg(x) AS mx FROM hd GROUP BY 1),
+hr AS (SELECT hd.hk, date, y - b0 - b1 * x AS u0, x * (y - b0 - b1 * x) AS u1 FROM hd JOIN hf ON hd.hk = hf.hk),
+hl AS (SELECT *{w} FROM hr WINDOW w AS (PARTITION BY hk ORDER BY date)),
+hs AS (SELECT hk, sum(u0 * u0) AS rss, {cross(0, 0)} AS s00, {cross(0, 1)} AS s01, {cross(1, 1)} AS s11 FROM hl GROUP BY 1),
+hv AS (SELECT hf.*, rss, rss / (n - 2) AS s2, n * sxx - sx * sx AS det, s00, s01, s11 FROM hf JOIN hs ON hf.hk = hs.hk),
+fit AS (
+  SELECT hk, 'const' AS term, b0 AS beta, sqrt(s2 * (1.0 / n + mx * mx / cxx)) AS se, n, r2, rss, sqrt(sxx * sxx * s00 - 2 * sxx * sx * s01 + sx * sx * s11) / det AS se_robust FROM hv
+  UNION ALL SELECT hk, 'x', b1, sqrt(s2 / cxx), n, r2, rss, sqrt(sx * sx * s00 - 2 * sx * n * s01 + n * n * s11) / det FROM hv)"""
+
+
 @query("cp_regression")
 def cp_regression(spark: S, sf: str) -> D:
     c = fixture(spark, sf, CURVE)
     d = cv.excess_returns(c, 1).join(cv.cp_factor(cv.forward_rates(c), list(range(1, 8))), "date").filter("tenor > 1")
-    return rg.robust_se(d, "rx", ["cp"], ["tenor"], "date", 12)
+    return rg.cp_regression(d)
+
+
+MEAN_FORWARD = """fw AS (SELECT date, coalesce((tenor * value - lag(tenor) OVER w * lag(value) OVER w) / (tenor - lag(tenor) OVER w), value) AS forward FROM curve WINDOW w AS (PARTITION BY date ORDER BY tenor)),
+mf AS (SELECT date, avg(forward) AS cp FROM fw GROUP BY 1),
+ca AS (SELECT *, lead(value, 12) OVER (PARTITION BY tenor ORDER BY date) AS ahead FROM curve),
+rx AS (SELECT a.tenor, a.date, 100 * (-a.tenor * (a.ahead - a.value) / 100 + a.value / 100 - r.value / 100) AS rx, cp FROM ca a JOIN curve r ON r.date = a.date AND r.tenor = 1 JOIN mf ON mf.date = a.date WHERE a.tenor > 1)"""
+
+
+@query("cp_regression_mean", f"""
+WITH {CURVE}, {MEAN_FORWARD}, {hac_ctes("rx", "tenor", "rx", "cp", 12)}
+SELECT CAST(hk AS BIGINT) AS tenor, {R('r2')} AS r2, CAST(n AS BIGINT) AS n, {R('beta')} AS coefficient, {R('beta / se_robust')} AS t, {R(f_tail_sql('(beta / se_robust) * (beta / se_robust)', '1', 'n - 2'))} AS f_pvalue FROM fit WHERE term = 'x' AND n >= 30""")
+def cp_regression_mean(spark: S, sf: str) -> D:
+    """Excess returns on the mean forward rate in the place of the fitted factor."""
+    c = fixture(spark, sf, CURVE)
+    mean = cv.forward_rates(c).groupBy("date").agg(F.avg("forward").alias("cp"))
+    return rg.cp_regression(cv.excess_returns(c, 1).join(mean, "date").filter("tenor > 1"))
+
+
+@query("cp_snapshot")
+def cp_snapshot(spark: S, sf: str) -> D:
+    c = fixture(spark, sf, CURVE)
+    factor = cv.cp_factor(cv.forward_rates(c), list(range(1, 8)))
+    fits = rg.cp_regression(cv.excess_returns(c, 1).join(factor, "date").filter("tenor > 1"))
+    return rg.cp_snapshot(factor.select(F.lit("cp").alias("series_id"), "date", F.col("cp").alias("value")), fits, (5, 7))
 
 
 def _det(m: list[list[str]]) -> str:
@@ -244,7 +294,8 @@ def grouped_ols(spark: S, sf: str) -> D:
     return rg.grouped_ols(fixture(spark, sf, MONTHLY, PAIRS), "b", ["a"], ["pair_id"])
 
 
-@query("hac_ols")
+@query("hac_ols", f"""WITH {MONTHLY}, {PAIRS}, {hac_ctes("pairs", "pair_id", "b", "a", 6)}
+SELECT hk AS pair_id, CASE term WHEN 'x' THEN 'a' ELSE term END AS term, {R('beta')} AS beta, {R('se')} AS se, CAST(n AS BIGINT) AS n, {R('r2')} AS r2, {R('rss')} AS rss, {R('se_robust')} AS se_robust FROM fit""")
 def hac_ols(spark: S, sf: str) -> D:
     return rg.robust_se(fixture(spark, sf, MONTHLY, PAIRS), "b", ["a"], ["pair_id"], "date", 6)
 
@@ -255,6 +306,17 @@ def local_projection(spark: S, sf: str) -> D:
     return rg.local_projection(d, "b", "a", 6, 2)
 
 
+@query("local_projection_plain", f"""
+WITH {MONTHLY}, {PAIRS}, lp AS (SELECT concat(pair_id, '#', h) AS hk0, pair_id, h, date, a, CASE h {' '.join(f'WHEN {h} THEN lead(b, {h}) OVER w' for h in range(7))} END AS ahead
+  FROM pairs, range(7) r(h) WINDOW w AS (PARTITION BY pair_id, h ORDER BY date)), {hac_ctes("lp", "hk0", "ahead", "a", 6)}
+SELECT split_part(hk, '#', 1) AS series_id, CAST(split_part(hk, '#', 2) AS BIGINT) AS h, {R('beta')} AS beta, {R('se_robust')} AS se_robust, {R('beta - 1.959963984540054 * se_robust')} AS lower, {R('beta + 1.959963984540054 * se_robust')} AS upper, CAST(n AS BIGINT) AS n
+FROM fit WHERE term = 'x'""")
+def local_projection_plain(spark: S, sf: str) -> D:
+    """Without own lags, where the fit has one regressor."""
+    d = fixture(spark, sf, MONTHLY, PAIRS).withColumnRenamed("pair_id", "series_id")
+    return rg.local_projection(d, "b", "a", 6, 0)
+
+
 @query("scatter_fit", f"""WITH {MONTHLY}, {PAIRS} SELECT pair_id, CASE WHEN date < DATE '1998-01-01' THEN 'before' ELSE 'after' END AS side, CAST(count(*) AS BIGINT) AS n, {R('regr_slope(b, a)')} AS slope, {R('regr_intercept(b, a)')} AS intercept FROM pairs GROUP BY 1, 2 HAVING count(*) >= 5""")
 def scatter_fit(spark: S, sf: str) -> D:
     return rg.scatter_fit(fixture(spark, sf, MONTHLY, PAIRS), "1998-01-01")
@@ -299,6 +361,36 @@ def granger(spark: S, sf: str) -> D:
     return rg.granger(fixture(spark, sf, MONTHLY, PAIRS), 3)
 
 
+@query("granger_one_lag", f"""
+WITH {MONTHLY}, {PAIRS}, g AS (SELECT pair_id, a AS y, lag(a) OVER w AS x, lag(b) OVER w AS z FROM pairs WINDOW w AS (PARTITION BY pair_id ORDER BY date)),
+m AS (SELECT pair_id, count(*) AS n, regr_syy(y, x) AS yy, regr_sxx(y, x) AS xx, regr_sxy(y, x) AS xy, regr_sxx(y, z) AS zz, regr_sxy(y, z) AS zy, regr_sxy(x, z) AS xz FROM g WHERE x IS NOT NULL GROUP BY 1),
+r AS (SELECT pair_id, n, yy - xy * xy / xx AS r0, yy - ((xy * zz - zy * xz) * xy + (zy * xx - xy * xz) * zy) / (xx * zz - xz * xz) AS r1 FROM m),
+f AS (SELECT pair_id, n - 3 AS df2, (r0 - r1) / (r1 / (n - 3)) AS f FROM r)
+SELECT pair_id, CAST(1 AS BIGINT) AS lag, {R('f')} AS f, CAST(1 AS BIGINT) AS df1, CAST(df2 AS BIGINT) AS df2, {R(f_tail_sql('f', '1', 'df2'))} AS p_value FROM f""")
+def granger_one_lag(spark: S, sf: str) -> D:
+    return rg.granger(fixture(spark, sf, MONTHLY, PAIRS), 1)
+
+
+@query("granger_minima")
+def granger_minima(spark: S, sf: str) -> D:
+    return rg.granger_minima(rg.granger(fixture(spark, sf, MONTHLY, PAIRS), 3))
+
+
+@query("tail_probabilities", f"""
+WITH {MONTHLY}, v AS (SELECT series_id, date, abs(value - avg(value) OVER (PARTITION BY series_id)) / stddev_samp(value) OVER (PARTITION BY series_id) AS x, CAST(extract(month FROM date) AS INT) AS m FROM monthly)
+SELECT series_id, date, {R(f_tail_sql('x', 'm', '30'))} AS f_p, {R(f_tail_sql('x * x', '1', 'm + 2'))} AS t_p, {R('1 - x / sqrt(2 + x * x)')} AS t2_p, {R('pow(1 + 2 * x / 40, -20)')} AS f2_p FROM v""")
+def tail_probabilities(spark: S, sf: str) -> D:
+    """Tails of deviations, with degrees of freedom by month; of t with two and of F with two degrees also in closed form."""
+    w = Window.partitionBy("series_id")
+    x = F.abs(F.col("value") - F.avg("value").over(w)) / F.stddev_samp("value").over(w)
+    v = fixture(spark, sf, MONTHLY).withColumns({"x": x, "m": F.month("date")})
+    lit = lambda n: F.lit(n)
+    return v.select(
+        "series_id", "date", ds.f_tail(F.col("x"), F.col("m"), lit(30)).alias("f_p"), ds.t_tails(F.col("x"), F.col("m") + 2).alias("t_p"),
+        ds.t_tails(F.col("x"), lit(2)).alias("t2_p"), ds.f_tail(F.col("x"), lit(2), lit(40)).alias("f2_p"),
+    )
+
+
 @query("var_model")
 def var_model(spark: S, sf: str) -> D:
     return rg.var_model(fixture(spark, sf, MONTHLY, PAIRS), ["a", "b"], 2, ["pair_id"])
@@ -327,12 +419,30 @@ def onset_auroc(spark: S, sf: str) -> D:
     return rg.auroc(d, ["series_id"])
 
 
-@query("onset_logit")
-def onset_logit(spark: S, sf: str) -> D:
+def _onset_scores(spark: S, sf: str) -> D:
     m = fixture(spark, sf, MONTHLY)
     return rg.onset_logit(rg.onset_labels(fixture(spark, sf, MONTHLY, FLAGS)).join(m, ["series_id", "date"]), ["value"])
 
 
+@query("onset_logit")
+def onset_logit(spark: S, sf: str) -> D:
+    return _onset_scores(spark, sf)
+
+
+@query("onset_summary")
+def onset_summary(spark: S, sf: str) -> D:
+    return rg.onset_summary(_onset_scores(spark, sf))
+
+
+@query("contemporaneous", f"""
+WITH {CURVE}, w AS (SELECT date, max(CASE WHEN tenor = 1 THEN value END) AS t1, max(CASE WHEN tenor = 3 THEN value END) AS t3, max(CASE WHEN tenor = 7 THEN value END) AS t7 FROM curve GROUP BY 1)
+SELECT 'curve' AS panel_id, 't1' AS factor, 't7' AS other, CAST(count(*) AS BIGINT) AS n, {R('corr(t1, t7)')} AS correlation FROM w WHERE t1 + t3 + t7 IS NOT NULL
+UNION ALL SELECT 'curve', 't3', 't7', CAST(count(*) AS BIGINT), {R('corr(t3, t7)')} FROM w WHERE t1 + t3 + t7 IS NOT NULL""")
+def contemporaneous(spark: S, sf: str) -> D:
+    w = fixture(spark, sf, CURVE).groupBy("date").pivot("tenor", [1, 3, 7]).agg(F.first("value")).withColumnsRenamed({"1": "t1", "3": "t3", "7": "t7"})
+    return rg.contemporaneous(w.withColumn("panel_id", F.lit("curve")), ["t1", "t3"], ["t7"])
+
+
 # detectors: thresholds loosened to the short history of the fixtures
 
 
