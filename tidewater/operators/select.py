@@ -34,45 +34,92 @@ def rank_findings(findings: DataFrame, history: DataFrame, as_of: Column, kinds:
     return d.join(days_before.hint("merge"), by).withColumn("place", place).drop("__day", "__before")
 
 
+def _sets(df: DataFrame) -> DataFrame:
+    """df with series_ids: its own, or key as the only one."""
+    return df if "series_ids" in df.columns else df.withColumn("series_ids", F.array("key"))
+
+
+def overlapping(df: DataFrame, series: DataFrame, flag: str) -> DataFrame:
+    """df (slug, series_ids, ...) with flag: whether one of its series is in series (series_id).
+
+    A semi join of the exploded sets, so that neither side is gathered.
+    """
+    hit = df.select("slug", "series_ids", F.explode(F.array_distinct("series_ids")).alias("series_id")).join(series.select("series_id").distinct().hint("merge"), "series_id", "left_semi")
+    hit = hit.select("slug", "series_ids").distinct().withColumn(flag, F.lit(True))
+    out = df.join(hit.hint("merge"), ["slug", "series_ids"], "left")
+    return out.withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
 def eligible(
-    findings: DataFrame, history: DataFrame, as_of: Column, days: int = 14, data_points: list[str] | None = None, more: DataFrame | None = None
+    findings: DataFrame, history: DataFrame, as_of: Column, days: int = 14, data_points: list[str] | None = None, more: DataFrame | None = None, more_days: int = 7
 ) -> DataFrame:
-    """The findings to choose from, with tier, the first of these that any finding is in: 0 new status, slug and key not
+    """The findings to choose from, with tier, the first of these that any finding is in: 0 new status, slug and series not
     shown within the last days, no stale data point; 1 the same in any status; 2 slug not shown; 3 all.
 
-    more: keys (column key) that were asked for again and count as not shown.
+    Findings and history have series_ids, sets of series that are shown if one of them is, or key for a single one.
+    more: series (series_ids or key) that were asked for again and count as not shown; with a column date, those of the
+    last more_days.
     """
-    recent = history.filter((F.col("date") >= F.date_sub(as_of, days)) & (F.col("date") <= as_of))
-    slugs, keys = recent.select("slug").distinct().withColumn("__s", F.lit(1)), recent.select("key").distinct().withColumn("__k", F.lit(1))
+    single = "series_ids" not in findings.columns
+    findings = _sets(findings)
+    within = lambda df, n: df.filter((F.col("date") >= F.date_sub(as_of, n)) & (F.col("date") <= as_of))
+    recent = within(_sets(history), days)
+    slugs = recent.select("slug").distinct().withColumn("__s", F.lit(1))
+    shown = recent.select(F.explode("series_ids").alias("series_id")).distinct()
     if more is not None:
-        keys = keys.join(more.select("key"), "key", "left_anti")
-    d = findings.join(slugs.hint("merge"), "slug", "left").join(keys.hint("merge"), "key", "left")
+        more = within(more, more_days) if "date" in more.columns else more
+        shown = shown.join(_sets(more).select(F.explode("series_ids").alias("series_id")).hint("merge"), "series_id", "left_anti")
+    d = overlapping(findings.join(slugs.hint("merge"), "slug", "left"), shown, "__k")
     stale = F.col("kind").isin(data_points or DATA_POINTS) & (F.datediff(as_of, "discovered") > days)
-    fits = F.col("__s").isNull() & F.col("__k").isNull() & ~F.coalesce(stale, F.lit(False))
+    fits = F.col("__s").isNull() & ~F.col("__k") & ~F.coalesce(stale, F.lit(False))
     tier = F.when(fits & (F.col("status") == "new"), 0).when(fits, 1).when(F.col("__s").isNull(), 2).otherwise(3)
-    d = d.withColumn("tier", tier).drop("__s", "__k")
+    d = d.withColumn("tier", tier).drop("__s", "__k", *(["series_ids"] if single else []))
     return d.join(F.broadcast(d.agg(F.min("tier").alias("tier"))), "tier")  # one row
 
 
-def release_match(findings: DataFrame, releases: DataFrame, members: DataFrame, as_of: Column, keywords: list[str], days: int = 2) -> DataFrame:
-    """findings with upcoming: whether their key is in a release of the next days that a keyword names."""
+def upcoming_series(releases: DataFrame, members: DataFrame, as_of: Column, keywords: list[str], days: int = 2, named: dict[str, list[str]] | None = None) -> DataFrame:
+    """series_id, release_id, release_name, release_date of the releases of the next days that a keyword names.
+
+    members: release_id, series_id. named: series of the releases whose name has a word, beside their members (a registry).
+    """
     soon = releases.filter((F.col("release_date") >= as_of) & (F.col("release_date") <= F.date_add(as_of, days)))
-    named = F.exists(F.array(*[F.lit(k.lower()) for k in keywords]), lambda k: F.contains(F.lower("release_name"), k))
-    keys = soon.filter(named).join(members, "release_id", "inner").select(F.col("series_id").alias("key")).distinct().withColumn("__u", F.lit(True))
-    return findings.join(keys, "key", "left").withColumn("upcoming", F.coalesce("__u", F.lit(False))).drop("__u")
+    words = F.array(*[F.lit(k.lower()) for k in keywords]).cast("array<string>")
+    soon = soon.filter(F.exists(words, lambda k: F.contains(F.lower("release_name"), k)))
+    cols = ["release_id", "release_name", "release_date"]
+    out = soon.join(members.select("release_id", "series_id").hint("merge"), "release_id").select("series_id", *cols)
+    if named:
+        pairs = F.array(*[F.struct(F.lit(w.lower()).alias("word"), F.lit(s).alias("series_id")) for w, ids in named.items() for s in ids])
+        hit = F.filter(pairs, lambda p: F.contains(F.lower("release_name"), p["word"]))
+        out = out.unionByName(soon.select(F.explode(hit).alias("p"), *cols).select("p.series_id", *cols))
+    return out.distinct()
+
+
+def release_match(
+    findings: DataFrame, releases: DataFrame, members: DataFrame, as_of: Column, keywords: list[str], days: int = 2, named: dict[str, list[str]] | None = None
+) -> DataFrame:
+    """findings with upcoming: whether one of their series (series_ids or key) is in a release of the next days that a
+    keyword names (see upcoming_series)."""
+    series = upcoming_series(releases, members, as_of, keywords, days, named)
+    if "series_ids" in findings.columns:
+        return overlapping(findings, series, "upcoming")
+    keys = series.select(F.col("series_id").alias("key")).distinct().withColumn("__u", F.lit(True))
+    return findings.join(keys.hint("merge"), "key", "left").withColumn("upcoming", F.coalesce("__u", F.lit(False))).drop("__u")
 
 
 def pick_seed(seeds: DataFrame, as_of: Column, shown: DataFrame | None = None) -> DataFrame:
     """The one unused seed that has not expired: with an upcoming release first, then by priority and id.
 
-    shown: keys (column key) of the last days, which are left out.
+    shown: series (series_ids or key) of the last days; seeds with one of them are left out.
     """
     live = seeds.filter((~F.col("used")) & (F.col("expires") >= as_of))
-    if shown is not None:
+    if shown is not None and "series_ids" in live.columns:
+        live = overlapping(live.withColumn("slug", F.col("id")), _sets(shown).select(F.explode("series_ids").alias("series_id")), "__shown").filter("NOT __shown").drop("slug", "__shown")
+    elif shown is not None:
         live = live.join(shown.select("key").distinct().hint("merge"), "key", "left_anti")
     return live.orderBy(F.desc("upcoming"), F.desc("priority_score"), "id").limit(1)
 
 
+
 def market_snapshot(obs: DataFrame, steps: tuple[int, ...] = (1, 5, 21)) -> DataFrame:
     """series_id, date, value, change_n and sigma_n for each step, pct_252 and pct_1260 of the latest row."""
     w = Window.partitionBy("series_id")

@@ -23,20 +23,14 @@ def bm25(
     """id, score of the best chunks (id, text, and source with boosts) for the words of a query; with chars also text,
     cut to so many characters.
 
-    Only the query's terms are counted for each chunk; negative weights of very common terms become a share
-    epsilon of the mean weight of the query's terms. A chunk's score is multiplied by the boost of its source; a chunk
-    that names one of ids gets a bonus.
+    Negative weights of very common terms become a share epsilon of the mean weight of all terms of the chunks (see
+    retrieval, whose stored index serves many queries). A chunk's score is multiplied by the boost of its source; a
+    chunk that names one of ids gets a bonus.
     """
-    d = chunks.select("id", terms(F.col("text")).alias("t")).withColumn("len", F.size("t"))
-    stats = d.agg(F.count("*").alias("N"), F.avg("len").alias("avg_len"))
-    tf = d.select("id", "len", F.explode(F.filter("t", lambda w: w.isin(query))).alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    one = lambda x: x.withColumn("__one", F.lit(1))
-    idf = one(df).join(F.broadcast(one(stats)), "__one").withColumn("idf", F.ln(F.col("N") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    mean = F.avg("idf").over(Window.partitionBy("__one"))  # a row for each term of the query
-    idf = idf.withColumn("idf", F.when(F.col("idf") < 0, epsilon * mean).otherwise(F.col("idf"))).drop("__one")
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
-    s = tf.join(F.broadcast(idf), "term").groupBy("id").agg(F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("score"))
+    from . import retrieval
+
+    one = chunks.sparkSession.createDataFrame([(0, " ".join(query))], "query_id int, text string")
+    s = retrieval.scores(retrieval.build(chunks), one, k1, b, epsilon).select("id", "score")
     if boosts or ids:
         times = F.lit(1.0)
         for source, by in (boosts or {}).items():

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import distributions as ds
+from ..functions.stored import shared_folder
 from ..operators import align as al
 from ..operators import curve as cv
 from ..operators import detect as dt
 from ..operators import events as ev
 from ..operators import monitor as mo
 from ..operators import regression as rg
+from ..operators import retrieval as rt
 from ..operators import select as sl
 from ..operators import series as st
 from ..operators import text as tx
@@ -640,6 +644,27 @@ def eligible(spark: S, sf: str) -> D:
     return sl.eligible(f, h, _as_of(spark), data_points=["click"], more=more).select("slug", "kind", "key", "status", "tier")
 
 
+#: Findings on two series each: the user and one of fifty others.
+FIND_SETS = "sets AS (SELECT slug, kind, discovered, date, status, score, [key, concat('o', CAST(CAST(substr(slug, 2) AS BIGINT) % 50 AS VARCHAR(10)))] AS series_ids FROM found)"
+
+
+def _found_sets(spark: S, sf: str) -> D:
+    other = F.concat(F.lit("o"), (F.substring("slug", F.lit(2), F.lit(20)).cast("bigint") % 50).cast("string"))
+    return fixture(spark, sf, FIND).withColumn("series_ids", F.array("key", other)).drop("key")
+
+
+@query("eligible_sets", f"""WITH {FIND}, {FIND_SETS}, a AS (SELECT max(date) AS d FROM found), h AS (SELECT sets.* FROM sets, a WHERE CAST(substr(slug, 2) AS BIGINT) % 997 = 0 AND date >= a.d - 14),
+m AS (SELECT unnest(series_ids) AS s FROM sets, a WHERE CAST(substr(slug, 2) AS BIGINT) % 1994 = 0 AND date >= a.d - 7), k AS (SELECT list(s) AS shown FROM (SELECT DISTINCT unnest(series_ids) AS s FROM h) WHERE s NOT IN (SELECT s FROM m)),
+t AS (SELECT sets.*, slug IN (SELECT slug FROM h) AS s, list_has_any(series_ids, coalesce(shown, [])) AS k, kind = 'click' AND a.d - discovered > 14 AS stale FROM sets, a, k),
+r AS (SELECT slug, kind, series_ids, status, CASE WHEN NOT s AND NOT k AND NOT stale THEN CASE WHEN status = 'new' THEN 0 ELSE 1 END WHEN NOT s THEN 2 ELSE 3 END AS tier FROM t)
+SELECT slug, kind, array_to_string(series_ids, ',') AS series, status, CAST(tier AS BIGINT) AS tier FROM r WHERE tier = (SELECT min(tier) FROM r)""")
+def eligible_sets(spark: S, sf: str) -> D:
+    f = _found_sets(spark, sf)
+    at = lambda n: f.filter(f"CAST(substr(slug, 2) AS BIGINT) % {n} = 0")
+    out = sl.eligible(f, at(997), _as_of(spark), data_points=["click"], more=at(1994).select("date", "series_ids"))
+    return out.select("slug", "kind", F.array_join("series_ids", ",").alias("series"), "status", "tier")
+
+
 @query("market_snapshot", f"""WITH {DAILY}, b AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS back, value - lag(value) OVER (PARTITION BY series_id ORDER BY date) AS diff FROM daily),
 g AS (SELECT series_id, max(date) AS date, max(CASE WHEN back = 1 THEN value END) AS v, count(*) AS n, stddev_samp(CASE WHEN back <= 252 THEN diff END) AS sd, max(CASE WHEN back = 2 THEN value END) AS t1, max(CASE WHEN back = 6 THEN value END) AS t5, max(CASE WHEN back = 22 THEN value END) AS t21 FROM b GROUP BY 1)
 SELECT g.series_id, g.date, {R('any_value(v)')} AS value, CAST(any_value(n) AS BIGINT) AS n, {R('any_value(v - t1)')} AS change_1, {R('any_value((v - t1) / sd)')} AS sigma_1, {R('any_value(v - t5)')} AS change_5, {R('any_value((v - t5) / (sd * sqrt(5)))')} AS sigma_5,
@@ -682,8 +707,8 @@ def text_chunks(spark: S, sf: str) -> D:
 
 QUERY_WORDS = ["theory", "erin", "ening", "moron", "und"]
 @query("bm25_search", f"""WITH t AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 1) AS t FROM documents), d AS (SELECT id, t, len(t) AS len FROM t),
-s AS (SELECT count(*) AS N, avg(len) AS a FROM d), x AS (SELECT id, len, unnest(t) AS term FROM d), f AS (SELECT id, len, term, count(*) AS tf FROM x WHERE term IN ({', '.join(f"'{w}'" for w in QUERY_WORDS)}) GROUP BY 1, 2, 3),
-i AS (SELECT term, ln(N - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM f, s GROUP BY term, N), j AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER () ELSE idf END AS idf FROM i)
+s AS (SELECT count(*) AS N, avg(len) AS a FROM d), x AS (SELECT id, len, unnest(t) AS term FROM d), f0 AS (SELECT id, len, term, count(*) AS tf FROM x GROUP BY 1, 2, 3),
+i AS (SELECT term, ln(N - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM f0, s GROUP BY term, N), j AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER () ELSE idf END AS idf FROM i), f AS (SELECT * FROM f0 WHERE term IN ({', '.join(f"'{w}'" for w in QUERY_WORDS)}))
 SELECT f.id, {R('sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / s.a)))')} AS score FROM f JOIN j ON f.term = j.term, s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25""")
 def bm25_search(spark: S, sf: str) -> D:
     tables(spark, sf, "documents")
@@ -691,8 +716,8 @@ def bm25_search(spark: S, sf: str) -> D:
 
 
 @query("bm25_boosted", f"""WITH t AS (SELECT doc_id AS id, text, lang, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 1) AS t FROM documents), d AS (SELECT id, text, lang, t, len(t) AS len FROM t),
-s AS (SELECT count(*) AS N, avg(len) AS a FROM d), x AS (SELECT id, len, unnest(t) AS term FROM d), f AS (SELECT id, len, term, count(*) AS tf FROM x WHERE term IN ({', '.join(f"'{w}'" for w in QUERY_WORDS)}) GROUP BY 1, 2, 3),
-i AS (SELECT term, ln(N - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM f, s GROUP BY term, N), j AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER () ELSE idf END AS idf FROM i),
+s AS (SELECT count(*) AS N, avg(len) AS a FROM d), x AS (SELECT id, len, unnest(t) AS term FROM d), f0 AS (SELECT id, len, term, count(*) AS tf FROM x GROUP BY 1, 2, 3),
+i AS (SELECT term, ln(N - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM f0, s GROUP BY term, N), j AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER () ELSE idf END AS idf FROM i), f AS (SELECT * FROM f0 WHERE term IN ({', '.join(f"'{w}'" for w in QUERY_WORDS)})),
 r AS (SELECT f.id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / s.a))) AS score FROM f JOIN j ON f.term = j.term, s GROUP BY 1),
 b AS (SELECT d.id, text, coalesce(score, 0.0) * CASE WHEN lang = 'en' THEN 1.5 ELSE 1.0 END + CASE WHEN contains(upper(text), 'MORONTH') THEN 5.0 ELSE 0.0 END AS score FROM d LEFT JOIN r ON r.id = d.id ORDER BY score DESC, d.id LIMIT 25)
 SELECT id, CASE WHEN length(text) <= 300 THEN text ELSE concat(rtrim(text[1:300]), chr(10), '… [truncated]') END AS text, {R('score')} AS score FROM b""")
@@ -702,6 +727,20 @@ def bm25_boosted(spark: S, sf: str) -> D:
 
 
 
+@query("bm25_many", f"""WITH t AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 1) AS t FROM documents), d AS (SELECT id, t, len(t) AS len FROM t),
+s AS (SELECT count(*) AS N, avg(len) AS a FROM d), x AS (SELECT id, len, unnest(t) AS term FROM d), f AS (SELECT id, len, term, count(*) AS tf FROM x GROUP BY 1, 2, 3),
+i AS (SELECT term, ln(N - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM f, s GROUP BY term, N), j AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER () ELSE idf END AS idf FROM i),
+q0 AS (SELECT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 1)) AS term FROM benchmark), q AS (SELECT query_id, term, count(*) AS times FROM q0 GROUP BY 1, 2),
+r AS (SELECT query_id, id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / s.a))) AS score FROM q JOIN j ON q.term = j.term JOIN f ON f.term = q.term, s GROUP BY 1, 2)
+SELECT query_id, CAST(place AS BIGINT) AS place, id, {R('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS place FROM r) WHERE place <= 3""")
+def bm25_many(spark: S, sf: str) -> D:
+    """All benchmark passages as queries of one search over a stored index."""
+    tables(spark, sf, "documents")
+    index = rt.write(rt.build(spark.sql("SELECT doc_id AS id, text FROM documents")), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", 8)
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    return rt.top(rt.scores(index, asked), 3)
+
+
 @query("article_filter", """WITH a AS (SELECT *, split_part(split_part(url, '://', 2), '/', 1) AS source FROM pages WHERE contains(lower(url), 'example') AND page_id % 5 <> 0)
 SELECT page_id, url, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY url) AS n FROM a WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 5 = 0 AND url IS NOT NULL)) WHERE n <= 5""")
 def article_filter(spark: S, sf: str) -> D:
@@ -823,6 +862,17 @@ def seeds(spark: S, sf: str) -> D:
     return made.select("id", "detector", "key", *fields, "priority_score", "created", "expires", "used")
 
 
+@query("release_match_sets", f"""WITH {MONTHLY}, {CAL}, {PAIRS}, soon AS (SELECT * FROM cal WHERE release_date BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + 10 AND (contains(lower(release_name), 'urgent') OR contains(lower(release_name), 'low'))),
+k AS (SELECT concat('ORD.', substr(release_name, 9)) AS s FROM soon UNION SELECT 'ORD.3-MEDIUM' FROM soon WHERE contains(lower(release_name), 'low'))
+SELECT pair_id AS slug, split_part(pair_id, '|', 1) IN (SELECT s FROM k) OR split_part(pair_id, '|', 2) IN (SELECT s FROM k) AS upcoming FROM (SELECT DISTINCT pair_id FROM pairs)""")
+def release_match_sets(spark: S, sf: str) -> D:
+    """Findings on pairs, and a word whose releases stand for a series of their own."""
+    cal = fixture(spark, sf, CAL)
+    members = cal.select("release_id", F.concat(F.lit("ORD."), F.expr("substring(release_name, 9)")).alias("series_id")).distinct()
+    found = fixture(spark, sf, MONTHLY, PAIRS).select(F.col("pair_id").alias("slug"), F.split("pair_id", r"\|").alias("series_ids")).distinct()
+    return sl.release_match(found, cal, members, F.lit(TODAY).cast("date"), ["Urgent", "LOW"], 10, {"Low": ["ORD.3-MEDIUM"]}).select("slug", "upcoming")
+
+
 @query("pick_seed", f"""WITH {HITS}, b AS (SELECT kind, key, max(score) AS s FROM hits WHERE key <> 'u1' GROUP BY 1, 2)
 SELECT regexp_replace(lower(concat(kind, '-', key, '-2024-05-01')), '[^a-z0-9]+', '-', 'g') AS id, {R('s')} AS priority_score FROM b ORDER BY s DESC, id LIMIT 1""")
 def pick_seed(spark: S, sf: str) -> D:
