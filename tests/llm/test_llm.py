@@ -217,7 +217,7 @@ def test_warc_written_files_read_back(spark, tmp_path):
     for r in rows(made):
         fields, block = got[r["record_id"]]
         assert block == r["block"] and fields["WARC-Refers-To"] == r["refers_to"]
-        assert fields["WARC-Payload-Digest"].startswith("sha256:")
+        assert fields["WARC-Source-Payload-Digest"].startswith("sha256:")
         assert fields["WARC-Source-Content-Type"] == "application/http; msgtype=response"
     texts = {r["block"] for r in rows(made) if r["record_type"] == "conversion"}
     assert texts == {"One WARC/1.0 two", "", "same", ("long text here " * 60_000).strip()}

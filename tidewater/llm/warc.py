@@ -4,30 +4,32 @@ Every response gives a ``metadata`` record (status, title, language, character s
 ``conversion`` record (the page's text). Both carry WARC-Refers-To with the response's record id, its target URI and
 date, and all its other WARC header fields, digests included, under their own names or, where the new record has a
 field of that name itself, as WARC-Source-<name>. Block digests are SHA-256. Record ids are UUIDs made from the
-response's id and the kind, so a rerun gives the same ids.
+response's id and the kind, so a rerun gives the same ids, in whatever partitions.
 
 ``read`` takes responses from WARC files; ``responses`` makes them from a table of pages, whose rows are told apart by
-their place in it. All of it is row by row: no shuffle, nothing held beyond one batch of pages (``read``: one file in
-a task). Character references are resolved by HTML's rules in text, title and outlinks; in links, as in any attribute,
+their place in their file (a table that does not come from files is numbered among equal rows, by a shuffle). The rest
+is row by row: no shuffle, nothing held beyond one batch of pages (``read``: one file, as stored, in a task). Character references are resolved by HTML's rules in text, title and outlinks; in links, as in any attribute,
 a name without its semicolon counts only where no letter, digit or = follows, so that parameters of a query stay.
 
 Defined cases: a null or empty page gives an empty payload, a metadata record without title or links, and an
-empty conversion record; a null url is left out of the headers; repeated rows give records of their own; very long
+empty conversion record; a record of a file without a length, or cut off, is reported by ``read`` and not a response; bytes
+outside a page's charset become U+FFFD; a null url is left out of the headers; repeated rows give records of their own; very long
 pages are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import gzip
 import html as markup
 import re
+import zlib
 from collections.abc import Iterator
 from html.entities import html5
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from .common import small_batches
 
@@ -82,13 +84,28 @@ def plain_text(html: Column) -> Column:
 
 
 #: Fields of a response that its derivatives have of their own.
-OWN = ("warc-type", "warc-record-id", "warc-refers-to", "warc-block-digest", "content-type", "content-length")
+OWN = ("warc-type", "warc-record-id", "warc-refers-to", "warc-block-digest", "warc-payload-digest", "content-type", "content-length")
+
+
+def placed(pages: DataFrame) -> DataFrame:
+    """page_id, target_uri, payload of pages, and place, which tells rows with the same page_id and url apart.
+
+    The place is the row's own in its file where pages are read from files, whatever partitions they are read in; elsewhere
+    a hash of the payload and a number among equal rows.
+    """
+    cols = [F.col("page_id"), F.col("url").alias("target_uri"), F.coalesce("html", F.lit("")).alias("payload")]
+    try:
+        return pages.select(*cols, F.concat_ws(":", F.col("_metadata.file_name"), F.col("_metadata.row_index").cast("string")).alias("place"))
+    except AnalysisException:
+        same = pages.select(*cols).withColumn("__h", F.sha2("payload", 256))
+        n = F.row_number().over(Window.partitionBy("page_id", "target_uri", "__h").orderBy(F.lit(0)))
+        return same.withColumn("place", F.concat_ws(":", "__h", n.cast("string"))).drop("__h")
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """One response record for each row of pages (page_id, url, html): page_id, record_id, target_uri, date, headers
     (other WARC fields, in order), http (status line and header lines), payload."""
-    base = pages.select("page_id", F.col("url").alias("target_uri"), F.coalesce("html", F.lit("")).alias("payload"), F.monotonically_increasing_id().alias("place"))
+    base = placed(pages)
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("page_id", "target_uri", "place")]
     size = F.octet_length("payload").cast("string")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "), size, F.lit("\r\n"))
@@ -163,42 +180,144 @@ def write(records: DataFrame, path: str) -> None:
     serialised(records).select(bare.alias("record")).write.option("lineSep", "\n").text(path)
 
 
-def split_records(content: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """Header fields and block of every record of an uncompressed or gzipped WARC file."""
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
-    at = content.find(b"WARC/")
-    while 0 <= at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+def _inflated(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """A file's bytes in pieces; gzip members one after the other. A broken member ends the file."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    at = 0
+    while content[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(content):
+            piece = content[at : at + step]
+            try:
+                yield member.decompress(piece)
+            except zlib.error:
+                return
+            at += len(piece) - len(member.unused_data)
+
+
+def split_records(content: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes, str | None]]:
+    """Header fields, block and error of every record of an uncompressed or gzipped WARC file.
+
+    error: ``no length`` for a record without a readable Content-Length (its block is empty, and reading goes on at
+    the next record), ``truncated`` where the file ends inside headers or a block, else None.
+    """
+    pieces, buffer = _inflated(content), bytearray()
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        if piece is None:
+            return False
+        buffer.extend(piece)
+        return True
+
+    while True:
+        while (start := buffer.find(b"WARC/")) < 0:
+            del buffer[:-4]
+            if not more():
+                return
+        del buffer[:start]
+        while (end := buffer.find(b"\r\n\r\n")) < 0 and more():
+            pass
+        lines = bytes(buffer[: end if end >= 0 else None]).decode("utf-8", "replace").split("\r\n")[1:]
         fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)]
-        size = next(int(v) for k, v in fields if k.lower() == "content-length")
-        yield fields, content[end + 4 : end + 4 + size]
-        at = content.find(b"WARC/", end + 4 + size)
+        if end < 0:
+            yield fields, b"", "truncated"
+            return
+        del buffer[: end + 4]
+        size = next((int(v) for k, v in fields if k.lower() == "content-length" and v.isascii() and v.isdigit()), None)
+        if size is None:
+            yield fields, b"", "no length"
+            continue
+        while len(buffer) < size and more():
+            pass
+        yield fields, bytes(buffer[:size]), None if len(buffer) >= size else "truncated"
+        del buffer[:size]
 
 
 def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: list[dict] = []
+    size = 0
     for pdf in batches:
         for content in pdf.content:
-            for fields, block in split_records(content):
-                yield pd.DataFrame({"headers": [[{"name": k, "value": v} for k, v in fields]], "block": [block]})
+            for fields, block, error in split_records(content):
+                held.append({"headers": [{"name": k, "value": v} for k, v in fields], "block": block, "error": error})
+                size += len(block)
+                if size > 4 << 20 or len(held) >= 1000:
+                    yield pd.DataFrame(held)
+                    held, size = [], 0
+    if held:
+        yield pd.DataFrame(held)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """headers (array of name, value) and block (binary) of every record of the WARC files in path."""
+    """headers (array of name, value), block (binary) and error of every record of the WARC files in path.
+
+    A file is one row of Spark's reader, so of less than 2 GB; its records are inflated and passed on bit by bit.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(_records, "headers array<struct<name:string,value:string>>, block binary")
+    return files.mapInPandas(_records, "headers array<struct<name:string,value:string>>, block binary, error string")
+
+
+def unchunked(body: bytes) -> bytes:
+    """A body in chunked transfer coding; as far as it can be read."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            break
+        if size == 0:
+            break
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+    return b"".join(out)
+
+
+def http_message(block: bytes) -> dict[str, str]:
+    """http (status line and header lines) and payload (decoded text) of an HTTP response.
+
+    Chunks, gzip and deflate are undone; the charset is that of the header, else of the page's meta element, else
+    UTF-8; bytes that it does not have become U+FFFD.
+    """
+    head, mark, body = block.partition(b"\r\n\r\n")
+    if not mark:
+        head, body = b"", block
+    http = head.decode("utf-8", "replace") + "\r\n" if mark else ""
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.split("\r\n")[1:])}
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        body = unchunked(body)
+    coding = fields.get("content-encoding", "").lower()
+    try:
+        if coding in ("gzip", "x-gzip"):
+            body = b"".join(_inflated(body))
+        elif coding == "deflate":
+            body = zlib.decompress(body, 15 if body[:1] == b"\x78" else -15)
+    except zlib.error:
+        pass
+    named = re.search(r"charset=[\"']?([\w.:-]+)", fields.get("content-type", ""), re.I)
+    charset = named[1] if named else next(iter(re.findall(rb"<meta[^>]*\bcharset=[\"']?([A-Za-z0-9_.:-]+)", body[:4096], re.I)), b"utf-8").decode()
+    try:
+        text = body.decode(charset, "replace")
+    except (LookupError, UnicodeError):
+        text = body.decode("utf-8", "replace")
+    return {"http": http, "payload": text}
+
+
+@F.pandas_udf(StructType([StructField("http", StringType()), StructField("payload", StringType())]))
+def _messages(blocks: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([http_message(b) for b in blocks], columns=["http", "payload"], dtype=object)
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """The response records of WARC files as ``responses`` gives them; page_id is null."""
+    """The whole response records of WARC files as ``responses`` gives them; page_id is null. Broken records are left out;
+    ``read`` reports them."""
+    small_batches(spark)
     named = lambda name: F.get(F.filter("headers", lambda h: F.lower(h["name"]) == name), F.lit(0))["value"]
-    text = F.decode("block", "UTF-8")
-    cut = F.instr(text, "\r\n\r\n")
     taken = ("warc-type", "warc-record-id", "warc-target-uri", "warc-date")
-    return read(spark, path).filter(F.lower(named("warc-type")) == "response").select(
+    whole = read(spark, path).filter((F.lower(named("warc-type")) == "response") & F.col("error").isNull()).withColumn("m", _messages("block"))
+    return whole.select(
         F.lit(None).cast("bigint").alias("page_id"), named("warc-record-id").alias("record_id"), named("warc-target-uri").alias("target_uri"), named("warc-date").alias("date"),
-        F.filter("headers", lambda h: ~F.lower(h["name"]).isin(*taken)).alias("headers"),
-        F.when(cut > 0, F.substring(text, F.lit(1), cut + 1)).otherwise("").alias("http"),
-        F.when(cut > 0, F.substring(text, cut + 4, F.length(text))).otherwise(text).alias("payload"),
+        F.filter("headers", lambda h: ~F.lower(h["name"]).isin(*taken)).alias("headers"), "m.http", "m.payload",
     )
