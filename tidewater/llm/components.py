@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every step is a partial aggregate and a join on node ids; edges are written out between rounds. After a
-round each node points nearer to the least node it reaches, so chains shorten to about half.
+Every step is a partial aggregate and a join on node ids; edges are written out between rounds, and the aggregates
+before they are joined, so that both sides of a join are plain exchanges and a star's centre can be split. After a round each
+node points nearer to the least node it reaches, so chains shorten to about half.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from .common import written
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
     return (
         both.filter("b > a").join(least.hint("merge"), "a")
         .select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).filter("a <> b").distinct()
@@ -23,7 +24,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """edges have a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least.hint("merge"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
