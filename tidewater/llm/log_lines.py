@@ -100,7 +100,8 @@ def flag(docs: DataFrame, depth: int = 3, min_docs: int = 10, constant: float =
         .filter(F.col("n") >= min_docs).select("template")
     )
     first = hits.groupBy("template").agg(F.min(F.struct("k1", "k2", "at")).alias("first"))
-    boilerplate = boilerplate.join(first.hint("merge"), "template")
+    # written, so that both sides of the next join are plain exchanges and a template with many lines can be split
+    boilerplate = written(boilerplate.join(first.hint("merge"), "template"), "boilerplate")
     doomed = hits.join(boilerplate.hint("merge"), "template").filter(F.struct("k1", "k2", "at") != F.col("first"))
     return doomed.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("at")).alias("drop"))
 
