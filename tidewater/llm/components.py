@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     )
     state = _state(now)
     while state[0]:
-        after = written(_small_star(_large_star(now)), "edges")
+        after = written(_small_star(written(_large_star(now), "stars")), "edges")
         new = _state(after)
         now = after
         if new == state:
