@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stored import written
-from .align import infer_frequency, returns
+from .align import downsample, infer_frequency, returns
 from .breaks import regime_stats, regimes, structural_breaks
 from .regression import engle_granger
 from .series import _scale, corr_stability, latest_stats, lead_lag, peak_lag, rolling_corr, tail
@@ -140,6 +140,35 @@ def factor_extreme(factors: DataFrame, least: int = 36, tails: float = 0.1) -> D
     return hits(s, "factor_extreme", "series_id", F.least(F.abs("z") / 3, F.lit(1.0)), F.col("date"), "full", ["value", "z", "percentile"])
 
 
+def curve_extreme(factors: DataFrame, least: int = 36, tails: float = 0.1, curve: str = "curve") -> DataFrame:
+    """One hit for the curve, if any of its factors (see factor_extreme) is in the tails of its history; the score is that
+    of the largest deviation of all of them."""
+    s = latest_stats(factors).filter(F.col("n") >= least)
+    extreme = (F.col("percentile") <= tails) | (F.col("percentile") >= 1 - tails)
+    what = F.array_sort(F.collect_list(F.when(extreme, F.col("series_id"))))
+    each = F.array_sort(F.collect_list(F.struct("series_id", F.round("value", 4).alias("value"), F.round("percentile", 3).alias("percentile"), F.round("z", 3).alias("z"))))
+    g = s.groupBy(F.lit(curve).alias("key")).agg(F.max("date").alias("date"), F.max(F.abs("z")).alias("max_z"), what.alias("extremes"), each.alias("factors"), F.max("n").alias("n"))
+    return hits(g.filter(F.size("extremes") > 0), "curve_factor_extreme", "key", F.least(F.col("max_z") / 3, F.lit(1.0)), F.col("date"), "full", ["max_z", "extremes", "factors", "n"])
+
+
+def correlation_breaks(pairs: DataFrame, window: int, least_move: float = 0.2, least: int = 24, years: float = 15.0) -> DataFrame:
+    """Breaks in the level of a pair's rolling rank correlation of changes, by months; pairs with twice the window's rows and
+    ``least`` correlations."""
+    d = _diffs(pairs)
+    n = d.groupBy("pair_id").agg(F.count("*").alias("n")).filter(F.col("n") >= 2 * window)
+    r = rolling_corr(d.join(n.hint("merge"), "pair_id", "left_semi"), window, "spearman").filter("correlation IS NOT NULL")
+    long = r.groupBy("pair_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    r = r.join(long.hint("merge"), "pair_id", "left_semi")
+    monthly = downsample(r.select(F.col("pair_id").alias("series_id"), "date", F.col("correlation").alias("value")), "M", "mean")
+    found = structural_break(monthly, 0.0, years, least_move=least_move, prefix="correlation_break")
+    return found.withColumn("window", F.lit(str(window)))
+
+
+def curve_signal(cp: DataFrame, z: float = 1.75, least: int = 60) -> DataFrame:
+    """The robust z signal of the curve's return factor (series_id, date, value)."""
+    return robust_z_signal(cp, z, least).withColumn("kind", F.lit("curve_signal"))
+
+
 def level_regime_cross(obs: DataFrame, cuts: list[tuple[float, str]], otherwise: str, stressed: list[str], back: int = 3) -> DataFrame:
     """Levels that are in a stressed regime, or whose regime differs from some rows ago."""
     from .curve import regime_of
@@ -182,11 +211,12 @@ def decomposition_shift(parts: DataFrame, move: float = 0.2, days: int = 90) ->
 
 def scan(
     obs: DataFrame, pairs: DataFrame, factors: DataFrame | None = None, parts: DataFrame | None = None, episodes: DataFrame | None = None,
-    levels: tuple[DataFrame, list[tuple[float, str]], str, list[str]] | None = None,
+    levels: tuple[DataFrame, list[tuple[float, str]], str, list[str]] | None = None, cp: DataFrame | None = None, priced: DataFrame | None = None,
     windows: tuple[int, int] = (36, 252), lags: tuple[tuple[int, int], tuple[int, int]] = ((6, 24), (60, 252)), least: int = 60,
 ) -> DataFrame:
-    """Hits of the detectors as one table; those of curve factors, parts of a total, episodes and regimes of levels (see
-    factor_extreme, decomposition_shift, episode_anomaly, level_regime_cross) where their input is given.
+    """Hits of the detectors as one table; those of curve factors, parts of a total, episodes, regimes of levels and the curve's
+    return factor (see curve_extreme, decomposition_shift, episode_anomaly, level_regime_cross, curve_signal) where
+    their input is given. priced: hits of pricing.factor_pricing to go with them.
 
     windows, and lags with recent rows, are those of pairs that are monthly or rarer, and of daily and weekly ones.
     obs and pairs are written once and read by all.
@@ -198,18 +228,37 @@ def scan(
     found = [notable_move(obs, least=least), regime_transition(quantile_regime(obs, [0.33, 0.67], ["low", "mid", "high"])), structural_break(obs), robust_z_signal(obs, least=least), spread_extreme(pairs, least=least), cointegration_break(pairs)]
     for how, window, (most, recent) in zip(("left_anti", "left_semi"), windows, lags, strict=True):
         own = pairs.join(often.hint("merge"), "pair_id", how)
-        found += [correlation_shift(own, window), lead_lag_change(own, most, recent)]
+        found += [correlation_shift(own, window), lead_lag_change(own, most, recent), correlation_breaks(own, window)]
     if factors is not None:
-        found.append(factor_extreme(factors))
+        found.append(curve_extreme(factors))
     if parts is not None:
         found.append(decomposition_shift(parts))
     if episodes is not None:
         found.append(episode_anomaly(episodes))
     if levels is not None:
         found.append(level_regime_cross(*levels))
+    if cp is not None:
+        found.append(curve_signal(cp))
+    if priced is not None:
+        found.append(priced)
     return reduce(DataFrame.unionByName, found)
 
 
+def follow_through(
+    found: DataFrame, snapshot: DataFrame, triggers: DataFrame, created: Column, known_findings: DataFrame | None = None, known_seeds: DataFrame | None = None, label: str = "hits"
+) -> dict[str, DataFrame]:
+    """What a scan leads to, from hits that are written once: hits, follow_ups, findings, seeds and stats.
+
+    stats: kind, window, n, top_score, last of the hits.
+    """
+    found = written(found, label)
+    stats = found.groupBy("kind", "window").agg(F.count("*").alias("n"), F.max("score").alias("top_score"), F.max("date").alias("last"))
+    return {
+        "hits": found, "follow_ups": follow_ups(found, triggers), "findings": findings(found, known_findings),
+        "seeds": seeds(found, snapshot, created, known=known_seeds), "stats": stats,
+    }
+
+
 def skipped(obs: DataFrame, least: int = 60) -> DataFrame:
     """key, reason of series that are too short or do not vary."""
     g = obs.groupBy("series_id").agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
@@ -218,9 +267,20 @@ def skipped(obs: DataFrame, least: int = 60) -> DataFrame:
 
 
 def follow_ups(found: DataFrame, triggers: DataFrame) -> DataFrame:
-    """question, priority of the questions that hits raise; triggers: question, kind, key, priority (NULL: any)."""
-    on = (triggers["kind"].isNull() | (triggers["kind"] == found["kind"])) & (triggers["key"].isNull() | (triggers["key"] == found["key"]))
-    return found.join(F.broadcast(triggers), on, "inner").groupBy("question").agg(F.min("priority").alias("priority"), F.count("*").alias("raised_by"))  # triggers: a registry
+    """question, priority, raised_by of the questions that hits raise; triggers: question, kind, key, priority (NULL: any).
+
+    Hits are counted by kind and key first; each of the four forms of a trigger then is a join on what it names.
+    """
+    h = found.groupBy("kind", "key").agg(F.count("*").alias("n"))
+    parts = []
+    for named in (["kind", "key"], ["kind"], ["key"], []):
+        of = triggers
+        for c in ("kind", "key"):
+            of = of.filter(F.col(c).isNotNull() if c in named else F.col(c).isNull())
+        of = of.select("question", "priority", *named, F.lit(1).alias("__any"))
+        n = h.groupBy(*named, F.lit(1).alias("__any")).agg(F.sum("n").alias("n"))
+        parts.append(of.join(n.hint("merge"), [*named, "__any"]).select("question", "priority", "n"))
+    return reduce(DataFrame.unionByName, parts).groupBy("question").agg(F.min("priority").alias("priority"), F.sum("n").alias("raised_by"))
 
 
 def slug(*parts: Column) -> Column:

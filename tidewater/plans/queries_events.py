@@ -15,6 +15,7 @@ from ..operators import curve as cv
 from ..operators import detect as dt
 from ..operators import events as ev
 from ..operators import monitor as mo
+from ..operators import pricing as pr
 from ..operators import regression as rg
 from ..operators import retrieval as rt
 from ..operators import select as sl
@@ -350,6 +351,45 @@ def fama_macbeth_by_regime(spark: S, sf: str) -> D:
     return rg.fama_macbeth(d, ["f1", "f2"], 24, ["regime"])
 
 
+#: Prices of thirteen groups of suppliers, and the first difference of an order series as the only factor.
+PRICED = """lvl AS (
+  SELECT concat('G', l_suppkey % 13) AS series_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS value FROM lineitem GROUP BY 1, 2)"""
+EARLY = "date < DATE '1998-07-01'"
+
+
+def _priced_sample(name: str, where: str, least: int) -> str:
+    """Premium, standard error and t of one factor in closed form."""
+    return f"""
+{name}b AS (SELECT asset, regr_slope(ret, f) AS beta, avg(ret) AS mean, count(*) AS n FROM pan WHERE {where} GROUP BY 1 HAVING count(*) >= 24),
+{name}f AS (SELECT var_samp(f) AS vf, count(*) AS n_obs FROM (SELECT DISTINCT date, f FROM pan WHERE {where})),
+{name}2 AS (SELECT count(*) AS n, regr_slope(mean, beta) AS l, regr_sxx(mean, beta) AS sxx, regr_syy(mean, beta) * (1 - regr_r2(mean, beta)) AS rss FROM {name}b),
+{name} AS (SELECT l, sqrt(rss / (n - 2) / sxx) * sqrt(greatest(1, 1 + l * l / vf)) AS se FROM {name}2, {name}f WHERE n_obs >= {least} AND n > 2)"""
+
+
+@query("factor_pricing", f"""WITH {MONTHLY}, {PRICED},
+ret0 AS (SELECT series_id AS asset, date, 100 * (ln(value) - ln(lag(value) OVER (PARTITION BY series_id ORDER BY date))) AS ret, count(*) OVER (PARTITION BY series_id) AS n FROM lvl),
+ret AS (SELECT * FROM ret0 WHERE ret IS NOT NULL AND n > 24), sh AS (SELECT date, value - lag(value) OVER (ORDER BY date) AS f FROM monthly WHERE series_id = 'ORD.1-URGENT'),
+pan0 AS (SELECT asset, ret.date AS date, ret, f FROM ret JOIN sh ON sh.date = ret.date WHERE f IS NOT NULL), pan AS (SELECT * FROM pan0 WHERE date IN (SELECT date FROM pan0 GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT asset) FROM ret))),
+{_priced_sample("fl", "true", 36)}, {_priced_sample("ea", EARLY, 24)}, {_priced_sample("la", f"NOT {EARLY}", 24)},
+h AS (SELECT 'full' AS w, l AS premium, l / se AS t FROM fl UNION ALL SELECT 'early_vs_late', ea.l - la.l, (ea.l - la.l) / sqrt(ea.se * ea.se + la.se * la.se) FROM ea, la)
+SELECT 'cross_asset_factor' AS kind, 'factors' AS key, w AS "window", {R('least(abs(t) / 4, 1.0)')} AS score, (SELECT max(date) FROM pan) AS date, {R('abs(t)')} AS max_t, round(premium, 4) AS premium FROM h WHERE abs(t) >= 0.05""")
+def factor_pricing(spark: S, sf: str) -> D:
+    h = pr.factor_pricing(_priced(spark, sf), ["f"], _early_late(), [("early", "late")], 0.05)
+    premium = F.get_json_object("evidence", "$.factors[0].premium").cast("double")
+    return h.select("kind", "key", "window", "score", "date", F.get_json_object("evidence", "$.max_t").cast("double").alias("max_t"), premium.alias("premium"))
+
+
+def _early_late() -> dict:
+    return {"early": F.expr(EARLY), "late": ~F.expr(EARLY)}
+
+
+def _priced(spark: S, sf: str) -> D:
+    levels = fixture(spark, sf, PRICED)
+    assets = levels.select(F.col("series_id").alias("name"), "series_id").distinct().withColumns({"how": F.lit("log"), "scale": F.lit(1.0)})
+    factors = spark.createDataFrame([("f", "ORD.1-URGENT", "diff", 1.0)], "name string, series_id string, how string, scale double")
+    return pr.pricing_panel(pr.asset_returns(levels, assets), pr.factor_shocks(fixture(spark, sf, MONTHLY), factors), ["f"])
+
+
 @query("adf_test")
 def adf_test(spark: S, sf: str) -> D:
     return rg.adf(fixture(spark, sf, MONTHLY))
@@ -466,14 +506,70 @@ def notable_move(spark: S, sf: str) -> D:
     return opened(dt.notable_move(fixture(spark, sf, DAILY), tails=0.3, z=0.5), value="double", percentile="double", z="double", n="bigint")
 
 
-@query("correlation_shift")
+def _break_hits(kind: str, source: str, shift: float) -> str:
+    """Rows of the hits of breaks, after break_ctes() and stats_ctes(); evidence as columns."""
+    return f"""
+SELECT '{kind}' AS kind, series_id AS key, 'full' AS "window", {R('abs(move) / std * greatest(0.2, 1 - age / 15)')} AS score, since AS date, CAST(k AS BIGINT) AS k, array_to_string(dates, ',') AS break_dates,
+       {R('before')} AS before, {R('mean')} AS mean, {R('move')} AS move, {R('age')} AS age_years
+FROM (SELECT r.series_id, r.since, r.mean, p.mean AS before, r.mean - p.mean AS move, date_diff('day', r.since, r.until) / 365.25 AS age, t.k, t.dates, d.std FROM rs r JOIN best t ON r.series_id = t.series_id AND t.best AND t.k >= 1 AND r.regime = t.k
+  JOIN rs p ON p.series_id = r.series_id AND p.regime = r.regime - 1 JOIN (SELECT series_id, stddev_samp(value) AS std FROM {source} GROUP BY 1) d ON d.series_id = r.series_id)
+WHERE age <= 15 AND abs(move) / std >= {shift}"""
+
+
+BREAK_EVIDENCE = {"k": "bigint", "break_dates": "string", "before": "double", "mean": "double", "move": "double", "age_years": "double"}
+
+
+DIFFS = "diffs AS (SELECT * FROM (SELECT pair_id, date, a - lag(a) OVER w AS a, b - lag(b) OVER w AS b FROM pairs WINDOW w AS (PARTITION BY pair_id ORDER BY date)) WHERE a IS NOT NULL AND b IS NOT NULL)"
+
+
+def _ranked(x: str, by: str) -> str:
+    return f"rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0"
+
+
+def rolling_ctes(source: str, window: int, least_rows: int) -> str:
+    """rc (pair_id, date, c): rolling rank correlations of pairs with so many rows."""
+    return f"""
+rn AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY date) AS rn, count(*) OVER (PARTITION BY pair_id) AS n FROM {source}),
+rm AS (SELECT e.pair_id, e.rn AS spot, n.a, n.b, n.date FROM rn n JOIN rn e ON n.pair_id = e.pair_id AND n.rn BETWEEN e.rn - {window - 1} AND e.rn WHERE e.n >= {least_rows} AND e.rn >= {window}),
+rk AS (SELECT pair_id, spot, date, {_ranked('a', 'pair_id, spot')} AS ra, {_ranked('b', 'pair_id, spot')} AS rb FROM rm),
+rc AS (SELECT pair_id, max(date) AS date, corr(ra, rb) AS c FROM rk GROUP BY pair_id, spot)"""
+
+
+@query("correlation_shift", f"""WITH {MONTHLY}, {PAIRS}, {DIFFS}, {rolling_ctes("diffs", 12, 24)},
+sn AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY pair_id) AS n FROM diffs),
+sp AS (SELECT *, CASE WHEN i >= floor(n * 3 / 4.0) THEN 3 WHEN i >= floor(n * 2 / 4.0) THEN 2 WHEN i >= floor(n / 4.0) THEN 1 ELSE 0 END AS part FROM sn),
+sf AS (SELECT pair_id, corr(ra, rb) AS c FROM (SELECT pair_id, {_ranked('a', 'pair_id')} AS ra, {_ranked('b', 'pair_id')} AS rb FROM sp) GROUP BY 1),
+ss AS (SELECT pair_id, max(c) - min(c) AS spread FROM (SELECT pair_id, part, corr(ra, rb) AS c FROM (SELECT pair_id, part, {_ranked('a', 'pair_id, part')} AS ra, {_ranked('b', 'pair_id, part')} AS rb FROM sp) GROUP BY 1, 2) GROUP BY 1),
+o AS (SELECT rc.*, sf.c AS full_corr, spread, abs(rc.c - sf.c) >= 0.2 AS off FROM rc JOIN sf ON rc.pair_id = sf.pair_id JOIN ss ON ss.pair_id = rc.pair_id),
+t AS (SELECT *, off AND NOT coalesce(lag(off) OVER (PARTITION BY pair_id ORDER BY date), false) AS turn FROM o),
+g AS (SELECT pair_id, max(date) AS date, arg_max(c, date) AS recent, any_value(full_corr) AS full_corr, any_value(spread) AS spread, min(date) FILTER (turn) AS first_crossing, max(date) FILTER (turn) AS last_crossing FROM t GROUP BY 1)
+SELECT 'correlation_shift' AS kind, pair_id AS key, '12' AS "window", {R('abs(recent - full_corr)')} AS score, date, {R('recent')} AS recent, {R('full_corr')} AS full_corr, {R('spread')} AS spread, first_crossing, last_crossing
+FROM g WHERE abs(recent - full_corr) >= 0.2 AND spread <= 2 AND greatest(abs(recent), abs(full_corr)) >= 0.25""")
 def correlation_shift(spark: S, sf: str) -> D:
-    return dt.correlation_shift(fixture(spark, sf, MONTHLY, PAIRS), 12, 0.2, 2.0)
+    h = dt.correlation_shift(fixture(spark, sf, MONTHLY, PAIRS), 12, 0.2, 2.0)
+    return opened(h, recent="double", full_corr="double", spread="double", first_crossing="date", last_crossing="date")
+
 
+@query("correlation_breaks", f"""WITH {MONTHLY}, {PAIRS}, {DIFFS}, {rolling_ctes("diffs", 12, 24)},
+rolled AS (SELECT pair_id AS series_id, date, c AS value FROM rc WHERE c IS NOT NULL AND pair_id IN (SELECT pair_id FROM rc WHERE c IS NOT NULL GROUP BY 1 HAVING count(*) >= 24)),
+{break_ctes('rolled')}, {stats_ctes('rolled')}, h AS ({_break_hits('correlation_break', 'rolled', 0.0)}) SELECT * REPLACE ('12' AS "window") FROM h WHERE abs(move) >= 0.2""")
+def correlation_breaks(spark: S, sf: str) -> D:
+    return opened(dt.correlation_breaks(fixture(spark, sf, MONTHLY, PAIRS), 12), **BREAK_EVIDENCE)
+
+
+def _peaks(where: str, name: str) -> str:
+    return f"""
+{name}n AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY date) AS rn FROM cut WHERE {where}),
+{name}c AS (SELECT x.pair_id, l.lag, corr(x.a, y.b) AS c, count(*) AS n FROM {name}n x, range(-3, 4) l(lag), {name}n y WHERE y.pair_id = x.pair_id AND y.rn = x.rn + l.lag GROUP BY 1, 2 HAVING count(*) >= 10),
+{name} AS (SELECT pair_id, lag, c FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY abs(c) DESC, abs(lag), lag) AS k FROM {name}c WHERE c IS NOT NULL) WHERE k = 1)"""
 
-@query("lead_lag_change")
+
+@query("lead_lag_change", f"""WITH {MONTHLY}, {PAIRS}, {DIFFS}, cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY date DESC) AS back, count(*) OVER (PARTITION BY pair_id) AS n FROM diffs) WHERE n >= 60),
+{_peaks("back > 15", "p0")}, {_peaks("back <= 15", "p1")}, e AS (SELECT pair_id, max(date) AS date FROM diffs GROUP BY 1)
+SELECT 'lead_lag_change' AS kind, o.pair_id AS key, '15' AS "window", {R('abs(w.c - o.c) + abs(w.lag - o.lag) / 3.0')} AS score, date, CAST(o.lag AS BIGINT) AS lag0, {R('o.c')} AS c0, CAST(w.lag AS BIGINT) AS lag1, {R('w.c')} AS c1
+FROM p0 o JOIN p1 w ON o.pair_id = w.pair_id JOIN e ON e.pair_id = o.pair_id WHERE (abs(w.lag - o.lag) >= 1 OR abs(w.c - o.c) >= 0.3) AND greatest(abs(o.c), abs(w.c)) >= 0.25""")
 def lead_lag_change(spark: S, sf: str) -> D:
-    return dt.lead_lag_change(fixture(spark, sf, MONTHLY, PAIRS), 3, 15)
+    return opened(dt.lead_lag_change(fixture(spark, sf, MONTHLY, PAIRS), 3, 15), lag0="bigint", c0="double", lag1="bigint", c1="double")
 
 
 @query("regime_transition", f"""WITH {MONTHLY}, q AS (SELECT series_id, quantile_cont(value, 0.33) AS a, quantile_cont(value, 0.67) AS b FROM monthly GROUP BY 1),
@@ -487,19 +583,6 @@ def regime_transition(spark: S, sf: str) -> D:
     return opened(hits, before="string", regime="string", held="bigint")
 
 
-def _break_hits(kind: str, source: str, shift: float) -> str:
-    """Rows of the hits of breaks, after break_ctes() and stats_ctes(); evidence as columns."""
-    return f"""
-SELECT '{kind}' AS kind, series_id AS key, 'full' AS "window", {R('abs(move) / std * greatest(0.2, 1 - age / 15)')} AS score, since AS date, CAST(k AS BIGINT) AS k, array_to_string(dates, ',') AS break_dates,
-       {R('before')} AS before, {R('mean')} AS mean, {R('move')} AS move, {R('age')} AS age_years
-FROM (SELECT r.series_id, r.since, r.mean, p.mean AS before, r.mean - p.mean AS move, date_diff('day', r.since, r.until) / 365.25 AS age, t.k, t.dates, d.std FROM rs r JOIN best t ON r.series_id = t.series_id AND t.best AND t.k >= 1 AND r.regime = t.k
-  JOIN rs p ON p.series_id = r.series_id AND p.regime = r.regime - 1 JOIN (SELECT series_id, stddev_samp(value) AS std FROM {source} GROUP BY 1) d ON d.series_id = r.series_id)
-WHERE age <= 15 AND abs(move) / std >= {shift}"""
-
-
-BREAK_EVIDENCE = {"k": "bigint", "break_dates": "string", "before": "double", "mean": "double", "move": "double", "age_years": "double"}
-
-
 @query("structural_break_hits", f"WITH {MONTHLY}, {break_ctes('monthly')}, {stats_ctes('monthly')} {_break_hits('structural_break', 'monthly', 0.2)}")
 def structural_break_hits(spark: S, sf: str) -> D:
     return opened(dt.structural_break(fixture(spark, sf, MONTHLY), 0.2), **BREAK_EVIDENCE)
@@ -541,9 +624,23 @@ def _factors(spark: S, sf: str) -> D:
     return ns.select("date", F.explode(F.create_map(*[x for c in ("level", "slope", "curvature") for x in (F.lit(c), F.col(c))])).alias("series_id", "value"))
 
 
-@query("factor_extreme")
+NS_STATS = f"""{CURVE}, {LOADED}, nm AS (SELECT date, count(*)::DOUBLE AS n, sum(s) AS s, sum(c) AS c, sum(s*s) AS ss, sum(s*c) AS sc, sum(c*c) AS cc, sum(y) AS y, sum(s*y) AS sy, sum(c*y) AS cy FROM l GROUP BY 1),
+nf AS (SELECT date, {_SOLVED} FROM nm WHERE n >= 3), nl AS (SELECT date, 'level' AS series_id, level AS value FROM nf UNION ALL SELECT date, 'slope', slope FROM nf UNION ALL SELECT date, 'curvature', curvature FROM nf),
+nx AS (SELECT series_id, max(date) AS date, arg_max(value, date) AS v, count(*) AS n, avg(value) AS m, stddev_samp(value) AS sd FROM nl GROUP BY 1),
+ns AS (SELECT nl.series_id, any_value(nx.date) AS date, any_value(v) AS v, any_value(n) AS n, any_value((v - m) / sd) AS z, avg(CASE WHEN value <= v THEN 1.0 ELSE 0.0 END) AS p FROM nl JOIN nx ON nl.series_id = nx.series_id GROUP BY 1)"""
+
+
+@query("factor_extreme", f"""WITH {NS_STATS} SELECT 'factor_extreme' AS kind, series_id AS key, 'full' AS "window", round(least(abs(z) / 3, 1.0), 3) AS score, date, round(v, 3) AS value, round(z, 3) AS z, {R('p')} AS percentile FROM ns WHERE n >= 36 AND (p <= 0.4 OR p >= 0.6)""")
 def factor_extreme(spark: S, sf: str) -> D:
-    return dt.factor_extreme(_factors(spark, sf), tails=0.4)
+    h = opened(dt.factor_extreme(_factors(spark, sf), tails=0.4), value="double", z="double", percentile="double")
+    return h.withColumns({c: F.round(c, 3) for c in ("score", "value", "z")})
+
+
+@query("curve_extreme", f"""WITH {NS_STATS} SELECT 'curve_factor_extreme' AS kind, 'curve' AS key, 'full' AS "window", round(least(max(abs(z)) / 3, 1.0), 3) AS score, max(date) AS date, round(max(abs(z)), 3) AS max_z, string_agg(series_id, ',' ORDER BY series_id) FILTER (p <= 0.4 OR p >= 0.6) AS extremes, CAST(max(n) AS BIGINT) AS n
+FROM ns WHERE n >= 36 HAVING count(*) FILTER (p <= 0.4 OR p >= 0.6) > 0""")
+def curve_extreme(spark: S, sf: str) -> D:
+    h = opened(dt.curve_extreme(_factors(spark, sf), tails=0.4), max_z="double", extremes="string", n="bigint")
+    return h.withColumns({"score": F.round("score", 3), "max_z": F.round("max_z", 3), "extremes": F.array_join(F.from_json("extremes", "array<string>"), ",")})
 
 
 @query("level_regime_cross", f"""WITH {MONTHLY}, scaled AS (SELECT series_id, date, value / med AS value FROM monthly JOIN {LEVEL} q ON q.sid = series_id),
@@ -591,7 +688,9 @@ def _parts(spark: S, sf: str) -> D:
 def scan(spark: S, sf: str) -> D:
     """All detectors, with the windows of monthly pairs; thresholds as they are."""
     levels = (fixture(spark, sf, MONTHLY, SCALED), [(0.95, "calm"), (1.05, "elevated")], "stressed", ["stressed"])
-    return dt.scan(fixture(spark, sf, MONTHLY), fixture(spark, sf, MONTHLY, PAIRS), _factors(spark, sf), _parts(spark, sf), _episodes(spark, sf), levels)
+    cp = cv.cp_factor(cv.forward_rates(fixture(spark, sf, CURVE)), list(range(1, 8))).select(F.lit("cp").alias("series_id"), "date", F.col("cp").alias("value"))
+    priced = pr.factor_pricing(_priced(spark, sf), ["f"], _early_late(), [("early", "late")])
+    return dt.scan(fixture(spark, sf, MONTHLY), fixture(spark, sf, MONTHLY, PAIRS), _factors(spark, sf), _parts(spark, sf), _episodes(spark, sf), levels, cp, priced)
 
 
 @query("scan_skipped", f"WITH {DAILY} SELECT series_id AS key, concat('only ', CAST(count(*) AS VARCHAR), ' rows') AS reason FROM daily GROUP BY 1 HAVING count(*) < 2500")
