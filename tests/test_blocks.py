@@ -73,3 +73,16 @@ def test_within_intervals_of_all_lengths(spark):
     assert got == sorted((n, k) for n, d in enumerate(dates) if d for k, a, b in spans if a and a <= d <= b)
     bins = spark.range(1).select(F.size(align._bins(F.lit(5), F.lit(20_005)))).first()[0]
     assert bins <= 14 * 5
+
+
+def test_periods_from_each_series_first(spark):
+    """2024-01-03 is a Wednesday: two-week periods end on 5 and 19 January for one series and on the 12th and 26th for another."""
+    start = dt.date(2024, 1, 3)
+    rows = [(s, start + dt.timedelta(off + i), float(i)) for s, off in (("a", 0), ("b", 7)) for i in range(20)] + [("c", dt.date(2024, m, 15), float(m)) for m in range(5, 13)]
+    obs = spark.createDataFrame(rows, "series_id string, date date, value double")
+    got = {}
+    for r in align.downsample(obs, "BW", anchored=True).orderBy("date").collect():
+        got.setdefault(r.series_id, []).append((r.date.day, r.value))
+    assert got["a"] == [(5, 2.0), (19, 16.0), (2, 19.0)] and got["b"] == [(12, 2.0), (26, 16.0), (9, 19.0)]
+    half = sorted((r.date, r.value) for r in align.downsample(obs.filter("series_id = 'c'"), "SA", "mean", anchored=True).collect())
+    assert half == [(dt.date(2024, 4, 1), 7.0), (dt.date(2024, 10, 1), 11.0)]

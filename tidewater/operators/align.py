@@ -31,12 +31,34 @@ def bucket(date: Column, freq: str) -> Column:
     return F.trunc(date, {"M": "MM", "Q": "QUARTER", "A": "YEAR"}[freq])
 
 
-def downsample(obs: DataFrame, freq: str, agg: str = "last", keys: list[str] | None = None) -> DataFrame:
-    """One row for each key and period: the last non-null value, or the mean."""
+def anchored_bucket(date: Column, freq: str, first: Column) -> Column:
+    """Label of the period of a date where periods of two weeks, or two quarters, are counted from that of ``first``, the
+    first date of a series; other frequencies as bucket() has them."""
+    if freq == "BW":
+        start = bucket(first, "W")
+        return F.date_add(start, (14 * F.ceil(F.datediff(bucket(date, "W"), start) / 14)).cast("int"))
+    if freq == "SA":
+        start, now = bucket(first, "Q"), bucket(date, "Q")
+        quarters = (F.year(now) - F.year(start)) * 4 + F.quarter(now) - F.quarter(start)
+        return F.add_months(start, (6 * F.floor(quarters / 2)).cast("int"))
+    return bucket(date, freq)
+
+
+def downsample(obs: DataFrame, freq: str, agg: str = "last", keys: list[str] | None = None, anchored: bool = False) -> DataFrame:
+    """One row for each key and period: the last non-null value, or the mean.
+
+    anchored: periods of two weeks or two quarters are counted from each key's first value instead of the calendar.
+    """
     keys = keys or ["series_id"]
     value = F.max_by("value", "date") if agg == "last" else F.avg("value")
     filled = obs.filter(F.col("value").isNotNull())
-    return filled.groupBy(*keys, bucket(F.col("date"), freq).alias("date")).agg(value.alias("value"))
+    if anchored and freq in ("BW", "SA"):
+        first = filled.groupBy(*keys).agg(F.min("date").alias("__first"))
+        filled = filled.join(first.hint("merge"), keys)
+        label = anchored_bucket(F.col("date"), freq, F.col("__first"))
+    else:
+        label = bucket(F.col("date"), freq)
+    return filled.groupBy(*keys, label.alias("date")).agg(value.alias("value"))
 
 
 def upsample_daily(obs: DataFrame, keys: list[str] | None = None, business: bool = True, strict_grid: bool = False) -> DataFrame:

@@ -176,6 +176,21 @@ def downsample_biweekly(spark: S, sf: str) -> D:
     return al.downsample(fixture(spark, sf, DAILY), "BW")
 
 
+#: Daily series from the tenth of their year on, a different day of the first year for each.
+STAGGERED = "staggered AS (SELECT series_id, date, value FROM daily WHERE date >= DATE '1995-01-10' + (ascii(substr(series_id, 5, 1)) - 48) * 23)"
+
+
+@query("downsample_anchored", f"""
+WITH {DAILY}, {STAGGERED}, f AS (SELECT *, min(date) OVER (PARTITION BY series_id) AS first, date + CAST((12 - dayofweek(date)) % 7 AS INT) AS fri FROM staggered),
+g AS (SELECT *, first + CAST((12 - dayofweek(first)) % 7 AS INT) AS fri0, date_trunc('quarter', first) AS q0, date_diff('quarter', date_trunc('quarter', first), date_trunc('quarter', date)) AS dq FROM f),
+l AS (SELECT series_id, date, value, CAST(fri0 + 14 * CAST(ceil((fri - fri0) / 14.0) AS INT) AS DATE) AS bw, CAST(q0 + to_months(CAST(6 * (dq // 2) AS INT)) AS DATE) AS sa FROM g)
+SELECT 'BW' AS freq, series_id, bw AS date, {R('arg_max(value, date)')} AS value FROM l GROUP BY series_id, bw UNION ALL SELECT 'SA', series_id, sa, {R('avg(value)')} FROM l GROUP BY series_id, sa""")
+def downsample_anchored(spark: S, sf: str) -> D:
+    obs = fixture(spark, sf, DAILY, STAGGERED)
+    one = lambda freq, agg: al.downsample(obs, freq, agg, anchored=True).withColumn("freq", F.lit(freq))
+    return one("BW", "last").unionByName(one("SA", "mean"))
+
+
 @query("upsample_daily", f"""
 WITH {MONTHLY}, g AS (SELECT series_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM monthly GROUP BY 1)
 SELECT g.series_id, g.date, {R('m.value')} AS value FROM g ASOF JOIN monthly m ON g.series_id = m.series_id AND g.date >= m.date WHERE isodow(g.date) < 6""")
