@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,33 @@ def taylor_rule(inflation: Column, gap: Column, neutral: float = 0.5, target: fl
     return F.lit(neutral) + inflation + 0.5 * (inflation - F.lit(target)) + 0.5 * gap
 
 
+def taylor_from_levels(
+    policy: DataFrame, prices: DataFrame, output: DataFrame, potential: DataFrame, neutral: float = 0.5, target: float = 2.0, keys: list[str] | None = None
+) -> DataFrame:
+    """keys, date (month end), policy, inflation, gap, rate, excess of the rule from raw series (keys, date, value).
+
+    inflation: the change of prices over twelve rows in percent; gap: output over potential in percent. Each month has the
+    last value in it, or before it, of each series; excess is the policy rate less the rule. One row a month for each of
+    keys (such as countries).
+    """
+    keys = keys or []
+    yoy = Window.partitionBy(*keys).orderBy("date")
+    prices = prices.withColumn("value", 100 * (F.col("value") / F.nullif(F.lag("value", 12).over(yoy), F.lit(0.0)) - 1))
+    month = F.last_day("date")
+    named = {"policy": policy, "inflation": prices, "output": output, "potential": potential}
+    parts = [d.select(*keys, month.alias("date"), F.lit(n).alias("name"), "value", F.col("date").alias("at")) for n, d in named.items()]
+    last = [F.max_by(F.when(F.col("name") == n, F.col("value")), F.when((F.col("name") == n) & F.col("value").isNotNull(), F.col("at"))).alias(n) for n in named]
+    wide = reduce(DataFrame.unionByName, parts).groupBy(*keys, "date").agg(*last)
+    span = wide.groupBy(*keys).agg(F.min("date").alias("lo"), F.max("date").alias("hi")) if keys else wide.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    months = F.sequence(F.trunc("lo", "MM"), F.trunc("hi", "MM"), F.expr("INTERVAL 1 MONTH"))
+    grid = span.select(*keys, F.explode(months).alias("m")).select(*keys, F.last_day("m").alias("date"))
+    run = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    full = grid.join(wide.hint("merge"), [*keys, "date"], "left").withColumns({n: F.last(n, ignorenulls=True).over(run) for n in named})
+    full = full.withColumn("gap", 100 * (F.col("output") / F.nullif("potential", F.lit(0.0)) - 1))
+    full = full.withColumn("rate", taylor_rule(F.col("inflation"), F.col("gap"), neutral, target))
+    return full.select(*keys, "date", "policy", "inflation", "gap", "rate", (F.col("policy") - F.col("rate")).alias("excess"))
+
+
 def forward_rates(curve: DataFrame) -> DataFrame:
     """tenor, date, forward between the tenor before and this one; the first is the yield itself."""
     w = Window.partitionBy("date").orderBy("tenor")

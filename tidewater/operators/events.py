@@ -76,6 +76,25 @@ def episode_drivers(episodes: DataFrame, support: DataFrame, move: float = 0.5)
     return j.withColumns({"support_change": change, "driver": driver}).drop("m0", "m1", "v0", "v1")
 
 
+def episode_real_rates(episodes: DataFrame, obs: DataFrame, policy: DataFrame) -> DataFrame:
+    """episodes with min_real_rate: the least policy rate less the series' own value in the months of the episode; NULL
+    without a month that has both."""
+    month = F.trunc("date", "MM")
+    last = lambda d, *by: d.filter("value IS NOT NULL").groupBy(*by, month.alias("m")).agg(F.max_by("value", "date").alias("v"))
+    real = last(obs, "series_id").join(last(policy).withColumnRenamed("v", "p").hint("merge"), "m").select("series_id", "m", (F.col("p") - F.col("v")).alias("real"))
+    own = episodes.select("series_id", "start_date", "end_date").join(real.hint("merge"), "series_id")
+    own = own.filter((F.col("m") >= F.trunc("start_date", "MM")) & (F.col("m") <= F.col("end_date")))
+    low = own.groupBy("series_id", "start_date").agg(F.min("real").alias("min_real_rate"))
+    return episodes.join(low.hint("merge"), ["series_id", "start_date"], "left")
+
+
+def driver_counts(episodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, driver, n, share of the episodes by their driver."""
+    keys = keys or ["series_id"]
+    g = episodes.groupBy(*keys, "driver").agg(F.count("*").alias("n"))
+    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
+
+
 def current_episode(episodes: DataFrame, as_of: str, months: int = 6) -> DataFrame:
     """The last episode of each series, if it ended within so many months before as_of."""
     w = Window.partitionBy("series_id").orderBy(F.desc("end_date"))

@@ -53,6 +53,26 @@ def taylor_rule(spark: S, sf: str) -> D:
     return w.select("date", cv.taylor_rule(F.col("1"), F.col("2")).alias("rate"))
 
 
+RAW = ("ORD.1-URGENT", "ORD.2-HIGH", "ORD.4-NOT SPECIFIED", "ORD.5-LOW")
+
+
+@query("taylor_from_levels", f"""
+WITH {MONTHLY}, {DAILY}, p AS (SELECT date, 100 * (value / lag(value, 12) OVER (ORDER BY date) - 1) AS value FROM monthly WHERE series_id = '{RAW[1]}'),
+q AS (SELECT series_id, date, value FROM monthly WHERE series_id IN ('{RAW[2]}', '{RAW[3]}') AND month(date) % 3 = 1), d AS (SELECT date, value FROM daily WHERE series_id = '{RAW[0]}'),
+m AS (SELECT last_day(date) AS date, arg_max(value, date) AS policy, NULL AS inflation, NULL AS output, NULL AS potential FROM d GROUP BY 1 UNION ALL SELECT last_day(date), NULL, arg_max(value, date) FILTER (value IS NOT NULL), NULL, NULL FROM p GROUP BY 1
+ UNION ALL SELECT last_day(date), NULL, NULL, max(value) FILTER (series_id = '{RAW[2]}'), max(value) FILTER (series_id = '{RAW[3]}') FROM q GROUP BY 1),
+w AS (SELECT date, max(policy) AS policy, max(inflation) AS inflation, max(output) AS output, max(potential) AS potential FROM m GROUP BY 1),
+g AS (SELECT last_day(CAST(unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), INTERVAL 1 MONTH)) AS DATE)) AS date FROM w),
+f AS (SELECT g.date, last_value(policy IGNORE NULLS) OVER o AS policy, last_value(inflation IGNORE NULLS) OVER o AS inflation, last_value(output IGNORE NULLS) OVER o AS output, last_value(potential IGNORE NULLS) OVER o AS potential FROM g LEFT JOIN w ON w.date = g.date WINDOW o AS (ORDER BY g.date))
+SELECT date, {R('policy')} AS policy, {R('inflation')} AS inflation, {R('100 * (output / potential - 1)')} AS gap, {R('0.5 + inflation + 0.5 * (inflation - 2) + 50 * (output / potential - 1)')} AS rate, {R('policy - (0.5 + inflation + 0.5 * (inflation - 2) + 50 * (output / potential - 1))')} AS excess FROM f""")
+def taylor_from_levels(spark: S, sf: str) -> D:
+    """A daily rate, monthly prices, quarterly output and potential."""
+    m = fixture(spark, sf, MONTHLY)
+    one = lambda d, k: d.filter(F.col("series_id") == RAW[k]).select("date", "value")
+    quarters = m.filter("month(date) % 3 = 1")
+    return cv.taylor_from_levels(one(fixture(spark, sf, DAILY), 0), one(m, 1), one(quarters, 2), one(quarters, 3))
+
+
 @query("forward_rates", f"""
 WITH {CURVE} SELECT CAST(tenor AS BIGINT) AS tenor, date, {R('coalesce((tenor * value - lag(tenor) OVER w * lag(value) OVER w) / (tenor - lag(tenor) OVER w), value)')} AS forward FROM curve WINDOW w AS (PARTITION BY date ORDER BY tenor)""")
 def forward_rates(spark: S, sf: str) -> D:
@@ -269,6 +289,20 @@ def episode_drivers(spark: S, sf: str) -> D:
     return ev.episode_drivers(_episodes(spark, sf), fixture(spark, sf, CURVE).filter("tenor = 1"), 0.05)
 
 
+@query("episode_real_rates", f"""WITH {MONTHLY}, {CURVE}, {EPI}, t AS (SELECT date, value FROM curve WHERE tenor = 1)
+SELECT ep.series_id, ep.start_date, ep.end_date, CAST(any_value(duration) AS BIGINT) AS duration, {R('any_value(peak)')} AS peak, any_value(peak_date) AS peak_date, {R('min(t.value - s.value)')} AS min_real_rate
+FROM ep LEFT JOIN scaled s ON s.series_id = ep.series_id AND s.date BETWEEN ep.start_date AND ep.end_date LEFT JOIN t ON t.date = s.date GROUP BY 1, 2, 3""")
+def episode_real_rates(spark: S, sf: str) -> D:
+    return ev.episode_real_rates(_episodes(spark, sf), fixture(spark, sf, MONTHLY, SCALED), fixture(spark, sf, CURVE).filter("tenor = 1"))
+
+
+@query("driver_counts", f"""WITH {MONTHLY}, {CURVE}, {EPI}, t AS (SELECT date, value FROM curve WHERE tenor = 1),
+d AS (SELECT ep.series_id, CASE WHEN b.value - a.value > 0.05 THEN 'rising' WHEN b.value - a.value < -0.05 THEN 'falling' WHEN b.value - a.value IS NOT NULL THEN 'flat' ELSE 'unknown' END AS driver FROM ep LEFT JOIN t a ON a.date = ep.start_date LEFT JOIN t b ON b.date = ep.end_date)
+SELECT series_id, driver, CAST(count(*) AS BIGINT) AS n, {R('count(*) / sum(count(*)) OVER (PARTITION BY series_id)')} AS share FROM d GROUP BY 1, 2""")
+def driver_counts(spark: S, sf: str) -> D:
+    return ev.driver_counts(ev.episode_drivers(_episodes(spark, sf), fixture(spark, sf, CURVE).filter("tenor = 1"), 0.05))
+
+
 @query("current_episode", f"WITH {MONTHLY}, {EPI} SELECT series_id, start_date, end_date, CAST(duration AS BIGINT) AS duration, {R('peak')} AS peak, peak_date FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY end_date DESC) AS k FROM ep) WHERE k = 1 AND end_date >= DATE '2001-02-01'")
 def current_episode(spark: S, sf: str) -> D:
     return ev.current_episode(_episodes(spark, sf), "2001-08-01")
