@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,42 @@ def backlog(findings: DataFrame, as_of: Column) -> DataFrame:
     return findings.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("discovered") > F.date_sub(as_of, 7)).alias("recent"), F.max("score").alias("top_score"))
 
 
+#: Statuses from good to bad.
+SEVERITY = ["ok", "never_run", "no_findings", "warn", "error"]
+
+
+def findings_health(findings: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """One row: total, new_unsent, taught, sourced, added, status of findings (status, discovered, sources)."""
+    web = F.exists("sources", lambda s: F.contains(s, F.lit("http")))
+    g = findings.agg(
+        F.count("*").alias("total"), F.count_if(F.col("status") == "new").alias("new_unsent"), F.count_if(F.startswith("status", F.lit("taught"))).alias("taught"),
+        F.count_if(F.coalesce(web, F.lit(False))).alias("sourced"), F.count_if(F.col("discovered") >= F.date_sub(as_of, days)).alias("added"),
+    )
+    return g.withColumn("status", F.when(F.col("total") > 0, "ok").otherwise("no_findings"))
+
+
+def lessons_health(lessons: DataFrame, as_of: Column, days: int = 7, silent: int = 5) -> DataFrame:
+    """One row: total, last_sent, sent (in the last days), status of lessons (date); warn after so many silent days."""
+    g = lessons.agg(F.count("*").alias("total"), F.max("date").alias("last_sent"), F.count_if(F.col("date") >= F.date_sub(as_of, days)).alias("sent"))
+    late = F.col("last_sent").isNull() | (F.col("last_sent") < F.date_sub(as_of, silent))
+    return g.withColumn("status", F.when(late, "warn").otherwise("ok"))
+
+
+def harvest_health(harvests: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """One row: total, last_run, added (findings of the last days), status of harvests (date, n_findings)."""
+    now = F.col("date") >= F.date_sub(as_of, days)
+    g = harvests.agg(F.count("*").alias("total"), F.max("date").alias("last_run"), F.coalesce(F.sum(F.when(now, F.col("n_findings"))), F.lit(0)).cast("bigint").alias("added"))
+    return g.withColumn("status", F.when(F.col("total") > 0, "ok").otherwise("never_run"))
+
+
+def worst_status(parts: dict[str, DataFrame]) -> DataFrame:
+    """One row: status, the worst of the parts' (each with a column status), and parts, those that have it."""
+    rank = lambda c: F.array_position(F.array(*[F.lit(s) for s in SEVERITY]), c)
+    every = reduce(DataFrame.unionByName, [d.select(F.lit(name).alias("part"), "status") for name, d in parts.items()])
+    g = every.agg(F.max_by("status", rank(F.col("status"))).alias("status"), F.collect_set(F.struct("part", "status")).alias("all"))  # a row for each part
+    return g.select("status", F.array_sort(F.transform(F.filter("all", lambda p: p["status"] == F.col("status")), lambda p: p["part"])).alias("parts"))
+
+
 def upcoming(calendar: DataFrame, as_of: Column, n: int = 5) -> DataFrame:
     return calendar.filter(F.col("release_date") >= as_of).select("release_date", "release_name").distinct().orderBy("release_date", "release_name").limit(n)
 

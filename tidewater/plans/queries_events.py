@@ -252,7 +252,7 @@ def era_share(spark: S, sf: str) -> D:
 
 @query("era_ols")
 def era_ols(spark: S, sf: str) -> D:
-    d = al.within(fixture(spark, sf, DAILY, MONTHLY, PAIRS), episodes(spark)).filter("pair_id < 'ORD.2'").withColumn("c", F.month("date").cast("double"))
+    d = al.within(fixture(spark, sf, DAILY, MONTHLY, PAIRS), episodes(spark)).withColumn("c", F.month("date").cast("double"))
     return rg.robust_se(d, "b", ["a", "c"], ["name", "pair_id"], "date", hc3=True)
 
 
@@ -945,12 +945,35 @@ def backlog(spark: S, sf: str) -> D:
     return mo.backlog(fixture(spark, sf, FIND), _as_of(spark))
 
 
+@query("health_parts", f"""WITH {FIND}, a AS (SELECT max(date) AS d FROM found), n AS (SELECT 'findings' AS part, count(*) AS total, max(discovered) AS last, count(*) FILTER (discovered >= a.d - 7) AS recent, count(*) FILTER (status = 'new') AS new_unsent, count(*) FILTER (kind = 'click') AS sourced FROM found, a GROUP BY a.d),
+l AS (SELECT 'lessons' AS part, count(*) AS total, max(date) AS last, count(*) FILTER (date >= a.d - 7) AS recent, 0 AS new_unsent, 0 AS sourced FROM found, a WHERE date < a.d - 6),
+h AS (SELECT 'harvests' AS part, count(*) AS total, max(date) AS last, coalesce(sum(CAST(substr(slug, 2) AS BIGINT) % 5) FILTER (date >= a.d - 7), 0) AS recent, 0 AS new_unsent, 0 AS sourced FROM found, a WHERE kind = 'view')
+SELECT part, CAST(total AS BIGINT) AS total, last, CAST(recent AS BIGINT) AS recent, CAST(new_unsent AS BIGINT) AS new_unsent, CAST(sourced AS BIGINT) AS sourced, CASE WHEN part = 'lessons' THEN 'warn' ELSE 'ok' END AS status, 'warn' AS worst FROM (SELECT * FROM n UNION ALL SELECT * FROM l UNION ALL SELECT * FROM h)""")
+def health_parts(spark: S, sf: str) -> D:
+    """Clicks have a source on the web; lessons ended a week ago; views are harvests of up to four findings."""
+    f = fixture(spark, sf, FIND)
+    now = _as_of(spark)
+    sourced = f.withColumn("sources", F.when(F.col("kind") == "click", F.array(F.lit("https://x/"))).otherwise(F.array().cast("array<string>")))
+    harvests = f.filter("kind = 'view'").withColumn("n_findings", F.expr("CAST(substr(slug, 2) AS BIGINT) % 5"))
+    parts = {"findings": mo.findings_health(sourced, now), "lessons": mo.lessons_health(f.filter(F.col("date") < F.date_sub(now, 6)), now), "harvests": mo.harvest_health(harvests, now)}
+    worst = mo.worst_status(parts).select(F.lit(1).alias("one"), F.col("status").alias("worst"))
+    none = F.lit(0).cast("bigint")
+    rows = [
+        parts["findings"].join(f.agg(F.max("discovered").alias("last"))).select(F.lit("findings").alias("part"), "total", "last", F.col("added").alias("recent"), "new_unsent", "sourced", "status"),
+        parts["lessons"].select(F.lit("lessons").alias("part"), "total", F.col("last_sent").alias("last"), F.col("sent").alias("recent"), none.alias("new_unsent"), none.alias("sourced"), "status"),
+        parts["harvests"].select(F.lit("harvests").alias("part"), "total", F.col("last_run").alias("last"), F.col("added").alias("recent"), none.alias("new_unsent"), none.alias("sourced"), "status"),
+    ]
+    all_ = rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("one", F.lit(1))
+    return all_.join(F.broadcast(worst), "one").drop("one")  # one row
+
+
 @query("formatted_levels", f"""WITH {MONTHLY} SELECT series_id, date, CASE WHEN value >= 100 THEN printf('%.0f', value) WHEN value >= 10 THEN printf('%.1f', value) WHEN value >= 1 THEN printf('%.2f', value) ELSE printf('%.3f', value) END AS level,
  printf('%.2f%%', value) AS percent, printf('%+.0f bp', value * 100) AS bp, printf('%+.1fσ', value) AS z, printf('%+.0f%%', value * 100) AS corr, printf('%+.2f pp', value) AS pp, printf('%.0fth pct', value * 100) AS pct,
- strftime(date, '%b %d, %Y') AS long, strftime(date, '%b %Y') AS ym FROM monthly WHERE value < 1000""")
+ strftime(date, '%b %d, %Y') AS long, strftime(date, '%b %Y') AS ym, format('{{:,.0f}}', value * 1000) AS thousands, concat(printf('%.2f', 1 + value / 1000), ' – ', format('{{:,.0f}}', value * 1000)) AS span FROM monthly""")
 def formatted_levels(spark: S, sf: str) -> D:
     v, d = F.col("value"), F.col("date")
-    return fixture(spark, sf, MONTHLY).filter("value < 1000").select(
+    return fixture(spark, sf, MONTHLY).select(
+        sl.format_level(v * 1000).alias("thousands"), sl.format_range(1 + v / 1000, v * 1000).alias("span"),
         "series_id", "date", sl.format_level(v).alias("level"), sl.format_percent(v).alias("percent"), sl.format_bp(v).alias("bp"), sl.format_z(v).alias("z"), sl.format_corr(v).alias("corr"),
         sl.format_pp(v).alias("pp"), sl.format_percentile(v).alias("pct"), sl.format_date(d, "long").alias("long"), sl.format_date(d, "ym").alias("ym"),
     )
