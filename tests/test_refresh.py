@@ -96,3 +96,22 @@ def test_late_rows_merged_or_aside(spark, tmp_path):
         refresh.merge_batch(batch(spark, [("s", DAY, 9.0)], 2), 1, store, late=late)
         assert held(spark, store)[("s", DAY)] == value
         assert refresh.stored(spark, store, "late").select(F.sum("value")).first()[0] == 9.0
+
+
+def test_sweeping_leaves_other_threads_tables(spark, tmp_path):
+    """A block clears what its own thread wrote, nested blocks included; a table of another thread stays."""
+    from threading import Thread
+
+    from tidewater.functions.stored import swept, written
+
+    made = {}
+    with swept(spark):
+        made["own"] = written(spark.range(3), "own")
+        thread = Thread(target=lambda: made.update(other=written(spark.range(4), "other")))
+        thread.start()
+        thread.join()
+        with swept(spark):
+            made["inner"] = written(spark.range(5), "inner")
+        assert made["own"].count() == 3
+        paths = {k: v.inputFiles()[0].removeprefix("file://") for k, v in made.items() if k != "inner"}
+    assert made["other"].count() == 4 and os.path.exists(paths["other"]) and not os.path.exists(paths["own"])

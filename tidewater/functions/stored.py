@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,23 +33,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for paths in _OPEN:
+    for paths in _OPEN.get():
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_OPEN: list[list[str]] = []
+#: The lists of the blocks that are open in this thread; other threads' jobs keep their tables.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 @contextmanager
 def swept(spark: SparkSession) -> Iterator[None]:
     """Removes, at its end, the tables that were written inside it; results must be stored before."""
     paths: list[str] = []
-    _OPEN.append(paths)
+    token = _OPEN.set((*_OPEN.get(), paths))
     try:
         yield
     finally:
-        _OPEN.remove(paths)
+        _OPEN.reset(token)
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for path in paths:
             p = jvm.org.apache.hadoop.fs.Path(path)
