@@ -121,20 +121,23 @@ def pick_seed(seeds: DataFrame, as_of: Column, shown: DataFrame | None = None) -
 
 
 def market_snapshot(obs: DataFrame, steps: tuple[int, ...] = (1, 5, 21)) -> DataFrame:
-    """series_id, date, value, change_n and sigma_n for each step, pct_252 and pct_1260 of the latest row."""
+    """series_id, date, value, change_n and sigma_n for each step, pct_252 and pct_1260 of the latest row.
+
+    Changes are those of daily series (a median gap of seven days at most) of 22 rows or more, else NULL.
+    """
     w = Window.partitionBy("series_id")
     d = obs.filter("value IS NOT NULL").withColumn("back", F.row_number().over(w.orderBy(F.desc("date"))))
-    d = d.withColumns({"diff": F.col("value") - F.lead("value").over(w.orderBy("back")), "latest": F.first("value").over(w.orderBy("back"))})
+    d = d.withColumns({"diff": F.col("value") - F.lead("value").over(w.orderBy("back")), "latest": F.first("value").over(w.orderBy("back")), "gap": F.datediff("date", F.lead("date").over(w.orderBy("back")))})
     at = lambda n: F.max(F.when(F.col("back") == n, F.col("value")))
     share = lambda n: F.avg(F.when(F.col("back") <= n, (F.col("value") <= F.col("latest")).cast("double")))
     g = d.groupBy("series_id").agg(
-        F.max("date").alias("date"), at(1).alias("value"), F.count("*").alias("n"), F.stddev_samp(F.when(F.col("back") <= 252, F.col("diff"))).alias("sd"),
+        F.max("date").alias("date"), at(1).alias("value"), F.count("*").alias("n"), F.percentile("gap", F.lit(0.5)).alias("gap"), F.stddev_samp(F.when(F.col("back") <= 252, F.col("diff"))).alias("sd"),
         *[at(n + 1).alias(f"then_{n}") for n in steps], share(252).alias("pct_252"), share(1260).alias("pct_1260"),
     )
     for n in steps:
-        change = F.when(F.col("n") >= 22, F.col("value") - F.col(f"then_{n}"))
+        change = F.when((F.col("n") >= 22) & (F.col("gap") <= 7), F.col("value") - F.col(f"then_{n}"))
         g = g.withColumns({f"change_{n}": change, f"sigma_{n}": change / F.nullif(F.col("sd") * float(n) ** 0.5, F.lit(0.0))})
-    return g.drop("sd", *[f"then_{n}" for n in steps])
+    return g.drop("sd", "gap", *[f"then_{n}" for n in steps])
 
 
 def series_snapshot(obs: DataFrame, per_year: int = 12) -> DataFrame:

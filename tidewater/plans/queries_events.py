@@ -798,13 +798,14 @@ def eligible_sets(spark: S, sf: str) -> D:
     return out.select("slug", "kind", F.array_join("series_ids", ",").alias("series"), "status", "tier")
 
 
-@query("market_snapshot", f"""WITH {DAILY}, b AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS back, value - lag(value) OVER (PARTITION BY series_id ORDER BY date) AS diff FROM daily),
-g AS (SELECT series_id, max(date) AS date, max(CASE WHEN back = 1 THEN value END) AS v, count(*) AS n, stddev_samp(CASE WHEN back <= 252 THEN diff END) AS sd, max(CASE WHEN back = 2 THEN value END) AS t1, max(CASE WHEN back = 6 THEN value END) AS t5, max(CASE WHEN back = 22 THEN value END) AS t21 FROM b GROUP BY 1)
-SELECT g.series_id, g.date, {R('any_value(v)')} AS value, CAST(any_value(n) AS BIGINT) AS n, {R('any_value(v - t1)')} AS change_1, {R('any_value((v - t1) / sd)')} AS sigma_1, {R('any_value(v - t5)')} AS change_5, {R('any_value((v - t5) / (sd * sqrt(5)))')} AS sigma_5,
- {R('any_value(v - t21)')} AS change_21, {R('any_value((v - t21) / (sd * sqrt(21)))')} AS sigma_21, {R('avg(CASE WHEN back <= 252 THEN CASE WHEN value <= v THEN 1.0 ELSE 0.0 END END)')} AS pct_252, {R('avg(CASE WHEN back <= 1260 THEN CASE WHEN value <= v THEN 1.0 ELSE 0.0 END END)')} AS pct_1260
+@query("market_snapshot", f"""WITH {DAILY}, {MONTHLY}, mixed AS (SELECT * FROM daily UNION ALL SELECT concat('M.', series_id), date, value FROM monthly), b AS (SELECT *, date - lag(date) OVER (PARTITION BY series_id ORDER BY date) AS gap, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS back, value - lag(value) OVER (PARTITION BY series_id ORDER BY date) AS diff FROM mixed),
+g AS (SELECT series_id, max(date) AS date, max(CASE WHEN back = 1 THEN value END) AS v, count(*) AS n, quantile_cont(gap, 0.5) <= 7 AND count(*) >= 22 AS ok, stddev_samp(CASE WHEN back <= 252 THEN diff END) AS sd, max(CASE WHEN back = 2 THEN value END) AS t1, max(CASE WHEN back = 6 THEN value END) AS t5, max(CASE WHEN back = 22 THEN value END) AS t21 FROM b GROUP BY 1)
+SELECT g.series_id, g.date, {R('any_value(v)')} AS value, CAST(any_value(n) AS BIGINT) AS n, {R('any_value(CASE WHEN ok THEN v - t1 END)')} AS change_1, {R('any_value(CASE WHEN ok THEN v - t1 END / sd)')} AS sigma_1, {R('any_value(CASE WHEN ok THEN v - t5 END)')} AS change_5, {R('any_value(CASE WHEN ok THEN v - t5 END / (sd * sqrt(5)))')} AS sigma_5,
+ {R('any_value(CASE WHEN ok THEN v - t21 END)')} AS change_21, {R('any_value(CASE WHEN ok THEN v - t21 END / (sd * sqrt(21)))')} AS sigma_21, {R('avg(CASE WHEN back <= 252 THEN CASE WHEN value <= v THEN 1.0 ELSE 0.0 END END)')} AS pct_252, {R('avg(CASE WHEN back <= 1260 THEN CASE WHEN value <= v THEN 1.0 ELSE 0.0 END END)')} AS pct_1260
 FROM g JOIN b ON b.series_id = g.series_id GROUP BY 1, 2""")
 def market_snapshot(spark: S, sf: str) -> D:
-    return sl.market_snapshot(fixture(spark, sf, DAILY))
+    monthly = fixture(spark, sf, MONTHLY).withColumn("series_id", F.concat(F.lit("M."), "series_id"))
+    return sl.market_snapshot(fixture(spark, sf, DAILY).unionByName(monthly))
 
 
 @query("series_snapshot", f"""WITH {MONTHLY}, b AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS back, first_value(value) OVER (PARTITION BY series_id ORDER BY date DESC) AS v FROM monthly)
