@@ -45,6 +45,19 @@ def test_query_equals_sql(spark, db, name):
             assert x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-6, abs_tol=2e-5)), (g, w)
 
 
+def test_formatted_levels_of_thousands(spark, tmp_path):
+    """Orders so large that monthly levels pass a thousand."""
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT * REPLACE (o_totalprice * 6000 AS o_totalprice) FROM '{SF}/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    df = QUERIES["formatted_levels"](spark, str(tmp_path))
+    cols = ", ".join(f'"{n}"' for n in df.columns)
+    want = c.execute(f"SELECT {cols} FROM ({ORACLES['formatted_levels']})").fetchall()
+    got = [tuple(r) for r in df.collect()]
+    assert any("," in r[df.columns.index("level")] for r in got)
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_entry_and_rows_only_queries(spark):
     assert entry.entry(spark).count() > 0
     for name in ("hac_ols", "pca_loadings", "fama_macbeth", "content_hash"):
