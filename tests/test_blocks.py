@@ -62,6 +62,24 @@ def test_corr_matrix_by_tiles(spark, monkeypatch):
     assert not got
 
 
+def test_corr_matrix_shuffles_no_pairs(spark, monkeypatch):
+    """Many tiles and groups, blocks of dates in one task: rows are exchanged before they become pairs, never after."""
+    monkeypatch.setattr(panel, "SERIES", 3)
+    monkeypatch.setattr(panel, "DAYS", 20)
+    x = np.random.default_rng(1).normal(size=(50, 40))
+    obs = spark.createDataFrame([(f"é{j}" if j % 2 else f"z{j}", day(i), float(x[i, j])) for i in range(50) for j in range(40)], "series_id string, date date, value double")
+    out = panel.corr_matrix(obs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and not any(k in plan[: plan.index("MapInArrow")] for k in ("Repartition", "Aggregate", "Join", "Sort"))
+    got = {(r.a, r.b): r.correlation for r in out.collect()}
+    name = lambda j: f"é{j}" if j % 2 else f"z{j}"
+    assert len(got) == 40 * 39 / 2
+    for i in range(40):
+        for j in range(i):
+            assert got[min(name(i), name(j)), max(name(i), name(j))] == pytest.approx(np.corrcoef(x[:, i], x[:, j])[0, 1], abs=1e-9)
+    assert panel.corr_matrix(obs.limit(0)).collect() == []
+
+
 def test_within_intervals_of_all_lengths(spark):
     rng = np.random.default_rng(7)
     starts, lengths = rng.integers(-20_000, 40_000, 80), np.r_[rng.integers(0, 3, 30), rng.integers(0, 900, 30), rng.integers(0, 60_000, 20)]
