@@ -72,3 +72,32 @@ def test_index_against_plain_scores(spark, tmp_path):
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     best = retrieval.top(retrieval.scores(index, queries), 1).collect()
     assert {(r.query_id, r.place) for r in best} == {("q", 1), ("r", 1)}
+
+
+def test_bm25_repeated_ids_and_one_exchange(spark, monkeypatch):
+    """Rows of one id and length are one chunk's; empty and null texts count as chunks; sums are made where the chunk is."""
+    texts = [(1, "rate up rate"), (1, "rate gap x2"), (2, ""), (3, None), (4, "rate of the gap gap"), (None, "gap up up up")]
+    chunks = spark.createDataFrame(texts, "id int, text string")
+    queries = spark.createDataFrame([("q", "rate gap gap"), ("r", "up none")], "query_id string, text string")
+    tf, length = {}, {}
+    for i, t in texts:
+        length.setdefault(i, []).append(len((t or "").split()))
+        for w in (t or "").split():
+            tf[i, w] = tf.get((i, w), 0) + 1
+    df = {w: sum(k[1] == w for k in tf) for w in {k[1] for k in tf}}
+    idf = {w: math.log(6 - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    mean, mean_len = sum(idf.values()) / len(idf), sum(len(t.split()) for _, t in texts if t is not None) / 5
+    weight = {w: 0.25 * mean if v < 0 else v for w, v in idf.items()}
+    want = {}
+    for q, words in (("q", ["rate", "gap", "gap"]), ("r", ["up"])):
+        for w in words:
+            for i in length:
+                if (i, w) in tf:
+                    n = tf[i, w]
+                    want[q, i] = want.get((q, i), 0) + weight[w] * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * length[i][0] / mean_len))
+    for few in (retrieval.FEW, 0):
+        monkeypatch.setattr(retrieval, "FEW", few)
+        scored = retrieval.scores(retrieval.build(chunks), queries)
+        got = {(r.query_id, r.id): r.score for r in scored.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+        assert not few or "hashpartitioning(query_id" not in scored._jdf.queryExecution().executedPlan().toString()
