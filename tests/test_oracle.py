@@ -58,6 +58,12 @@ def test_formatted_levels_of_thousands(spark, tmp_path):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_scan_reads_its_inputs_once(spark):
+    """The detectors read written inputs; the tables that these come from are not read again for each of them."""
+    out = QUERIES["scan"](spark, SF)
+    assert out.inputFiles() and not any(SF in f for f in out.inputFiles())
+
+
 def test_entry_and_rows_only_queries(spark):
     assert entry.entry(spark).count() > 0
     for name in ("hac_ols", "pca_loadings", "fama_macbeth", "content_hash"):

@@ -219,11 +219,13 @@ def scan(
     their input is given. priced: hits of pricing.factor_pricing to go with them.
 
     windows, and lags with recent rows, are those of pairs that are monthly or rarer, and of daily and weekly ones.
-    obs and pairs are written once and read by all.
+    All inputs are written once and read by all, so that what they are derived from is read once.
     """
     from .series import quantile_regime
 
     obs, pairs = written(obs, "obs"), written(pairs, "pairs")
+    factors, parts, episodes, cp, priced = (None if d is None else written(d, "given") for d in (factors, parts, episodes, cp, priced))
+    levels = levels and (written(levels[0], "levels"), *levels[1:])
     often = infer_frequency(pairs.dropna(subset=["a", "b"]), ["pair_id"]).filter("is_daily").select("pair_id")
     found = [notable_move(obs, least=least), regime_transition(quantile_regime(obs, [0.33, 0.67], ["low", "mid", "high"])), structural_break(obs), robust_z_signal(obs, least=least), spread_extreme(pairs, least=least), cointegration_break(pairs)]
     for how, window, (most, recent) in zip(("left_anti", "left_semi"), windows, lags, strict=True):
