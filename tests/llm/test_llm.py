@@ -927,6 +927,23 @@ def test_near_copies_tiles(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in got) == sorted(set(brute_near(texts)))
 
 
+def test_near_copies_by_fingerprints(spark):
+    """Operator 7's steps alone, without any band, give the pairs within its radius, and the exact check decides."""
+    from tidewater.llm import near_copies
+
+    base = [prose(50 + i, 1500) for i in range(4)]
+    texts = [*base, *[t + " tail" for t in base], prose(60, 1500), None, ""]
+    docs = table(spark, texts)
+    fps = [simhash.of_hashes(near_copies.shingles(t)) for t in texts]
+    assert all((fps[i] ^ fps[i + 4]).bit_count() <= 4 for i in range(4))
+    different = near_copies._different(near_copies.signatures(docs)).withColumn("bands", F.array().cast("array<bigint>"))
+    different.cache()
+    ids = {r["same"]: r["least"]["id"] for r in rows(different)}
+    got = {tuple(sorted((ids[r["a"]], ids[r["b"]]))) for r in rows(near_copies._edges(docs, different, 5, 0.8))}
+    assert got == {(i, i + 4) for i in range(4)}
+    assert rows(near_copies._edges(docs, different, 5, 0.9999)) == []
+
+
 def test_log_lines_identical_and_numeric(spark):
     same = ["Tel. 555 123 4567", "(c) 2019 2020 2021", "2024 10 12", "x1 y2"]
     forms = ["Posted {0} May 2021 at 10:{0}", "Page {0} of 10", "2024-01-{0} 10:22:33 INFO GET 200 {0}ms"]

@@ -1,11 +1,12 @@
 """Near copies for the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Operator 7 keeps its own contract (four words, four bits), which is far stricter than that similarity: at 0.8,
-two fingerprints of 64 bits differ in about ten. So candidates come from MinHash here, ``BANDS`` bands of
-``ROWS`` minima; a pair at 0.8 shares no band with a probability of (1 - 0.8^4)^25 = 2e-6. Every link is then
-decided by the exact similarity of the two sets.
+Operator 7's steps come first: fingerprints of the sets, keys of blocks of bits and the bit-sliced comparison give what
+differs in ``radius`` bits or fewer. At a similarity of 0.8 two fingerprints of 64 bits differ in about ten, and
+those alone would lose most links, so MinHash adds candidates: ``BANDS`` bands of
+``ROWS`` minima; a pair at 0.8 shares no band with a probability of (1 - 0.8^4)^25 = 2e-6. Every link, of
+either kind, is then decided by the exact similarity of the two sets.
 
-Equal sets are one from the start. Sets that are joined by bands, also by way of others, are compared in one
+Equal sets are one from the start. Sets that are joined as candidates, also by way of others, are compared in one
 task: from a set are reached all that link to it and are not reached yet, which gives exact components without
 comparing what is connected already. Candidates of more than ``TILE`` shingles are cut into chunks that meet
 pairwise, so no task holds more than about two chunks of them. Texts are shuffled only for candidates.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import free, small_batches, whole_text, written
 from .components import components
-from .simhash import LAST, SEED
+from .simhash import LAST, SEED, of_hashes, stars
 
 BANDS, ROWS = 25, 4
 #: Shingles of candidates that one task compares with as many others.
@@ -64,17 +65,18 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """id, k2 (hash of the text), same (hash of the set), n (its size), bands for every row of docs."""
+    """id, k2 (hash of the text), same (hash of the set), n (its size), fp (its fingerprint), bands for every row of docs."""
 
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingles(t, shingle) for t in texts]
             same = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"same": same, "n": [len(s) for s in sets], "bands": [bands(s) for s in sets]})
+            fps = np.array([of_hashes(s) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"same": same, "n": [len(s) for s in sets], "fp": fps, "bands": [bands(s) for s in sets]})
 
     small_batches(docs.sparkSession)
     text = whole_text()
-    made = F.pandas_udf(each, "same bigint, n bigint, bands array<bigint>")(text)
+    made = F.pandas_udf(each, "same bigint, n bigint, fp bigint, bands array<bigint>")(text)
     rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64(text).alias("k2"), made.alias("s"))
     return rows.select("id", "k2", "s.*")
 
@@ -133,11 +135,28 @@ def _compare(shingle: int, similarity: float):
     return run
 
 
-def _edges(docs: DataFrame, different: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _alike(different: DataFrame, radius: int) -> DataFrame:
+    """Candidates (a, b) among different sets whose fingerprints differ in radius bits or fewer."""
+    some = different.filter("n > 0").select("same", "fp")
+    named = written(some.groupBy("fp").agg(F.min("same").alias("b")), "named")  # sets of equal fingerprints meet at one
+    equal = some.join(named.hint("merge"), "fp").select(F.col("same").alias("a"), "b").filter("a <> b")
+    found = written(stars(named.select("fp"), radius), "stars")
+    of = lambda c: named.select(F.col("fp").alias(c), F.col("b").alias(f"{c}_of")).hint("merge")
+    return equal.unionByName(found.join(of("a"), "a").join(of("b"), "b").select(F.col("a_of").alias("a"), F.col("b_of").alias("b")))
+
+
+def _different(by_doc: DataFrame) -> DataFrame:
+    """The different sets of signatures, each with its first document; rows of a set have equal n, fp and bands."""
+    first = [F.first(c).alias(c) for c in ("n", "fp", "bands")]
+    return by_doc.groupBy("same").agg(F.min(F.struct("id", "k2")).alias("least"), *first)
+
+
+def _edges(docs: DataFrame, different: DataFrame, shingle: int, similarity: float, radius: int = 4) -> DataFrame:
     """Edges (a, b) that connect what links among different sets."""
     keyed = written(different.select("same", F.explode("bands").alias("key")), "bands")
     least = keyed.groupBy("key").agg(F.min("same").alias("b"), F.max("same").alias("top")).filter("b < top").drop("top")
-    met = keyed.join(written(least, "met").hint("merge"), "key").select(F.col("same").alias("a"), "b").distinct()
+    met = keyed.join(written(least, "met").hint("merge"), "key").select(F.col("same").alias("a"), "b")
+    met = met.unionByName(_alike(different, radius)).distinct()
     roots = components(written(met, "candidates")).withColumnRenamed("node", "same")
     rows = written(different.select("same", "n", "least.*").join(roots.hint("merge"), "same"), "compared")
     large = rows.groupBy("root").agg(F.sum("n").alias("all")).filter(F.col("all") > TILE)
@@ -156,15 +175,12 @@ def _edges(docs: DataFrame, different: DataFrame, shingle: int, similarity: floa
     return rows.mapInPandas(_compare(shingle, similarity), "a bigint, b bigint")
 
 
-def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """The first document (by doc_id, null last, then text hash) of each component, once; columns as in docs."""
     own, k2, n = free(docs, "id", "k2", "n")
     by_doc = written(signatures(docs, shingle), "signatures")
-    different = by_doc.groupBy("same").agg(
-        F.min(F.struct("id", "k2")).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")
-    )  # rows of a set have equal n and bands
-    different = written(different, "different")
-    roots = written(components(written(_edges(docs, different, shingle, similarity), "links")), "roots")
+    different = written(_different(by_doc), "different")
+    roots = written(components(written(_edges(docs, different, shingle, similarity, radius), "links")), "roots")
     of = different.select("same", "least").join(roots.withColumnRenamed("node", "same").hint("merge"), "same", "left")
     first = of.groupBy(F.coalesce("root", "same").alias("root")).agg(F.min("least").alias("first"))
     first = first.select(F.col("first.id").alias(own), F.col("first.k2").alias(k2))

@@ -58,6 +58,14 @@ def simhash(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(counts * 2 > last, bitorder="little").view(np.uint64)[0])
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint, as an unsigned number, of shingles that are hashed already; zero for none."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 65536):
+        counts += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, k2 (hash of the text), fp (the fingerprint as a signed bigint) for every row of docs."""
 
