@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import retrieval, select
+from tidewater.operators import retrieval, select, text
 
 TODAY = dt.date(2024, 3, 1)
 def as_of():
@@ -101,3 +101,39 @@ def test_bm25_repeated_ids_and_one_exchange(spark, monkeypatch):
         got = {(r.query_id, r.id): r.score for r in scored.collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
         assert not few or "hashpartitioning(query_id" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_shuffles_postings_of_repeated_ids_alone(spark, monkeypatch):
+    """A repeated id, null too, does not make the postings of the other chunks meet; few terms of a query meet the vocabulary where it is."""
+    texts = [(1, "rate up rate"), (2, "gap rate up"), (None, "up gap"), (1, "rate gap x2"), (1, "gap"), (None, "up up"), (3, "rate"), (4, None)]
+    want = {}
+    for i, t in texts:
+        words = (t or "").split()
+        for w in words:
+            want[w, i, len(words)] = want.get((w, i, len(words)), 0) + 1
+    plans = {}
+    write = retrieval.written
+
+    def kept(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(retrieval, "written", kept)
+    for few in (retrieval.FEW, 0):
+        monkeypatch.setattr(retrieval, "FEW", few)
+        index = retrieval.build(spark.createDataFrame(texts, "id int, text string"))
+        assert {(r.term, r.id, r.len): r.tf for r in index.postings.collect()} == want and index.postings.count() == len(want)
+        assert {r.term: r.df for r in index.terms.collect()} == {w: sum(k[0] == w for k in want) for w in {k[0] for k in want}}
+        assert index.postings._jdf.queryExecution().optimizedPlan().toString().startswith("Union")  # of what is grouped and what is not
+        scored = retrieval.scores(index, spark.createDataFrame([("q", "gap up")], "query_id string, text string"))
+        assert {r.id for r in scored.collect()} == {1, 2, None}
+        assert not few or "hashpartitioning(term" not in plans["weighed"]
+
+
+def test_bm25_scores_equal_to_digits_tie(spark, monkeypatch):
+    """Sums that differ in their last bits tie, to the smaller id; a query that rounds to six digits ties by these."""
+    chunks = spark.createDataFrame([(1, "gap"), (2, "gap")], "id int, text string")
+    for second, rule in ((0.1 + 0.2, {}), (0.3000001, {"digits": 6})):
+        monkeypatch.setattr(retrieval, "scores", lambda *a, second=second: spark.createDataFrame([(0, 1, 0.3), (0, 2, second)], "query_id int, id int, score double"))
+        assert [r.id for r in text.bm25(chunks, ["gap"], 1, **rule).collect()] == [1]
+    assert [r.id for r in text.bm25(chunks, ["gap"], 1).collect()] == [2]
