@@ -80,6 +80,54 @@ def test_corr_matrix_shuffles_no_pairs(spark, monkeypatch):
     assert panel.corr_matrix(obs.limit(0)).collect() == []
 
 
+def shuffled(spark, run):
+    """Bytes that run() writes for shuffles."""
+    sc = spark.sparkContext
+    bus, store, gateway = sc._jsc.sc().listenerBus(), sc._jsc.sc().statusStore(), sc._gateway
+
+    def total():
+        bus.waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    before = total()
+    run()
+    return sum(v for k, v in total().items() if k not in before)
+
+
+def test_corr_matrix_stores_blocks_once(spark, monkeypatch):
+    """Four times the series, so sixteen times the pairs, shuffle about four times the bytes, however few values a block may have."""
+    monkeypatch.setattr(panel, "SERIES", 4)
+    monkeypatch.setattr(panel, "CELLS", 500)
+    x = np.random.default_rng(3).normal(size=(50, 240))
+    obs = spark.createDataFrame([(f"s{j:03d}", j, day(i), float(x[i, j])) for i in range(50) for j in range(240)], "series_id string, j int, date date, value double").localCheckpoint()
+    made = {}
+    few, many = (shuffled(spark, lambda n=n: made.update({n: panel.corr_matrix(obs.filter(F.col("j") < n)).collect()})) for n in (60, 240))
+    assert 0 < many < 6 * few
+    want = np.corrcoef(x.T)
+    for n, got in made.items():
+        assert len({(r.a, r.b) for r in got}) == len(got) == n * (n - 1) / 2
+        assert all(r.a < r.b and r.n == 50 and r.correlation == pytest.approx(want[int(r.a[1:]), int(r.b[1:])], abs=1e-9) for r in got)
+
+
+def test_corr_matrix_of_repeated_and_negative_places(spark, monkeypatch):
+    """The last by value of a place counts; series that share a few tiles alone; blocks smaller than their series by values."""
+    monkeypatch.setattr(panel, "DAYS", 10)
+    monkeypatch.setattr(panel, "CELLS", 40)
+    rng = np.random.default_rng(4)
+    held = {f"s{j}": {int(t): float(v) for t, v in zip(rng.choice(np.arange(-60 + 15 * j, 40 + 15 * j), 30, False), rng.normal(size=30), strict=True)} for j in range(9)}
+    rows = [(s, t, v - d) for s, at in held.items() for t, v in at.items() for d in (0.0, 1.0)] + [("s0", None, 1.0), (None, 1, 1.0), ("s1", 500, None), ("lone", 10**6, 1.0)]
+    got = {(r.a, r.b): (r.n, r.correlation) for r in panel.corr_matrix(spark.createDataFrame(rows, "name string, place bigint, value double"), "place", "name").collect()}
+    for a in held:
+        for b in held:
+            both = sorted(held[a].keys() & held[b].keys())
+            if a < b and both:
+                n, r = got.pop((a, b))
+                u, v = ([held[s][t] for t in both] for s in (a, b))
+                assert n == len(both) and (r is None if n == 1 else r == pytest.approx(np.corrcoef(u, v)[0, 1], abs=1e-9))
+    assert not got
+
+
 def test_within_intervals_of_all_lengths(spark):
     rng = np.random.default_rng(7)
     starts, lengths = rng.integers(-20_000, 40_000, 80), np.r_[rng.integers(0, 3, 30), rng.integers(0, 900, 30), rng.integers(0, 60_000, 20)]
